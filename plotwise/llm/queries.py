@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat
+from .mixing import mix_sources
 from .near_dedup import near_duplicate_classes
+from .packing import pack_documents
 from .quality_rules import quality_verdicts
 from .shared import table
+from .substrings import remove_repeats
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +21,29 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "is_kept")
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every drawn copy of every document, in the global order of `place`."""
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", F.col("__copy").cast("long").alias("copy"), F.col("__place").alias("place"), "lang", "n_chars", "text")
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every formatted conversation and of conversation -1, read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.probe(spark))
+    return chat.digests(rows.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts")))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and offset."""
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_words, n_removed and the hash of the kept words for every document."""
+    kept = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the measures, n_left_words, base_failed, kept for every document."""
     verdicts = quality_verdicts(table(spark, sf_dir, "documents"))
@@ -26,6 +53,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_mix_sources": op2_mix_sources,
+    "op3_chat_format": op3_chat_format,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_substring_dedup": op6_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
 

@@ -22,7 +22,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The frame written as a table in the shared folder and read again: a cut in the lineage that outlives executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
