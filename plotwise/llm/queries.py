@@ -13,7 +13,9 @@ from .near_dedup import near_duplicate_classes
 from .packing import pack_documents
 from .quality_rules import quality_verdicts
 from .shared import table
+from .spotsigs import edited_fingerprints
 from .substrings import remove_repeats
+from .suffix_tree import score_texts
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +46,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a tree taught on those whose crc32 of the id is not 2 modulo 7."""
+    train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
+    return score_texts(table(spark, sf_dir, "documents"), train)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the measures, n_left_words, base_failed, kept for every document."""
     verdicts = quality_verdicts(table(spark, sf_dir, "documents"))
@@ -51,13 +59,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_left_words", "base_failed", "kept")
 
 
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op3_chat_format": op3_chat_format,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_lm_score": op7_lm_score,
     "op9_quality_rules": op9_quality_rules,
+    "op10_spotsigs": op10_spotsigs,
 }
 
 ORACLES: dict[str, str] = {}
