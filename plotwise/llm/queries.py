@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat
+from .html_text import extract
 from .mixing import mix_sources
 from .near_dedup import near_duplicate_classes
 from .packing import pack_documents
+from .quality_model import classify, trusted_ids
 from .quality_rules import quality_verdicts
 from .shared import table
 from .spotsigs import edited_fingerprints
@@ -40,6 +42,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity, threshold and verdict for every document."""
+    return classify(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_words, n_removed and the hash of the kept words for every document."""
     kept = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -52,6 +59,11 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), train)
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the measures, n_left_words, base_failed, kept for every document."""
     verdicts = quality_verdicts(table(spark, sf_dir, "documents"))
@@ -69,8 +81,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_chat_format": op3_chat_format,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_lm_score": op7_lm_score,
+    "op8_html_text": op8_html_text,
     "op9_quality_rules": op9_quality_rules,
     "op10_spotsigs": op10_spotsigs,
 }
