@@ -6,6 +6,8 @@ the bin of the lower left corner of its common box only, so no distinct is neede
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,9 +93,6 @@ def rasterise_rings(shapes: DataFrame, value: str, cell: float, order: list[Colu
 
 def polygon_overlay(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
     """(left_id, right_id, area) of rings that intersect; exact where the right ring is convex (Sutherland-Hodgman)."""
-    import numpy as np
-    import pandas as pd
-
     def clipped(subject: list, clip: list) -> float:
         pts = [(p["x"], p["y"]) for p in subject]
         hull = [(p["x"], p["y"]) for p in clip]
