@@ -64,11 +64,11 @@ def ratio_estimate(sample: DataFrame, design: DataFrame, y: str = "y", x: str =
     """
     weights = design.select("stratum", (d("size") / F.sum("size").over(Window.partitionBy())).alias("w"))
     means = sample.groupBy("stratum").agg(F.avg(d(y)).alias("my"), F.avg(d(x)).alias("mx"), F.sum(x).alias("nx")).join(F.broadcast(weights), "stratum")
-    total = means.agg(F.sum(F.col("w") * F.col("my")).alias("Y"), F.sum(F.col("w") * F.col("mx")).alias("X"), F.sum("nx").alias("n")).withColumn("ratio", F.col("Y") / F.col("X"))
-    one = F.broadcast(total.select("X", "ratio", "n"))  # one row
-    spread = sample.join(one).groupBy("stratum").agg(F.var_samp(d(y) - F.col("ratio") * d(x)).alias("v"), F.count("*").alias("n_h"), F.max("X").alias("X"), F.max("ratio").alias("ratio"), F.max("n").alias("n"))
+    total = means.agg(F.sum(F.col("w") * F.col("my")).alias("mean_y"), F.sum(F.col("w") * F.col("mx")).alias("mean_x"), F.sum("nx").alias("n")).withColumn("ratio", F.col("mean_y") / F.col("mean_x"))
+    one = F.broadcast(total.select("mean_x", "ratio", "n"))  # one row
+    spread = sample.join(one).groupBy("stratum").agg(F.var_samp(d(y) - F.col("ratio") * d(x)).alias("v"), F.count("*").alias("n_h"), F.max("mean_x").alias("mean_x"), F.max("ratio").alias("ratio"), F.max("n").alias("n"))
     return spread.join(F.broadcast(weights), "stratum").agg(
-        F.max("ratio").alias("ratio"), (F.sqrt(F.sum(F.col("w") ** 2 * F.col("v") / d("n_h"))) / F.max("X")).alias("se"), F.max("n").cast("long").alias("n")
+        F.max("ratio").alias("ratio"), (F.sqrt(F.sum(F.col("w") ** 2 * F.col("v") / d("n_h"))) / F.max("mean_x")).alias("se"), F.max("n").cast("long").alias("n")
     )
 
 

@@ -62,7 +62,7 @@ def null_summary(null: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def decay(shifted: DataFrame) -> DataFrame:
-    return shifted.groupBy("distance", "grp").agg(F.round(F.avg("strict_pct"), 6).alias("strict_pct"))
+    return shifted.groupBy("distance", "grp").agg(F.round(F.avg("strict_pct"), 4).alias("strict_pct"))
 
 
 def block_table(cells: DataFrame, size: int, across: int) -> DataFrame:
