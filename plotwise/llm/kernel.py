@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = (1 << 20) - 1
 U64 = np.uint64
 
 SPACE = np.zeros(256, dtype=bool)

@@ -42,7 +42,7 @@ class Repeats:
     seed: int = 12
     filter_bytes: int = 1 << 26
     shard_bytes: int = 1 << 25
-    batch_bytes: int = 1 << 23
+    batch_bytes: int = K.BLOCK_BYTES
 
 
 def anchors(hashes: np.ndarray, first: np.ndarray, p: Repeats) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,7 +104,8 @@ def rebuilt(block: K.Block, w: K.Words, keep: np.ndarray) -> pa.Array:
     docs = w.docs()
     last = np.zeros(len(keep), dtype=bool)
     held = np.flatnonzero(keep)
-    last[held[np.append(docs[held][1:] != docs[held][:-1], True)]] = True if len(held) else False
+    if len(held):
+        last[held[np.append(docs[held][1:] != docs[held][:-1], True)]] = True
     data = block.data.copy()
     inner = w.ends[keep & ~last]
     data[inner] = 0x20
@@ -140,7 +141,7 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), text: str = "text",
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            schema = pa.schema([("row", pa.struct(list(batch.schema)))])
+            schema = pa.schema([("row", pa.struct([pa.field(f.name, f.type) for f in batch.schema]))])  # nullable, as rows of another kind have none
             for block in K.blocks(batch.column(place), p.batch_bytes):
                 w = K.words(block)
                 hashes = K.word_hashes(block, w)
