@@ -45,7 +45,8 @@ def mirrored(cells: DataFrame, radius: int, nx: int, ny: int) -> DataFrame:
     """The grid with a margin in which it is reflected at its edges (the edge cells twice)."""
     def reflect(c: str, n: int) -> Column:
         x = F.col(c)
-        return F.explode(F.filter(F.array(x, -x - 1, F.lit(2 * n - 1) - x), lambda v: (v >= -radius) & (v < n + radius))).cast("long")
+        places = F.array(x, -x - 1, F.lit(2 * n - 1) - x).cast("array<bigint>")
+        return F.explode(F.filter(places, lambda v: (v >= -radius) & (v < n + radius)))
 
     out = cells.withColumn("__c", reflect("col", nx)).withColumn("__r", reflect("row", ny))
     return out.drop("col", "row").withColumnsRenamed({"__c": "col", "__r": "row"})

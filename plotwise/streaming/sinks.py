@@ -55,4 +55,4 @@ def check(df: DataFrame, condition: str, message: str) -> DataFrame:
 
 def event_crosstab(stream: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts by window and key of a stream of events, with a watermark: what a live crosstab adds to."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count("*").alias("n"))
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count("*").alias("n"))
