@@ -11,6 +11,7 @@ from . import chat
 from .html_text import extract
 from .mixing import mix_sources
 from .near_dedup import near_duplicate_classes
+from .oracles import ORACLES  # noqa: F401
 from .packing import pack_documents
 from .quality_model import classify, trusted_ids
 from .quality_rules import quality_verdicts
@@ -88,5 +89,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_spotsigs": op10_spotsigs,
 }
-
-ORACLES: dict[str, str] = {}
