@@ -10,7 +10,7 @@ def packed_rows(cells: DataFrame, value: str) -> DataFrame:
     """(row, codes, n): each grid row's codes (0..255) as base64 of a byte a cell, in column order."""
     listed = cells.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", F.col(value).alias("v")))).alias("c"))
     codes = F.unhex(F.array_join(F.transform("c", lambda x: F.lpad(F.hex(x["v"].cast("long")), 2, "0")), ""))
-    return listed.select("row", F.base64(codes).alias("codes"), F.size("c").cast("long").alias("n"))
+    return listed.select("row", F.regexp_replace(F.base64(codes), r"\r\n", "").alias("codes"), F.size("c").cast("long").alias("n"))
 
 
 def code_at(codes: Column, col: Column) -> Column:
