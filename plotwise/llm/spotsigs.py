@@ -67,29 +67,34 @@ def as_string(sigs: Column) -> Column:
     return F.array_join(F.transform(sigs, lambda x: F.hex(x)), " ")
 
 
-def neighbours(rows: DataFrame, rows_in_bucket: int = 4096) -> DataFrame:
-    """`rows` (rid, key, distinct) with next_rid, next_key: the next row by descending rid, then key; after the last the first.
+def with_next(own: DataFrame, derive, *columns: str) -> DataFrame:
+    """`own` (rid, key, text...), with what `derive` adds to a frame, once for each distinct (rid, key), with n_rows and next_<column> of the next one by descending
+    rid and key; after the last one the first.
 
-    Ids are cut into equal ranges of about rows_in_bucket rows. Neighbours are found inside the ranges, and their ends are joined
-    through one row for each range.
+    Ids are cut into equal ranges, about the root of the number of rows, and rows are dealt out by range; so texts are shuffled
+    once and no range is large. A range's last row has the first of the next range for its next, and those are found by one
+    narrow row for each range.
     """
-    order = [F.col("rid").desc(), F.col("key").desc()]
-    size = rows.agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.count("*").alias("n")).first()
-    if not size["n"]:
-        return rows.withColumn("next_rid", F.col("rid")).withColumn("next_key", F.col("key"))
-    low = rows.where(F.col("rid") > NO_ID).agg(F.min("rid")).first()[0]
-    low = size["hi"] if low is None else low
-    width = max(1, -(-(size["hi"] - low + 1) // max(1, size["n"] // rows_in_bucket)))
-    bucket = F.when(F.col("rid") == NO_ID, F.lit(1 << 62)).otherwise(F.expr(f"({size['hi']}L - rid) div {width}L"))
-    known = rows.withColumn("bucket", bucket)
-    inside = Window.partitionBy("bucket").orderBy(*order)
-    first = known.groupBy("bucket").agg(F.max(F.struct("rid", "key")).alias("head"))
-    after = Window.orderBy("bucket")  # one row for each range
-    whole = after.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = first.select("bucket", F.coalesce(F.lead("head").over(after), F.first("head").over(whole)).alias("head"))
-    chained = known.withColumn("next", F.lead(F.struct("rid", "key")).over(inside)).join(heads, "bucket")
-    then = F.coalesce("next", "head")
-    return chained.select(*rows.columns, then["rid"].alias("next_rid"), then["key"].alias("next_key"))
+    size = own.agg(F.min(F.when(F.col("rid") > NO_ID, F.col("rid"))).alias("lo"), F.max("rid").alias("hi"), F.count("*").alias("n")).first()
+    hi = size["hi"] if size["hi"] is not None else 0
+    lo = size["lo"] if size["lo"] is not None else hi
+    ranges = max(1, math.isqrt(size["n"]))
+    width = max(1, -(-(hi - lo + 1) // ranges))
+    bucket = F.when(F.col("rid") == NO_ID, F.lit(1 << 62)).otherwise(F.expr(f"({hi}L - rid) div {width}L"))
+    placed = own.withColumn("bucket", bucket)
+    first = stored(placed.groupBy("bucket").agg(F.max(F.struct("rid", "key")).alias("head")), "heads")
+    along = Window.orderBy("bucket")  # one row for each range
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = first.select("bucket", F.coalesce(F.lead("head").over(along), F.first("head").over(whole)).alias("head")).select("bucket", F.col("head.rid").alias("rid"), F.col("head.key").alias("key"))
+    named = derive(own.join(heads, ["rid", "key"])).groupBy("bucket").agg(*[F.first(c).alias(f"head_{c}") for c in columns])
+    dealt = derive(placed.repartition("bucket"))
+    same = Window.partitionBy("bucket", "rid", "key").orderBy(F.lit(1))
+    every = Window.partitionBy("bucket", "rid", "key")
+    once = dealt.withColumn("n_rows", F.count("*").over(every)).withColumn("__r", F.row_number().over(same)).where("__r = 1").drop("__r")
+    back = Window.partitionBy("bucket").orderBy("rid", "key")
+    chained = once.withColumn("__first", F.lag("rid").over(back).isNull()).withColumns({f"next_{c}": F.lag(c).over(back) for c in columns})
+    joined = chained.join(named, "bucket")
+    return joined.withColumns({f"next_{c}": F.when(F.col("__first"), F.col(f"head_{c}")).otherwise(F.col(f"next_{c}")) for c in columns}).drop("bucket", "__first", *[f"head_{c}" for c in columns])
 
 
 def edited_fingerprints(docs: DataFrame, p: SpotSigs = SpotSigs()) -> DataFrame:
@@ -100,18 +105,14 @@ def edited_fingerprints(docs: DataFrame, p: SpotSigs = SpotSigs()) -> DataFrame:
     that share a doc_id follow each other by their hash; a null doc_id comes last. An only document is its own next. An empty
     table gives no rows; other columns are not read.
     """
-    own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rid"), F.xxhash64(text_of()).alias("key"), text_of().alias("text")).withColumn("sigs", signatures(F.col("text"), p))
-    narrow = own.select("rid", "key", F.char_length("text").alias("n_chars")).distinct()
-    links = neighbours(stored(narrow, "ids"))
-    wanted = links.select(F.col("next_rid").alias("rid"), F.col("next_key").alias("key"), F.col("rid").alias("for_rid"), F.col("key").alias("for_key"), F.floor(F.col("n_chars") / 3).cast("int").alias("take"))
-    given = own.join(wanted, ["rid", "key"]).select(F.col("for_rid").alias("rid"), F.col("for_key").alias("key"), F.expr("left(text, take)").alias("head"), F.col("sigs").alias("next_sigs"))
-    heads = given.groupBy("rid", "key").agg(F.first("head").alias("head"), F.first("next_sigs").alias("next_sigs"))  # equal rows give the same
-    joined = own.join(heads, ["rid", "key"])
+    own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rid"), F.xxhash64(text_of()).alias("key"), text_of().alias("text"))
+    joined = with_next(own, lambda df: df.withColumn("sigs", signatures(F.col("text"), p)), "text", "sigs")
     n = F.char_length("text")
     keep = (n - F.floor(n / 3)).cast("int")
-    edited = joined.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), keep), F.col("head")))
-    signed = edited.withColumn("edited_sigs", signatures(F.col("edited"), p))
-    return signed.select(
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), keep), F.substring(F.col("next_text"), F.lit(1), F.floor(n / 3).cast("int")))
+    signed = joined.withColumn("edited", edited).withColumn("edited_sigs", signatures(F.col("edited"), p))
+    each = signed.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows")))
+    return each.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
