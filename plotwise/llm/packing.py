@@ -101,7 +101,7 @@ def pieces_of(docs: DataFrame, p: Packing) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(p.path)
         for batch in batches:
-            for block in K.blocks(batch.column(1)):
+            for block in K.blocks(batch.column(1), 1 << 19):
                 ids, bounds = with_end(*encoder.encode(block), p.end)
                 total = np.diff(bounds)
                 n = -(-total // p.size)

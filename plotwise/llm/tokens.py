@@ -7,6 +7,9 @@ white space, other) from the library's pre-tokenizer, once each.
 
 from __future__ import annotations
 
+import os
+from itertools import chain
+
 import numpy as np
 
 from . import kernel as K
@@ -18,7 +21,9 @@ OTHER, LETTER, NUMBER, WHITE, UNKNOWN = range(5)
 class Encoder:
     """Ids by a byte-level BPE vocabulary file. `memory`: distinct pre-tokens remembered before starting anew."""
 
-    def __init__(self, path: str, memory: int = 1 << 20):
+    def __init__(self, path: str, memory: int = 1 << 19):
+        # one thread: a task has one core, and each thread would keep memory of its own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -29,9 +34,21 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        """Known pre-tokens by hash, in order, with where their ids are in `ids`: a large table and a recent one."""
+        none = np.zeros(0, dtype=np.int64)
+        self.tables = [(np.zeros(0, dtype=U64), none, none)] * 2
         self.ids, self.used = np.zeros(1 << 16, dtype=np.int32), 0
-        self.at: list[int] = [0]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which keys are known, and where their ids begin and how many they are."""
+        known, begin, size = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+        for have, at_, n_ in self.tables:
+            if len(have):
+                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                hit = have[at] == keys
+                known |= hit
+                begin[hit], size[hit] = at_[at[hit]], n_[at[hit]]
+        return known, begin, size
 
     def classify(self, points: np.ndarray) -> None:
         one = lambda s: len(self.tokenizer.pre_tokenizer.pre_tokenize_str(s)) == 1
@@ -95,33 +112,51 @@ class Encoder:
                 start[rest[ok]] = True
         return at[start]
 
+    def learn(self, keys: np.ndarray, texts: list[str], chunk: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+        """Has the library encode new pre-tokens; `keys` are in order. Where their ids begin and how many they are."""
+        found: list[list[int]] = []
+        for lo in range(0, len(texts), chunk):
+            found += [e.ids for e in self.tokenizer.encode_batch_fast(texts[lo : lo + chunk], add_special_tokens=False)]
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        total = int(size.sum())
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=total)
+        begin = self.used + np.cumsum(size) - size
+        self.used += total
+        self.tables[1] = merged(self.tables[1], (keys, begin, size))
+        if len(self.tables[1][0]) > 1 << 16:
+            large = merged(*self.tables)
+            self.tables = [large, (keys[:0], begin[:0], size[:0])]
+        return begin, size
+
     def encode(self, block: K.Block) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the block, and the bounds of each document in them."""
         starts = self.pre_tokens(block)
-        if len(self.known) > self.memory:
-            self.forget()
         ends = np.append(starts[1:], len(block.data))
         hashes = K.FIRST.spans(K.FIRST.byte[block.data], starts, ends)
         keys, some, which = np.unique(hashes, return_index=True, return_inverse=True)
-        known = self.known
-        slots = [known.get(x, -1) for x in keys.tolist()]
-        if missing := [i for i, x in enumerate(slots) if x < 0]:
-            texts = [block.data[starts[j] : ends[j]].tobytes().decode() for j in some[missing].tolist()]
-            for i, e in zip(missing, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-                ids = e.ids
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-                slots[i] = known[int(keys[i])] = len(self.at) - 1
-                self.at.append(self.used)
-        slot = np.asarray(slots, dtype=np.int64)
-        at = np.asarray(self.at, dtype=np.int64) if len(missing) or not hasattr(self, "bounds") or len(self.bounds) != len(self.at) else self.bounds
-        self.bounds = at
-        begin, size = at[slot][which], (at[slot + 1] - at[slot])[which]
+        known, begin, size = self.find(keys)
+        if not known.all():
+            new = np.flatnonzero(~known)
+            raw = block.data.tobytes()
+            texts = [raw[a:b].decode() for a, b in zip(starts[some[new]].tolist(), ends[some[new]].tolist(), strict=True)]
+            begin[new], size[new] = self.learn(keys[new], texts)
+        flat = self.gather(begin[which], size[which])
+        if len(self.tables[0][0]) > self.memory:
+            self.forget()
+        return flat[0], flat[1][np.searchsorted(starts, block.bounds)]
+
+    def gather(self, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         total = np.concatenate([[0], np.cumsum(size)])
         flat = self.ids[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
-        return flat, total[np.searchsorted(starts, block.bounds)]
+        return flat, total
+
+
+def merged(a: tuple, b: tuple) -> tuple:
+    """Two tables in order of their keys."""
+    order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+    return tuple(np.concatenate(x)[order] for x in zip(a, b, strict=True))
 
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
