@@ -9,9 +9,10 @@ probability of exactly their weighted Jaccard similarity.
 
 Signatures are cut into bands; documents that agree in a band are candidates and are verified on their exact multisets. No
 bucket emits all its pairs: members are held against a leader; then members of buckets that still hold several classes against
-a second leader of another choice; and at last the few members outside their bucket's largest class against the other classes
-there, as far as the triangle inequality of the Jaccard distance leaves a link possible. So every candidate pair of different
-texts is either verified, already in one class, or proven to be below the threshold.
+a second leader of another choice; and at last the members outside their bucket's largest class against all others there. In
+buckets of up to `small` members these are pairs, as far as the triangle inequality of the Jaccard distance leaves a link
+possible; larger buckets are compared in blocks of texts, which count shared shingles and emit links only. So every candidate
+pair of different texts is either verified, already in one class, or proven to be below the threshold.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ class NearDedup:
     similarity: float = 0.8
     bands: int = 32
     rows: int = 5
+    small: int = 16
+    block: int = 256
 
     @property
     def size(self) -> int:
@@ -163,6 +166,75 @@ def ordered_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
+def block_overlaps(texts: pa.Array, n_x: int, words: int) -> np.ndarray:
+    """Weighted Jaccard similarities of each of the first n_x texts with each of the others, by their shared shingles."""
+    hashes, docs = [], []
+    for block in K.blocks(texts):
+        w = K.words(block)
+        h, d = K.shingles(K.word_hashes(block, w), w.first, words)
+        hashes.append(h)
+        docs.append(d + block.lo)
+    keys, counts, doc = bags(np.concatenate(hashes), np.concatenate(docs))
+    n_y = len(texts) - n_x
+    total = np.bincount(doc, counts, minlength=len(texts))
+    is_y = doc >= n_x
+    order = np.argsort(keys[is_y], kind="stable")
+    y_keys, y_counts, y_doc = keys[is_y][order], counts[is_y][order], doc[is_y][order] - n_x
+    shared = np.zeros((n_x, n_y))
+    x_first = np.searchsorted(doc[~is_y], np.arange(n_x + 1))
+    for i in range(n_x):
+        own, n = keys[x_first[i] : x_first[i + 1]], counts[x_first[i] : x_first[i + 1]]
+        lo, hi = np.searchsorted(y_keys, own), np.searchsorted(y_keys, own, side="right")
+        size = hi - lo
+        at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+        shared[i] = np.bincount(y_doc[at], np.minimum(np.repeat(n, size), y_counts[at]), minlength=n_y)
+    return shared / np.maximum(total[:n_x, None] + total[None, n_x:] - shared, 1)
+
+
+def block_links(rest: DataFrame, texts: DataFrame, p: NearDedup) -> DataFrame:
+    """(a, b), stored: classes that a link joins, of members in large buckets. `rest` has key, digest and comp.
+
+    The members outside a bucket's largest class are held against all of its members, block by block; a block is two times
+    p.block texts at most, and no pair of texts becomes a row.
+    """
+
+    def run(rows):  # no type hints: Spark reads them
+        side = rows.column("is_x").to_numpy()
+        order = pa.array(np.argsort(~side, kind="stable"))
+        comp, text = (rows.column(c).combine_chunks().take(order) for c in ("comp", "text"))
+        n_x = int(side.sum())
+        if 0 < n_x < len(side):
+            i, j = np.nonzero(block_overlaps(text, n_x, p.words) >= p.similarity)
+            names = np.unique(comp.to_numpy(zero_copy_only=False), return_inverse=True)
+            found = np.unique(np.column_stack([names[1][i], names[1][j + n_x]]), axis=0)
+            pairs = sorted({(min(a, b), max(a, b)) for a, b in ((names[0][x], names[0][y]) for x, y in found.tolist()) if a != b})
+        else:
+            pairs = []
+        return pa.table({"a": pa.array([x for x, _ in pairs], pa.binary()), "b": pa.array([y for _, y in pairs], pa.binary())})
+
+    sizes = rest.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all"))
+    known = rest.join(sizes, "key").withColumn("out", F.col("comp") != F.col("m.comp"))
+    lane = lambda n: F.pmod(F.xxhash64("digest"), F.greatest(F.ceil(n / F.lit(p.block)), F.lit(1)))
+    count = lambda n: F.greatest(F.ceil(n / F.lit(p.block)), F.lit(1))
+    n_out, n_all = F.col("all") - F.col("m.n"), F.col("all")
+    x = known.where("out").select("key", "digest", "comp", F.lit(True).alias("is_x"), lane(n_out).alias("bx"), F.explode(F.sequence(F.lit(0).cast("long"), count(n_all) - 1)).alias("by"))
+    y = known.select("key", "digest", "comp", F.lit(False).alias("is_x"), F.explode(F.sequence(F.lit(0).cast("long"), count(n_out) - 1)).alias("bx"), lane(n_all).alias("by"))
+    full = x.union(y).join(texts, "digest")
+    return stored(full.groupBy("key", "bx", "by").applyInArrow(run, "a binary, b binary").distinct(), "links")
+
+
+def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes (node, comp) after more links (a, b), of nodes or of classes; only classes that are joined are worked on."""
+    at = lambda k: classes.select(F.col("node").alias(k), F.col("comp").alias(f"c_{k}"))
+    edges = stored(links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).where("a <> b").distinct(), "edges")
+    if edges.isEmpty():
+        return classes
+    merged = components(edges)
+    names = merged.select(F.col("node").alias("comp"), F.col("comp").alias("new"))
+    known = classes.join(names, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp"))
+    return stored(known.union(merged.join(classes, "node", "left_anti")), "classes")
+
+
 def link_classes(texts: DataFrame, p: NearDedup) -> DataFrame:
     """(node, comp): classes of the digests that have a link to another text. `texts` (digest, text) may repeat a text."""
     bands = stored(band_keys(texts, p), "bands")
@@ -174,7 +246,6 @@ def link_classes(texts: DataFrame, p: NearDedup) -> DataFrame:
     held = verified(ordered_pairs(members, "leader", "digest"), kept, p, "held")
     links = held.where(F.col("sim") >= p.similarity).select("a", "b")
     classes = components(links)
-    near = held.select(F.col("a").alias("leader"), F.col("b").alias("digest"), "sim")
 
     for last in (False, True):
         known = members.join(classes.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
@@ -186,18 +257,20 @@ def link_classes(texts: DataFrame, p: NearDedup) -> DataFrame:
             second = rest.groupBy("key").agg(F.min_by(F.struct("digest", "comp"), F.xxhash64("digest", "key")).alias("s")).select("key", F.col("s.digest").alias("x"), F.col("s.comp").alias("x_comp"))
             found = rest.join(second, "key").where("comp <> x_comp")
         else:
-            sized = rest.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-            far = rest.join(near, ["leader", "digest"], "left").withColumn("sim", F.when(F.col("leader") == F.col("digest"), 1.0).otherwise(F.coalesce("sim", F.lit(0.0))))
-            outside = far.join(sized, "key").where("comp <> main").select("key", F.col("digest").alias("x"), F.col("comp").alias("x_comp"), F.col("sim").alias("x_sim"))
+            large = rest.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > p.small).select("key")
+            blocks_ = block_links(rest.join(large, "key", "left_semi"), kept, p)
+            near = held.select(F.col("a").alias("leader"), F.col("b").alias("digest"), "sim")
+            far = rest.join(large, "key", "left_anti").join(near, ["leader", "digest"], "left").withColumn("sim", F.when(F.col("leader") == F.col("digest"), 1.0).otherwise(F.coalesce("sim", F.lit(0.0))))
+            other = far.select("key", F.col("digest").alias("x"), F.col("comp").alias("x_comp"), F.col("sim").alias("x_sim"))
             # with d(x, leader) and d(y, leader) known, d(x, y) is at least their difference
-            found = far.join(outside, "key").where((F.col("comp") != F.col("x_comp")) & (F.abs(F.col("sim") - F.col("x_sim")) <= 1 - p.similarity + 1e-9))
+            found = far.join(other, "key").where((F.col("digest") < F.col("x")) & (F.col("comp") != F.col("x_comp")) & (F.abs(F.col("sim") - F.col("x_sim")) <= 1 - p.similarity + 1e-9))
         pairs = ordered_pairs(found, "x", "digest").join(held.select("a", "b"), ["a", "b"], "left_anti")
         more = verified(pairs, kept, p, "held")
         held = held.unionByName(more)
         new = more.where(F.col("sim") >= p.similarity).select("a", "b")
-        if not new.isEmpty():
-            links = links.union(new)
-            classes = components(links)
+        if last:
+            new = new.union(blocks_)
+        classes = joined_classes(classes, new)
     return classes
 
 
