@@ -223,10 +223,12 @@ def extract(pages: DataFrame, p: Pages = Pages()) -> DataFrame:
             numbers = [pa.array(x, pa.int64()) for x in ([len(t) for t in texts], [n for n, _ in counts], [s for _, s in counts])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), *numbers], ["page_id", "url", "text", "n_chars", "n_lines", "n_shared"])
 
-    parsed = stored(rows.mapInArrow(parse, f"page_id {kind}, url string, rid long, lines array<string>, kinds array<int>"), "lines")
-    hashed = parsed.withColumn("own", F.transform("lines", lambda x: F.xxhash64(x)))
+    # pages are parsed once for the hashes of their lines and once more for their text, which so is neither stored nor shuffled twice
+    parsed = rows.mapInArrow(parse, f"page_id {kind}, url string, rid long, lines array<string>, kinds array<int>").withColumn("own", F.transform("lines", lambda x: F.xxhash64(x)))
+    narrow = stored(parsed.select("rid", "url", "own"), "lines")
+    hashed = parsed.withColumn("lines", F.zip_with("lines", "kinds", lambda x, k: F.when(k != DROPPED, x)))
     bare = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://|^//", "")
     host, path = F.lower(F.regexp_extract(bare, r"^[^/?#]*", 0)), F.regexp_extract(bare, r"^[^/?#]*([^?#]*)", 1)
-    links = nearest(parsed.select("rid", host.alias("host"), path.alias("path")).distinct(), p)
-    given = hashed.select(F.col("rid").alias("other"), F.col("own").alias("others")).dropDuplicates(["other"]).join(links, "other").select("rid", "others")
+    links = nearest(narrow.select("rid", host.alias("host"), path.alias("path")).distinct(), p)
+    given = narrow.select(F.col("rid").alias("other"), F.col("own").alias("others")).dropDuplicates(["other"]).join(links, "other").select("rid", "others")
     return hashed.join(given, "rid", "left").select("page_id", "url", "lines", "kinds", "own", "others").mapInArrow(close, f"page_id {kind}, url string, text string, n_chars long, n_lines long, n_shared long")
