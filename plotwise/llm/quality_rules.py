@@ -1,9 +1,9 @@
 """Quality rules: cross-document line frequency per host, beside a few rules on single documents.
 
 Normalised lines are hashed; each (host, line) is counted over the distinct documents of the host that hold it. Lines above
-the limit are taken out, and a document that is left with too little is rejected. A copy is no further document: a line is
-counted once for each distinct pair of the line and the line before it, so that a text copied a thousand times, exactly or
-nearly, doesn't turn its own lines into boilerplate, while a banner is met under ever new lines.
+the limit are taken out, and a document that is left with too little is rejected. A copy is no further document, exact or
+near, so that a text copied a thousand times doesn't turn its own lines into boilerplate: exact copies collapse by a hash of the
+text, and where a line is still above the limit, the documents that hold it collapse by the classes of near_dedup.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import text_of
+from .near_dedup import NearDedup, link_classes
+from .shared import stored, text_of
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -38,9 +39,9 @@ class QualityRules:
 def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row columns..., text) to (row columns..., n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines).
 
-    lines: (h, prev, n_words) of each line with a word, as a list.
+    lines: (h, n_words) of each line with a word, as a list.
     """
-    kind = pa.list_(pa.struct([("h", pa.int64()), ("prev", pa.int64()), ("w", pa.int32())]))
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int32())]))
     for batch in batches:
         for block in K.blocks(batch.column(batch.num_columns - 1)):
             n = block.hi - block.lo
@@ -79,17 +80,34 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # normalised: lower-case ASCII letters, white space runs as one
             low = K.word_hashes(block, w, lower=True)
             line = K.SECOND.spans(low, line_first, line_last)
-            prev = np.zeros_like(line)
-            prev[1:] = np.where(line_doc[1:] == line_doc[:-1], line[:-1], 0)
             counts = np.bincount(line_doc, minlength=n)
-            structs = pa.StructArray.from_arrays([pa.array(line.view(np.int64)), pa.array(prev.view(np.int64)), pa.array((line_last - line_first).astype(np.int32))], fields=list(kind.value_type))
+            structs = pa.StructArray.from_arrays([pa.array(line.view(np.int64)), pa.array((line_last - line_first).astype(np.int32))], fields=list(kind.value_type))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), structs)
             columns = [batch.column(i).slice(block.lo, n) for i in range(batch.num_columns - 1)]
             columns += [pa.array(x.astype(np.int64)) for x in (w.counts, chars, symbols, dup_lines, repeats)] + [lists]
             yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
 
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h:long,prev:long,w:int>>"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h:long,w:int>>"
+
+
+def common_lines(lines: DataFrame, texts: DataFrame, p: QualityRules) -> DataFrame:
+    """(host, h), stored: the lines in more than p.line_docs distinct documents of a host, near copies being one document.
+
+    `lines` has host, key and h, `texts` key and text. Only documents that hold a line of more than p.line_docs distinct texts
+    are compared with one another, as collapsing near copies can only lower a count.
+    """
+    pairs = stored(lines.distinct(), "lines")
+    above = lambda counted: counted.groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > p.line_docs).select("host", "h")
+    often = stored(above(pairs), "often")
+    if often.isEmpty():
+        return often
+    name = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    same = F.col("d.host").eqNullSafe(F.col("c.host")) & (F.col("d.h") == F.col("c.h"))
+    held = stored(pairs.alias("d").join(often.alias("c"), same).select("d.host", "d.h", name("d.key").alias("node")), "held")
+    holders = texts.select(name("key").alias("digest"), "text").join(held.select(F.col("node").alias("digest")).distinct(), "digest", "left_semi")
+    classes = link_classes(stored(holders, "holders"), NearDedup())
+    return stored(above(held.join(classes, "node", "left").select("host", "h", F.coalesce("comp", "node").alias("comp")).distinct()), "common")
 
 
 def quality_verdicts(docs: DataFrame, p: QualityRules = QualityRules(), host: str = "source") -> DataFrame:
@@ -99,9 +117,9 @@ def quality_verdicts(docs: DataFrame, p: QualityRules = QualityRules(), host: st
     its own. An empty table gives no rows. Other columns are not read.
     """
     rows = docs.select("doc_id", F.col(host).cast("string").alias("host"), text_of().alias("text")).select("doc_id", "host", F.xxhash64("text").alias("key"), "text")
-    measured = rows.mapInArrow(measure, f"doc_id {dict(docs.dtypes)['doc_id']}, host string, key long, {MEASURES}")
-    lines = measured.select("host", F.explode("lines").alias("l")).select("host", "l.h", "l.prev")
-    common = lines.distinct().groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > p.line_docs).select("host", "h")
+    # hashes of lines are few bytes; stored, texts are parsed once
+    measured = stored(rows.mapInArrow(measure, f"doc_id {dict(docs.dtypes)['doc_id']}, host string, key long, {MEASURES}"), "measured")
+    common = common_lines(measured.select("host", "key", F.explode("lines").alias("l")).select("host", "key", "l.h"), rows.select("key", "text"), p)
     names = ["doc_id", "host", "key"]
     of_doc = measured.select(*names, F.explode("lines").alias("l")).select(*names, "l.h", "l.w")
     # shuffled to the frequent lines by line; hot lines are split, as nothing above the join needs a line's rows together

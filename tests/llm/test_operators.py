@@ -452,6 +452,20 @@ def test_banners_count_and_copies_do_not(spark):
     assert quality_rules.keep_good(df).count() == 30
 
 
+def test_lines_are_counted_by_documents(spark):
+    words = lambda k, n: " ".join(f"u{k}v{i}" for i in range(n))
+    notice, footer = words("n", 45), words("f", 25) + "\n" + words("g", 25)
+    rows = [(k, f"{notice}\n{words(k, 20)}", "first") for k in range(30)]
+    rows += [(100 + k, f"{words(k, 20)}\n{footer}", "last") for k in range(30)]
+    rows += [(200, "\n".join(f"{words(k, 2)}\n{notice}" for k in range(30)) + "\n" + words("x", 2000), "one")]
+    rows += [(300 + k, f"{words('near', 200)}\n{words('own', 60)} u{k}", "near") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.n_left_words, r.kept) for r in quality_rules.quality_verdicts(df).collect()}
+    assert all(got[k] == got[100 + k] == (20, False) for k in range(30))  # a shared first line; a footer of two lines
+    assert got[200] == (30 * 47 + 2000, True)  # a line repeated in one document
+    assert all(got[300 + k] == (261, True) for k in range(30))  # near copies are one document
+
+
 # --- 10 ----------------------------------------------------------------------------------------------------------------------
 
 
