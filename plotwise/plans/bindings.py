@@ -26,6 +26,12 @@ def width(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
     return nx, -(-n // nx)
 
 
+def blocks(spark: SparkSession, sf_dir: str, size: int, least: int) -> tuple[int, int]:
+    """Blocks of `size` cells across and down that cover the grid; `least` at least, the number that the SQL holds."""
+    nx, ny = width(spark, sf_dir)
+    return max(least, -(-nx // size)), max(least, -(-ny // size))
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     nx, _ = width(spark, sf_dir)
     o = read(spark, sf_dir, "orders")

@@ -100,21 +100,21 @@ def jn09v(spark, d):
 def ag12(spark, d):
     from ..operators.grid import block_id
 
-    return TX.block_vote(cells(spark, d).where("zone > 0").withColumn("block", block_id(10, 13)), "block", "zone")
+    return TX.block_vote(cells(spark, d).where("zone > 0").withColumn("block", block_id(10, B.blocks(spark, d, 10, 13)[0])), "block", "zone")
 
 
 @query("ag13_block_fraction", grid_sql("SELECT (row // 10) * 13 + col // 10 AS block, round(avg((zone = 7)::int), 6) AS share, count(*) AS area FROM cells GROUP BY ALL"))
 def ag13(spark, d):
     from ..operators.grid import block_id
 
-    return cells(spark, d).groupBy(block_id(10, 13).alias("block")).agg(F.round(F.avg((F.col("zone") == 7).cast("int")), 6).alias("share"), F.count("*").alias("area"))
+    return cells(spark, d).groupBy(block_id(10, B.blocks(spark, d, 10, 13)[0]).alias("block")).agg(F.round(F.avg((F.col("zone") == 7).cast("int")), 6).alias("share"), F.count("*").alias("area"))
 
 
 @query("ml10_fallback", grid_sql("SELECT row, col, coalesce(vote, zone)::int AS cls FROM (SELECT *, (row // 10) * 13 + col // 10 AS block FROM cells) LEFT JOIN (SELECT block, zone AS vote FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY n DESC, zone) AS r FROM (SELECT (row // 10) * 13 + col // 10 AS block, zone, count(*) AS n FROM cells WHERE zone > 7 GROUP BY ALL)) WHERE r = 1 AND block % 2 = 0) USING (block)"))
 def ml10(spark, d):
     from ..operators.grid import block_id
 
-    c = cells(spark, d).withColumn("block", block_id(10, 13))
+    c = cells(spark, d).withColumn("block", block_id(10, B.blocks(spark, d, 10, 13)[0]))
     votes = TX.block_vote(c.where("zone > 7"), "block", "zone").where("block % 2 = 0").withColumnRenamed("zone", "vote")
     return c.join(votes, "block", "left").select("row", "col", F.coalesce("vote", "zone").alias("cls"))
 

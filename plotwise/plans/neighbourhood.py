@@ -141,7 +141,7 @@ def foc13(spark, d):
 
 @query("foc14_block_id", grid_sql("SELECT (row // 20) * 7 + col // 20 AS block, count(*) AS n FROM cells GROUP BY ALL"))
 def foc14(spark, d):
-    return cells(spark, d).groupBy(grid.block_id(20, 7).alias("block")).agg(F.count("*").alias("n"))
+    return cells(spark, d).groupBy(grid.block_id(20, B.blocks(spark, d, 20, 7)[0]).alias("block")).agg(F.count("*").alias("n"))
 
 
 @query("foc15_background", grid_sql(f"SELECT row, col, round(least(255.0::double, greatest(0.0::double, v / m * 200)), 6) AS norm FROM (SELECT a.row, a.col, any_value(a.v) + 1 AS v, avg(b.v) + 1 AS m FROM {box_join(3)} GROUP BY a.row, a.col)"))

@@ -88,11 +88,12 @@ BOOT = f"boot AS (SELECT rep, grp, denom::bigint AS denom, {pct('s', 'denom')} A
 
 @query("st06_block_table", grid_sql("SELECT block, zone, lu, n FROM bt", BT))
 def st06(spark, d):
-    return I.block_table(cells(spark, d), 20, 7)
+    return I.block_table(cells(spark, d), 20, B.blocks(spark, d, 20, 7)[0])
 
 
 def boot(spark, d):
-    return I.block_bootstrap(I.block_table(cells(spark, d), 20, 7), domain.crosswalk(spark), I.block_weights(spark, REPS, BLOCKS, 0))
+    across, down = B.blocks(spark, d, 20, 7)
+    return I.block_bootstrap(I.block_table(cells(spark, d), 20, across), domain.crosswalk(spark), I.block_weights(spark, REPS, across * down, 0))
 
 
 @query("st07_block_bootstrap", grid_sql("SELECT * FROM boot", BT, DRAWS, BOOT))
