@@ -40,9 +40,12 @@ def ml03(spark, d):
 
 @query("ml02_fft_features")
 def ml02(spark, d):
-    c = cells(spark, d).where("row < 64 AND col < 32")
-    patch = c.groupBy(((F.floor(F.col("row") / 16)) * 100 + F.floor(F.col("col") / 16)).alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "col", F.col("v").cast("double").alias("v")))), lambda x: x["v"]).alias("pixels"))
-    return TX.fft_features(patch.where(F.size("pixels") == 256), 16)  # a patch is 256 pixels
+    """Every patch of the grid; pixels that a patch at the edge lacks have the mean of those it has."""
+    across, _ = B.blocks(spark, d, 16, 100)
+    place = ((F.col("row") % 16) * 16 + F.col("col") % 16).cast("int")
+    patch = cells(spark, d).groupBy((F.floor(F.col("row") / 16) * across + F.floor(F.col("col") / 16)).alias("id")).agg(F.map_from_entries(F.collect_list(F.struct(place, F.col("v").cast("double")))).alias("m"), F.avg("v").alias("mean"))
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at("m", i), F.col("mean")))  # a patch is 256 pixels
+    return TX.fft_features(patch.select("id", pixels.alias("pixels")), 16)
 
 
 @query("src05_grey", "SELECT p_partkey AS id, floor(least(255.0::double, greatest(0.0::double, 0.299::double * (p_partkey % 256) + 0.587::double * (p_partkey * 7 % 256) + 0.114::double * (p_size % 256))))::int AS grey FROM part")
