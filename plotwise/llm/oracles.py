@@ -37,9 +37,10 @@ covered AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest([i, i +
 raw AS (SELECT rid, source, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT rid, source, string_split(text, chr(10)) AS l FROM docs)),
 lines AS (SELECT rid, source, i, line, regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), {WORD}) AS w FROM raw WHERE regexp_matches(line, {WORD})),
 dups AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY rid),
-near AS (SELECT rid, source, w, lag(w) OVER (PARTITION BY rid ORDER BY i) AS before FROM lines),
-common AS (SELECT source, w FROM (SELECT DISTINCT source, w, before FROM near) GROUP BY source, w HAVING count(*) > 20),
-gone AS (SELECT rid, sum(len(near.w)) AS n FROM near JOIN common ON near.source IS NOT DISTINCT FROM common.source AND near.w = common.w GROUP BY rid),
+held AS (SELECT DISTINCT lines.source, docs.text, w FROM lines JOIN docs USING (rid)),
+hosts AS (SELECT source, count(DISTINCT text) AS n FROM docs GROUP BY source),
+common AS (SELECT held.source, w FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source GROUP BY held.source, w HAVING count(*) > 20 AND 1000 * count(*) > 10 * any_value(hosts.n)),
+gone AS (SELECT rid, sum(len(lines.w)) AS n FROM lines JOIN common ON lines.source IS NOT DISTINCT FROM common.source AND lines.w = common.w GROUP BY rid),
 nums AS (SELECT rid, doc_id, len(regexp_extract_all(text, {WORD})) AS n_words, length(array_to_string(regexp_extract_all(text, {WORD}), '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM docs),
 each AS (SELECT doc_id, n_words::bigint AS n_words, word_chars::bigint AS word_chars, n_symbols::bigint AS n_symbols, coalesce(dups.n, 0)::bigint AS n_dup_lines, coalesce(covered.n, 0)::bigint AS n_repeat_words,
   (n_words - coalesce(gone.n, 0))::bigint AS n_left_words FROM nums LEFT JOIN dups USING (rid) LEFT JOIN covered USING (rid) LEFT JOIN gone USING (rid))

@@ -1,9 +1,9 @@
 """Quality rules: cross-document line frequency per host, beside a few rules on single documents.
 
-Normalised lines are hashed; each (host, line) is counted over the distinct documents of the host that hold it. Lines above
-the limit are taken out, and a document that is left with too little is rejected. A copy is no further document, exact or
-near, so that a text copied a thousand times doesn't turn its own lines into boilerplate: exact copies collapse by a hash of the
-text, and where a line is still above the limit, the documents that hold it collapse by the classes of near_dedup.
+Normalised lines are hashed; each (host, line) is counted over the distinct documents of the host that hold it, so neither a line
+that a document repeats nor a document that a host repeats counts twice. A line above both limits, a number of documents and a
+share of its host's documents, is taken out, and a document that is left with too little is rejected. The share keeps the
+verdict alike at every size: what twenty pages of a hundred share is a template, what twenty of a million share is chance.
 """
 
 from __future__ import annotations
@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .near_dedup import NearDedup, link_classes
-from .shared import stored, text_of
+from .shared import stored, text_of, unused
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -26,12 +25,14 @@ SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
 @dataclass(frozen=True)
 class QualityRules:
-    """min_words, repeat_percent: the rules on one document. line_docs: a line in more distinct documents of a host is taken
-    out. left_words, left_percent: a document is rejected if fewer words and a smaller share of its words are left."""
+    """min_words, repeat_percent: the rules on one document. line_docs, line_permille: a line in more distinct documents of a
+    host, and in a larger share of them, is taken out. left_words, left_percent: a document is rejected if fewer words and a
+    smaller share of its words are left."""
 
     min_words: int = 50
     repeat_percent: int = 50
     line_docs: int = 20
+    line_permille: int = 10
     left_words: int = 50
     left_percent: int = 50
 
@@ -91,23 +92,16 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h:long,w:int>>"
 
 
-def common_lines(lines: DataFrame, texts: DataFrame, p: QualityRules) -> DataFrame:
-    """(host, h), stored: the lines in more than p.line_docs distinct documents of a host, near copies being one document.
+def common_lines(measured: DataFrame, p: QualityRules) -> DataFrame:
+    """(host, h): the lines above both limits of their host. `measured` has host, key (of the text) and lines.
 
-    `lines` has host, key and h, `texts` key and text. Only documents that hold a line of more than p.line_docs distinct texts
-    are compared with one another, as collapsing near copies can only lower a count.
+    A host has at most 1000 / line_permille of them for each line of a mean document, however large it is.
     """
-    pairs = stored(lines.distinct(), "lines")
-    above = lambda counted: counted.groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > p.line_docs).select("host", "h")
-    often = stored(above(pairs), "often")
-    if often.isEmpty():
-        return often
-    name = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
-    same = F.col("d.host").eqNullSafe(F.col("c.host")) & (F.col("d.h") == F.col("c.h"))
-    held = stored(pairs.alias("d").join(often.alias("c"), same).select("d.host", "d.h", name("d.key").alias("node")), "held")
-    holders = texts.select(name("key").alias("digest"), "text").join(held.select(F.col("node").alias("digest")).distinct(), "digest", "left_semi")
-    classes = link_classes(stored(holders, "holders"), NearDedup())
-    return stored(above(held.join(classes, "node", "left").select("host", "h", F.coalesce("comp", "node").alias("comp")).distinct()), "common")
+    held = measured.select("host", "key", F.explode(F.array_distinct("lines.h")).alias("h")).distinct()
+    often = held.groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > p.line_docs)
+    hosts = measured.select("host", "key").distinct().groupBy("host").agg(F.count("*").alias("all"))
+    both = often.alias("o").join(hosts.alias("a"), F.col("o.host").eqNullSafe(F.col("a.host")))
+    return both.where(1000 * F.col("docs") > p.line_permille * F.col("all")).select("o.host", "h")
 
 
 def quality_verdicts(docs: DataFrame, p: QualityRules = QualityRules(), host: str = "source") -> DataFrame:
@@ -119,7 +113,7 @@ def quality_verdicts(docs: DataFrame, p: QualityRules = QualityRules(), host: st
     rows = docs.select("doc_id", F.col(host).cast("string").alias("host"), text_of().alias("text")).select("doc_id", "host", F.xxhash64("text").alias("key"), "text")
     # hashes of lines are few bytes; stored, texts are parsed once
     measured = stored(rows.mapInArrow(measure, f"doc_id {dict(docs.dtypes)['doc_id']}, host string, key long, {MEASURES}"), "measured")
-    common = common_lines(measured.select("host", "key", F.explode("lines").alias("l")).select("host", "key", "l.h"), rows.select("key", "text"), p)
+    common = common_lines(measured, p)
     names = ["doc_id", "host", "key"]
     of_doc = measured.select(*names, F.explode("lines").alias("l")).select(*names, "l.h", "l.w")
     # shuffled to the frequent lines by line; hot lines are split, as nothing above the join needs a line's rows together
@@ -136,7 +130,11 @@ def quality_verdicts(docs: DataFrame, p: QualityRules = QualityRules(), host: st
 
 
 def keep_good(docs: DataFrame, p: QualityRules = QualityRules(), host: str = "source") -> DataFrame:
-    """The rows of `docs` whose verdict is kept, with all their columns unchanged."""
-    good = quality_verdicts(docs, p, host).where("kept").select(F.col("doc_id").alias("__plotwise_id"), F.col("host").alias("__plotwise_host"), F.col("key").alias("__plotwise_key"))
-    same = F.col("doc_id").eqNullSafe(F.col("__plotwise_id")) & F.col(host).cast("string").eqNullSafe(F.col("__plotwise_host")) & (F.xxhash64(text_of()) == F.col("__plotwise_key"))
+    """The rows of `docs` whose verdict is kept, with all their columns unchanged, whatever these are named.
+
+    Nulls and repeated rows are as in quality_verdicts; rows that repeat one another are all kept or all rejected.
+    """
+    i, h, k = unused(docs, "id", "host", "key")
+    good = quality_verdicts(docs, p, host).where("kept").select(F.col("doc_id").alias(i), F.col("host").alias(h), F.col("key").alias(k))
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & F.col(host).cast("string").eqNullSafe(F.col(h)) & (F.xxhash64(text_of()) == F.col(k))
     return docs.join(good, same, "left_semi")

@@ -26,6 +26,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it differ from all columns of `df`, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        new = f"__{name}"
+        while new.lower() in taken:
+            new = f"_{new}"
+        out.append(new)
+    return out
+
+
 def text_of(column: str = "text") -> Column:
     """The text as a string; null is empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

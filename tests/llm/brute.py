@@ -79,20 +79,20 @@ def quality_numbers(text):
 
 def line_verdicts(rows, p):
     """kept for (doc_id, text, host) rows."""
-    contexts = defaultdict(set)
+    held, hosts = defaultdict(set), defaultdict(set)
 
     def lines(text):
         return [x for x in (tuple(words(line.translate(LOWER))) for line in (text or "").split("\n")) if x]
 
     for _, text, host in rows:
-        before = None
+        hosts[host].add(text or "")
         for x in lines(text):
-            contexts[host, x].add(before)
-            before = x
+            held[host, x].add(text or "")
     out = []
     for i, text, host in rows:
         n, *_, repeats = quality_numbers(text)
-        gone = sum(len(x) for x in lines(text) if len(contexts[host, x]) > p.line_docs)
+        common = lambda x, h=host: len(held[h, x]) > p.line_docs and 1000 * len(held[h, x]) > p.line_permille * len(hosts[h])
+        gone = sum(len(x) for x in lines(text) if common(x))
         failed = n < p.min_words or 100 * repeats > p.repeat_percent * n
         out.append((i, n - gone, failed, not failed and not (n - gone < p.left_words and 100 * (n - gone) < p.left_percent * n)))
     return out

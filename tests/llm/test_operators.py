@@ -431,6 +431,9 @@ def test_quality_numbers(docs, pairs, odd, empty):
             got[r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words] += r.n_rows
         assert got == Counter((i, *brute.quality_numbers(t)) for i, t in rows)
     assert quality_rules.quality_verdicts(empty).count() == 0
+    clash = docs.withColumn("__id", F.lit(1)).withColumn("__key", F.lit("k")).withColumn("__HOST", F.lit(2)).withColumn("___host", F.lit(2))
+    assert quality_rules.keep_good(clash).columns == clash.columns
+    assert quality_rules.keep_good(clash).count() == quality_rules.keep_good(docs).count()
 
 
 @pytest.mark.parametrize("limit", [20, 2])
@@ -458,12 +461,15 @@ def test_lines_are_counted_by_documents(spark):
     rows = [(k, f"{notice}\n{words(k, 20)}", "first") for k in range(30)]
     rows += [(100 + k, f"{words(k, 20)}\n{footer}", "last") for k in range(30)]
     rows += [(200, "\n".join(f"{words(k, 2)}\n{notice}" for k in range(30)) + "\n" + words("x", 2000), "one")]
-    rows += [(300 + k, f"{words('near', 200)}\n{words('own', 60)} u{k}", "near") for k in range(30)]
+    # copies of one text are one document; what 30 of 3000 documents share is below the share of the host
+    rows += [(300 + k, f"{words('same', 200)}\n{words('own', 60)}", "copies") for k in range(30)]
+    rows += [(1000 + k, f"{words(k, 60)}" + (f"\n{words('rare', 70)}" if k % 100 == 0 else ""), "large") for k in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: (r.n_left_words, r.kept) for r in quality_rules.quality_verdicts(df).collect()}
     assert all(got[k] == got[100 + k] == (20, False) for k in range(30))  # a shared first line; a footer of two lines
     assert got[200] == (30 * 47 + 2000, True)  # a line repeated in one document
-    assert all(got[300 + k] == (261, True) for k in range(30))  # near copies are one document
+    assert all(got[300 + k] == (260, True) for k in range(30))
+    assert all(got[1000 + k] == (60 + 70 * (k % 100 == 0), True) for k in range(3000))
 
 
 # --- 10 ----------------------------------------------------------------------------------------------------------------------
