@@ -8,15 +8,17 @@ stops at the bag's largest component: long bags cost about one point a shingle.
 probability of exactly their weighted Jaccard similarity.
 
 Signatures are cut into bands; documents that agree in a band are candidates and are verified on their exact multisets. No
-bucket emits all its pairs: members are held against a leader; then members of buckets that still hold several classes against
-a second leader of another choice; and at last the members outside their bucket's largest class against all others there. In
-buckets of up to `small` members these are pairs, as far as the triangle inequality of the Jaccard distance leaves a link
-possible; larger buckets are compared in blocks of texts, which count shared shingles and emit links only. So every candidate
-pair of different texts is either verified, already in one class, or proven to be below the threshold.
+bucket emits all its pairs. First its members are held against one leader, the same for all buckets of a group, so that a group
+of copies becomes one class by a pair a member. A bucket that still holds several classes then has one row for each of them, and
+these are held against the largest class. What is left, members outside their bucket's largest class, is held against the rest of
+the bucket by signatures: blocks of 1024 of them, a byte a component, are compared with array operations, and only pairs that
+agree in so many components that a similar pair could hardly agree in fewer (a chance of `miss`) become rows and are verified.
+So every candidate pair of different texts is verified, already in one class, or below the threshold by its signatures.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,26 +29,35 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .components import components
-from .shared import digest_of, stored, text_of
+from .shared import digest_of, release, stored, text_of, unused
 
 U64 = np.uint64
 
 
 @dataclass(frozen=True)
 class NearDedup:
-    """Parameters. A pair at the threshold is missed by all bands with a probability of 3e-6 (32 bands of 5)."""
+    """A pair at the threshold is missed by all bands with a probability of 3e-6 (32 bands of 5). block: signatures held against
+    as many others in one task. miss: chance that a pair at the threshold agrees in fewer components than are asked for there."""
 
     words: int = 5
     similarity: float = 0.8
     bands: int = 32
     rows: int = 5
-    small: int = 16
-    block: int = 256
+    block: int = 1024
+    miss: float = 1e-6
 
     @property
     def size(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def agree(self) -> int:
+        """Components that a similar pair agrees in, but for a chance of `miss`."""
+        below, k = 0.0, 0
+        while (below := below + math.comb(self.size, k) * self.similarity**k * (1 - self.similarity) ** (self.size - k)) <= self.miss:
+            k += 1
+        return k
+
 
 def bag_minhash(hashes: np.ndarray, counts: np.ndarray, docs: np.ndarray, n_docs: int, size: int) -> np.ndarray:
     """Signatures (n_docs x size, 32-bit values) of bags given as distinct (doc, hash) rows with integer counts.
@@ -91,7 +102,9 @@ def bags(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def overlaps(a: pa.Array, b: pa.Array, words: int) -> np.ndarray:
     """Weighted Jaccard similarity of the shingle multisets of the texts a[i] and b[i]; 0 if neither has a word."""
-    n = len(a)
+    n, step = len(a), 64
+    if n > step:  # so that a batch is never held twice
+        return np.concatenate([overlaps(a.slice(i, step), b.slice(i, step), words) for i in range(0, n, step)])
     both = pa.concat_arrays([a, b]).take(pa.array(np.arange(2 * n).reshape(2, n).T.ravel()))
     out = np.zeros(n)
     for block in pair_blocks(both):
@@ -111,12 +124,7 @@ def overlaps(a: pa.Array, b: pa.Array, words: int) -> np.ndarray:
 
 def pair_blocks(column: pa.Array) -> Iterator[K.Block]:
     """Blocks that never part the texts 2i and 2i+1."""
-    lengths = np.diff(next(iter(K.blocks(column, limit=1 << 62))).bounds) if len(column) <= 65536 else None
-    if lengths is None:
-        for lo in range(0, len(column), 65536):
-            for x in pair_blocks(column.slice(lo, 65536)):
-                yield K.Block(x.lo + lo, x.hi + lo, x.data, x.bounds)
-        return
+    lengths = np.diff(next(iter(K.blocks(column, limit=1 << 62))).bounds) if len(column) else np.zeros(0, dtype=np.int64)
     ends = np.cumsum(lengths[0::2] + lengths[1::2])
     lo = 0
     while lo < len(ends):
@@ -127,104 +135,82 @@ def pair_blocks(column: pa.Array) -> Iterator[K.Block]:
         lo = hi
 
 
-def band_keys(texts: DataFrame, p: NearDedup) -> DataFrame:
-    """(key, digest): one row for each band of each text that has a word. `texts` has digest and text."""
+def signed(texts: DataFrame, p: NearDedup) -> DataFrame:
+    """(digest, keys, sig): the band keys and a byte of each component, for each text with a word; once a batch for equal texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests = batch.column(0)
             for block in K.blocks(batch.column(1)):
                 w = K.words(block)
-                hashes, counts, docs = bags(*K.shingles(K.word_hashes(block, w), w.first, p.words))
                 n = block.hi - block.lo
-                got = bag_minhash(hashes, counts, docs, n, p.size).reshape(n, p.bands, p.rows)
-                key = np.broadcast_to(np.arange(1, p.bands + 1, dtype=U64) * U64(0x9E3779B97F4A7C15), (n, p.bands)).copy()
+                names = np.frombuffer(b"".join(digests.slice(block.lo, n).to_pylist()), dtype="S16")
+                has = np.zeros(n, dtype=bool)
+                has[np.unique(names, return_index=True)[1]] = True
+                has &= w.counts > 0
+                h, d = K.shingles(K.word_hashes(block, w), w.first, p.words)
+                hashes, counts, docs = bags(h[has[d]], np.cumsum(has)[d[has[d]]] - 1)
+                rows = np.flatnonzero(has)
+                if not len(rows):
+                    continue
+                got = bag_minhash(hashes, counts, docs, len(rows), p.size)
+                bands = got.reshape(len(rows), p.bands, p.rows)
+                key = np.broadcast_to(np.arange(1, p.bands + 1, dtype=U64) * U64(0x9E3779B97F4A7C15), (len(rows), p.bands)).copy()
                 for r in range(p.rows):
-                    key = K.mix(key ^ got[:, :, r])
-                has = np.flatnonzero(w.counts > 0)
-                if len(has):
-                    rows = digests.slice(block.lo, n).take(pa.array(np.repeat(has, p.bands)))
-                    yield pa.RecordBatch.from_arrays([pa.array(key[has].ravel().view(np.int64)), rows.cast(pa.binary())], ["key", "digest"])
+                    key = K.mix(key ^ bands[:, :, r])
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * p.bands), pa.array(key.ravel().view(np.int64)))
+                sig = pa.FixedSizeBinaryArray.from_buffers(pa.binary(p.size), len(rows), [None, pa.py_buffer(got.astype(np.uint8).tobytes())])
+                yield pa.RecordBatch.from_arrays([digests.slice(block.lo, n).take(pa.array(rows)).cast(pa.binary()), keys, sig.cast(pa.binary())], ["digest", "keys", "sig"])
 
-    return texts.select("digest", "text").mapInArrow(run, "key long, digest binary")
+    return texts.select("digest", "text").mapInArrow(run, "digest binary, keys array<long>, sig binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, p: NearDedup, name: str) -> DataFrame:
-    """(a, b, sim), stored, for the pairs (a, b) of digests."""
+    """(a, b, sim), stored, for the pairs (a, b) of text ids; `texts` has id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(overlaps(batch.column(2), batch.column(3), p.words))], ["a", "b", "sim"])
 
-    left, right = (texts.select(F.col("digest").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+    left, right = (texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return stored(joined.mapInArrow(run, "a binary, b binary, sim double"), name)
+    return stored(joined.mapInArrow(run, "a long, b long, sim double"), name)
 
 
 def ordered_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def block_overlaps(texts: pa.Array, n_x: int, words: int) -> np.ndarray:
-    """Weighted Jaccard similarities of each of the first n_x texts with each of the others, by their shared shingles."""
-    hashes, docs = [], []
-    for block in K.blocks(texts):
-        w = K.words(block)
-        h, d = K.shingles(K.word_hashes(block, w), w.first, words)
-        hashes.append(h)
-        docs.append(d + block.lo)
-    keys, counts, doc = bags(np.concatenate(hashes), np.concatenate(docs))
-    n_y = len(texts) - n_x
-    total = np.bincount(doc, counts, minlength=len(texts))
-    is_y = doc >= n_x
-    order = np.argsort(keys[is_y], kind="stable")
-    y_keys, y_counts, y_doc = keys[is_y][order], counts[is_y][order], doc[is_y][order] - n_x
-    shared = np.zeros((n_x, n_y))
-    x_first = np.searchsorted(doc[~is_y], np.arange(n_x + 1))
-    for i in range(n_x):
-        own, n = keys[x_first[i] : x_first[i + 1]], counts[x_first[i] : x_first[i + 1]]
-        lo, hi = np.searchsorted(y_keys, own), np.searchsorted(y_keys, own, side="right")
-        size = hi - lo
-        at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
-        shared[i] = np.bincount(y_doc[at], np.minimum(np.repeat(n, size), y_counts[at]), minlength=n_y)
-    return shared / np.maximum(total[:n_x, None] + total[None, n_x:] - shared, 1)
-
-
-def block_links(rest: DataFrame, texts: DataFrame, p: NearDedup) -> DataFrame:
-    """(a, b), stored: classes that a link joins, of members in large buckets. `rest` has key, digest and comp.
-
-    The members outside a bucket's largest class are held against all of its members, block by block; a block is two times
-    p.block texts at most, and no pair of texts becomes a row.
+def likely(rest: DataFrame, p: NearDedup) -> DataFrame:
+    """(a, b): pairs of different classes whose signatures agree in p.agree components. `rest` has key, id, comp, sig, out, n_out, n_all.
+
+    Members that are `out` of their bucket's largest class are held against all members, block by block.
     """
+    least, size = p.agree, p.size
 
     def run(rows):  # no type hints: Spark reads them
         side = rows.column("is_x").to_numpy()
-        order = pa.array(np.argsort(~side, kind="stable"))
-        comp, text = (rows.column(c).combine_chunks().take(order) for c in ("comp", "text"))
-        n_x = int(side.sum())
-        if 0 < n_x < len(side):
-            i, j = np.nonzero(block_overlaps(text, n_x, p.words) >= p.similarity)
-            names = np.unique(comp.to_numpy(zero_copy_only=False), return_inverse=True)
-            found = np.unique(np.column_stack([names[1][i], names[1][j + n_x]]), axis=0)
-            pairs = sorted({(min(a, b), max(a, b)) for a, b in ((names[0][x], names[0][y]) for x, y in found.tolist()) if a != b})
-        else:
-            pairs = []
-        return pa.table({"a": pa.array([x for x, _ in pairs], pa.binary()), "b": pa.array([y for _, y in pairs], pa.binary())})
-
-    sizes = rest.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all"))
-    known = rest.join(sizes, "key").withColumn("out", F.col("comp") != F.col("m.comp"))
-    lane = lambda n: F.pmod(F.xxhash64("digest"), F.greatest(F.ceil(n / F.lit(p.block)), F.lit(1)))
-    count = lambda n: F.greatest(F.ceil(n / F.lit(p.block)), F.lit(1))
-    n_out, n_all = F.col("all") - F.col("m.n"), F.col("all")
-    x = known.where("out").select("key", "digest", "comp", F.lit(True).alias("is_x"), lane(n_out).alias("bx"), F.explode(F.sequence(F.lit(0).cast("long"), count(n_all) - 1)).alias("by"))
-    y = known.select("key", "digest", "comp", F.lit(False).alias("is_x"), F.explode(F.sequence(F.lit(0).cast("long"), count(n_out) - 1)).alias("bx"), lane(n_all).alias("by"))
-    full = x.union(y).join(texts, "digest")
-    return stored(full.groupBy("key", "bx", "by").applyInArrow(run, "a binary, b binary").distinct(), "links")
+        ids, comps = rows.column("id").to_numpy(), rows.column("comp").to_numpy()
+        sigs = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, size)
+        y, found = np.flatnonzero(~side), []
+        for x in np.flatnonzero(side):
+            near = y[(comps[y] != comps[x]) & ((sigs[y] == sigs[x]).sum(axis=1) >= least)]
+            found.append(np.column_stack([np.minimum(ids[near], ids[x]), np.maximum(ids[near], ids[x])]))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    lanes = lambda n: F.ceil(F.col(n) / F.lit(p.block))
+    lane = lambda n: F.pmod(F.xxhash64("id"), lanes(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), lanes(n) - 1))
+    cols = ["key", "id", "comp", "sig"]
+    x = rest.where("out").select(*cols, F.lit(True).alias("is_x"), lane("n_out").alias("bx"), every("n_all").alias("by"))
+    y = rest.select(*cols, F.lit(False).alias("is_x"), every("n_out").alias("bx"), lane("n_all").alias("by"))
+    return x.union(y).groupBy("key", "bx", "by").applyInArrow(run, "a long, b long").distinct()
 
 
 def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """The classes (node, comp) after more links (a, b), of nodes or of classes; only classes that are joined are worked on."""
+    """The classes (node, comp) after more links (a, b) of nodes; only classes that are joined are worked on."""
     at = lambda k: classes.select(F.col("node").alias(k), F.col("comp").alias(f"c_{k}"))
     edges = stored(links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).where("a <> b").distinct(), "edges")
     if edges.isEmpty():
@@ -236,42 +222,53 @@ def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def link_classes(texts: DataFrame, p: NearDedup) -> DataFrame:
-    """(node, comp): classes of the digests that have a link to another text. `texts` (digest, text) may repeat a text."""
-    bands = stored(band_keys(texts, p), "bands")
-    buckets = bands.groupBy("key").agg(F.min("digest").alias("leader"), F.max("digest").alias("last")).where("leader <> last").drop("last")
-    members = stored(bands.join(buckets, "key").distinct(), "members")
-    involved = members.select("digest").distinct()
-    kept = stored(texts.groupBy("digest").agg(F.first("text").alias("text")).join(involved, "digest", "left_semi"), "texts")
-
-    held = verified(ordered_pairs(members, "leader", "digest"), kept, p, "held")
-    links = held.where(F.col("sim") >= p.similarity).select("a", "b")
-    classes = components(links)
-
-    for last in (False, True):
-        known = members.join(classes.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
-        open_ = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        rest = stored(known.join(open_, "key", "left_semi"), "rest")
-        if rest.isEmpty():
-            break
-        if not last:
-            second = rest.groupBy("key").agg(F.min_by(F.struct("digest", "comp"), F.xxhash64("digest", "key")).alias("s")).select("key", F.col("s.digest").alias("x"), F.col("s.comp").alias("x_comp"))
-            found = rest.join(second, "key").where("comp <> x_comp")
-        else:
-            large = rest.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > p.small).select("key")
-            blocks_ = block_links(rest.join(large, "key", "left_semi"), kept, p)
-            near = held.select(F.col("a").alias("leader"), F.col("b").alias("digest"), "sim")
-            far = rest.join(large, "key", "left_anti").join(near, ["leader", "digest"], "left").withColumn("sim", F.when(F.col("leader") == F.col("digest"), 1.0).otherwise(F.coalesce("sim", F.lit(0.0))))
-            other = far.select("key", F.col("digest").alias("x"), F.col("comp").alias("x_comp"), F.col("sim").alias("x_sim"))
-            # with d(x, leader) and d(y, leader) known, d(x, y) is at least their difference
-            found = far.join(other, "key").where((F.col("digest") < F.col("x")) & (F.col("comp") != F.col("x_comp")) & (F.abs(F.col("sim") - F.col("x_sim")) <= 1 - p.similarity + 1e-9))
-        pairs = ordered_pairs(found, "x", "digest").join(held.select("a", "b"), ["a", "b"], "left_anti")
-        more = verified(pairs, kept, p, "held")
+    """(digest, comp): classes of the digests that have a link to another text. `texts` (digest, text) may repeat a text.
+
+    Inside, a text goes by a 64-bit hash of its digest. Two texts with near copies that share it by chance would be taken for one:
+    of n such texts n * n / 2^65 pairs are to be expected, one or two in ten thousand million.
+    """
+    of_digest = F.xxhash64("digest").alias("id")
+    marks = stored(signed(texts, p), "signatures")
+    members = marks.select(of_digest, F.explode("keys").alias("key")).distinct()
+    buckets = members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").select("key", "leader")
+    members = stored(members.join(buckets, "key"), "members")
+    involved = members.select("id").distinct()
+    kept = stored(texts.select(of_digest, "text").dropDuplicates(["id"]).join(involved, "id", "left_semi"), "texts")
+
+    held = verified(ordered_pairs(members, "leader", "id"), kept, p, "held")
+    near = F.col("sim") >= p.similarity
+    classes = components(held.where(near).select("a", "b"))
+
+    def by_class(classes: DataFrame) -> DataFrame:
+        """A row for each class in each bucket that holds several: n members, and the first and the last of them."""
+        known = members.join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        each = known.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+        span = each.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("n_all")).where("lo <> hi").select("key", "n_all")
+        return each.join(span, "key")
+
+    rest = stored(by_class(classes), "rest")
+    if not rest.isEmpty():
+        lead = rest.groupBy("key").agg(F.max(F.struct("n", "comp", "low", "high")).alias("m")).select("key", "m.*")
+        others = rest.select("key", F.col("comp").alias("own"), F.col("high").alias("id")).join(lead, "key").where("own <> comp")
+        asked = ordered_pairs(others, "low", "id").union(ordered_pairs(others, "high", "id")).distinct()
+        more = verified(asked.join(held.select("a", "b"), ["a", "b"], "left_anti"), kept, p, "held")
         held = held.unionByName(more)
-        new = more.where(F.col("sim") >= p.similarity).select("a", "b")
-        if last:
-            new = new.union(blocks_)
-        classes = joined_classes(classes, new)
-    return classes
+        classes = joined_classes(classes, more.where(near).select("a", "b"))
+        rest = stored(by_class(classes), "rest")
+    if not rest.isEmpty():
+        largest = rest.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"))
+        open_ = rest.join(largest, "key").select("key", "comp", (F.col("comp") != F.col("m.comp")).alias("out"), (F.col("n_all") - F.col("m.n")).alias("n_out"), "n_all")
+        sigs = marks.select(of_digest, "sig").dropDuplicates(["id"])
+        known = members.join(open_.select("key").distinct(), "key", "left_semi").join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        full = known.join(open_, ["key", "comp"]).join(sigs, "id")
+        asked = likely(full, p).join(held.select("a", "b"), ["a", "b"], "left_anti")
+        more = verified(asked, kept, p, "held")
+        classes = joined_classes(classes, more.where(near).select("a", "b"))
+    names = marks.select(of_digest, "digest").distinct()
+    named = names.join(classes.withColumnRenamed("node", "id"), "id").select("digest", "comp")
+    out = stored(named, "classes")
+    release(marks, members, kept, rest)
+    return out
 
 
 def near_duplicate_classes(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
@@ -285,16 +282,18 @@ def near_duplicate_classes(docs: DataFrame, p: NearDedup = NearDedup()) -> DataF
     """
     rows = docs.select(F.col("doc_id"), text_of().alias("text")).withColumn("digest", digest_of(F.col("text")))
     classes = link_classes(rows.select("digest", "text"), p)
-    groups = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(classes.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
+    groups = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(classes, "digest", "left")
+    groups = groups.withColumn("comp", F.coalesce(F.lpad(F.hex("comp"), 16, "0"), F.hex("digest")))
     least = groups.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "digest")).alias("r"))
     known = groups.join(least, "comp").select("digest", F.col("r.doc_id").alias("class_id"), F.col("r.digest").alias("rep_digest"))
     return rows.select("doc_id", "digest").join(known, "digest").withColumn("is_kept", F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("rep_digest")))
 
 
 def drop_near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
-    """`docs` with one row of each class of near_duplicate_classes: that of the least doc_id. All columns stay as they are."""
-    mark = "__plotwise_digest"
-    kept = near_duplicate_classes(docs, p).where("is_kept").select(F.col("digest").alias(mark), F.col("doc_id").alias("__plotwise_id")).distinct()
+    """`docs` with one row of each class of near_duplicate_classes: that of the least doc_id. All columns stay as they are, whatever
+    their names; of rows that repeat a kept doc_id and text one stays. Nulls are as there; an empty table gives no rows."""
+    mark, known_id = unused(docs, "digest", "id")
+    kept = near_duplicate_classes(docs, p).where("is_kept").select(F.col("digest").alias(mark), F.col("doc_id").alias(known_id)).distinct()
     known = docs.withColumn(mark, digest_of(text_of()))
-    rows = known.join(kept, (known[mark] == kept[mark]) & known["doc_id"].eqNullSafe(kept["__plotwise_id"]), "left_semi")
+    rows = known.join(kept, (known[mark] == kept[mark]) & known["doc_id"].eqNullSafe(kept[known_id]), "left_semi")
     return rows.dropDuplicates(["doc_id", mark]).drop(mark)

@@ -26,6 +26,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Removes tables that stored() wrote and that nothing reads any more; the others stay until the application's folder goes."""
+    for df in tables:
+        jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(file)
+            if f"/plotwise-{spark.sparkContext.applicationId}/" in file:
+                path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as make it differ from all columns of `df`, in any case."""
     taken = {c.lower() for c in df.columns}
