@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .shared import stored, text_of
-from .tokens import Encoder, with_end
+from .tokens import encoder, with_end
 
 
 def vocabulary() -> str:
@@ -61,11 +61,11 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
             bin_.append(n)
             used[n] += 1
             gap -= n
-        if gap and len(bin_):
+        if gap:
             small = bin_[-1]
             used[small] -= 1
             pair = best_two(lengths, left, used, small + gap, small)
-            if pair and len(bin_) + 1 > 0:
+            if pair:
                 bin_[-1:] = pair
                 used.update(pair)
             else:
@@ -99,10 +99,10 @@ def pieces_of(docs: DataFrame, p: Packing) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(p.path)
+        own = encoder(p.path)
         for batch in batches:
             for block in K.blocks(batch.column(1), 1 << 19):
-                ids, bounds = with_end(*encoder.encode(block), p.end)
+                ids, bounds = with_end(*own.encode(block), p.end)
                 total = np.diff(bounds)
                 n = -(-total // p.size)
                 doc = np.repeat(np.arange(len(total)), n)

@@ -2,12 +2,14 @@
 
 A text is cut into pre-tokens with array operations that follow the vocabulary's own split pattern, and only pre-tokens not met
 before by this worker go through the library; ids are then gathered. Characters outside ASCII get their class (letter, number,
-white space, other) from the library's pre-tokenizer, once each.
+white space, other) from the library's pre-tokenizer, once each. A text that holds one of the vocabulary's added tokens, such as
+an end sign spelled out, goes through the library whole, which gives that token's id as any plain call does.
 """
 
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -27,8 +29,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.memory = memory
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.classes = np.full(0x110000, UNKNOWN, dtype=np.uint8)
         self.classes[:128] = [LETTER if chr(i).isalpha() else NUMBER if chr(i).isdigit() else WHITE if 9 <= i <= 13 or i == 32 else OTHER for i in range(128)]
         self.forget()
@@ -132,6 +134,21 @@ class Encoder:
 
     def encode(self, block: K.Block) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the block, and the bounds of each document in them."""
+        raw = block.data.tobytes()
+        if not any(x in raw for x in self.added):
+            return self.encode_plain(block)
+        ids, sizes = [], []
+        for i in range(len(block.bounds) - 1):
+            text = block.text(i)
+            if any(x in text for x in self.added):
+                ids.append(np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype=np.int32))
+            else:
+                ids.append(self.encode_plain(K.Block(0, 1, np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)])))[0])
+            sizes.append(len(ids[-1]))
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(sizes)])
+
+    def encode_plain(self, block: K.Block) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without added tokens."""
         starts = self.pre_tokens(block)
         ends = np.append(starts[1:], len(block.data))
         hashes = K.FIRST.spans(K.FIRST.byte[block.data], starts, ends)
@@ -153,6 +170,12 @@ class Encoder:
         return flat, total
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The worker's own encoder: tasks that follow one another in a worker share its vocabulary and what it remembers."""
+    return Encoder(path)
+
+
 def merged(a: tuple, b: tuple) -> tuple:
     """Two tables in order of their keys."""
     order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")

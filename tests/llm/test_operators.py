@@ -94,7 +94,7 @@ def test_signatures_estimate_weighted_jaccard_without_bias():
     assert np.abs(errors).max() < 0.08
 
 
-@pytest.mark.parametrize("p", [near_dedup.NearDedup(), near_dedup.NearDedup(small=2, block=3)])
+@pytest.mark.parametrize("p", [near_dedup.NearDedup(), near_dedup.NearDedup(block=3)])
 def test_near_duplicate_classes(docs, pairs, p):
     got = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(docs, p).collect()}
     assert got == dict(brute.near_classes(pairs))
@@ -207,7 +207,6 @@ def bpe():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.vocabulary())
-    t.encode_special_tokens = True
     return t, tokens.Encoder(packing.vocabulary(), memory=500)
 
 
@@ -221,8 +220,10 @@ def test_ids_are_the_librarys(bpe, texts):
             assert ids[bounds[i] : bounds[i + 1]].tolist() == library.encode(texts[block.lo + i], add_special_tokens=False).ids
 
 
-def test_packing(docs, odd, empty, bpe):
-    for df in (docs, odd):
+def test_packing(spark, docs, odd, empty, bpe):
+    named = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>" + LONG), (3, "plain <|endoftext|")], "doc_id long, text string")
+    assert 50256 in bpe[0].encode("a <|endoftext|> b", add_special_tokens=False).ids
+    for df in (docs, odd, named):
         rows = packing.pack_documents(df).collect()
         want = Counter()
         for r in df.collect():
