@@ -11,14 +11,13 @@ Signatures are cut into bands; documents that agree in a band are candidates and
 bucket emits all its pairs. First its members are held against one leader, the same for all buckets of a group, so that a group
 of copies becomes one class by a pair a member. A bucket that still holds several classes then has one row for each of them, and
 these are held against the largest class. What is left, members outside their bucket's largest class, is held against the rest of
-the bucket by signatures: blocks of 1024 of them, a byte a component, are compared with array operations, and only pairs that
-agree in so many components that a similar pair could hardly agree in fewer (a chance of `miss`) become rows and are verified.
-So every candidate pair of different texts is verified, already in one class, or below the threshold by its signatures.
+the bucket in blocks of texts, each pair in the first bucket that it shares only; a block counts shared shingles with array
+operations and gives the links between classes, a tree of them at most, and no pair of texts becomes a row. So every candidate
+pair of different texts is verified or already in one class.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,28 +35,20 @@ U64 = np.uint64
 
 @dataclass(frozen=True)
 class NearDedup:
-    """A pair at the threshold is missed by all bands with a probability of 3e-6 (32 bands of 5). block: signatures held against
-    as many others in one task. miss: chance that a pair at the threshold agrees in fewer components than are asked for there."""
+    """A pair at the threshold is missed by all bands with a probability of 3e-6 (32 bands of 5). block: texts held against as many
+    others in one task; block_bytes: bytes of them."""
 
     words: int = 5
     similarity: float = 0.8
     bands: int = 32
     rows: int = 5
     block: int = 1024
-    miss: float = 1e-6
+    block_bytes: int = 1 << 22
 
     @property
     def size(self) -> int:
         return self.bands * self.rows
 
-    @property
-    def agree(self) -> int:
-        """Components that a similar pair agrees in, but for a chance of `miss`."""
-        below, k = 0.0, 0
-        while (below := below + math.comb(self.size, k) * self.similarity**k * (1 - self.similarity) ** (self.size - k)) <= self.miss:
-            k += 1
-        return k
-
 
 def bag_minhash(hashes: np.ndarray, counts: np.ndarray, docs: np.ndarray, n_docs: int, size: int) -> np.ndarray:
     """Signatures (n_docs x size, 32-bit values) of bags given as distinct (doc, hash) rows with integer counts.
@@ -136,7 +127,7 @@ def pair_blocks(column: pa.Array) -> Iterator[K.Block]:
 
 
 def signed(texts: DataFrame, p: NearDedup) -> DataFrame:
-    """(digest, keys, sig): the band keys and a byte of each component, for each text with a word; once a batch for equal texts."""
+    """(digest, keys, size): the band keys and the bytes of each text with a word; once a block for equal texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,10 +150,9 @@ def signed(texts: DataFrame, p: NearDedup) -> DataFrame:
                 for r in range(p.rows):
                     key = K.mix(key ^ bands[:, :, r])
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * p.bands), pa.array(key.ravel().view(np.int64)))
-                sig = pa.FixedSizeBinaryArray.from_buffers(pa.binary(p.size), len(rows), [None, pa.py_buffer(got.astype(np.uint8).tobytes())])
-                yield pa.RecordBatch.from_arrays([digests.slice(block.lo, n).take(pa.array(rows)).cast(pa.binary()), keys, sig.cast(pa.binary())], ["digest", "keys", "sig"])
+                yield pa.RecordBatch.from_arrays([digests.slice(block.lo, n).take(pa.array(rows)).cast(pa.binary()), keys, pa.array(np.diff(block.bounds)[rows])], ["digest", "keys", "size"])
 
-    return texts.select("digest", "text").mapInArrow(run, "digest binary, keys array<long>, sig binary")
+    return texts.select("digest", "text").mapInArrow(run, "digest binary, keys array<long>, size long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, p: NearDedup, name: str) -> DataFrame:
@@ -182,35 +172,68 @@ def ordered_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def likely(rest: DataFrame, p: NearDedup) -> DataFrame:
-    """(a, b): pairs of different classes whose signatures agree in p.agree components. `rest` has key, id, comp, sig, out, n_out, n_all.
+def shared_by(texts: pa.Array, words: int):
+    """A function of i, j...: the weighted Jaccard similarities of the text i with the texts j, by their shared shingles."""
+    hashes, docs = [], []
+    for block in K.blocks(texts):
+        w = K.words(block)
+        h, d = K.shingles(K.word_hashes(block, w), w.first, words)
+        hashes.append(h)
+        docs.append(d + block.lo)
+    keys, counts, doc = bags(np.concatenate(hashes), np.concatenate(docs))
+    total = np.bincount(doc, counts, minlength=len(texts))
+    first = np.searchsorted(doc, np.arange(len(texts) + 1))
+    order = np.argsort(keys, kind="stable")
+    by_key, by_count, by_doc = keys[order], counts[order], doc[order]
+
+    def similarities(i: int, others: np.ndarray) -> np.ndarray:
+        own, n = keys[first[i] : first[i + 1]], counts[first[i] : first[i + 1]]
+        lo = np.searchsorted(by_key, own)
+        size = np.searchsorted(by_key, own, side="right") - lo
+        at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+        both = np.bincount(by_doc[at], np.minimum(np.repeat(n, size), by_count[at]), minlength=len(texts))[others]
+        return both / np.maximum(total[i] + total[others] - both, 1)
+
+    return similarities
+
+
+def block_links(rest: DataFrame, texts: DataFrame, p: NearDedup) -> DataFrame:
+    """(a, b), stored: classes that a link joins. `rest` has key, keys, id, comp, out and the lanes of its bucket, `texts` id and text.
 
     Members that are `out` of their bucket's largest class are held against all members, block by block.
     """
-    least, size = p.agree, p.size
 
     def run(rows):  # no type hints: Spark reads them
         side = rows.column("is_x").to_numpy()
         ids, comps = rows.column("id").to_numpy(), rows.column("comp").to_numpy()
-        sigs = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, size)
-        y, found = np.flatnonzero(~side), []
+        keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        here = keys == rows.column("key")[0].as_py()
+        similarities = shared_by(rows.column("text").combine_chunks(), p.words)
+        names, root = np.unique(comps, return_inverse=True)
+        y, links = np.flatnonzero(~side), []
         for x in np.flatnonzero(side):
-            near = y[(comps[y] != comps[x]) & ((sigs[y] == sigs[x]).sum(axis=1) >= least)]
-            found.append(np.column_stack([np.minimum(ids[near], ids[x]), np.maximum(ids[near], ids[x])]))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-
-    lanes = lambda n: F.ceil(F.col(n) / F.lit(p.block))
-    lane = lambda n: F.pmod(F.xxhash64("id"), lanes(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), lanes(n) - 1))
-    cols = ["key", "id", "comp", "sig"]
-    x = rest.where("out").select(*cols, F.lit(True).alias("is_x"), lane("n_out").alias("bx"), every("n_all").alias("by"))
-    y = rest.select(*cols, F.lit(False).alias("is_x"), every("n_out").alias("bx"), lane("n_all").alias("by"))
-    return x.union(y).groupBy("key", "bx", "by").applyInArrow(run, "a long, b long").distinct()
+            other = y[root[y] != root[x]]
+            met = keys[other] == keys[x]
+            other = other[here[other, met.argmax(axis=1)]]  # the first bucket that the two share
+            if not len(other):
+                continue
+            for j in other[similarities(x, other) >= p.similarity]:
+                if root[j] != root[x]:
+                    links.append((int(comps[x]), int(comps[j])))
+                    root[root == root[j]] = root[x]
+        return pa.table({"a": pa.array([min(v) for v in links], pa.int64()), "b": pa.array([max(v) for v in links], pa.int64())})
+
+    lane = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    cols = ["key", "keys", "id", "comp"]
+    x = rest.where("out").select(*cols, F.lit(True).alias("is_x"), lane("out_lanes").alias("bx"), every("all_lanes").alias("by"))
+    y = rest.select(*cols, F.lit(False).alias("is_x"), every("out_lanes").alias("bx"), lane("all_lanes").alias("by"))
+    full = x.union(y).join(texts, "id")
+    return stored(full.groupBy("key", "bx", "by").applyInArrow(run, "a long, b long").distinct(), "links")
 
 
 def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """The classes (node, comp) after more links (a, b) of nodes; only classes that are joined are worked on."""
+    """The classes (node, comp) after more links (a, b) of nodes, or of classes by their names; only those that are joined are worked on."""
     at = lambda k: classes.select(F.col("node").alias(k), F.col("comp").alias(f"c_{k}"))
     edges = stored(links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).where("a <> b").distinct(), "edges")
     if edges.isEmpty():
@@ -229,7 +252,7 @@ def link_classes(texts: DataFrame, p: NearDedup) -> DataFrame:
     """
     of_digest = F.xxhash64("digest").alias("id")
     marks = stored(signed(texts, p), "signatures")
-    members = marks.select(of_digest, F.explode("keys").alias("key")).distinct()
+    members = marks.select(of_digest, "size", F.explode("keys").alias("key")).distinct()
     buckets = members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").select("key", "leader")
     members = stored(members.join(buckets, "key"), "members")
     involved = members.select("id").distinct()
@@ -240,10 +263,10 @@ def link_classes(texts: DataFrame, p: NearDedup) -> DataFrame:
     classes = components(held.where(near).select("a", "b"))
 
     def by_class(classes: DataFrame) -> DataFrame:
-        """A row for each class in each bucket that holds several: n members, and the first and the last of them."""
+        """A row for each class in each bucket that holds several: n members of so many bytes, and the first and the last of them."""
         known = members.join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        each = known.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
-        span = each.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("n_all")).where("lo <> hi").select("key", "n_all")
+        each = known.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("id").alias("low"), F.max("id").alias("high"))
+        span = each.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("n_all"), F.sum("bytes").alias("bytes_all")).where("lo <> hi").select("key", "n_all", "bytes_all")
         return each.join(span, "key")
 
     rest = stored(by_class(classes), "rest")
@@ -256,14 +279,13 @@ def link_classes(texts: DataFrame, p: NearDedup) -> DataFrame:
         classes = joined_classes(classes, more.where(near).select("a", "b"))
         rest = stored(by_class(classes), "rest")
     if not rest.isEmpty():
-        largest = rest.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"))
-        open_ = rest.join(largest, "key").select("key", "comp", (F.col("comp") != F.col("m.comp")).alias("out"), (F.col("n_all") - F.col("m.n")).alias("n_out"), "n_all")
-        sigs = marks.select(of_digest, "sig").dropDuplicates(["id"])
+        largest = rest.groupBy("key").agg(F.max(F.struct("n", "comp", "bytes")).alias("m"))
+        lanes = lambda n, size: F.greatest(F.ceil(n / F.lit(p.block)), F.ceil(size / F.lit(p.block_bytes)), F.lit(1)).cast("long")
+        outside = lanes(F.col("n_all") - F.col("m.n"), F.col("bytes_all") - F.col("m.bytes"))
+        open_ = rest.join(largest, "key").select("key", "comp", (F.col("comp") != F.col("m.comp")).alias("out"), outside.alias("out_lanes"), lanes(F.col("n_all"), F.col("bytes_all")).alias("all_lanes"))
         known = members.join(open_.select("key").distinct(), "key", "left_semi").join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        full = known.join(open_, ["key", "comp"]).join(sigs, "id")
-        asked = likely(full, p).join(held.select("a", "b"), ["a", "b"], "left_anti")
-        more = verified(asked, kept, p, "held")
-        classes = joined_classes(classes, more.where(near).select("a", "b"))
+        full = known.join(open_, ["key", "comp"]).join(marks.select(of_digest, "keys").dropDuplicates(["id"]), "id")
+        classes = joined_classes(classes, block_links(full, kept, p))
     names = marks.select(of_digest, "digest").distinct()
     named = names.join(classes.withColumnRenamed("node", "id"), "id").select("digest", "comp")
     out = stored(named, "classes")
