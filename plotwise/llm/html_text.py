@@ -5,15 +5,17 @@ sidebars, notices, adverts, forms, reader comments; scripts, styles and comments
 their URL's path and each is paired with the neighbour whose path has the longer beginning in common with its own. The lines of
 the two are aligned by their longest common subsequence; lines that both have are the host's template and are deleted.
 
-Inside an article element a line that both pages have is a passage that both articles have, so it stays; so do all lines if
-the neighbour is a copy of the page. The markup's word on furniture goes before the alignment, as adverts and menus differ
-between neighbours, too.
+Differencing decides wherever the markup names no article. Where it does, the article's lines stay even if the neighbour has them
+too, and other lines go even if it has not: menus and adverts that are drawn anew for each page are no template, and a passage
+that two articles share is. A page that has nearly all its text in common with its neighbour is a copy of it and keeps its text.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -64,11 +66,54 @@ def furniture(tag: str, attributes: str, in_article: bool) -> str:
     return kind
 
 
+class Open:
+    """The open elements, with counts of what they are, so that a line costs the same at any depth."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, str, int]] = []  # tag, furniture, article level
+        self.tags: Counter[str] = Counter()
+        self.kinds: Counter[str] = Counter()
+        self.levels: Counter[int] = Counter()
+
+    def push(self, tag: str, kind: str, level: int) -> None:
+        self.stack.append((tag, kind, level))
+        self.tags[tag] += 1
+        self.kinds[kind] += 1
+        self.levels[level] += 1
+
+    def pop(self) -> str:
+        tag, kind, level = self.stack.pop()
+        self.tags[tag] -= 1
+        self.kinds[kind] -= 1
+        self.levels[level] -= 1
+        return tag
+
+    def close(self, tag: str) -> bool:
+        """Closes the innermost element of this name and what is open in it; False if there is none."""
+        if not self.tags[tag]:
+            return False
+        while self.pop() != tag:
+            pass
+        return True
+
+    def clear_furniture(self) -> None:
+        if self.kinds["soft"]:
+            self.stack = [(t, "", level) for t, _, level in self.stack]
+            self.kinds = Counter({"": len(self.stack)})
+
+    @property
+    def level(self) -> int:
+        """-1 in furniture, else how surely this is an article."""
+        if self.kinds["soft"] or self.kinds["hard"]:
+            return -1
+        return 2 if self.levels[2] else 1 if self.levels[1] else 0
+
+
 def lines_of(page: str) -> list[tuple[str, int]]:
     """The page's lines with ARTICLE, LOOSE or DROPPED, in page order."""
     found: list[tuple[str, int]] = []
     text: list[str] = []
-    stack: list[tuple[str, str, int]] = []  # tag, furniture, article level
+    open_ = Open()
     at = 0
 
     def flush() -> None:
@@ -76,8 +121,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             line = SPACES.sub(" ", html.unescape("".join(text))).strip()
             text.clear()
             if line:
-                drop = any(x[1] for x in stack)
-                found.append((line, -1 if drop else max((x[2] for x in stack), default=0)))
+                found.append((line, open_.level))
 
     while True:
         m = TOKEN.search(page, at)
@@ -94,13 +138,9 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             continue
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if closing:
-            if tag in BLOCK:
+            if tag in BLOCK or open_.tags[tag]:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    flush()
-                    del stack[i:]
-                    break
+            open_.close(tag)
             continue
         if tag in RAW:
             if not attributes.endswith("/"):
@@ -115,59 +155,94 @@ def lines_of(page: str) -> list[tuple[str, int]]:
                 text.append(" ")
             continue
         level = 2 if tag == "article" else 1 if tag == "main" else 0
-        in_article = any(x[2] for x in stack)
-        kind = furniture(tag, attributes, in_article)
+        kind = furniture(tag, attributes, bool(open_.levels[1] or open_.levels[2]))
         if tag in BLOCK:
             flush()
-            if stack and stack[-1][0] == "p":
-                stack.pop()
+            if open_.stack and open_.stack[-1][0] == "p":
+                open_.pop()
             ended = ENDED_BY.get(tag)
-            while ended and stack and stack[-1][0] in ended:
-                stack.pop()
-        if level and not kind and not any(x[1] == "hard" for x in stack):
-            stack[:] = [(x[0], "", x[2]) for x in stack]  # furniture that was never closed, or is none
+            while ended and open_.stack and open_.stack[-1][0] in ended:
+                open_.pop()
+        if level and not kind and not open_.kinds["hard"]:
+            open_.clear_furniture()  # furniture that was never closed, or is none
         if tag in BLOCK or kind:
             if kind:
                 flush()
-            stack.append((tag, kind, 0 if kind else level))
+            open_.push(tag, kind, 0 if kind else level)
     flush()
     best = max((level for _, level in found), default=0)
-    return [(line, DROPPED if level < 0 or (best > 0 and 0 < level < best) else ARTICLE if best > 0 and level == best else LOOSE if best == 0 else DROPPED) for line, level in found]
+    return [(line, DROPPED if level < 0 or level < best else ARTICLE if best else LOOSE) for line, level in found]
 
 
 def shared_lines(a: list[int], b: list[int]) -> list[bool]:
-    """Which of a's lines a longest common subsequence of a and b has (bit-parallel, then traced back)."""
+    """Which of a's lines a longest common subsequence of a and b has.
+
+    Equal ends are cut off. Rows of the table are numbers of a bit for each line of b, 0 where the subsequence grows by one; only
+    every so many rows are kept and those between are made again on the way back, so memory grows with the root of a's length.
+    """
+    out = [False] * len(a)
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        out[head] = True
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+        out[-tail] = True
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if not a or not b:
+        return out
     where: dict[int, int] = {}
     for j, x in enumerate(b):
         where[x] = where.get(x, 0) | (1 << j)
     full = (1 << len(b)) - 1
-    rows, v = [full], full
-    for x in a:
+
+    def below(v: int, x: int) -> int:
         u = v & where.get(x, 0)
-        v = ((v + u) | (v - u)) & full
-        rows.append(v)
-    out = [False] * len(a)
-    i, j = len(a), len(b)
-    common = lambda i, j: j - (rows[i] & ((1 << j) - 1)).bit_count()
-    while i and j:
-        now = common(i, j)
-        if not now:
-            break
-        if common(i - 1, j) == now:
+        return ((v + u) | (v - u)) & full
+
+    step = math.isqrt(len(a)) + 1
+    kept, v = [], full
+    for i, x in enumerate(a):
+        if i % step == 0:
+            kept.append(v)
+        v = below(v, x)
+    j = len(b)
+    for k in reversed(range(len(kept))):
+        rows, lo = [kept[k]], k * step
+        for x in a[lo : lo + step]:
+            rows.append(below(rows[-1], x))
+        i = len(rows) - 1
+        while i and j:
+            if rows[i] >> (j - 1) & 1:
+                j -= 1
+                continue
             i -= 1
-        elif common(i, j - 1) == now:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out[i] = True
+            if rows[i] >> (j - 1) & 1:
+                out[head + lo + i] = True
+                j -= 1
     return out
 
 
+def template(lines: list[str | None], kinds: list[int], own: list[int], other: list[int] | None, copy: float) -> list[bool]:
+    """Which lines the neighbour has too; none if it has more than the share `copy` of the text that may stay."""
+    if not other:
+        return [False] * len(own)
+    shared = shared_lines(own, other)
+    sizes = [len(x) if x is not None and k == LOOSE else 0 for x, k in zip(lines, kinds, strict=True)]
+    if sum(n for n, s in zip(sizes, shared, strict=True) if s) > copy * sum(sizes):
+        return [s and k != LOOSE for s, k in zip(shared, kinds, strict=True)]
+    return shared
+
+
 @dataclass(frozen=True)
 class Pages:
-    """ranges: how many ranges the ordered URLs are cut into; None: as many as shuffle partitions."""
+    """ranges: how many ranges the ordered URLs are cut into; None: as many as shuffle partitions. copy: share of its text that a
+    page must have in common with its neighbour, and more, to be a copy of it. rows: pages that a worker holds as objects."""
 
     ranges: int | None = None
+    copy: float = 0.9
+    rows: int = 64
 
 
 def nearest(urls: DataFrame, p: Pages = Pages()) -> DataFrame:
@@ -206,18 +281,23 @@ def extract(pages: DataFrame, p: Pages = Pages()) -> DataFrame:
     rows = pages.select("page_id", "url", markup.alias("html"), F.xxhash64(F.col("page_id"), url, markup).alias("rid"))
     kind = pages.schema["page_id"].dataType.simpleString()
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [lines_of(x) for x in batch.column(2).to_pylist()]
-            lines = pa.array([[a for a, _ in x] for x in parts], pa.list_(pa.string()))
-            kinds = pa.array([[k for _, k in x] for x in parts], pa.list_(pa.int32()))
+            for lo in range(0, batch.num_rows, p.rows):
+                yield batch.slice(lo, p.rows)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            found = [lines_of(x) for x in batch.column(2).to_pylist()]
+            lines = pa.array([[a for a, _ in x] for x in found], pa.list_(pa.string()))
+            kinds = pa.array([[k for _, k in x] for x in found], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), lines, kinds], ["page_id", "url", "rid", "lines", "kinds"])
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts, counts = [], []
             for lines, kinds, own, other in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                shared = shared_lines(own, other) if other and other != own else [False] * len(own)
+                shared = template(lines, kinds, own, other, p.copy)
                 texts.append("\n".join(a for a, k, s in zip(lines, kinds, shared, strict=True) if k == ARTICLE or (k == LOOSE and not s)))
                 counts.append((len(lines), sum(shared)))
             numbers = [pa.array(x, pa.int64()) for x in ([len(t) for t in texts], [n for n, _ in counts], [s for _, s in counts])]
