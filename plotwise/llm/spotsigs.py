@@ -24,7 +24,6 @@ ANCHORS = (
     "al como con del el esta la las lo los más no para pero por se son su sus una y"
 ).split()
 
-NO_ID = -(1 << 63)
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‚‘’…–—·¡¿"
 
 
@@ -67,31 +66,50 @@ def as_string(sigs: Column) -> Column:
     return F.array_join(F.transform(sigs, lambda x: F.hex(x)), " ")
 
 
+def dealt(own: DataFrame, per: int = 8) -> DataFrame:
+    """`own` with `bucket`: ranges of the order (rid, key) from the largest down, about the root of the number of rows, with about as
+    many rows each however the ids are spread.
+
+    The bounds are taken from a sample of some `per` rows a range, chosen by hash, and found in two steps of the root of their
+    number, so that a row costs little.
+    """
+    n = own.count()
+    ranges = max(1, math.isqrt(n))
+    narrow = own.select("has", "rid", "key")
+    part = max(1, n // (per * ranges))
+    some = narrow.where(F.pmod(F.xxhash64("has", "rid", "key", F.lit(3)), F.lit(part)) == 0).collect()  # per * ranges rows or so
+    places = sorted({(r["has"], r["rid"], r["key"]) for r in some}, reverse=True)
+    bounds = [places[i * len(places) // ranges] for i in range(1, ranges)] if len(places) >= ranges else places[1:]
+    step = max(1, math.isqrt(len(bounds)))
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    place = "struct<has:int,rid:bigint,key:bigint>"
+    table = own.sparkSession.createDataFrame([([g[-1] for g in groups], groups)], f"tops array<{place}>, groups array<array<{place}>>")
+    me = F.struct("has", "rid", "key")
+    above = lambda bounds_: F.size(F.filter(bounds_, lambda x: x > me))
+    found = own.crossJoin(F.broadcast(table)).withColumn("__g", above(F.col("tops")))  # one row
+    inside = F.coalesce(above(F.try_element_at(F.col("groups"), F.col("__g") + 1)), F.lit(0))
+    return found.withColumn("bucket", (F.col("__g") * step + F.greatest(inside, F.lit(0))).cast("long")).drop("tops", "groups", "__g")
+
+
 def with_next(own: DataFrame, derive, *columns: str) -> DataFrame:
-    """`own` (rid, key, text...), with what `derive` adds to a frame, once for each distinct (rid, key), with n_rows and next_<column> of the next one by descending
-    rid and key; after the last one the first.
+    """`own` (has, rid, key, text...), with what `derive` adds to a frame, once for each distinct (has, rid, key), with n_rows and
+    next_<column> of the next one in descending order; after the last one the first. `has` is 1 where there is an id, else 0.
 
-    Ids are cut into equal ranges, about the root of the number of rows, and rows are dealt out by range; so texts are shuffled
-    once and no range is large. A range's last row has the first of the next range for its next, and those are found by one
-    narrow row for each range.
+    Rows are dealt out by ranges of the order; so texts are shuffled once and no range is large. A range's last row has the first
+    of the next range for its next, and those are found by one narrow row for each range.
     """
-    size = own.agg(F.min(F.when(F.col("rid") > NO_ID, F.col("rid"))).alias("lo"), F.max("rid").alias("hi"), F.count("*").alias("n")).first()
-    hi = size["hi"] if size["hi"] is not None else 0
-    lo = size["lo"] if size["lo"] is not None else hi
-    ranges = max(1, math.isqrt(size["n"]))
-    width = max(1, -(-(hi - lo + 1) // ranges))
-    bucket = F.when(F.col("rid") == NO_ID, F.lit(1 << 62)).otherwise(F.expr(f"({hi}L - rid) div {width}L"))
-    placed = own.withColumn("bucket", bucket)
-    first = stored(placed.groupBy("bucket").agg(F.max(F.struct("rid", "key")).alias("head")), "heads")
+    placed = dealt(own)
+    first = stored(placed.groupBy("bucket").agg(F.max(F.struct("has", "rid", "key")).alias("head")), "heads")
     along = Window.orderBy("bucket")  # one row for each range
     whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = first.select("bucket", F.coalesce(F.lead("head").over(along), F.first("head").over(whole)).alias("head")).select("bucket", F.col("head.rid").alias("rid"), F.col("head.key").alias("key"))
-    named = derive(own.join(heads, ["rid", "key"])).groupBy("bucket").agg(*[F.first(c).alias(f"head_{c}") for c in columns])
-    dealt = derive(placed.repartition("bucket"))
-    same = Window.partitionBy("bucket", "rid", "key").orderBy(F.lit(1))
-    every = Window.partitionBy("bucket", "rid", "key")
-    once = dealt.withColumn("n_rows", F.count("*").over(every)).withColumn("__r", F.row_number().over(same)).where("__r = 1").drop("__r")
-    back = Window.partitionBy("bucket").orderBy("rid", "key")
+    heads = first.select("bucket", F.coalesce(F.lead("head").over(along), F.first("head").over(whole)).alias("head")).select("bucket", "head.*")
+    # a row for each range, the root of all rows
+    named = derive(own.join(F.broadcast(stored(heads, "heads")), ["has", "rid", "key"])).groupBy("bucket").agg(*[F.first(c).alias(f"head_{c}") for c in columns])
+    texts = derive(placed.repartition("bucket"))
+    same = Window.partitionBy("bucket", "has", "rid", "key").orderBy(F.lit(1))
+    every = Window.partitionBy("bucket", "has", "rid", "key")
+    once = texts.withColumn("n_rows", F.count("*").over(every)).withColumn("__r", F.row_number().over(same)).where("__r = 1").drop("__r")
+    back = Window.partitionBy("bucket").orderBy("has", "rid", "key")
     chained = once.withColumn("__first", F.lag("rid").over(back).isNull()).withColumns({f"next_{c}": F.lag(c).over(back) for c in columns})
     joined = chained.join(named, "bucket")
     return joined.withColumns({f"next_{c}": F.when(F.col("__first"), F.col(f"head_{c}")).otherwise(F.col(f"next_{c}")) for c in columns}).drop("bucket", "__first", *[f"head_{c}" for c in columns])
@@ -105,7 +123,8 @@ def edited_fingerprints(docs: DataFrame, p: SpotSigs = SpotSigs()) -> DataFrame:
     that share a doc_id follow each other by their hash; a null doc_id comes last. An only document is its own next. An empty
     table gives no rows; other columns are not read.
     """
-    own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rid"), F.xxhash64(text_of()).alias("key"), text_of().alias("text"))
+    known = F.col("doc_id").isNotNull().cast("int")
+    own = docs.select("doc_id", known.alias("has"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("rid"), F.xxhash64(text_of()).alias("key"), text_of().alias("text"))
     joined = with_next(own, lambda df: df.withColumn("sigs", signatures(F.col("text"), p)), "text", "sigs")
     n = F.char_length("text")
     keep = (n - F.floor(n / 3)).cast("int")
@@ -124,15 +143,15 @@ def edited_fingerprints(docs: DataFrame, p: SpotSigs = SpotSigs()) -> DataFrame:
 
 
 def similar_sets(sets: DataFrame, p: SpotSigs = SpotSigs()) -> DataFrame:
-    """(a, b, sim) for the pairs a < b of `sets` (id, sigs; distinct ids) with a likeness of at least p.similarity.
+    """(a, b, sim) for the pairs a < b of different sets among `sets` (id, sigs) with a likeness of at least p.similarity.
 
-    Sizes are cut into bands that grow by 1 / similarity: a set can only be similar to sets in its own band and the two beside
-    it. A set is represented by its rarest signatures, as many as a similar set cannot miss all of; pairs that meet there are
-    pruned by their sizes before their sets are compared. Equal sets should be represented once (see the row for each text).
+    Equal sets are one, named by their least id (see set_names). Sizes are cut into bands that grow by 1 / similarity: a set can
+    only be similar to sets in its own band and the two beside it. A set is represented by its rarest signatures, as many as a
+    similar set cannot miss all of; pairs that meet there are pruned by their sizes before their sets are compared.
     """
     step = math.log(1 / p.similarity)
     band = F.floor(F.log(F.size("sigs").cast("double")) / step)
-    known = stored(sets.select("id", "sigs", F.size("sigs").alias("n"), band.alias("band")), "sets")
+    known = stored(sets.groupBy("sigs").agg(F.min("id").alias("id")).select("id", "sigs", F.size("sigs").alias("n"), band.alias("band")), "sets")
     each = known.select("id", "n", "band", F.explode("sigs").alias("sig"))
     often = each.groupBy("sig").agg(F.count("*").alias("often"))
     rare = Window.partitionBy("id").orderBy("often", "sig")
@@ -143,3 +162,8 @@ def similar_sets(sets: DataFrame, p: SpotSigs = SpotSigs()) -> DataFrame:
     left, right = (known.select(F.col("id").alias(k), F.col("sigs").alias(f"sigs_{k}")) for k in "ab")
     sim = met.join(left, "a").join(right, "b").select("a", "b", likeness(F.col("sigs_a"), F.col("sigs_b")).alias("sim"))
     return sim.where(F.col("sim") >= p.similarity)
+
+
+def set_names(sets: DataFrame) -> DataFrame:
+    """(id, name): the name, in similar_sets, of each id's set."""
+    return sets.join(sets.groupBy("sigs").agg(F.min("id").alias("name")), "sigs").select("id", "name")
