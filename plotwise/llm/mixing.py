@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored, text_of
+from .shared import stored, text_of, unused
 
 
 @dataclass(frozen=True)
@@ -74,17 +74,19 @@ def mix_sources(docs: DataFrame, p: Mixture = Mixture(), source: str = "source",
 
     Rows are sorted by __place over all partitions. Equal rows (same doc_id, same text) draw the same count, each for itself.
     Null sources are a source; null texts have no characters but are drawn at their source's rate. If there are no characters
-    at all, every rate is `epochs`. An empty table gives no rows. All columns are kept; those named __copy or __place are replaced.
+    at all, every rate is `epochs`. An empty table gives no rows. All columns are kept, whatever their names; those named __copy or
+    __place are replaced. Equal rows have equal places and follow each other in no stated order, which cannot be told apart.
     """
     known = rates(docs.select(F.col(source).alias("source"), F.col(text).alias("text")), p)
-    table = stored(known.select(F.col("source").alias("__source"), F.col("n_chunks").alias("__chunks"), F.col("table").alias("__table")), "rates")
-    key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
     names = [c for c in docs.columns if c not in ("__copy", "__place")]
-    keyed = docs.select(*names, key.alias("__key"))
+    id_, own, chunks, table, zero = unused(docs, "key", "source", "chunks", "table", "0")
+    shared = stored(known.select(F.col("source").alias(own), F.col("n_chunks").alias(chunks), F.col("table").alias(table)), "rates")
+    key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    keyed = docs.select(*names, key.alias(id_))
     # sources are few as a rule and the join is planned by size; with many, skewed sources are split
-    joined = keyed.join(table, F.col(source).cast("string").eqNullSafe(F.col("__source")))
-    draws = F.transform(F.sequence(F.lit(1), F.col("__chunks")), lambda j: unit(F.col("__key"), p.seed, j))
-    count = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter(F.col("__table"), lambda c: c <= u)))
-    copies = joined.select(*names, "__key", F.posexplode(F.array_repeat(F.lit(0), count)).alias("__copy", "__0"))
-    place = unit(F.col("__key"), p.seed + 1, F.col("__copy"))
+    joined = keyed.join(shared, F.col(source).cast("string").eqNullSafe(F.col(own)))
+    draws = F.transform(F.sequence(F.lit(1), F.col(chunks)), lambda j: unit(F.col(id_), p.seed, j))
+    count = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter(F.col(table), lambda c: c <= u)))
+    copies = joined.select(*names, id_, F.posexplode(F.array_repeat(F.lit(0), count)).alias("__copy", zero))
+    place = unit(F.col(id_), p.seed + 1, F.col("__copy"))
     return copies.select(*names, F.col("__copy"), place.alias("__place")).orderBy("__place", "doc_id", "__copy")

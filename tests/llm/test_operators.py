@@ -109,9 +109,13 @@ def test_near_duplicates_in_one_large_group(spark):
         for _ in range(rng.randrange(0, 7)):
             w[rng.randrange(150)] = f"e{rng.random()}"
         rows.append((i, " ".join(w)))
+    # around the threshold: most pairs of these share buckets and are no links
+    rows += [(1000 + i, " ".join(f"v{j}" if rng.random() > 0.025 else f"z{rng.random()}" for j in range(150))) for i in range(150)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [(r.doc_id, r.class_id) for r in near_dedup.near_duplicate_classes(df).collect()]
-    assert sorted(got) == sorted(brute.near_classes(rows))
+    want = sorted(brute.near_classes(rows))
+    assert len({c for i, c in want if i >= 1000}) > 10
+    for p in (near_dedup.NearDedup(), near_dedup.NearDedup(block=8, block_bytes=4000)):
+        assert sorted((r.doc_id, r.class_id) for r in near_dedup.near_duplicate_classes(df, p).collect()) == want
 
 
 def test_near_duplicates_odd(odd, empty):
@@ -166,6 +170,10 @@ def test_mixing_meets_its_weights(spark):
 
 
 def test_mixing_odd(odd, empty):
+    clash = odd.withColumns({c: F.lit("x") for c in ("__key", "__source", "__chunks", "__table", "__0", "___KEY")})
+    mixed = mixing.mix_sources(clash)
+    assert [c for c in mixed.columns if c not in ("__copy", "__place")] == [c for c in clash.columns if c != "__copy"]
+    assert mixed.count() == mixing.mix_sources(odd).count()
     assert mixing.mix_sources(odd).count() >= 0
     assert mixing.mix_sources(empty).count() == 0
     some = mixing.mix_sources(odd, mixing.Mixture(epochs=30.0))
@@ -396,6 +404,37 @@ def test_shared_lines_are_a_longest_common_subsequence(a, b):
     assert all(x in rest for x, s in zip(a, shared, strict=True) if s)
 
 
+def test_long_and_deep_pages():
+    import time
+    import tracemalloc
+
+    began = time.time()
+    n = 40_000
+    a, b = [i % 1009 for i in range(n)], [i * 7 % 1009 for i in range(n)]
+    tracemalloc.start()
+    shared = html_text.shared_lines(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 60e6  # a row for each line would take 200 MB
+    tracemalloc.stop()
+    assert 0 < sum(shared) < n
+    assert len(html_text.lines_of("<div>x" * 30_000)) == 30_000
+    assert len(html_text.lines_of("</b></i>" * 30_000 + "<div><span>y" * 30_000)) == 30_000
+    assert time.time() - began < 60
+
+
+def test_copies_that_differ_in_a_line_keep_their_text(spark):
+    body = "".join(f"<p>paragraph {i} of a long text that both pages have</p>" for i in range(20))
+    page = lambda extra: f"<html><body>{body}<div>{extra}</div></body></html>"
+    df = spark.createDataFrame([(1, "http://x.com/a/1", page("today")), (2, "http://x.com/a/2", page("yesterday"))], "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n") for r in html_text.extract(df).collect()}
+    assert len(got[1]) == len(got[2]) == 21
+    # the template goes where only the alignment can tell it, and the article stays where the neighbour has a line of it
+    named = lambda x: f"<html><body><div>Shop</div><article><p>All wares</p><p>{x}</p></article></body></html>"
+    plain = lambda x: f"<html><body><div>Shop</div><div>All wares</div><p>{x}</p></body></html>"
+    df = spark.createDataFrame([(1, "http://x.com/1", named("one")), (2, "http://x.com/2", named("two")), (3, "http://y.com/1", plain("three and more")), (4, "http://y.com/2", plain("four and more"))], "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_shared) for r in html_text.extract(df).collect()}
+    assert got == {1: ("All wares\none", 2), 2: ("All wares\ntwo", 2), 3: ("three and more", 2), 4: ("four and more", 2)}
+
+
 def test_neighbours_delete_the_template(spark):
     page = lambda body: f"<html><body><div>Shop name</div><div>All wares</div>{body}<div>Call us</div></body></html>"
     rows = [(1, "http://x.com/a/1", page("<p>first</p>")), (2, "http://x.com/a/2", page("<p>second</p>")), (3, "http://y.com/", page("<p>alone</p>")), (4, "http://x.com/b/9?q", page("<p>third</p>")), (None, None, None), (5, "http://z.com/1", PAGE), (6, "http://z.com/1", PAGE)]
@@ -518,12 +557,30 @@ def test_edited_texts(docs, pairs, odd, empty):
     assert one.near_next == 1.0
 
 
+def test_ids_of_any_spread(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    ids = [low, high, None, 0, *range(1, 400), 1 << 40]
+    df = spark.createDataFrame([(i, f"the text of number {i} is here and is its own" * 3) for i in ids], "doc_id long, text string")
+    got = {r.doc_id: r for r in spotsigs.edited_fingerprints(df).collect()}
+    texts = {r.doc_id: r.text for r in df.collect()}
+    order = sorted((i for i in ids if i is not None), reverse=True) + [None]
+    for i, nxt in zip(order, [*order[1:], order[0]], strict=True):
+        n = len(texts[i]) // 3
+        assert got[i].edited_sha256 == brute.sha(texts[i][: len(texts[i]) - n] + texts[nxt][:n])
+    own = df.select(F.col("doc_id").isNotNull().cast("int").alias("has"), F.coalesce("doc_id", F.lit(0)).alias("rid"), F.xxhash64("text").alias("key"))
+    assert spotsigs.dealt(own).groupBy("bucket").count().agg(F.max("count")).first()[0] < 100
+
+
 def test_similar_sets(docs, pairs):
     texts = {}
     for i, t in pairs:
         texts.setdefault(t or "", i)
-    sets = docs.where(F.col("doc_id").isin(*texts.values())).select(F.col("doc_id").alias("id"), spotsigs.signatures(F.coalesce("text", F.lit(""))).alias("sigs"))
+    sets = docs.select(F.col("doc_id").alias("id"), spotsigs.signatures(F.coalesce("text", F.lit(""))).alias("sigs"))
     got = {(r.a, r.b) for r in spotsigs.similar_sets(sets).collect()}
-    all_ = {r.id: set(r.sigs) for r in sets.collect()}
+    least = {}
+    for r in sorted(sets.collect()):
+        least.setdefault(tuple(r.sigs), r.id)
+    assert {r.id: r["name"] for r in spotsigs.set_names(sets).collect()} == {r.id: least[tuple(r.sigs)] for r in sets.collect()}
+    all_ = {i: set(k) for k, i in least.items()}
     ids = sorted(all_)
     assert got == {(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if len(all_[a] & all_[b]) >= 0.8 * len(all_[a] | all_[b])}
