@@ -90,3 +90,9 @@ def kappa(pairs: DataFrame, first: str, second: str) -> DataFrame:
     joined = total.join(F.broadcast(chance))  # one row each
     po, pe = d("agreed") / d("n"), F.col("e") / (d("n") * d("n"))
     return joined.select("n", F.col("agreed").cast("long").alias("agreed"), po.alias("agreement"), F.when(pe < 1, (po - pe) / (1 - pe)).alias("kappa"))
+
+
+def matrix_table(rows: DataFrame, classes: list[str], prefix: str = "") -> DataFrame:
+    """The error matrix (pred, a column for each reference class, n) of rows (pred, ref); references outside `classes` count in n only."""
+    each = [F.count(F.when(F.col("ref") == c, 1)).alias(f"{prefix}{c}") for c in classes]
+    return rows.groupBy("pred").agg(*each, F.count("*").alias("n"))

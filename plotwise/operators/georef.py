@@ -72,24 +72,72 @@ def model(kind: str, u, v, x, y):
     return lambda a, b: (fx(a, b), fy(a, b))
 
 
-def compare_models(points: DataFrame, kinds: list[str], scale: float = 1e-4) -> DataFrame:
-    """(set_, kind, n, rmse, loo_rmse, loo_max) for control points (set_, u, v, x, y): a group of tens of rows for each fit."""
+#: The models that are compared.
+MODELS = ["order1", "order2", "tps", "tps:0.0001", "tps:0.001", "tps:0.01"]
+
+
+def compare_models(points: DataFrame, kinds: list[str] = MODELS, scale: float = 1e-4, checks: DataFrame | None = None) -> DataFrame:
+    """(set_, kind, n, rmse, loo_rmse, loo_max, cp_rmse, cp_max) for control points (set_, u, v, x, y): tens of rows for each fit.
+
+    rmse is that of the fit itself, loo that of points left out one at a time, cp that at `checks` (set_, u, v, x, y), points that
+    no fit sees; null where a set has none.
+    """
     import pandas as pd
 
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+    names = ["set_", "kind", "n", "rmse", "loo_rmse", "loo_max", "cp_rmse", "cp_max"]
+
+    def errors(fitted, g: pd.DataFrame) -> np.ndarray:
         u, v, x, y = (g[c].to_numpy(float) * (scale if c in "uv" else 1.0) for c in "uvxy")
-        kind = key[1]
-        px, py = model(kind, u, v, x, y)(u, v)
-        errors = []
-        for i in range(len(u)):
-            k = np.arange(len(u)) != i
-            qx, qy = model(kind, u[k], v[k], x[k], y[k])(u[i : i + 1], v[i : i + 1])
-            errors.append(math.hypot(qx[0] - x[i], qy[0] - y[i]))
-        e = np.array(errors)
-        return pd.DataFrame([(key[0], kind, len(u), float(np.sqrt(np.mean((px - x) ** 2 + (py - y) ** 2))), float(np.sqrt(np.mean(e**2))), float(e.max()))], columns=["set_", "kind", "n", "rmse", "loo_rmse", "loo_max"])
-
-    each = points.withColumn("kind", F.explode(F.array([F.lit(k) for k in kinds])))
-    return each.groupBy("set_", "kind").applyInPandas(run, "set_ string, kind string, n long, rmse double, loo_rmse double, loo_max double")
+        px, py = fitted(u, v)
+        return np.hypot(px - x, py - y)
+
+    def fitted(kind: str, g: pd.DataFrame):
+        return model(kind, *(g[c].to_numpy(float) * (scale if c in "uv" else 1.0) for c in "uvxy"))
+
+    def run(key, g):  # no type hints: Spark reads them
+        control, check = g[g["held"] == 0].sort_values(["u", "v"]).reset_index(drop=True), g[g["held"] == 1]
+        whole = fitted(key[1], control)
+        left_out = np.array([errors(fitted(key[1], control.drop(index=i)), control.iloc[[i]])[0] for i in range(len(control))])
+        rms = lambda e: float(np.sqrt(np.mean(e**2))) if len(e) else None
+        apart = errors(whole, check) if len(check) else np.zeros(0)
+        return pd.DataFrame([(*key, len(control), rms(errors(whole, control)), rms(left_out), float(left_out.max()), rms(apart), float(apart.max()) if len(apart) else None)], columns=names)
+
+    rows = points.select("set_", "u", "v", "x", "y", F.lit(0).alias("held"))
+    if checks is not None:
+        rows = rows.unionByName(checks.select("set_", "u", "v", "x", "y", F.lit(1).alias("held")))
+    each = rows.withColumn("kind", F.explode(F.array([F.lit(k) for k in kinds])))
+    return each.groupBy("set_", "kind").applyInPandas(run, "set_ string, kind string, n long, rmse double, loo_rmse double, loo_max double, cp_rmse double, cp_max double")
+
+
+def check_errors(checks: DataFrame, points: DataFrame, kind: str, scale: float = 1e-4) -> DataFrame:
+    """`checks` (set_, id, u, v, x, y) with `error`, the distance that the set's model misses them by. `points` as in compare_models."""
+    import pandas as pd
+
+    def run(key, g):  # no type hints: Spark reads them
+        control, check = g[g["held"] == 0].sort_values(["u", "v"]), g[g["held"] == 1]
+        if not len(check) or not len(control):
+            return pd.DataFrame({"set_": [], "id": [], "error": []})
+        u, v, x, y = (control[c].to_numpy(float) * (scale if c in "uv" else 1.0) for c in "uvxy")
+        px, py = model(kind, u, v, x, y)(check["u"].to_numpy(float) * scale, check["v"].to_numpy(float) * scale)
+        return pd.DataFrame({"set_": check["set_"], "id": check["id"], "error": np.hypot(px - check["x"], py - check["y"])})
+
+    rows = points.select("set_", F.lit(None).cast("string").alias("id"), "u", "v", "x", "y", F.lit(0).alias("held"))
+    both = rows.unionByName(checks.select("set_", F.col("id").cast("string").alias("id"), "u", "v", "x", "y", F.lit(1).alias("held")))
+    return both.groupBy("set_").applyInPandas(run, "set_ string, id string, error double")
+
+
+def displacement(points: DataFrame, first: str, second: str, scale: float = 1e-4, steps: int = 60) -> DataFrame:
+    """(set_, i, j, gap): how far two models of a set's control points are apart, on a grid of steps x steps over the points' box."""
+    import pandas as pd
+
+    def run(key, g):  # no type hints: Spark reads them
+        u, v, x, y = (g.sort_values(["u", "v"])[c].to_numpy(float) * (scale if c in "uv" else 1.0) for c in "uvxy")
+        i, j = (k.ravel() for k in np.mgrid[0:steps, 0:steps])
+        a, b = u.min() + np.ptp(u) * i / (steps - 1), v.min() + np.ptp(v) * j / (steps - 1)
+        (ax, ay), (bx, by) = model(first, u, v, x, y)(a, b), model(second, u, v, x, y)(a, b)
+        return pd.DataFrame({"set_": key[0], "i": i, "j": j, "gap": np.hypot(ax - bx, ay - by)})
+
+    return points.groupBy("set_").applyInPandas(run, "set_ string, i long, j long, gap double")
 
 
 def residual_summary(rows: DataFrame, error: Column, *by: str) -> DataFrame:

@@ -1,18 +1,22 @@
 """Connected components, hole filling and geodesic growth on cell masks.
 
-Components are found on horizontal runs of cells, which are far fewer than cells: runs of neighbouring rows that touch are
-linked and least labels flow over the links, jumping to their label's label, until nothing changes. Every round is written to
-the shared folder, so lineage stays short and a lost executor costs a round at most.
+Components are labelled inside tiles of cells with array operations, one shuffle for the grid. What crosses the tiles' borders is
+a graph of one node for each component of a tile that touches a border, some hundredths of the cells; least labels flow over its
+links, jumping to their label's label, until nothing changes. Every round is written to the shared folder, so lineage stays short
+and a lost executor costs a round at most.
 """
 
 from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .grid import moved, spans, square
+from .grid import moved, square
+from .tiles import SIZE
 
 FOUR = [(-1, 0), (1, 0), (0, -1), (0, 1)]
 EIGHT = [o for o in square(1) if o != (0, 0)]
@@ -49,21 +53,66 @@ def flow(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         labels = labels.drop("old")
 
 
-def components(mask: DataFrame, nx: int, eight: bool = True) -> DataFrame:
-    """(row, col, comp): comp is row * nx + col of the component's first cell in row order.
+def labels_of(value: np.ndarray, eight: bool) -> np.ndarray:
+    """For each cell of a dense tile the place of the first cell of its component, in row order; value 0 is no cell.
 
-    Runs are joined to the runs of the next row that they touch, by the blocks of columns that both reach into.
+    Runs of equal cells along rows are linked to those that they touch in the row below; the least place flows over the links.
     """
-    runs = stored(spans(mask.select("row", "col")).withColumn("node", F.col("row") * nx + F.col("col_start")))
-    reach = 1 if eight else 0
-    block = 64
-    upper = runs.select(F.col("node").alias("a"), (F.col("row") + 1).alias("row"), (F.col("col_start") - reach).alias("lo"), (F.col("col_end") + reach).alias("hi"))
-    cut = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / block), F.floor(F.col(hi) / block)))
-    u = upper.withColumn("k", cut("lo", "hi"))
-    lower = runs.select(F.col("node").alias("b"), "row", "col_start", "col_end").withColumn("k", cut("col_start", "col_end"))
-    touching = u.join(lower, ["row", "k"]).where("lo <= col_end AND col_start <= hi").select("a", "b").distinct()
-    labels = flow(touching, runs.select("node"))
-    return runs.join(labels, "node").select("row", F.explode(F.sequence("col_start", "col_end")).alias("col"), F.col("label").alias("comp"))
+    side = value.shape[1]
+    flat = value.ravel()
+    new = np.ones(flat.shape, dtype=bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[::side] = True
+    run = np.cumsum(new) - 1
+    links = []
+    for shift in (-1, 0, 1) if eight else (0,):
+        lo, hi = max(0, -shift), side - max(0, shift)
+        up, down = value[:-1, lo:hi], value[1:, lo + shift : hi + shift]
+        hit = (up == down) & (up != 0)
+        at = run.reshape(value.shape)
+        links.append(np.column_stack([at[:-1, lo:hi][hit], at[1:, lo + shift : hi + shift][hit]]))
+    a, b = np.unique(np.concatenate(links), axis=0).T if links else (np.zeros(0, dtype=int),) * 2
+    label = np.arange(run[-1] + 1)
+    while True:
+        old = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], least)
+        np.minimum.at(label, label[b], least)
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+        if np.array_equal(label, old):
+            return np.flatnonzero(new)[label][run].reshape(value.shape)
+
+
+def components(mask: DataFrame, nx: int, eight: bool = True, value: str | None = None, size: int = SIZE) -> DataFrame:
+    """(row, col, comp, and the value if given): comp is row * nx + col of the component's first cell in row order.
+
+    With `value` (codes from 0), only cells of one value are connected. A component of several tiles has the least of their comps.
+    """
+    code = F.col(value).cast("long") + 1 if value else F.lit(1).cast("long")
+    dealt = mask.select("row", "col", code.alias("code"), F.floor(F.col("row") / size).alias("tr"), F.floor(F.col("col") / size).alias("tc"))
+
+    def run(key, rows):  # no type hints: Spark reads them
+        top, left = key[0].as_py() * size, key[1].as_py() * size
+        r, c = rows.column("row").to_numpy() - top, rows.column("col").to_numpy() - left
+        dense = np.zeros((size, size), dtype=np.int64)
+        dense[r, c] = rows.column("code").to_numpy()
+        first = labels_of(dense, eight)[r, c]
+        own = (first // size + top) * nx + first % size + left
+        return pa.table([rows.column("row"), rows.column("col"), rows.column("code"), pa.array(own)], names=["row", "col", "code", "own"])
+
+    tiles = stored(dealt.groupBy("tr", "tc").applyInArrow(run, "row long, col long, code long, own long"))
+    edge = lambda c: F.pmod(F.col(c), F.lit(size))
+    border = tiles.where(edge("row").isin(0, size - 1) | edge("col").isin(0, size - 1))
+    near = moved(border.select("row", "col", F.col("code").alias("near_code"), F.col("own").alias("near")), [(1, 0), (0, 1), (1, 1), (1, -1)] if eight else [(1, 0), (0, 1)])
+    links = border.join(near, ["row", "col"]).where("code = near_code AND own <> near").select(F.col("own").alias("a"), F.col("near").alias("b")).distinct()
+    links = stored(links)
+    back = [(F.col("code") - 1).alias(value)] if value else []
+    if links.isEmpty():
+        return tiles.select("row", "col", F.col("own").alias("comp"), *back)
+    known = flow(links, links.select(F.col("a").alias("node")).union(links.select("b")).distinct())
+    return tiles.join(known, tiles.own == known.node, "left").select("row", "col", F.coalesce("label", "own").alias("comp"), *back)
 
 
 def component_sizes(labelled: DataFrame) -> DataFrame:
@@ -87,11 +136,7 @@ def fill_holes(mask: DataFrame, grid: DataFrame, nx: int, ny: int, most: int, ei
 
 def sieve(cells: DataFrame, value: str, nx: int, least: int) -> DataFrame:
     """Cells with the value of components (4-connected, of one value) below `least` cells replaced by that of their largest neighbour."""
-    parts = None
-    for r in cells.select(value).distinct().collect():  # a code table's values
-        part = components(cells.where(F.col(value) == r[0]), nx, eight=False).withColumn(value, F.lit(r[0]))
-        parts = part if parts is None else parts.unionByName(part)
-    known = stored(parts)
+    known = stored(components(cells, nx, eight=False, value=value))
     sizes = known.groupBy("comp", value).agg(F.count("*").alias("size"))
     tagged = stored(known.join(sizes, ["comp", value]))
     near = moved(tagged.select("row", "col", F.col("comp").alias("o_comp"), F.col(value).alias("o_value"), F.col("size").alias("o_size")), FOUR)
@@ -119,3 +164,44 @@ def revert_components(labelled: DataFrame, features: DataFrame, rejected: str, n
     """Cells with `old` instead of `new` where their component's features meet the condition `rejected`."""
     bad = features.select("comp", F.expr(rejected).alias("__bad"))
     return labelled.join(bad, "comp", "left").withColumn("value", F.when(F.col("__bad"), F.col(old)).otherwise(F.col(new))).drop("__bad")
+
+
+def outlines(labelled: DataFrame, comp: str = "comp") -> DataFrame:
+    """(comp, hole, ring): the closed outlines of each component's cells, corners only, at (col, row); its cells lie to the right of the line.
+
+    Sides between cells of a component cancel where they are met, so only the component's outline reaches the task that traces it.
+    """
+    cell = labelled.select(comp, "row", "col")
+    side = lambda x, y, dx, dy: F.struct(x.alias("x"), y.alias("y"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
+    r, c = F.col("row").cast("long"), F.col("col").cast("long")
+    sides = cell.select(comp, F.explode(F.array(side(c, r, 1, 0), side(c + 1, r, 0, 1), side(c + 1, r + 1, -1, 0), side(c, r + 1, 0, -1))).alias("s"))
+    # a side and the same side of the neighbour, which runs the other way, have one place
+    low = sides.select(comp, "s.*").withColumns({"px": F.col("x") + F.least("dx", F.lit(0)), "py": F.col("y") + F.least("dy", F.lit(0)), "flat": F.col("dy") == 0})
+    open_ = low.groupBy(comp, "px", "py", "flat").agg(F.count("*").alias("n"), F.min("x").alias("x"), F.min("y").alias("y"), F.min("dx").alias("dx"), F.min("dy").alias("dy")).where("n = 1")
+    kind = labelled.schema[comp].dataType.simpleString()
+
+    def run(key, rows):  # no type hints: Spark reads them
+        x, y, dx, dy = (rows.column(n).to_numpy() for n in ("x", "y", "dx", "dy"))
+        ahead: dict[tuple, list[tuple]] = {}
+        for a in zip(x.tolist(), y.tolist(), dx.tolist(), dy.tolist(), strict=True):
+            ahead.setdefault(a[:2], []).append(a[2:])
+        rings = []
+        while ahead:
+            start = min(ahead)
+            at, step, ring = start, None, []
+            while not ring or at != start:
+                ways = ahead[at]
+                # where two outlines meet at a corner, the sharper right turn keeps them apart
+                way = ways[0] if step is None or len(ways) == 1 else next(w for w in ways if w == (-step[1], step[0]))
+                ways.remove(way)
+                if not ways:
+                    del ahead[at]
+                if way != step:
+                    ring.append(at)
+                at, step = (at[0] + way[0], at[1] + way[1]), way
+            area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
+            rings.append((area < 0, [{"x": float(a), "y": float(b)} for a, b in ring]))
+        point = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+        return pa.table({comp: pa.array([key[0].as_py()] * len(rings)), "hole": pa.array([h for h, _ in rings], pa.bool_()), "ring": pa.array([g for _, g in rings], point)})
+
+    return open_.groupBy(comp).applyInArrow(run, f"{comp} {kind}, hole boolean, ring array<struct<x:double,y:double>>")

@@ -1,8 +1,7 @@
-"""Operators on cell tables (row, col, value...): shifts, windows, morphology, blocks, downsampling, profiles.
+"""Operators on cell tables (row, col, value...): shifts, morphology, blocks, downsampling, profiles.
 
-A window over a neighbourhood is a separable pair of range frames, by row and then by column, partitioned by the grid line, so a
-grid of any size is dealt out by its lines. Structuring elements are offsets that cells are exploded by; the counts of the
-results are pre-aggregated.
+Structuring elements are offsets that cells are exploded by; the counts of the results are pre-aggregated. Windows over
+neighbourhoods are in tiles.py.
 """
 
 from __future__ import annotations
@@ -22,25 +21,6 @@ def toroidal_shift(cells: DataFrame, dx: Column | int, dy: Column | int, nx: int
     return cells.withColumns({"col": F.pmod(F.col("col") + as_col(dx), F.lit(nx)).cast("long"), "row": F.pmod(F.col("row") + as_col(dy), F.lit(ny)).cast("long")})
 
 
-def box_sum(cells: DataFrame, value: str, radius: int, name: str = "box") -> DataFrame:
-    """Cells with the sum and the number of cells in the square of the given radius, cut off at the grid's edges."""
-    along = Window.partitionBy("row").orderBy("col").rangeBetween(-radius, radius)
-    across = Window.partitionBy("col").orderBy("row").rangeBetween(-radius, radius)
-    lines = cells.withColumns({"__s": F.sum(value).over(along), "__n": F.count("*").over(along)})
-    return lines.withColumns({f"{name}_sum": F.sum("__s").over(across), f"{name}_n": F.sum("__n").over(across)}).drop("__s", "__n")
-
-
-def box_mean(cells: DataFrame, value: str, radius: int, name: str = "mean") -> DataFrame:
-    return box_sum(cells, value, radius, "__b").withColumn(name, F.col("__b_sum") / F.col("__b_n")).drop("__b_sum", "__b_n")
-
-
-def box_std(cells: DataFrame, value: str, radius: int, name: str = "std") -> DataFrame:
-    """sqrt(max(E[x^2] - E[x]^2, 0)) in the square."""
-    squared = cells.withColumn("__q", F.col(value) * F.col(value))
-    both = box_mean(box_mean(squared, value, radius, "__m"), "__q", radius, "__mq")
-    return both.withColumn(name, F.sqrt(F.greatest(F.col("__mq") - F.col("__m") * F.col("__m"), F.lit(0.0)))).drop("__q", "__m", "__mq")
-
-
 def mirrored(cells: DataFrame, radius: int, nx: int, ny: int) -> DataFrame:
     """The grid with a margin in which it is reflected at its edges (the edge cells twice)."""
     def reflect(c: str, n: int) -> Column:
@@ -85,6 +65,7 @@ def opened(mask: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
 
 
 def closed(mask: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
+    """The mask with gaps filled that the element does not fit into; a mask is not closed over the grid's edge."""
     return erode(dilate(mask, offsets).union(mask.select("row", "col")).distinct(), offsets)
 
 
@@ -93,24 +74,6 @@ def top_hat(mask: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
     return mask.select("row", "col").join(opened(mask, offsets), ["row", "col"], "left_anti")
 
 
-def neighbourhood(cells: DataFrame, value: str, offsets: list[tuple[int, int]], agg: Column, name: str) -> DataFrame:
-    """For each cell an aggregate of `v` over the cells at the offsets around it, itself included if (0, 0) is."""
-    spread = moved(cells.select("row", "col", F.col(value).alias("v")), [(-dy, -dx) for dy, dx in offsets])
-    return spread.groupBy("row", "col").agg(agg.alias(name)).join(cells.select("row", "col"), ["row", "col"], "left_semi")
-
-
-def median_filter(cells: DataFrame, value: str, radius: int) -> DataFrame:
-    return neighbourhood(cells, value, square(radius), F.percentile("v", F.lit(0.5)), "median")
-
-
-def majority_filter(cells: DataFrame, value: str, radius: int) -> DataFrame:
-    """The most frequent value around each cell, the lowest of equally frequent ones; counted in two steps."""
-    spread = moved(cells.select("row", "col", F.col(value).alias("v")), square(radius))
-    counts = spread.groupBy("row", "col", "v").agg(F.count("*").alias("n"))
-    best = counts.groupBy("row", "col").agg(F.min(F.struct((-F.col("n")).alias("n"), "v")).alias("b"))
-    return best.select("row", "col", F.col("b.v").alias("mode")).join(cells.select("row", "col"), ["row", "col"], "left_semi")
-
-
 def integral(cells: DataFrame, value: str, name: str = "sat") -> DataFrame:
     """Summed-area table: the sum of all cells above and to the left."""
     along = Window.partitionBy("row").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
@@ -179,6 +142,23 @@ def profile_walk(line: DataFrame, by: str, position: str, value: str, threshold:
     return walked.groupBy(by).agg(F.min(F.when(ok, F.col(position))).alias("edge"))
 
 
+def dissolve(cells: DataFrame, code: str) -> DataFrame:
+    """(code, area, perimeter, row_min, col_min, row_max, col_max): the cells of each code as one shape.
+
+    The perimeter counts the sides of cells whose other side is not of the same code: four a cell, less two for each pair of
+    equal neighbours, which are met along rows and along columns.
+    """
+    known = cells.select("row", "col", code)
+
+    def joined(line: str, along: str) -> Column:
+        w = Window.partitionBy(line).orderBy(along)
+        return ((F.lag(along).over(w) == F.col(along) - 1) & F.lag(code).over(w).eqNullSafe(F.col(code))).cast("int")
+
+    met = known.withColumn("__a", F.coalesce(joined("row", "col"), F.lit(0))).withColumn("__b", F.coalesce(joined("col", "row"), F.lit(0)))
+    box = [f(c).alias(f"{c}_{n}") for n, f in (("min", F.min), ("max", F.max)) for c in ("row", "col")]
+    return met.groupBy(code).agg(F.count("*").alias("area"), (4 * F.count("*") - 2 * F.sum(F.col("__a") + F.col("__b"))).alias("perimeter"), *box)
+
+
 def spans(cells: DataFrame, *values: str) -> DataFrame:
     """Runs of equal values along rows: (row, col_start, col_end, values...), the compact form of a class raster."""
     along = Window.partitionBy("row").orderBy("col")

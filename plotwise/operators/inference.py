@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,17 +39,72 @@ def decay_vectors(spark, most: float, step: float, directions: int, cell: float)
     return each.select("distance", "direction", F.bround(F.col("distance") * F.cos(angle) / cell).cast("long").alias("dx"), F.bround(F.col("distance") * F.sin(angle) / cell).cast("long").alias("dy"))
 
 
-def shifted_agreement(cells: DataFrame, xwalk: DataFrame, vectors: DataFrame, nx: int, ny: int, by: list[str]) -> DataFrame:
-    """Percentages by group for each vector: zones moved on the torus, uses and extent fixed.
+#: Packed grids up to this size are given to all tasks whole; larger ones are joined by row.
+GIVEN_BYTES = 64 << 20
+
+
+def packed_rows(cells: DataFrame, value: Column, nx: int) -> DataFrame:
+    """(row, line): a byte for each of the row's nx cells, 0 where there is none. `value` is a code from 0 to 255."""
+
+    def run(key, rows):  # no type hints: Spark reads them
+        line = np.zeros(nx, dtype=np.uint8)
+        line[rows.column("col").to_numpy()] = rows.column("v").to_numpy()
+        return pa.table({"row": pa.array([key[0].as_py()], pa.int64()), "line": pa.array([line.tobytes()], pa.binary())})
+
+    coded = cells.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), value.cast("int").alias("v")).where("v > 0")
+    return coded.groupBy("row").applyInArrow(run, "row long, line binary")
+
+
+def shifted_counts(cells: DataFrame, vectors: DataFrame, nx: int, ny: int, by: list[str]) -> DataFrame:
+    """(by..., zone, lu, n): the crosstab for each vector, zones moved on the torus, uses and extent fixed.
 
-    `vectors` (by..., dx, dy) is a bounded list and is given to all tasks. Each shift is a join on the cell; rows of a shift are
-    dealt out with the cells, and counted before they are shuffled on.
+    A grid row is one value of a byte a cell. For each vector a row of zones meets the row of uses that it is moved to, and the two
+    are rolled and counted as arrays; what leaves a task is at most zones x uses counts for each vector.
     """
-    zones = cells.where("zone > 0").select("row", "col", "zone")
-    uses = cells.where("ext AND lu > 0").select("row", "col", "lu")
-    moved = zones.join(F.broadcast(vectors)).select(*by, F.pmod(F.col("row") + F.col("dy"), F.lit(ny)).cast("long").alias("row"), F.pmod(F.col("col") + F.col("dx"), F.lit(nx)).cast("long").alias("col"), "zone")
-    ct = moved.join(uses, ["row", "col"]).groupBy(*by, "zone", "lu").agg(F.count("*").alias("n"))
-    return percentages(measures(ct, xwalk, *by, "grp"))
+    zones = packed_rows(cells, F.col("zone"), nx).withColumnRenamed("line", "zones")
+    uses = packed_rows(cells, F.when(F.col("ext"), F.col("lu")), nx).withColumnsRenamed({"row": "at", "line": "uses"})
+    if nx * ny <= GIVEN_BYTES:
+        uses = F.broadcast(uses)
+    fields = {f.name: f.dataType.simpleString() for f in vectors.schema}
+    steps = F.broadcast(vectors.select(*by, "dx", "dy"))  # a list of parameters
+    met = zones.crossJoin(steps).withColumn("at", F.pmod(F.col("row") + F.col("dy"), F.lit(ny))).join(uses, "at").select(*by, "dx", "zones", "uses")
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            dx, z, u = (batch.column(len(by) + i) for i in range(3))
+            counts: dict[tuple, np.ndarray] = {}
+            for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in range(len(by))), strict=True)):
+                zone, use = (np.frombuffer(x[i].as_buffer(), dtype=np.uint8) for x in (z, u))
+                n = counted(zone, use, dx[i].as_py())
+                if key in counts and len(counts[key]) != len(n):
+                    size = max(len(counts[key]), len(n))
+                    counts[key], n = (np.pad(x, (0, size - len(x))) for x in (counts[key], n))
+                counts[key] = counts[key] + n if key in counts else n
+            rows = [(*key, zu >> 8, zu & 255, int(n[zu])) for key, n in counts.items() for zu in np.flatnonzero(n).tolist() if zu >> 8 and zu & 255]
+            yield pa.RecordBatch.from_pylist([dict(zip([*by, "zone", "lu", "n"], r, strict=True)) for r in rows], schema=out) if rows else pa.RecordBatch.from_arrays([pa.array([], f.type) for f in out], schema=out)
+
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+    out = pa.schema([*[(k, kinds[fields[k]]) for k in by], ("zone", pa.int32()), ("lu", pa.int32()), ("n", pa.int64())])
+    each = met.mapInArrow(run, ", ".join([*[f"{k} {fields[k]}" for k in by], "zone int", "lu int", "n long"]))
+    return each.groupBy(*by, "zone", "lu").agg(F.sum("n").alias("n"))
+
+
+def counted(zone: np.ndarray, use: np.ndarray, dx: int) -> np.ndarray:
+    """How often each zone * 256 + use stands at a place, zones moved by dx around the line."""
+    k = dx % len(zone)
+    n = np.bincount((zone[: len(zone) - k].astype(np.uint16) << 8) | use[k:], minlength=1 << 12)
+    if k:
+        wrapped = np.bincount((zone[len(zone) - k :].astype(np.uint16) << 8) | use[:k], minlength=1 << 12)
+        size = max(len(n), len(wrapped))
+        n = np.pad(n, (0, size - len(n))) + np.pad(wrapped, (0, size - len(wrapped)))
+    return n
+
+
+def shifted_agreement(cells: DataFrame, xwalk: DataFrame, vectors: DataFrame, nx: int, ny: int, by: list[str]) -> DataFrame:
+    """Percentages by group for each vector (by..., dx, dy) of a bounded list."""
+    return percentages(measures(shifted_counts(cells, vectors, nx, ny, by), xwalk, *by, "grp"))
 
 
 def null_summary(null: DataFrame, observed: DataFrame) -> DataFrame:
@@ -109,6 +166,24 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int, seed: int
     return some.withColumn("draw", F.row_number().over(last)).where(F.col("draw") <= n).drop("__h", "__lane", "__r")
 
 
+def capped(rows: DataFrame, key: str, most: int, seed: int, bins: int = 1 << 16) -> DataFrame:
+    """All rows, or `most` of them at random: those with the least hashes of the key, equal ones by the key.
+
+    The hash at which to cut is found in a histogram of `bins` counts; only rows of that bin are sorted.
+    """
+    hashed = rows.withColumn("__h", draw(F.lit(seed), F.col(key))).withColumn("__bin", F.floor(F.col("__h") / ((1 << 32) // bins)))
+    upto, cut, room = 0, None, 0
+    for r in sorted(hashed.groupBy("__bin").agg(F.count("*").alias("n")).collect(), key=lambda r: r["__bin"]):
+        if upto + r["n"] > most:
+            cut, room = r["__bin"], most - upto
+            break
+        upto += r["n"]
+    if cut is None:
+        return rows
+    last = hashed.where(F.col("__bin") == cut).orderBy("__h", key).limit(room)
+    return hashed.where(F.col("__bin") < cut).unionByName(last).drop("__h", "__bin")
+
+
 def strata(rows: DataFrame, stratum: str) -> DataFrame:
     """Sizes and weights of strata."""
     sizes = rows.groupBy(stratum).agg(F.count("*").alias("size"))

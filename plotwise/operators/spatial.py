@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import stored
+
 BOX = ("x0", "y0", "x1", "y1")
 
 
@@ -91,32 +94,56 @@ def rasterise_rings(shapes: DataFrame, value: str, cell: float, order: list[Colu
     return hit.groupBy("row", "col").agg(F.max_by(value, "__o").alias(value))
 
 
+def clipped(shape: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Convex shapes (many x corners x 2, the first n of each) cut to the left of the lines from a to b, all at once."""
+    many, width, _ = shape.shape
+    k = np.arange(width)
+    following = np.where(k + 1 < n[:, None], k + 1, 0)
+    ahead = np.take_along_axis(shape, following[:, :, None], axis=1)
+    edge = (b - a)[:, None, :]
+    side = lambda p: edge[..., 0] * (p[..., 1] - a[:, None, 1]) - edge[..., 1] * (p[..., 0] - a[:, None, 0])
+    here, there = side(shape), side(ahead)
+    real = k < n[:, None]
+    gap = np.where(here == there, 1.0, here - there)
+    crossing = shape + (here / gap)[..., None] * (ahead - shape)
+    points = np.stack([shape, crossing], axis=2).reshape(many, 2 * width, 2)
+    keep = np.stack([real & (here >= 0), real & (here * there < 0)], axis=2).reshape(many, 2 * width)
+    order = np.argsort(~keep, axis=1, kind="stable")[:, : width + 1]
+    return np.take_along_axis(points, order[:, :, None], axis=1), keep.sum(axis=1)
+
+
+def fan(ring: np.ndarray, origin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The triangles from an origin over a ring's sides, all counter-clockwise, and the sign that each has in the ring's area."""
+    ahead = np.roll(ring, -1, axis=0)
+    cross = (ring[:, 0] - origin[0]) * (ahead[:, 1] - origin[1]) - (ring[:, 1] - origin[1]) * (ahead[:, 0] - origin[0])
+    out = np.stack([np.broadcast_to(origin, ring.shape), np.where(cross[:, None] >= 0, ring, ahead), np.where(cross[:, None] >= 0, ahead, ring)], axis=1)
+    return out[cross != 0], np.sign(cross[cross != 0]) * np.sign(cross.sum())
+
+
+def shared_area(left: np.ndarray, right: np.ndarray) -> float:
+    """Area of the intersection of two simple rings, dents and all: the signed sum over pairs of their fans' triangles."""
+    origin = left[0]
+    (s, s_sign), (t, t_sign) = fan(left, origin), fan(right, origin)
+    if not len(s) or not len(t):
+        return 0.0
+    i, j = (x.ravel() for x in np.mgrid[0 : len(s), 0 : len(t)])
+    shape, n, clip = s[i], np.full(len(i), 3), t[j]
+    for k in range(3):
+        shape, n = clipped(shape, n, clip[:, k], clip[:, (k + 1) % 3])
+    real = np.arange(shape.shape[1]) < n[:, None]
+    points = np.where(real[..., None], shape, shape[:, :1]) - origin  # corners beyond the last add nothing
+    ahead = np.roll(points, -1, axis=1)
+    area = (points[..., 0] * ahead[..., 1] - points[..., 1] * ahead[..., 0]).sum(axis=1) / 2
+    return float((np.where(n > 2, area, 0.0) * s_sign[i] * t_sign[j]).sum())
+
+
 def polygon_overlay(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
-    """(left_id, right_id, area) of rings that intersect; exact where the right ring is convex (Sutherland-Hodgman)."""
-    def clipped(subject: list, clip: list) -> float:
-        pts = [(p["x"], p["y"]) for p in subject]
-        hull = [(p["x"], p["y"]) for p in clip]
-        if sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(hull, hull[1:] + hull[:1], strict=True)) < 0:
-            hull = hull[::-1]
-        for a, b in zip(hull, hull[1:] + hull[:1], strict=True):
-            side = lambda p, a=a, b=b: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
-            out = []
-            for p, q in zip(pts, pts[1:] + pts[:1], strict=True):
-                sp, sq = side(p), side(q)
-                if sp >= 0:
-                    out.append(p)
-                if sp * sq < 0:
-                    t = sp / (sp - sq)
-                    out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
-            pts = out
-            if not pts:
-                return 0.0
-        xy = np.array(pts)
-        return float(abs(np.dot(xy[:, 0], np.roll(xy[:, 1], -1)) - np.dot(xy[:, 1], np.roll(xy[:, 0], -1))) / 2)
+    """(left_id, right_id, area) of simple rings that intersect. Pairs of boxes are met by bins, and a pair is clipped with arrays."""
 
     @F.pandas_udf("double")
     def area(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([clipped(x, y) for x, y in zip(a, b, strict=True)])
+        corners = lambda ring: np.array([(p["x"], p["y"]) for p in ring], dtype=float)
+        return pd.Series([shared_area(corners(x), corners(y)) for x, y in zip(a, b, strict=True)])
 
     boxed = lambda s: s.withColumn("__b", ring_box(F.col("ring"))).select("id", "ring", *[F.col(f"__b.{c}").alias(c) for c in BOX])
     a, b = boxed(left), boxed(right)
@@ -132,20 +159,29 @@ def sample_raster(points: DataFrame, cells: DataFrame, value: str, x0: float, y0
 
 
 def nearest(points: DataFrame, targets: DataFrame, cell: float, rings: int = 1) -> DataFrame:
-    """(id, target, d2): the nearest target of each point; of equally near ones the least id.
+    """(id, target, d2): the nearest target of each point; of equally near ones the least id. No targets: no rows.
 
-    Targets are looked up in the cells around a point, `rings` wide; points that find none, or none as near as those cells are
-    safe for, are held against all targets, which must be few for that.
+    Targets are looked up in the cells around a point, `rings` wide. Points that find none, or none as near as those cells are safe
+    for, look again among cells four times as wide, until all are settled: rounds grow with the logarithm of the longest way.
     """
-    cx, cy = F.floor(F.col("x") / cell), F.floor(F.col("y") / cell)
-    t = targets.select(F.col("id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty"), F.floor(F.col("x") / cell).alias("bx"), F.floor(F.col("y") / cell).alias("by"))
+    spark = points.sparkSession
     around = F.sequence(F.lit(-rings), F.lit(rings))
-    p = points.withColumn("bx", F.explode(F.transform(around, lambda v: cx + v))).withColumn("by", F.explode(F.transform(around, lambda v: cy + v)))
     d2 = (F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2
-    best = lambda df: df.groupBy("id").agg(F.min(F.struct(d2.alias("d2"), "target")).alias("b")).select("id", F.col("b.target").alias("target"), F.col("b.d2").alias("d2"))
-    found = best(p.join(t, ["bx", "by"])).where(F.col("d2") <= (cell * rings) ** 2)
-    rest = points.join(found.select("id"), "id", "left_anti")
-    return found.unionByName(best(rest.join(F.broadcast(targets.select(F.col("id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty"))))))
+    known = targets.select(F.col("id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+    out, rest = None, points.select("id", "x", "y")
+    if known.isEmpty():
+        return spark.createDataFrame([], f"id {points.schema['id'].dataType.simpleString()}, target {targets.schema['id'].dataType.simpleString()}, d2 double")
+    while True:
+        t = known.withColumns({"bx": F.floor(F.col("tx") / cell), "by": F.floor(F.col("ty") / cell)})
+        p = rest.withColumn("bx", F.explode(around)).withColumn("by", F.explode(around))
+        p = p.withColumns({"bx": F.floor(F.col("x") / cell) + F.col("bx"), "by": F.floor(F.col("y") / cell) + F.col("by")})
+        best = p.join(t, ["bx", "by"]).groupBy("id").agg(F.min(F.struct(d2.alias("d2"), "target")).alias("b")).select("id", F.col("b.target").alias("target"), F.col("b.d2").alias("d2"))
+        found = stored(best.where(F.col("d2") <= (cell * rings) ** 2))
+        out = found if out is None else out.unionByName(found)
+        rest = stored(rest.where("x IS NOT NULL AND y IS NOT NULL").join(found.select("id"), "id", "left_anti"))
+        if rest.isEmpty():
+            return out
+        cell *= 4
 
 
 def convex_hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
@@ -174,6 +210,43 @@ def in_hull(x: Column, y: Column, hull: list[tuple[float, float]]) -> Column:
 
 
 def largest_of(shapes: DataFrame, by: str, area: str) -> DataFrame:
-    """The largest shape of each group, the least id of equally large ones."""
-    w = Window.partitionBy(by).orderBy(F.col(area).desc(), "id")
-    return shapes.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    """The largest shape of each group, the least id of equally large ones; found where the shapes are, then among those."""
+    row = F.struct(F.col(area), F.struct(*shapes.columns).alias("row"))
+    order = F.struct(F.col(area), (-F.col("id")).alias("id"))
+    return shapes.groupBy(F.col(by).alias("__by")).agg(F.max_by(row, order).alias("__m")).select("__m.row.*")
+
+
+def nearest_vectors(queries: DataFrame, vectors: DataFrame, block: int = 256) -> DataFrame:
+    """(id, target, d2): the nearest other vector of each query, by squared distance; of equally near ones the least id.
+
+    Both tables are (id, embedding). They are packed into blocks of vectors; every block of queries meets every block of vectors, and
+    a meeting gives a row for each query: the stated queries against all rows, without a row for a pair.
+    """
+
+    def pack(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, block):
+                part = batch.slice(lo, block)
+                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                data = np.array(part.column(1).to_pylist(), dtype=np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([data.tobytes()]), pa.array([data.shape[1]], pa.int32())], ["ids", "data", "width"])
+
+    def meet(batches):
+        for batch in batches:
+            for a_ids, a_data, b_ids, b_data, width in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b = (np.frombuffer(x, dtype=np.float32).reshape(-1, width).astype(np.float64) for x in (a_data, b_data))
+                own, ids = np.frombuffer(a_ids, dtype=np.int64), np.frombuffer(b_ids, dtype=np.int64)
+                order = np.argsort(ids, kind="stable")
+                b, ids = b[order], ids[order]
+                found = []
+                for i, q in zip(own.tolist(), a, strict=True):
+                    d2 = np.where(ids == i, np.inf, ((b - q) ** 2).sum(axis=1))
+                    k = int(d2.argmin())
+                    if np.isfinite(d2[k]):
+                        found.append((i, int(ids[k]), float(d2[k])))
+                yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["id", "target", "d2"])
+
+    packed = lambda df: df.where("embedding IS NOT NULL").select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(pack, "ids binary, data binary, width int")
+    left, right = packed(queries), packed(vectors).withColumnsRenamed({"ids": "b_ids", "data": "b_data", "width": "b_width"})
+    met = left.crossJoin(right).where("width = b_width").select("ids", "data", "b_ids", "b_data", "width").mapInArrow(meet, "id long, target long, d2 double")
+    return met.groupBy("id").agg(F.min(F.struct("d2", "target")).alias("b")).select("id", F.col("b.target").alias("target"), F.col("b.d2").alias("d2"))

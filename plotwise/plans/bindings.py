@@ -26,10 +26,15 @@ def width(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
     return nx, -(-n // nx)
 
 
-def blocks(spark: SparkSession, sf_dir: str, size: int, least: int) -> tuple[int, int]:
-    """Blocks of `size` cells across and down that cover the grid; `least` at least, the number that the SQL holds."""
+def blocks(spark: SparkSession, sf_dir: str, size: int) -> tuple[int, int]:
+    """Blocks of `size` cells across and down that cover the grid."""
     nx, ny = width(spark, sf_dir)
-    return max(least, -(-nx // size)), max(least, -(-ny // size))
+    return -(-nx // size), -(-ny // size)
+
+
+def block_sql(size: int) -> str:
+    """The block of a cell, in `FROM cells, dim`."""
+    return f"(row // {size}) * cast(ceil(nx / {size}.0) AS bigint) + col // {size}"
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +46,23 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid as a scan: patches of a tone with a fine grain, and rare bright dots."""
+    tone = 40 + (F.floor(F.col("row") / 12) * 37 + F.floor(F.col("col") / 12) * 53) % 210
+    grey = F.when(F.col("v") % 97 == 0, 230).otherwise(tone + F.col("v") % 6)
+    return cells(spark, sf_dir).select("row", "col", grey.cast("double").alias("grey"))
+
+
+SHADES_SQL = "shades AS (SELECT row, col, cast(CASE WHEN v % 97 = 0 THEN 230 ELSE 40 + ((row // 12) * 37 + (col // 12) * 53) % 210 + v % 6 END AS double) AS grey FROM cells)"
+
+
+def around_sql(table: str, value: str, radius: int, bright: float = 1e9) -> str:
+    """(row, col, v, mean, std, bright) of the square around each cell."""
+    span = f"(SELECT unnest(range(-{radius}, {radius + 1})) AS {{}})"
+    return f"""SELECT row, col, v, m AS mean, sqrt(greatest(q - m * m, 0.0::double)) AS std, bright FROM (SELECT a.row, a.col, any_value(a.{value}) AS v, avg(b.{value}) AS m, avg(b.{value} * b.{value}) AS q, avg((b.{value} > {bright})::int) AS bright
+ FROM {table} a CROSS JOIN {span.format("y")} CROSS JOIN {span.format("x")} JOIN {table} b ON b.row = a.row + y AND b.col = a.col + x GROUP BY a.row, a.col)"""
+
+
 CELLS_SQL = """
 dim AS (SELECT cast(ceil(sqrt(count(*))) AS bigint) AS nx, cast(ceil(count(*) / ceil(sqrt(count(*)))) AS bigint) AS ny FROM orders),
 cells AS (SELECT o_orderkey // nx AS row, o_orderkey % nx AS col, cast(o_custkey % 11 AS int) AS zone, cast(cast(floor(o_totalprice) AS bigint) % 12 AS int) AS lu,

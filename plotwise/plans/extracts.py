@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import domain
+from ..operators import spatial as SP
 from ..operators import texture as TX
 from ..sources import tables as SRC
 from ..streaming import sinks as SNK
@@ -40,8 +41,8 @@ def ml03(spark, d):
 
 @query("ml02_fft_features")
 def ml02(spark, d):
-    """Every patch of the grid; pixels that a patch at the edge lacks have the mean of those it has."""
-    across, _ = B.blocks(spark, d, 16, 100)
+    """Every patch of 16 x 16 cells of the grid; pixels that a patch at the edge lacks have the mean of those it has."""
+    across, _ = B.blocks(spark, d, 16)
     place = ((F.col("row") % 16) * 16 + F.col("col") % 16).cast("int")
     patch = cells(spark, d).groupBy((F.floor(F.col("row") / 16) * across + F.floor(F.col("col") / 16)).alias("id")).agg(F.map_from_entries(F.collect_list(F.struct(place, F.col("v").cast("double")))).alias("m"), F.avg("v").alias("mean"))
     pixels = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at("m", i), F.col("mean")))  # a patch is 256 pixels
@@ -70,55 +71,74 @@ def vectors(spark, d):
     return B.read(spark, d, "embeddings").select("vec_id", "label", "embedding")
 
 
+FOLDS = 3
+FOREST = {"trees": 40, "depth": 8}
+
+
 @query("ml06_forest")
 def ml06(spark, d):
+    """Every vector, by a forest that was taught on the other folds."""
     e = vectors(spark, d)
-    fitted = TX.fit_forest(e.where("vec_id % 5 <> 0"), "embedding", trees=20, depth=8)
-    return TX.classify(fitted, e.where("vec_id % 5 = 0"), "embedding").select("vec_id", "label", "pred", F.round("conf", 6).alias("conf"))
+    out = None
+    for k in range(FOLDS):
+        own = F.col("vec_id") % FOLDS == k
+        part = TX.classify(TX.fit_forest(e.where(~own), "embedding", **FOREST), e.where(own), "embedding")
+        out = part if out is None else out.unionByName(part)
+    return out.select("vec_id", "label", "pred", F.round("conf", 6).alias("conf"))
 
 
 @query("ml07_self_training")
 def ml07(spark, d):
+    """Labels of the first fold teach, all other vectors are the unlabelled ones that it learns from; every vector is classified."""
     e = vectors(spark, d)
-    fitted = TX.self_train(e.where("vec_id % 3 = 0"), e.where("vec_id % 3 = 1"), "vec_id", "embedding", floor=0.3, cap=20, trees=20, depth=8)
-    return TX.classify(fitted, e.where("vec_id % 3 = 2"), "embedding").groupBy("label", "pred").agg(F.count("*").alias("n"))
+    fitted = TX.self_train(e.where(F.col("vec_id") % FOLDS == 0), e.where(F.col("vec_id") % FOLDS != 0), "vec_id", "embedding", floor=0.3, **FOREST)
+    return TX.classify(fitted, e, "embedding").select("vec_id", "label", "pred", F.round("conf", 6).alias("conf"))
 
 
-@query("ml08_class_counts", "SELECT label, count(*) AS n, count(*) FILTER (vec_id % 10 = label) AS hits FROM embeddings GROUP BY label")
+@query("ml08_fit_summary")
 def ml08(spark, d):
-    return vectors(spark, d).groupBy("label").agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % 10 == F.col("label"), 1)).alias("hits"))
+    """Rows and hits by class of a forest on its own training rows."""
+    e = vectors(spark, d)
+    return TX.fit_summary(TX.fit_forest(e, "embedding", **FOREST), e, "embedding")
+
+
+@query("ml08_importances")
+def ml08i(spark, d):
+    return TX.importances(spark, TX.fit_forest(vectors(spark, d), "embedding", **FOREST))
+
+
+D2 = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::double - x[2]::double) ** 2))"
 
 
-@query("jn09_nearest_vector", "SELECT id, target, round(d2, 5) AS d2 FROM (SELECT a.vec_id AS id, b.vec_id AS target, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::double - x[2]::double) ** 2)) AS d2, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::double - x[2]::double) ** 2)), b.vec_id) AS r FROM (SELECT * FROM embeddings WHERE vec_id < 40) a JOIN (SELECT * FROM embeddings WHERE vec_id >= 40) b ON true) WHERE r = 1")
+@query("jn09_nearest_vector", f"SELECT id, target, round(d2, 5) AS d2 FROM (SELECT a.vec_id AS id, b.vec_id AS target, {D2} AS d2, row_number() OVER (PARTITION BY a.vec_id ORDER BY {D2}, b.vec_id) AS r FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE r = 1")
 def jn09v(spark, d):
-    """The stated set of 40 centres against all other vectors."""
-    e = vectors(spark, d)
-    centres = e.where("vec_id < 40").select(F.col("vec_id").alias("id"), F.col("embedding").alias("a"))  # 40 rows
-    d2 = F.aggregate(F.zip_with("a", "embedding", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda acc, v: acc + v)
-    near = e.where("vec_id >= 40").join(F.broadcast(centres)).select("id", "vec_id", d2.alias("d2"))
-    return near.groupBy("id").agg(F.min(F.struct("d2", "vec_id")).alias("b")).select("id", F.col("b.vec_id").alias("target"), F.round("b.d2", 5).alias("d2"))
+    """Every vector whose id is divisible by 100 against all others."""
+    e = vectors(spark, d).select(F.col("vec_id").alias("id"), "embedding")
+    return SP.nearest_vectors(e.where("id % 100 = 0"), e).withColumn("d2", F.round("d2", 5))
 
 
-@query("ag12_block_vote", grid_sql("SELECT block, zone FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY n DESC, zone) AS r FROM (SELECT (row // 10) * 13 + col // 10 AS block, zone, count(*) AS n FROM cells WHERE zone > 0 GROUP BY ALL)) WHERE r = 1"))
+@query("ag12_block_vote", grid_sql("SELECT block, zone FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY n DESC, zone) AS r FROM (SELECT {block} AS block, zone, count(*) AS n FROM cells, dim WHERE zone > 0 GROUP BY ALL)) WHERE r = 1".format(block=B.block_sql(10))))
 def ag12(spark, d):
     from ..operators.grid import block_id
 
-    return TX.block_vote(cells(spark, d).where("zone > 0").withColumn("block", block_id(10, B.blocks(spark, d, 10, 13)[0])), "block", "zone")
+    return TX.block_vote(cells(spark, d).where("zone > 0").withColumn("block", block_id(10, B.blocks(spark, d, 10)[0])), "block", "zone")
 
 
-@query("ag13_block_fraction", grid_sql("SELECT (row // 10) * 13 + col // 10 AS block, round(avg((zone = 7)::int), 6) AS share, count(*) AS area FROM cells GROUP BY ALL"))
+@query("ag13_block_fraction", grid_sql(f"SELECT {B.block_sql(10)} AS block, round(avg((zone = 7)::int), 6) AS share, count(*) AS area FROM cells, dim GROUP BY ALL"))
 def ag13(spark, d):
     from ..operators.grid import block_id
 
-    return cells(spark, d).groupBy(block_id(10, B.blocks(spark, d, 10, 13)[0]).alias("block")).agg(F.round(F.avg((F.col("zone") == 7).cast("int")), 6).alias("share"), F.count("*").alias("area"))
+    return cells(spark, d).groupBy(block_id(10, B.blocks(spark, d, 10)[0]).alias("block")).agg(F.round(F.avg((F.col("zone") == 7).cast("int")), 6).alias("share"), F.count("*").alias("area"))
 
 
-@query("ml10_fallback", grid_sql("SELECT row, col, coalesce(vote, zone)::int AS cls FROM (SELECT *, (row // 10) * 13 + col // 10 AS block FROM cells) LEFT JOIN (SELECT block, zone AS vote FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY n DESC, zone) AS r FROM (SELECT (row // 10) * 13 + col // 10 AS block, zone, count(*) AS n FROM cells WHERE zone > 7 GROUP BY ALL)) WHERE r = 1 AND block % 2 = 0) USING (block)"))
+@query("ml10_fallback", grid_sql(f"SELECT row, col, coalesce(vote, zone)::int AS cls FROM (SELECT cells.*, {B.block_sql(10)} AS block FROM cells, dim) LEFT JOIN (SELECT block, zone AS vote FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY n DESC, zone) AS r FROM (SELECT {B.block_sql(10)} AS block, zone, count(*) AS n FROM cells, dim WHERE zone > 7 GROUP BY ALL)) WHERE r = 1 AND n >= 12) USING (block)"))
 def ml10(spark, d):
+    """A block's vote where it rests on a dozen cells, else the cell's own code."""
     from ..operators.grid import block_id
 
-    c = cells(spark, d).withColumn("block", block_id(10, B.blocks(spark, d, 10, 13)[0]))
-    votes = TX.block_vote(c.where("zone > 7"), "block", "zone").where("block % 2 = 0").withColumnRenamed("zone", "vote")
+    c = cells(spark, d).withColumn("block", block_id(10, B.blocks(spark, d, 10)[0]))
+    sure = c.where("zone > 7").join(c.where("zone > 7").groupBy("block", "zone").agg(F.count("*").alias("n")).groupBy("block").agg(F.max("n").alias("most")).where("most >= 12"), "block", "left_semi")
+    votes = TX.block_vote(sure, "block", "zone").withColumnRenamed("zone", "vote")
     return c.join(votes, "block", "left").select("row", "col", F.coalesce("vote", "zone").alias("cls"))
 
 
@@ -127,11 +147,6 @@ def ml11(spark, d):
     return cells(spark, d).select("row", "col", TX.merged_override(None, [("NOT ext", "0"), ("v > 4000", "7"), ("lu = 5 AND v < 1000", "8")], "zone").alias("cls"))
 
 
-@query("flt04_thresholds", grid_sql("SELECT row, col FROM cells WHERE (v > 2120 AND zone < 4) OR (v > 1950 AND zone < 2 AND NOT lu BETWEEN 3 AND 5)"))
-def flt04(spark, d):
-    return cells(spark, d).where("(v > 2120 AND zone < 4) OR (v > 1950 AND zone < 2 AND NOT lu BETWEEN 3 AND 5)").select("row", "col")
-
-
 @query("flt07_confidence", "SELECT p_type AS cls, count(*) AS n, min(p_retailprice) AS least FROM part WHERE p_retailprice / 1100 >= 0.85 GROUP BY p_type HAVING count(*) >= 5")
 def flt07(spark, d):
     return B.read(spark, d, "part").where("p_retailprice / 1100 >= 0.85").groupBy(F.col("p_type").alias("cls")).agg(F.count("*").alias("n"), F.min("p_retailprice").alias("least")).where("n >= 5")
@@ -154,12 +169,18 @@ def snk09(spark, d):
     return SNK.packed_rows(cells(spark, d), "zone")
 
 
-@query("web01_lookup", grid_sql("SELECT row, col, zone, lu, agree FROM (SELECT row // 3 AS row, col // 3 AS col, zone, lu, CASE WHEN zone = 0 OR lu = 0 THEN 0 WHEN is_neutral THEN 4 WHEN is_strict THEN 1 WHEN is_cumulative THEN 2 ELSE 3 END AS agree FROM cells LEFT JOIN xw USING (zone, lu) WHERE cells.row % 3 = 1 AND cells.col % 3 = 1)"))
+MODE = "(SELECT row, col, {v} FROM (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY n DESC, {v}) AS r FROM (SELECT row // 3 AS row, col // 3 AS col, {v}, count(*) AS n FROM cells GROUP BY ALL)) WHERE r = 1)"
+
+
+@query("web01_lookup", grid_sql(f"SELECT row, col, zone, lu, CASE WHEN zone = 0 OR lu = 0 THEN 0 WHEN is_neutral THEN 4 WHEN is_strict THEN 1 WHEN is_cumulative THEN 2 ELSE 3 END AS agree FROM {MODE.format(v='zone')} JOIN {MODE.format(v='lu')} USING (row, col) LEFT JOIN xw USING (zone, lu)"))
 def web01(spark, d):
+    """The most frequent zone and the most frequent use of each 3 x 3 cells, and their agreement."""
     from ..operators.agreement import classify_cells
+    from ..operators.grid import mode_downsample
 
-    c = cells(spark, d).where("row % 3 = 1 AND col % 3 = 1").withColumns({"row": F.floor(F.col("row") / 3), "col": F.floor(F.col("col") / 3)})
-    return classify_cells(c, domain.crosswalk(spark)).select("row", "col", "zone", "lu", "agree")
+    c = cells(spark, d)
+    both = mode_downsample(c, "zone", 3).join(mode_downsample(c, "lu", 3), ["row", "col"])
+    return classify_cells(both, domain.crosswalk(spark)).select("row", "col", "zone", "lu", "agree")
 
 
 AGREE = f"ag AS (SELECT grp, {pct('s', 'denom')} AS strict_pct, {pct('c', 'denom')} AS cumulative_pct FROM (SELECT grp, {MEASURES} FROM (SELECT zone, lu, count(*) AS n FROM cells WHERE ext AND lu > 0 AND zone > 0 GROUP BY ALL) JOIN xw USING (zone, lu) GROUP BY grp))"
@@ -194,9 +215,9 @@ def snk13(spark, d):
     return B.read(spark, d, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("sha256"), F.octet_length("html").cast("long").alias("bytes"))
 
 
-@query("src12_tokens", "SELECT item_id, pos::int AS pos, token FROM (SELECT item_id, unnest(string_split_regex(text, ' ')) AS token, generate_subscripts(string_split_regex(text, ' '), 1) - 1 AS pos FROM benchmark)")
+@query("src12_tokens", "SELECT item_id, pos::int AS pos, token FROM (SELECT item_id, unnest(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS token, generate_subscripts(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), 1) - 1 AS pos FROM benchmark)")
 def src12(spark, d):
-    return B.read(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("pos", "token"))
+    return SRC.tokens_of(B.read(spark, d, "benchmark"), "text", "item_id")
 
 
 MD = "md AS (SELECT p_partkey AS id, x AS no, CASE x WHEN 0 THEN '| name | type |' WHEN 1 THEN '|---|:--:|' ELSE '| ' || p_name || ' | ' || p_type || ' |' END AS line FROM part CROSS JOIN (SELECT unnest(range(0, 3)) AS x))"
@@ -220,10 +241,11 @@ def src11(spark, d):
     return spark.createDataFrame([(SRC.is_loaded(o, o.select("o_orderkey").distinct()),)], "loaded boolean")
 
 
-@query("ag21_priority_pivot", "SELECT o_orderstatus AS status, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderpriority = '5-LOW') AS low, count(*) AS n FROM orders GROUP BY o_orderstatus")
+@query("ag21_error_matrix", with_sql("SELECT pred, count(*) FILTER (ref = '0') AS r0, count(*) FILTER (ref = '1') AS r1, count(*) FILTER (ref = '2') AS r2, count(*) FILTER (ref = '3') AS r3, count(*) AS n FROM sample GROUP BY pred", B.SAMPLE_SQL))
 def ag21(spark, d):
-    o = B.read(spark, d, "orders")
-    return o.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.when(F.col("o_orderpriority") == "1-URGENT", 1)).alias("urgent"), F.count(F.when(F.col("o_orderpriority") == "5-LOW", 1)).alias("low"), F.count("*").alias("n"))
+    from ..operators.accuracy import matrix_table
+
+    return matrix_table(B.sample(spark, d), ["0", "1", "2", "3"], "r")
 
 
 @query("tk03_detail_order", "SELECT p_brand AS detail, sum(p_size)::bigint AS acres, row_number() OVER (ORDER BY sum(p_size) DESC, p_brand)::int AS place FROM part GROUP BY p_brand")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import domain
-from ..operators import graph, grid
+from ..operators import graph, grid, tiles
 from ..operators import spatial as SP
 from . import bindings as B
 from .bindings import BOXES_SQL, cells, grid_sql, with_sql
@@ -25,33 +25,83 @@ def query(name: str, sql: str | None = None):
 
 
 def values(spark, d):
-    """The grid's full rows: separable windows need a rectangle."""
-    nx, _ = B.width(spark, d)
-    rows = B.read(spark, d, "orders").count() // nx
-    return cells(spark, d).where(F.col("row") < rows).select("row", "col", "zone", "lu", "ext", F.col("v").cast("double").alias("v"))
-
-
-FULL = "(SELECT * FROM cells WHERE row < (SELECT count(*) FROM orders) // (SELECT nx FROM dim))"
+    return cells(spark, d).select("row", "col", "zone", "lu", "ext", F.col("v").cast("double").alias("v"))
 
 
 def box_join(r: int) -> str:
-    return f"{FULL} a JOIN {FULL} b ON b.row BETWEEN a.row - {r} AND a.row + {r} AND b.col BETWEEN a.col - {r} AND a.col + {r}"
+    return f"cells a CROSS JOIN (SELECT unnest(range(-{r}, {r + 1})) AS y) CROSS JOIN (SELECT unnest(range(-{r}, {r + 1})) AS x) JOIN cells b ON b.row = a.row + y AND b.col = a.col + x"
 
 
-@query("foc01_box_mean", grid_sql(f"SELECT a.row, a.col, round(avg(b.v), 6) AS mean FROM {box_join(2)} GROUP BY ALL"))
+@query("foc01_box_mean", grid_sql(f"SELECT a.row, a.col, round(avg(b.v), 6) AS mean FROM {box_join(2)} GROUP BY a.row, a.col"))
 def foc01(spark, d):
-    return grid.box_mean(values(spark, d), "v", 2).select("row", "col", F.round("mean", 6).alias("mean"))
+    return tiles.box_mean(values(spark, d), "v", 2).select("row", "col", F.round("mean", 6).alias("mean"))
 
 
-@query("foc02_local_std", grid_sql(f"SELECT row, col, round(sqrt(greatest(mq - m * m, 0.0::double)), 4) AS std FROM (SELECT a.row, a.col, avg(b.v) AS m, avg((b.v * b.v)::double) AS mq FROM {box_join(2)} GROUP BY ALL)"))
+@query("foc02_local_std", grid_sql(f"SELECT row, col, round(sqrt(greatest(mq - m * m, 0.0::double)), 4) AS std FROM (SELECT a.row, a.col, avg(b.v) AS m, avg((b.v * b.v)::double) AS mq FROM {box_join(2)} GROUP BY a.row, a.col)"))
 def foc02(spark, d):
-    return grid.box_std(values(spark, d), "v", 2).select("row", "col", F.round("std", 4).alias("std"))
+    return tiles.texture(values(spark, d), "v", 2).select("row", "col", F.round("std", 4).alias("std"))
 
 
-@query("foc03_local_fraction", grid_sql(f"SELECT a.row, a.col, round(avg((b.zone > 4)::int), 6) AS share FROM {box_join(1)} GROUP BY ALL"))
+@query("foc03_local_fraction", grid_sql(f"SELECT a.row, a.col, round(avg((b.zone > 4)::int), 6) AS share FROM {box_join(1)} GROUP BY a.row, a.col"))
 def foc03(spark, d):
-    c = values(spark, d).withColumn("f", (F.col("zone") > 4).cast("int"))
-    return grid.box_mean(c, "f", 1).select("row", "col", F.round("mean", 6).alias("share"))
+    return tiles.texture(values(spark, d), "zone", 1, bright=4).select("row", "col", F.round("bright", 6).alias("share"))
+
+
+@query("foc09_gabor_energy")
+def foc09(spark, d):
+    return tiles.gabor_energy(B.shades(spark, d), "grey")
+
+
+PAPER, STREET = "v > 212 AND std < 4", "v > 195 AND std < 14"
+
+
+@query("flt04_paper_and_street", grid_sql(f"SELECT row, col, {PAPER} AS paper, {STREET} AS street FROM ({B.around_sql('shades', 'grey', 2)}) WHERE ({PAPER}) OR ({STREET})", B.SHADES_SQL))
+def flt04(spark, d):
+    near = tiles.texture(B.shades(spark, d), "grey", 2)
+    return near.select("row", "col", F.expr(PAPER).alias("paper"), F.expr(STREET).alias("street")).where("paper OR street")
+
+
+SEED, RELAXED = "mean < 95 AND std < 20 AND bright < 0.03", "mean < 120 AND std < 35 AND bright < 0.08"
+RULES_SQL = (B.SHADES_SQL, f"seed AS (SELECT row, col FROM ({B.around_sql('shades', 'grey', 7, 150)}) WHERE {SEED})", f"relaxed AS (SELECT row, col FROM ({B.around_sql('shades', 'grey', 3, 150)}) WHERE {RELAXED})")
+
+
+def rules(spark, d):
+    grey = B.shades(spark, d)
+    return tiles.texture(grey, "grey", 7, bright=150).where(SEED).select("row", "col"), tiles.texture(grey, "grey", 3, bright=150).where(RELAXED).select("row", "col")
+
+
+@query("flt09_seed_rules", grid_sql("SELECT row, col, 'seed' AS rule FROM seed UNION ALL SELECT row, col, 'relaxed' FROM relaxed", *RULES_SQL))
+def flt09(spark, d):
+    seed, relaxed = rules(spark, d)
+    return seed.withColumn("rule", F.lit("seed")).unionByName(relaxed.withColumn("rule", F.lit("relaxed")))
+
+
+@query("flt09_growth", grid_sql("SELECT row, col, min(ring)::int AS ring FROM g GROUP BY row, col", *RULES_SQL, """g(row, col, ring) AS (SELECT row, col, 0 FROM seed UNION SELECT r.row, r.col, g.ring + 1 FROM g JOIN relaxed r ON abs(r.row - g.row) + abs(r.col - g.col) = 1 WHERE g.ring < 5)""").replace("WITH", "WITH RECURSIVE", 1))
+def flt09g(spark, d):
+    seed, relaxed = rules(spark, d)
+    return graph.geodesic_growth(seed, relaxed, 5)
+
+
+PATCHES = "patches AS (SELECT row, col FROM (SELECT unnest(range(0, ny - 15, 8)) AS row FROM dim) CROSS JOIN (SELECT unnest(range(0, nx - 15, 8)) AS col FROM dim))"
+
+
+@query("flt06_patch_filter", grid_sql("SELECT p.row, p.col, round(count(c.row) / 256.0::double, 6) AS street FROM patches p LEFT JOIN (SELECT row, col FROM cells WHERE zone = 3) c ON c.row BETWEEN p.row AND p.row + 15 AND c.col BETWEEN p.col AND p.col + 15 GROUP BY p.row, p.col HAVING count(c.row) / 256.0::double < 0.09", PATCHES))
+def flt06(spark, d):
+    from ..operators.texture import patch_grid
+
+    nx, ny = B.width(spark, d)
+    street = grid.integral(cells(spark, d).withColumn("street", (F.col("zone") == 3).cast("int")), "street")
+    whole = street.select("row", "col", "sat")
+    patch = patch_grid(spark, nx, ny, 16, 8).select((F.col("row") * (1 << 20) + F.col("col")).alias("id"), F.col("row").alias("r0"), F.col("col").alias("c0"))
+    boxes = patch.withColumns({"r1": F.col("r0") + 15, "c1": F.col("c0") + 15})
+    share = grid.rectangle_sums(whole, boxes).join(patch, "id").select(F.col("r0").cast("long").alias("row"), F.col("c0").cast("long").alias("col"), F.round(F.col("total") / 256, 6).alias("street"))
+    return share.where("street < 0.09")
+
+
+@query("ag17_dissolve", grid_sql("""SELECT zone, count(*) AS area, 4 * count(*) - 2 * sum(a + b)::bigint AS perimeter, min(row) AS row_min, min(col) AS col_min, max(row) AS row_max, max(col) AS col_max
+ FROM (SELECT c.*, (l.zone IS NOT DISTINCT FROM c.zone AND l.row IS NOT NULL)::int AS a, (u.zone IS NOT DISTINCT FROM c.zone AND u.row IS NOT NULL)::int AS b FROM cells c LEFT JOIN cells l ON l.row = c.row AND l.col = c.col - 1 LEFT JOIN cells u ON u.row = c.row - 1 AND u.col = c.col) GROUP BY zone"""))
+def ag17(spark, d):
+    return grid.dissolve(cells(spark, d), "zone")
 
 
 MASK = "mask AS (SELECT row, col FROM cells WHERE zone <> 0)"
@@ -86,14 +136,14 @@ def foc05(spark, d):
     return grid.top_hat(mask(spark, d), grid.square(1))
 
 
-@query("foc06_median", grid_sql(f"SELECT a.row, a.col, median(b.v)::double AS median FROM {box_join(1)} GROUP BY ALL"))
+@query("foc06_median", grid_sql(f"SELECT a.row, a.col, median(b.v)::double AS median FROM {box_join(1)} GROUP BY a.row, a.col"))
 def foc06(spark, d):
-    return grid.median_filter(values(spark, d), "v", 1)
+    return tiles.median_filter(values(spark, d), "v", 1)
 
 
-@query("foc07_majority", grid_sql(f"SELECT row, col, mode FROM (SELECT row, col, z AS mode, row_number() OVER (PARTITION BY row, col ORDER BY n DESC, z) AS r FROM (SELECT a.row, a.col, b.zone AS z, count(*) AS n FROM {box_join(1)} GROUP BY ALL)) WHERE r = 1"))
+@query("foc07_majority", grid_sql(f"SELECT row, col, mode FROM (SELECT row, col, z AS mode, row_number() OVER (PARTITION BY row, col ORDER BY n DESC, z) AS r FROM (SELECT a.row, a.col, b.zone AS z, count(*) AS n FROM {box_join(1)} GROUP BY a.row, a.col, b.zone)) WHERE r = 1"))
 def foc07(spark, d):
-    return grid.majority_filter(values(spark, d), "zone", 1)
+    return tiles.majority_filter(values(spark, d), "zone", 1)
 
 
 @query("foc10_toroidal_shift", grid_sql("SELECT ((row + 5) % ny + ny) % ny AS row, ((col - 7) % nx + nx) % nx AS col, zone FROM cells, dim"))
@@ -139,14 +189,14 @@ def foc13(spark, d):
     return grid.profile_walk(line, "k", "pos", "value", 3.0, 3)
 
 
-@query("foc14_block_id", grid_sql("SELECT (row // 20) * 7 + col // 20 AS block, count(*) AS n FROM cells GROUP BY ALL"))
+@query("foc14_block_id", grid_sql(f"SELECT {B.block_sql(20)} AS block, count(*) AS n FROM cells, dim GROUP BY ALL"))
 def foc14(spark, d):
-    return cells(spark, d).groupBy(grid.block_id(20, B.blocks(spark, d, 20, 7)[0]).alias("block")).agg(F.count("*").alias("n"))
+    return cells(spark, d).groupBy(grid.block_id(20, B.blocks(spark, d, 20)[0]).alias("block")).agg(F.count("*").alias("n"))
 
 
 @query("foc15_background", grid_sql(f"SELECT row, col, round(least(255.0::double, greatest(0.0::double, v / m * 200)), 6) AS norm FROM (SELECT a.row, a.col, any_value(a.v) + 1 AS v, avg(b.v) + 1 AS m FROM {box_join(3)} GROUP BY a.row, a.col)"))
 def foc15(spark, d):
-    c = grid.box_mean(values(spark, d), "v", 3)
+    c = tiles.texture(values(spark, d), "v", 3)
     return c.select("row", "col", F.round(F.least(F.lit(255.0), F.greatest(F.lit(0.0), (F.col("v") + 1) / (F.col("mean") + 1) * 200)), 6).alias("norm"))
 
 
@@ -160,10 +210,10 @@ def ag16(spark, d):
     return grid.first_nonzero(cells(spark, d), "zone")
 
 
-@query("src07_nearest_resample", grid_sql("SELECT t.r AS row, t.c AS col, zone FROM (SELECT row AS r, col AS c FROM cells WHERE row < 40 AND col < 40) t LEFT JOIN cells ON cells.row = floor(t.r * 0.5::double) AND cells.col = floor(t.c * 0.25::double)"))
+@query("src07_nearest_resample", grid_sql("SELECT t.r AS row, t.c AS col, zone FROM (SELECT row AS r, col AS c FROM cells) t LEFT JOIN cells ON cells.row = floor(t.r * 0.5::double) AND cells.col = floor(t.c * 0.25::double)"))
 def src07(spark, d):
     c = cells(spark, d)
-    return grid.nearest_resample(c.select("row", "col", "zone"), c.where("row < 40 AND col < 40"), 0.5, 0.25).select("row", "col", "zone")
+    return grid.nearest_resample(c.select("row", "col", "zone"), c, 0.5, 0.25).select("row", "col", "zone")
 
 
 @query("src06_overview", grid_sql("SELECT row // 8 AS row, col // 8 AS col, round(avg(v), 6) AS v FROM cells GROUP BY ALL"))
@@ -204,6 +254,16 @@ def cc01f(spark, d):
     return graph.components(cells(spark, d).where("zone < 3"), nx, eight=False)
 
 
+@query("cc05_outlines", flood(False) + """, known AS (SELECT row, col, comp FROM mask JOIN (SELECT id, min(root) AS comp FROM walk GROUP BY id) USING (id))
+SELECT k.comp, any_value(n.size) AS area, (4 * any_value(n.size) - count(o.comp))::bigint AS perimeter FROM known k JOIN (SELECT comp, count(*) AS size FROM known GROUP BY comp) n USING (comp) LEFT JOIN known o ON o.comp = k.comp AND abs(k.row - o.row) + abs(k.col - o.col) = 1 GROUP BY k.comp""")
+def cc05(spark, d):
+    """Outlines of all components, held against their cells: area by the shoelace formula, perimeter by length."""
+    rings = graph.outlines(cc01f(spark, d))
+    length = F.aggregate(F.zip_with("ring", F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1)), lambda a, b: F.abs(a["x"] - b["x"]) + F.abs(a["y"] - b["y"])), F.lit(0.0), lambda acc, v: acc + v)
+    signed = F.when(F.col("hole"), -SP.ring_area(F.col("ring"))).otherwise(SP.ring_area(F.col("ring")))
+    return rings.groupBy("comp").agg(F.sum(signed).cast("long").alias("area"), F.sum(length).cast("long").alias("perimeter"))
+
+
 @query("ag14_component_sizes", flood(False) + "SELECT comp, count(*) AS size FROM (SELECT id, min(root) AS comp FROM walk GROUP BY id) GROUP BY comp")
 def ag14(spark, d):
     return graph.component_sizes(cc01f(spark, d))
@@ -245,10 +305,18 @@ def cc04(spark, d):
     return graph.revert_components(labelled, graph.component_sizes(labelled), "size > 4", "new", "old").select("row", "col", "value")
 
 
-@query("foc08_sieve")
+SIEVE = f"""WITH RECURSIVE {CELLS_CTE}, m AS (SELECT row, col, zone % 3 AS z, row * nx + col AS id FROM cells, dim),
+edges AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON abs(a.row - b.row) + abs(a.col - b.col) <= 1 AND a.z = b.z),
+walk(root, id) AS (SELECT id, id FROM m UNION SELECT w.root, e.b FROM walk w JOIN edges e ON e.a = w.id),
+known AS (SELECT row, col, z, comp, count(*) OVER (PARTITION BY comp) AS size FROM m JOIN (SELECT id, min(root) AS comp FROM walk GROUP BY id) USING (id)),
+met AS (SELECT k.comp, arg_max(o.z, (o.size, -o.comp)) AS new FROM known k JOIN known o ON abs(k.row - o.row) + abs(k.col - o.col) = 1 AND k.comp <> o.comp AND o.size >= k.size WHERE k.size < 4 GROUP BY k.comp)
+SELECT row, col, coalesce(new, z)::int AS zone FROM known LEFT JOIN met USING (comp)"""
+
+
+@query("foc08_sieve", SIEVE)
 def foc08(spark, d):
     nx, _ = B.width(spark, d)
-    return graph.sieve(cells(spark, d).select("row", "col", (F.col("zone") % 3).alias("zone")), "zone", nx, 4)
+    return graph.sieve(cells(spark, d).select("row", "col", (F.col("zone") % 3).alias("zone")), "zone", nx, 4).withColumn("zone", F.col("zone").cast("int"))
 
 
 OVERLAY = """pairs AS (SELECT z.id AS left_id, p.id AS right_id, z.zone, p.lu, greatest(z.x0, p.x0) AS x0, greatest(z.y0, p.y0) AS y0, least(z.x1, p.x1) AS x1, least(z.y1, p.y1) AS y1
@@ -305,6 +373,25 @@ def jn02p(spark, d):
     return SP.polygon_overlay(B.zones(spark, d).select("id", ring), B.parcels(spark, d).select("id", ring), 64.0)
 
 
+ELL = "ell AS (SELECT id, unnest([0, 1]) AS part, x0, y0, x1, y1 FROM parcels), parts AS (SELECT id, CASE part WHEN 0 THEN x0 ELSE x0 + (x1 - x0) / 2 END AS x0, CASE part WHEN 0 THEN y0 ELSE y0 END AS y0, CASE part WHEN 0 THEN x0 + (x1 - x0) / 2 ELSE x1 END AS x1, CASE part WHEN 0 THEN y1 ELSE y0 + (y1 - y0) / 2 END AS y1 FROM ell)"
+
+
+@query("jn02_concave_overlay", with_sql("SELECT a.id AS left_id, b.id AS right_id, round(sum((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))), 6) AS area FROM parts a JOIN parts b ON a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 GROUP BY ALL", BOXES_SQL, ELL))
+def jn02c(spark, d):
+    """Every parcel less its upper right quarter, a ring with a dent, against every other."""
+    pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x0, y0, x1, y1 = (F.col(c) for c in SP.BOX)
+    mx, my = x0 + (x1 - x0) / 2, y0 + (y1 - y0) / 2
+    rings = B.parcels(spark, d).select("id", F.array(pt(x0, y0), pt(x1, y0), pt(x1, my), pt(mx, my), pt(mx, y1), pt(x0, y1)).alias("ring"))
+    return SP.polygon_overlay(rings, rings, 64.0).withColumn("area", F.round("area", 6)).where("area > 0")
+
+
+@query("tk05_largest", "SELECT lu, id, area FROM (SELECT *, row_number() OVER (PARTITION BY lu ORDER BY area DESC, id) AS r FROM (SELECT cast(p_partkey % 11 + 1 AS int) AS lu, p_partkey AS id, p_size::double AS area FROM part)) WHERE r = 1")
+def tk05(spark, d):
+    shapes = B.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("area"), (F.col("p_partkey") % 11 + 1).cast("int").alias("lu"))
+    return SP.largest_of(shapes, "lu", "area").select("lu", "id", "area")
+
+
 @query("jn05_point_in_raster", grid_sql("SELECT id, row, col, coalesce(lu, 0)::int AS lu FROM (SELECT p_partkey AS id, trunc((p_partkey * 3 % 2000 - 20) / 10.0::double)::bigint AS col, trunc((p_partkey * 7 % 2000 - 20) / 10.0::double)::bigint AS row FROM part) LEFT JOIN cells USING (row, col)"))
 def jn05(spark, d):
     p = B.read(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 3 % 2000).cast("double").alias("x"), (F.col("p_partkey") * 7 % 2000).cast("double").alias("y"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import domain
+from ..config import Settings
 from ..operators import accuracy as AC
 from ..operators import georef as G
 from ..operators import inference as I
@@ -26,24 +27,25 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-SHIFTS = [(i, 7 * i % 23 - 11, 5 * i % 19 - 9) for i in range(1, 21)]
-VECTORS = "vec(shift, dx, dy) AS (VALUES " + ", ".join(f"({i}::bigint, {x}::bigint, {y}::bigint)" for i, x, y in SHIFTS) + ")"
+SET = Settings()
+CELL = SET.cell_ft
+UNIT = "cast('0x' || substr(md5('{seed}:{what}:' || i::varchar), 1, 8) AS bigint) / 4294967296.0::double"
+VECTORS = f"""vec AS (SELECT i AS shift, round_even(r * cos(a) / {CELL}::double, 0)::bigint AS dx, round_even(r * sin(a) / {CELL}::double, 0)::bigint AS dy FROM (SELECT i, {SET.null_min_ft}::double + {UNIT.format(seed=SET.seed, what="r")} * {SET.null_max_ft - SET.null_min_ft}::double AS r,
+ {UNIT.format(seed=SET.seed, what="a")} * (2 * pi()) AS a FROM (SELECT unnest(range(0, {SET.null_shifts})) AS i)))"""
 
 
 def shifted_sql(by: str) -> str:
-    keys = ", ".join(f"v.{k}" for k in by.split(", "))
-    return f"""sct AS (SELECT {keys}, z.zone, u.lu, count(*) AS n FROM (SELECT row, col, zone FROM cells WHERE zone > 0) z CROSS JOIN vec v CROSS JOIN dim
- JOIN (SELECT row, col, lu FROM cells WHERE ext AND lu > 0) u ON u.row = ((z.row + v.dy) % ny + ny) % ny AND u.col = ((z.col + v.dx) % nx + nx) % nx GROUP BY ALL),
+    return f"""shape AS MATERIALIZED (SELECT * FROM dim), given AS MATERIALIZED (SELECT * FROM vec),
+target AS MATERIALIZED (SELECT row * nx + col AS place, lu FROM cells, shape WHERE ext AND lu > 0),
+moved AS MATERIALIZED (SELECT {by}, zone, ((row + dy) % ny + ny) % ny * nx + ((col + dx) % nx + nx) % nx AS place FROM (SELECT row, col, zone FROM cells WHERE zone > 0), given, shape),
+sct AS (SELECT {by}, zone, lu, count(*) AS n FROM moved JOIN target USING (place) GROUP BY ALL),
 shifted AS (SELECT {by}, grp, denom::bigint AS denom, {pct('s', 'denom')} AS strict_pct, {pct('c', 'denom')} AS cumulative_pct FROM (SELECT {by}, grp, {MEASURES} FROM sct JOIN xw USING (zone, lu) GROUP BY ALL))"""
 
 
-def vectors(spark):
-    return spark.createDataFrame(SHIFTS, "shift long, dx long, dy long")
-
-
 def shifted(spark, d):
     nx, ny = B.width(spark, d)
-    return I.shifted_agreement(cells(spark, d), domain.crosswalk(spark), vectors(spark), nx, ny, ["shift"])
+    v = I.shift_vectors(spark, SET.null_shifts, SET.null_min_ft, SET.null_max_ft, CELL, SET.seed)
+    return I.shifted_agreement(cells(spark, d), domain.crosswalk(spark), v, nx, ny, ["shift"])
 
 
 OBS = f"obs AS (SELECT grp, {pct('s', 'denom')} AS os, {pct('c', 'denom')} AS oc FROM (SELECT grp, {MEASURES} FROM (SELECT zone, lu, count(*) AS n FROM cells WHERE ext AND lu > 0 AND zone > 0 GROUP BY ALL) JOIN xw USING (zone, lu) GROUP BY grp))"
@@ -62,17 +64,24 @@ def st04(spark, d):
     return I.null_summary(shifted(spark, d), agreement(cells(spark, d), domain.crosswalk(spark), "grp"))
 
 
-DECAY = [(250.0 * k, j, round(k * 2 * (1, 0, -1, 0)[j]), round(k * 2 * (0, 1, 0, -1)[j])) for k in range(5) for j in range(4)]
-DECAY_SQL = "vec(distance, direction, dx, dy) AS (VALUES " + ", ".join(f"({a}::double, {b}, {x}::bigint, {y}::bigint)" for a, b, x, y in DECAY) + ")"
+DECAY_SQL = f"""vec AS (SELECT distance, direction, round_even(distance * cos(direction * (2 * pi() / {SET.decay_directions})) / {CELL}::double, 0)::bigint AS dx, round_even(distance * sin(direction * (2 * pi() / {SET.decay_directions})) / {CELL}::double, 0)::bigint AS dy
+ FROM (SELECT unnest(range(0, {int(SET.decay_max_ft / SET.decay_step_ft) + 1})) * {SET.decay_step_ft}::double AS distance) CROSS JOIN (SELECT unnest(range(0, {SET.decay_directions}))::int AS direction))"""
 
 
 @query("st05_distance_decay", grid_sql("SELECT distance, grp, round(avg(strict_pct), 4) AS strict_pct FROM shifted GROUP BY ALL", DECAY_SQL, shifted_sql("distance, direction")))
 def st05(spark, d):
     nx, ny = B.width(spark, d)
-    v = spark.createDataFrame(DECAY, "distance double, direction int, dx long, dy long")
+    v = I.decay_vectors(spark, SET.decay_max_ft, SET.decay_step_ft, SET.decay_directions, CELL)
     return I.decay(I.shifted_agreement(cells(spark, d), domain.crosswalk(spark), v, nx, ny, ["distance", "direction"]))
 
 
+@query("st03_shifted_counts", grid_sql("SELECT shift, zone, lu, n FROM sct", VECTORS, shifted_sql("shift")))
+def st03c(spark, d):
+    nx, ny = B.width(spark, d)
+    v = I.shift_vectors(spark, SET.null_shifts, SET.null_min_ft, SET.null_max_ft, CELL, SET.seed)
+    return I.shifted_counts(cells(spark, d), v, nx, ny, ["shift"])
+
+
 @query("st09_misregistration", grid_sql("SELECT shift, grp, strict_pct FROM shifted", "vec(shift, dx, dy) AS (VALUES (1::bigint, 1::bigint, 0::bigint), (2, -1, 0), (3, 0, 1), (4, 0, -1))", shifted_sql("shift")))
 def st09(spark, d):
     nx, ny = B.width(spark, d)
@@ -80,20 +89,21 @@ def st09(spark, d):
     return I.shifted_agreement(cells(spark, d), domain.crosswalk(spark), v, nx, ny, ["shift"]).select("shift", "grp", "strict_pct")
 
 
-BLOCKS, REPS = 49, 20
-BT = "bt AS (SELECT (row // 20) * 7 + col // 20 AS block, zone, lu, count(*) AS n FROM cells WHERE ext GROUP BY ALL)"
-DRAWS = f"draws AS (SELECT rep, cast('0x' || substr(md5('0:' || rep::varchar || ':' || i::varchar), 1, 8) AS bigint) % {BLOCKS} AS block, count(*) AS times FROM (SELECT unnest(range(0, {REPS})) AS rep) CROSS JOIN (SELECT unnest(range(0, {BLOCKS})) AS i) GROUP BY ALL)"
+REPS = SET.bootstrap_reps
+BT = f"bt AS (SELECT {B.block_sql(20)} AS block, zone, lu, count(*) AS n FROM cells, dim WHERE ext GROUP BY ALL)"
+DRAWS = f"""blocks AS (SELECT cast(ceil(nx / 20.0) * ceil(ny / 20.0) AS bigint) AS m FROM dim),
+draws AS (SELECT rep, cast('0x' || substr(md5('{SET.seed}:' || rep::varchar || ':' || i::varchar), 1, 8) AS bigint) % m AS block, count(*) AS times FROM (SELECT unnest(range(0, {REPS})) AS rep) CROSS JOIN (SELECT m, unnest(range(0, m)) AS i FROM blocks) GROUP BY ALL)"""
 BOOT = f"boot AS (SELECT rep, grp, denom::bigint AS denom, {pct('s', 'denom')} AS strict_pct, {pct('c', 'denom')} AS cumulative_pct FROM (SELECT rep, grp, sum(denom * times) AS denom, sum(s * times) AS s, sum(c * times) AS c FROM (SELECT block, grp, {MEASURES} FROM bt JOIN xw USING (zone, lu) WHERE lu > 0 GROUP BY ALL) JOIN draws USING (block) GROUP BY ALL))"
 
 
 @query("st06_block_table", grid_sql("SELECT block, zone, lu, n FROM bt", BT))
 def st06(spark, d):
-    return I.block_table(cells(spark, d), 20, B.blocks(spark, d, 20, 7)[0])
+    return I.block_table(cells(spark, d), 20, B.blocks(spark, d, 20)[0])
 
 
 def boot(spark, d):
-    across, down = B.blocks(spark, d, 20, 7)
-    return I.block_bootstrap(I.block_table(cells(spark, d), 20, across), domain.crosswalk(spark), I.block_weights(spark, REPS, across * down, 0))
+    across, down = B.blocks(spark, d, 20)
+    return I.block_bootstrap(I.block_table(cells(spark, d), 20, across), domain.crosswalk(spark), I.block_weights(spark, REPS, across * down, SET.seed))
 
 
 @query("st07_block_bootstrap", grid_sql("SELECT * FROM boot", BT, DRAWS, BOOT))
@@ -226,35 +236,57 @@ def ag18(spark, d):
     return G.residual_summary(B.read(spark, d, "lineitem").withColumnRenamed("l_returnflag", "g"), e, "g")
 
 
-@query("geo07_warp", grid_sql("SELECT t.row, t.col, coalesce(s.zone, 0)::int AS zone FROM (SELECT row, col FROM cells WHERE row < 60 AND col < 60) t LEFT JOIN cells s ON s.row = floor(2 + 0.9::double * t.row + 0.1::double * t.col + 0.5::double) AND s.col = floor(1 - 0.1::double * t.row + 0.9::double * t.col + 0.5::double)"))
+@query("geo07_warp", grid_sql("SELECT t.row, t.col, coalesce(s.zone, 0)::int AS zone FROM (SELECT row, col FROM cells) t LEFT JOIN cells s ON s.row = floor(2 + 0.9::double * t.row + 0.1::double * t.col + 0.5::double) AND s.col = floor(1 - 0.1::double * t.row + 0.9::double * t.col + 0.5::double)"))
 def geo07(spark, d):
     c = cells(spark, d)
-    t = c.where("row < 60 AND col < 60").select("row", "col")
+    t = c.select("row", "col")
     return G.warp_nearest(t, c, F.lit(2.0) + 0.9 * F.col("row") + 0.1 * F.col("col"), F.lit(1.0) - 0.1 * F.col("row") + 0.9 * F.col("col"), "zone")
 
 
 def control(spark, d):
-    s = B.read(spark, d, "supplier").where("s_suppkey < 40")
+    """Sets of up to 32 control points and 8 check points, as many sets as the suppliers make."""
+    s = B.read(spark, d, "supplier")
     u, v = (F.col("s_suppkey") * 53 % 101).cast("double"), (F.col("s_suppkey") * 29 % 97).cast("double")
-    return s.select(F.lit("s").alias("set_"), u.alias("u"), v.alias("v"), (3 * u - v + 0.01 * u * u + F.sin(u)).alias("x"), (u + 2 * v - 0.02 * u * v + F.cos(v)).alias("y"))
+    rows = s.select(F.floor(F.col("s_suppkey") / 40).cast("string").alias("set_"), F.col("s_suppkey").alias("id"), u.alias("u"), v.alias("v"), (3 * u - v + 0.01 * u * u + F.sin(u)).alias("x"), (u + 2 * v - 0.02 * u * v + F.cos(v)).alias("y"))
+    return rows.where("id % 5 <> 4").drop("id"), rows.where("id % 5 = 4")
+
+
+def rounded(df, digits=6):
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 @query("geo06_model_comparison")
 def geo06(spark, d):
-    return G.compare_models(control(spark, d), ["order1", "order2", "tps", "tps:0.01"], 1e-2)
+    points, checks = control(spark, d)
+    return rounded(G.compare_models(points, scale=1e-2, checks=checks))
+
+
+@query("geo09_check_points")
+def geo09(spark, d):
+    points, checks = control(spark, d)
+    return rounded(G.check_errors(checks, points, "order2", 1e-2))
 
 
 @query("geo05_displacement")
 def geo05(spark, d):
-    import numpy as np
-
-    rows = np.array([[r["u"], r["v"], r["x"], r["y"]] for r in control(spark, d).collect()])  # 40 points at most
-    u, v, x, y = rows.T / np.array([100, 100, 1, 1])[:, None]
-    poly, spline = G.model("order2", u, v, x, y), G.model("tps", u, v, x, y)
-    a, b = (g.ravel() for g in np.meshgrid(np.linspace(0, 1, 60), np.linspace(0, 1, 60)))
-    (px, py), (sx, sy) = poly(a, b), spline(a, b)
-    gap = spark.createDataFrame([(float(g),) for g in np.hypot(px - sx, py - sy)], "gap double")
-    return G.residual_summary(gap, F.col("gap"))
+    return G.residual_summary(G.displacement(control(spark, d)[0], "order2", "tps", 1e-2), F.col("gap"), "set_")
+
+
+TERMS = ["1", "u", "v", "u * u", "u * v", "v * v"]
+
+
+@query("geo02_order_two", "SELECT " + ", ".join(f"round(sum(({a}) * ({b}))::double, 4) AS a_{i}_{j}" for i, a in enumerate(TERMS) for j, b in enumerate(TERMS) if j >= i) + ", " + ", ".join(f"round(sum(({a}) * x)::double, 2) AS b_0_{i}" for i, a in enumerate(TERMS)) + " FROM (SELECT l_linenumber::double AS u, l_quantity / 10 AS v, floor(l_extendedprice) AS x FROM lineitem)")
+def geo02q(spark, d):
+    """The sums of a second-order fit; its solution is held against known coefficients in the tests."""
+    rows = B.read(spark, d, "lineitem").select(F.col("l_linenumber").cast("double").alias("u"), (F.col("l_quantity") / 10).alias("v"), F.floor("l_extendedprice").cast("double").alias("x"))
+    sums = G.normal_sums(rows, G.design(F.col("u"), F.col("v"), 2), [F.col("x")])
+    return sums.select(*[F.round(c, 2 if c.startswith("b") else 4).alias(c) for c in sums.columns])
+
+
+@query("sm04_cap", "SELECT l_orderkey AS k, l_linenumber AS n FROM (SELECT *, row_number() OVER (ORDER BY cast('0x' || substr(md5('3:' || (l_orderkey * 16 + l_linenumber)::varchar), 1, 8) AS bigint), l_orderkey * 16 + l_linenumber) AS r FROM lineitem) WHERE r <= 20000")
+def sm04(spark, d):
+    rows = B.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("id"))
+    return I.capped(rows, "id", 20000, 3).select("k", "n")
 
 
 @query("geo01_lambert")

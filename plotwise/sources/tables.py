@@ -30,10 +30,14 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
+def tokens_of(texts: DataFrame, text: str, *by: str) -> DataFrame:
+    """(by..., pos, token) of the white-space separated tokens of each text."""
+    return texts.select(*by, F.posexplode(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")).alias("pos", "token"))
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(pos, token) of a file's white-space separated tokens."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.posexplode(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")).alias("pos", "token"))
+    return tokens_of(spark.read.text(path, wholetext=True), "value")
 
 
 def zip_positions(rows: DataFrame, order: str, tokens: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """Published results that follow from published tables, and hand-checked overlays."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from plotwise import domain
-from plotwise.operators import accuracy, agreement, crosstab, georef, graph, grid, recode, spatial
+from plotwise.operators import accuracy, agreement, crosstab, georef, graph, grid, inference, recode, spatial, tiles
 
 # Acres by district (rows A..J) and land use (columns in code order, then no parcel).
 ACRES = {
@@ -22,8 +24,36 @@ ACRES = {
 # Strict and cumulative percentages that were published for them.
 BY_GROUP = {"Residential": (57.8, 79.1), "Commercial": (37.7, 77.9), "Industrial": (52.1, 99.9)}
 BY_DISTRICT = {"A": (52.3, 82.3), "B": (68.7, 80.0), "C": (56.8, 76.8), "D": (28.2, 54.4), "E": (41.0, 85.8), "F": (27.9, 61.0), "G": (71.8, 93.5), "H": (40.0, 99.8), "I": (26.2, 99.9), "J": (65.8, 100.0)}
-# Two ratings of thirty points.
-RATINGS = "BH AA DD AA AA 00 AA FF BB 00 AA 00 AA HH HH JJ IH 00 HH HH EE".split()
+# Two ratings of thirty points; 0 is none.
+RATINGS = [
+    ("B", "H"), ("A", "A"), ("D", "D"), ("A", "A"), ("A", "A"), ("0", "0"), ("A", "A"), ("F", "F"), ("B", "B"), ("0", "0"),
+    ("A", "A"), ("0", "0"), ("A", "A"), ("H", "H"), ("H", "H"), ("J", "J"), ("I", "H"), ("0", "0"), ("H", "H"), ("H", "H"),
+    ("E", "E"), ("H", "H"), ("J", "J"), ("B", "B"), ("H", "I"), ("0", "0"), ("I", "I"), ("F", "H"), ("I", "I"), ("C", "H"),
+]
+# Control points and check points (pixel x, pixel y, longitude, latitude).
+CONTROL = [
+    (5068, 3802, -95.3625469, 29.7599603), (3330, 3237, -95.3972640, 29.7695446), (2240, 4789, -95.4187903, 29.7423151), (4268, 4955, -95.3785771, 29.7397916),
+    (3629, 5852, -95.3909466, 29.7243640), (3303, 1263, -95.3981024, 29.8039710), (8735, 4880, -95.2887783, 29.7407327), (7748, 6861, -95.3090789, 29.7063893),
+    (4104, 1650, -95.3819008, 29.7974065), (7000, 4317, -95.3240076, 29.7510968), (2720, 3186, -95.4095002, 29.7704621), (2697, 1275, -95.4101782, 29.8038024),
+    (8054, 4642, -95.3028725, 29.7451675), (5663, 5818, -95.3505228, 29.7247948), (1852, 4383, -95.4265028, 29.7496297), (2704, 2045, -95.4098941, 29.7905114),
+    (2646, 5012, -95.4106930, 29.7385540), (5618, 2464, -95.3514274, 29.7833590), (8388, 8062, -95.2963533, 29.6851439), (8680, 8053, -95.2903630, 29.6852638),
+    (3228, 798, -95.399403, 29.812094), (2696, 1072, -95.410229, 29.806850), (4085, 920, -95.382037, 29.810560), (1925, 4799, -95.424950, 29.742125),
+    (1848, 4577, -95.426522, 29.746068), (8985, 4320, -95.283543, 29.750130), (9270, 6154, -95.278346, 29.718153), (5116, 7081, -95.361319, 29.702196),
+    (2245, 5766, -95.418579, 29.725477), (2260, 7366, -95.417863, 29.696988), (9464, 6152, -95.274505, 29.718206), (5135, 6908, -95.360878, 29.705498),
+]
+CHECKS = [
+    (9296, 6993, -95.277964, 29.703627), (3615, 5001, -95.391198, 29.738769), (4235, 5095, -95.379111, 29.737410), (3234, 859, -95.399393, 29.811083),
+    (1848, 4445, -95.426506, 29.748460), (2695, 1160, -95.410209, 29.805823), (2236, 5270, -95.418750, 29.734130), (2237, 5019, -95.418742, 29.738483),
+]
+# Published errors in feet, left out one at a time (root mean square, largest) and at the check points.
+ERRORS = {
+    "order1": (133.13563711562347, 312.44756511101434, 69.83821561649333, 118.81951422192941),
+    "order2": (98.46226738108035, 241.1614683059544, 53.68625869838389, 110.17283544762408),
+    "tps": (88.3821665024963, 177.2450822738043, 66.25508846085744, 120.8575621505387),
+    "tps:0.0001": (87.76225543169181, 175.45413470424268, 66.03635371636217, 120.95262764051786),
+    "tps:0.001": (87.46526644788739, 188.0397864171729, 63.7720706959699, 120.84119024826883),
+    "tps:0.01": (91.17265514299285, 200.59118349583485, 54.56377818833052, 115.83628294891002),
+}
 
 
 @pytest.fixture(scope="module")
@@ -52,14 +82,44 @@ def test_crosswalk_file(spark, tmp_path):
 
 
 def test_kappa(spark):
-    df = spark.createDataFrame([tuple(x) for x in RATINGS], "first string, second string")
+    df = spark.createDataFrame(RATINGS, "first string, second string")
     r = accuracy.kappa(df, "first", "second").first()
-    assert (r.n, r.agreed) == (21, 19)
-    assert 0.85 < r.kappa < 0.92
+    assert (r.n, r.agreed) == (30, 25)
+    # by group, as published: 27 of 30 and a kappa of 0.85
+    group = lambda c: F.when(F.col(c) == "0", "0").when(F.col(c).isin("A", "B", "C", "D"), "R").when(F.col(c).isin("E", "F", "G"), "C").otherwise("I")
+    r = accuracy.kappa(df.select(group("first").alias("first"), group("second").alias("second")), "first", "second").first()
+    assert (r.n, r.agreed) == (30, 27)
+    assert round(r.kappa, 2) == 0.85
     same = accuracy.kappa(spark.createDataFrame([("A", "A")], "first string, second string"), "first", "second").first()
     assert same.kappa is None
 
 
+@pytest.fixture(scope="module")
+def points(spark):
+    def projected(rows):
+        df = spark.createDataFrame([("s", str(i), float(a), float(b), c, d) for i, (a, b, c, d) in enumerate(rows)], "set_ string, id string, u double, v double, lon double, lat double")
+        x, y = georef.lambert(F.col("lon"), F.col("lat"), -99.0, 27 + 50 / 60, 28 + 23 / 60, 30 + 17 / 60, 1968500.0, 13123333.333, 1200 / 3937)
+        return df.select("set_", "id", "u", "v", x.alias("x"), y.alias("y"))
+
+    return projected(CONTROL), projected(CHECKS)
+
+
+def test_models_have_the_published_errors(points):
+    got = {r.kind: (r.loo_rmse, r.loo_max, r.cp_rmse, r.cp_max) for r in georef.compare_models(points[0], checks=points[1]).collect()}
+    for kind, want in ERRORS.items():
+        assert got[kind] == pytest.approx(want, rel=2e-3)
+    e = [r.error for r in georef.check_errors(points[1], points[0], "order2").collect()]
+    assert len(e) == 8
+    assert (sum(x * x for x in e) / 8) ** 0.5 == pytest.approx(53.69, abs=0.1)
+    assert max(e) == pytest.approx(110.17, abs=0.2)
+
+
+def test_displacement_of_splines_from_polynomials(points):
+    gap = georef.residual_summary(georef.displacement(points[0], "order2", "tps"), F.col("gap")).first()
+    # published over the scan's own frame, here over the points' box
+    assert gap.n == 3600 and 30 < gap.mean_error < 130 and gap.max_error < 400
+
+
 def test_overlay_by_hand(spark):
     box = "id long, x0 double, y0 double, x1 double, y1 double"
     zones = spark.createDataFrame([(1, 0.0, 0.0, 200.0, 100.0), (5, 200.0, 0.0, 400.0, 100.0)], box)
@@ -127,3 +187,89 @@ def test_winner_ties(spark):
 def test_undefined_shares_are_null(spark):
     r = spark.range(1).select(crosstab.share(F.lit(1), F.lit(0)).alias("a"), agreement.corrected_index(F.lit(50.0), F.lit(100.0)).alias("b")).first()
     assert r.a is None and r.b is None
+
+
+def test_windows_of_a_grid_with_gaps(spark):
+    cells = spark.createDataFrame([(0, 0, 1.0), (1, 1, 2.0), (2, 0, 6.0), (5, 9, 4.0)], "row long, col long, v double")
+    got = {(r.row, r["col"]): r["mean"] for r in tiles.box_mean(cells, "v", 1).collect()}
+    assert got == {(0, 0): 1.5, (1, 1): 3.0, (2, 0): 4.0, (5, 9): 4.0}
+    assert {(r.row, r["col"]): r.median for r in tiles.median_filter(cells, "v", 1).collect()} == {(0, 0): 1.5, (1, 1): 2.0, (2, 0): 4.0, (5, 9): 4.0}
+
+
+def test_windows_across_tiles(spark):
+    rows = [(r, c, float((r * 7 + c * 13) % 11)) for r in range(-5, 30) for c in range(40) if (r * c) % 7]
+    cells = spark.createDataFrame(rows, "row long, col long, v double")
+    at = {(r, c): v for r, c, v in rows}
+
+    def near(r, c, k):
+        return [at[y, x] for y in range(r - k, r + k + 1) for x in range(c - k, c + k + 1) if (y, x) in at]
+
+    some = tiles.tiled(cells, ["v"], 2, lambda v, p: {"s": tiles.window_sum(v[0], 2)}, {"s": "double"}, size=8)
+    assert {(r.row, r["col"]): r.s for r in some.collect()} == {k: sum(near(*k, 2)) for k in at}
+    for size in (8, 256):
+        labelled = graph.components(cells.where("v < 4"), 1000, size=size).collect()
+        parts: dict = {}
+        for x in labelled:
+            parts.setdefault(x.comp, set()).add((x.row, x["col"]))
+        assert sum(map(len, parts.values())) == sum(v < 4 for v in at.values())
+        for p in parts.values():  # connected, and no cell of another part beside it
+            seen, todo = set(), [next(iter(p))]
+            while todo:
+                y, x = todo.pop()
+                if (y, x) in p and (y, x) not in seen:
+                    seen.add((y, x))
+                    todo += [(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+            assert seen == p
+            assert not {(y + i, x + j) for y, x in p for i in (-1, 0, 1) for j in (-1, 0, 1) if at.get((y + i, x + j), 9) < 4} - p
+
+
+def test_waves_have_energy_at_their_angle(spark):
+    cells = spark.createDataFrame([(r, c, 100.0 + 50 * math.cos(2 * math.pi * 0.25 * c)) for r in range(60) for c in range(60)], "row long, col long, v double")
+    r = tiles.gabor_energy(cells, "v").where("row = 30 AND col = 30").first()
+    assert r.e0 > 20 and max(r.e1, r.e2, r.e3) < 0.2 * r.e0
+
+
+def test_outlines_of_a_ring_and_of_corners(spark):
+    picture = ["###..#", "#.#.#.", "###..."]
+    cells = spark.createDataFrame([(r, c) for r, line in enumerate(picture) for c, x in enumerate(line) if x == "#"], "row long, col long")
+    rings = graph.outlines(graph.components(cells, 6)).collect()
+    by = sorted((r.comp, r.hole, len(r.ring)) for r in rings)
+    assert by == [(0, False, 4), (0, True, 4), (5, False, 4), (5, False, 4)]
+
+
+def test_overlay_of_dented_rings(spark):
+    point = lambda p: {"x": float(p[0]), "y": float(p[1])}
+    kind = "id long, ring array<struct<x:double,y:double>>"
+    dented = [(0, 0), (4, 0), (4, 4), (2, 1), (0, 4)]
+    left = spark.createDataFrame([(1, [point(p) for p in dented]), (2, [point(p) for p in dented[::-1]])], kind)
+    right = spark.createDataFrame([(1, [point(p) for p in ((1, 0), (3, 0), (3, 4), (1, 4))]), (2, [point(p) for p in ((10, 0), (11, 0), (11, 1))])], kind)
+    got = sorted((r.left_id, r.right_id, r.area) for r in spatial.polygon_overlay(left, right, 3.0).collect())
+    # between x = 1 and 3 the upper edge falls from 2.5 to 1 and rises again
+    assert [(a, b) for a, b, _ in got] == [(1, 1), (2, 1)]
+    assert [x for *_, x in got] == pytest.approx([3.5, 3.5])
+
+
+def test_nearest_of_far_points(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 5000.0, 5000.0), (3, None, 1.0)], "id long, x double, y double")
+    targets = spark.createDataFrame([(7, 3.0, 4.0), (8, 4.0, 3.0), (9, -900.0, 0.0)], "id long, x double, y double")
+    got = {r.id: (r.target, r.d2) for r in spatial.nearest(points, targets, 1.0).collect()}
+    assert got == {1: (7, 25.0), 2: (7, 4996.0**2 + 4997.0**2)}
+    assert spatial.nearest(points, targets.limit(0), 1.0).count() == 0
+
+
+def test_shifts_count_as_rolling_does(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    zone, lu = rng.integers(0, 4, (9, 14)), rng.integers(0, 5, (9, 14))
+    cells = spark.createDataFrame([(r, c, int(zone[r, c]), int(lu[r, c]), bool((r + c) % 5)) for r in range(9) for c in range(14) if (r, c) != (3, 3)], "row long, col long, zone int, lu int, ext boolean")
+    vectors = spark.createDataFrame([(0, 0, 0), (1, 3, -2), (2, -30, 19)], "shift long, dx long, dy long")
+    got = {(r.shift, r.zone, r.lu): r.n for r in inference.shifted_counts(cells, vectors, 14, 9, ["shift"]).collect()}
+    zone[3, 3] = lu[3, 3] = 0
+    inside = np.add.outer(np.arange(9), np.arange(14)) % 5 > 0
+    want: dict = {}
+    for k, dx, dy in ((0, 0, 0), (1, 3, -2), (2, -30, 19)):
+        z = np.roll(zone, (dy, dx), (0, 1))
+        for a, b in zip(z[inside & (z > 0) & (lu > 0)].tolist(), lu[inside & (z > 0) & (lu > 0)].tolist(), strict=True):
+            want[k, a, b] = want.get((k, a, b), 0) + 1
+    assert got == want

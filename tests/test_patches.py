@@ -2,7 +2,6 @@
 
 import numpy as np
 
-from plotwise.operators import texture
 from plotwise.plans import bindings
 from plotwise.plans.registry import QUERIES
 
@@ -12,14 +11,20 @@ SF = "/root/testdata/sf0.001"
 def test_every_patch_has_features(spark):
     got = {r.id: np.array(r.features) for r in QUERIES["ml02_fft_features"](spark, SF).collect()}
     patches: dict = {}
+    across = -(-bindings.width(spark, SF)[0] // 16)
     for r in bindings.cells(spark, SF).collect():
-        patches.setdefault(r.row // 16 * 100 + r.col // 16, {})[r.row % 16, r.col % 16] = float(r.v)
+        patches.setdefault(r.row // 16 * across + r.col // 16, {})[r.row % 16, r.col % 16] = float(r.v)
     assert set(got) == set(patches)
-    where, hann = texture.fft_bins(16), np.outer(np.hanning(16), np.hanning(16))
+    hann = np.outer(np.hanning(16), np.hanning(16))
+    y, x = np.fft.fftfreq(16)[:, None] * 16, np.arange(9)[None, :]
+    radius, angle = np.hypot(y, x), np.mod(np.arctan2(y, x), np.pi)
+    where = np.minimum(angle / np.pi * 8, 7).astype(int) * 4 + np.minimum(radius / radius.max() * 4, 3).astype(int)
     assert any(len(p) < 256 for p in patches.values())
     for k, p in patches.items():
         mean = sum(p.values()) / len(p)
-        x = np.array([[p.get((i, j), mean) for j in range(16)] for i in range(16)])
-        power = np.abs(np.fft.rfft2((x - x.mean()) * hann)) ** 2
-        f = np.array([power[where == b].sum() for b in range(32)])
+        z = np.array([[p.get((i, j), mean) for j in range(16)] for i in range(16)])
+        size = np.abs(np.fft.rfft2(z * hann))
+        size[0, 0] = 0
+        f = np.array([size[where == b].sum() for b in range(32)])
+        assert tuple(got[k][32:]) == (f.argmax() // 4 / 8, f.argmax() % 4 / 4)
         assert np.allclose(got[k][:32], f / f.sum(), atol=1e-5)
