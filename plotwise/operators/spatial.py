@@ -84,6 +84,50 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
     return F.aggregate(crosses, F.lit(0), lambda acc, v: acc + v) % 2 == 1
 
 
+def distance2(x: Column, y: Column, ring: Column) -> Column:
+    """Square of the distance of a point from a ring's line."""
+    n = F.size(ring)
+    ahead = F.concat(F.slice(ring, 2, n), F.slice(ring, 1, 1))
+
+    def from_side(a: Column, b: Column) -> Column:
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        length = dx * dx + dy * dy
+        t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - a["x"]) * dx + (y - a["y"]) * dy) / length))).otherwise(0.0)
+        return (x - a["x"] - t * dx) * (x - a["x"] - t * dx) + (y - a["y"] - t * dy) * (y - a["y"] - t * dy)
+
+    return F.array_min(F.zip_with(ring, ahead, from_side))
+
+
+def in_buffer(x: Column, y: Column, ring: Column, width: float) -> Column:
+    """Whether a point is in a ring or not farther than `width` from it: what buffering the ring is for, without its round corners' points."""
+    return in_ring(x, y, ring) | (distance2(x, y, ring) <= width * width)
+
+
+def simplified(ring: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
+    """A ring (a study area's, a few thousand points) without points that lie within the tolerance of the line between those kept.
+
+    The two points farthest apart along the first one's view stay; each half is cut at its farthest point until all are near enough.
+    """
+    if len(ring) < 4:
+        return list(ring)
+    p = np.array(ring, dtype=float)
+    far = int(((p - p[0]) ** 2).sum(axis=1).argmax())
+    keep, todo = {0, far}, [(0, far), (far, len(p))]
+    while todo:
+        lo, hi = todo.pop()
+        a, b, inner = p[lo], p[hi % len(p)], p[lo + 1 : hi]
+        if not len(inner):
+            continue
+        d = b - a
+        size = float(np.hypot(*d))
+        off = np.abs(d[0] * (inner[:, 1] - a[1]) - d[1] * (inner[:, 0] - a[0])) / size if size else np.hypot(*(inner - a).T)
+        k = int(off.argmax())
+        if off[k] > tolerance:
+            keep.add(lo + 1 + k)
+            todo += [(lo, lo + 1 + k), (lo + 1 + k, hi)]
+    return [ring[i] for i in sorted(keep)] if len(keep) > 2 else list(ring)
+
+
 def rasterise_rings(shapes: DataFrame, value: str, cell: float, order: list[Column]) -> DataFrame:
     """As rasterise_boxes for rings: candidate cells from the bounding box, then the even-odd test of their centres."""
     boxed = shapes.withColumn("__b", ring_box(F.col("ring")))

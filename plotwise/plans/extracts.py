@@ -210,6 +210,46 @@ def snk10(spark, d):
     return agreement(cells(spark, d), x, "grp").join(F.broadcast(n), "grp").select("grp", "strict_pct", "cumulative_pct", "n")
 
 
+@query("snk10_results_bundle")
+def snk10b(spark, d):
+    """All six parts of the published results in one long table."""
+    from ..operators import accuracy as AC
+    from ..streaming import reports
+    from . import statistics as ST
+    from . import tabulation as TB
+
+    m = ST.matrix(spark, d)
+    accuracy = reports.accuracy_report(AC.overall(m), AC.by_class(m, B.design(spark, d)), AC.ratio_estimate(B.sample(spark, d), B.design(spark, d)))
+    return reports.results_bundle(summary(spark, d), TB.ag05b(spark, d), TB.ag11(spark, d), ST.st05(spark, d), ST.st08(spark, d), accuracy)
+
+
+def summary(spark, d):
+    from ..operators.agreement import agreement, baseline
+    from ..streaming import reports
+    from . import statistics as ST
+
+    x, c = domain.crosswalk(spark), cells(spark, d)
+    return reports.stats_summary(agreement(c, x, "grp"), baseline(c, x), ST.st04(spark, d), ST.ag19(spark, d))
+
+
+@query("snk05_stats_summary")
+def snk05(spark, d):
+    """Agreement, baseline, index, null model and intervals of each group; each part has SQL of its own."""
+    return summary(spark, d)
+
+
+USE_COLUMNS = [*domain.LAND_USES, "No parcel (ROW/water)"]
+
+
+@query("snk01_crosstab_acres", grid_sql("SELECT zone_name, " + ", ".join(f'round(coalesce(sum(n) FILTER (lu = {(i + 1) % 12}), 0) * 100 / 43560.0::double, 6) AS "{u}"' for i, u in enumerate(USE_COLUMNS)) + """, round(sum(n) * 100 / 43560.0::double, 6) AS "Total" FROM (
+ SELECT coalesce(district, 'Unclassified') AS zone_name, lu, n FROM ct LEFT JOIN (SELECT DISTINCT zone, district FROM xw) USING (zone) UNION ALL SELECT grp || ' total', lu, n FROM ct JOIN (SELECT DISTINCT zone, grp FROM xw) USING (zone) UNION ALL SELECT 'Total', lu, n FROM ct) GROUP BY zone_name""", "ct AS (SELECT zone, lu, count(*) AS n FROM cells WHERE ext GROUP BY ALL)"))
+def snk01(spark, d):
+    from ..streaming import reports
+
+    acres, _ = reports.crosstab_tables(cells(spark, d), domain.crosswalk(spark))
+    return acres.drop("level", "grp").select("zone_name", *[F.round(f"`{c}`", 6).alias(c) for c in [*USE_COLUMNS, "Total"]])
+
+
 @query("snk13_fingerprints", "SELECT page_id, sha256(html) AS sha256, strlen(html)::bigint AS bytes FROM pages")
 def snk13(spark, d):
     return B.read(spark, d, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("sha256"), F.octet_length("html").cast("long").alias("bytes"))

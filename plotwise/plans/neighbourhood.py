@@ -423,3 +423,22 @@ def jn10(spark, d):
 def jn11(spark, d):
     hull = SP.convex_hull([(100, 100), (700, 200), (600, 800), (400, 400), (500, 300)])
     return B.parcels(spark, d).select("id", SP.in_hull(F.col("x0"), F.col("y0"), hull).alias("inside"))
+
+
+@query("src09_in_buffer", with_sql("SELECT id, greatest(200 - x0, 0, x0 - 600) ** 2 + greatest(300 - y0, 0, y0 - 700) ** 2 <= 2500 AS inside FROM parcels", BOXES_SQL))
+def src09(spark, d):
+    """Parcels' corners within 50 of a study area."""
+    corners = SP.simplified([(200.0, 300.0), (400.0, 300.5), (600.0, 300.0), (600.0, 700.0), (200.0, 700.0)], 1.0)
+    ring = F.array([F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in corners])
+    return B.parcels(spark, d).select("id", SP.in_buffer(F.col("x0"), F.col("y0"), ring, 50.0).alias("inside"))
+
+
+@query("jn13_legend_lookup", grid_sql("SELECT id, cells.zone, cells.lu, district, use, CASE WHEN cells.zone = 0 OR cells.lu = 0 THEN 0 WHEN is_neutral THEN 4 WHEN is_strict THEN 1 WHEN is_cumulative THEN 2 ELSE 3 END AS agree FROM (SELECT p_partkey AS id, p_partkey * 7 % 50 AS row, p_partkey * 3 % 60 AS col FROM part) JOIN cells USING (row, col) LEFT JOIN xw ON xw.zone = cells.zone AND xw.lu = cells.lu"))
+def jn13(spark, d):
+    """What a click on the map shows: the cell's district and use by name, and their agreement."""
+    from ..operators.agreement import classify_cells
+
+    x = domain.crosswalk(spark)
+    p = B.read(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 7 % 50).alias("row"), (F.col("p_partkey") * 3 % 60).alias("col"))
+    met = p.join(cells(spark, d).select("row", "col", "zone", "lu"), ["row", "col"])
+    return classify_cells(met, x).join(F.broadcast(x.select("zone", "lu", "district", "use")), ["zone", "lu"], "left").select("id", "zone", "lu", "district", "use", "agree")

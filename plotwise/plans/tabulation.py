@@ -257,8 +257,7 @@ def jn07(spark, d):
     from ..sources.tables import zip_positions
 
     s = B.read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
-    text = " ".join(f"t{i}" for i in range(s.count()))
-    tokens = spark.createDataFrame([(text,)], "value string").select(F.posexplode(F.split("value", " ")).alias("pos", "token"))
+    tokens = spark.range(s.count()).select(F.col("id").alias("pos"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("token"))
     return zip_positions(s, "id", tokens).select("id", "token")
 
 

@@ -6,11 +6,13 @@ import json
 import time
 import urllib.request
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.graph import stored
+
 POINTS = "id string, pixel_x double, pixel_y double, lon double, lat double"
 
 
@@ -40,15 +42,21 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return tokens_of(spark.read.text(path, wholetext=True), "value")
 
 
-def zip_positions(rows: DataFrame, order: str, tokens: DataFrame) -> DataFrame:
-    """A small ordered table with its tokens by position; different lengths raise."""
-    from pyspark.sql import Window
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """The rows with pos, their place in the order from 0: sorted in ranges, which are numbered on from the counts of those before."""
+    dealt = stored(rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id()))
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("n"))
+    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))  # a row for each range
+    placed = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1)
+    return placed.join(F.broadcast(before), "__part").withColumn("pos", F.col("__before") + F.col("__r")).drop("__part", "__before", "__r")
 
-    placed = rows.withColumn("pos", F.row_number().over(Window.orderBy(order)) - 1)
+
+def zip_positions(rows: DataFrame, order: str, tokens: DataFrame) -> DataFrame:
+    """An ordered table with its tokens (pos, token) by position; different lengths raise."""
     n, m = rows.count(), tokens.count()
     if n != m:
         raise ValueError(f"{n} rows and {m} tokens")
-    return placed.join(tokens, "pos").drop("pos")
+    return numbered(rows, order).join(tokens, "pos").drop("pos")
 
 
 def markdown_rows(lines: DataFrame, line: str, number: str, by: list[str]) -> DataFrame:
