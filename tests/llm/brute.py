@@ -98,6 +98,50 @@ def line_verdicts(rows, p):
     return out
 
 
+def kneser_ney(taught, order=3):
+    """A function of a text: log10 p of each of its words and its end, by the plain formulas of the interpolated modified model."""
+    padded = lambda text: ["<s>"] * (order - 1) + words(text) + ["</s>"]
+    counts = [Counter() for _ in range(order + 1)]
+    for text in taught:
+        w = padded(text)
+        for i in range(order - 1, len(w)):
+            counts[order][tuple(w[i - order + 1 : i + 1])] += 1
+    for k in range(order - 1, 0, -1):
+        for gram in counts[k + 1]:
+            counts[k][gram[1:]] += 1
+
+    def discounts(c):
+        n = [sum(v == i for v in c.values()) for i in range(5)]
+        if not (n[1] and n[2] and n[3]):
+            return [0.5, 0.75, 0.9]
+        y = n[1] / (n[1] + 2 * n[2])
+        return [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.01), i - 0.01) for i in (1, 2, 3)]
+
+    off = [None, *[discounts(c) for c in counts[1:]]]
+    totals = [None] + [defaultdict(lambda: [0, 0.0]) for _ in range(order)]
+    for k in range(1, order + 1):
+        for gram, c in counts[k].items():
+            t = totals[k][gram[:-1]]
+            t[0] += c
+            t[1] += off[k][min(c, 3) - 1]
+
+    def p(gram):
+        if not gram:
+            return 1 / (len(counts[1]) + 1)
+        lower = p(gram[1:])
+        total, taken = totals[len(gram)].get(gram[:-1], (0, 0.0))
+        if not total:
+            return lower
+        c = counts[len(gram)][gram]
+        return (c - (off[len(gram)][min(c, 3) - 1] if c else 0) + taken * lower) / total
+
+    def score(text):
+        w = padded(text)
+        return [math.log10(p(tuple(w[i - order + 1 : i + 1]))) for i in range(order - 1, len(w))]
+
+    return score
+
+
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 

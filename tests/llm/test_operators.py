@@ -278,8 +278,7 @@ def test_plan_takes_two_for_one():
 def test_kneser_ney_adds_up_to_one(spark):
     texts = ["a b a c a b", "b a c c a", "a b b a d", "c a b a", "a a c d d d"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    rows = quality_model.probabilities(quality_model.count_grams(df, 3), 3).toArrow()
-    scorer = quality_model.Scorer(rows, 3)
+    scorer = quality_model.Scorer(quality_model.tables(quality_model.count_grams(df, 3), 3))
     names = ["a", "b", "c", "d"]
     block = next(kernel.blocks(pa.array([" ".join(names)])))
     h = dict(zip(names, kernel.word_hashes(block, kernel.words(block)), strict=True))
@@ -289,6 +288,18 @@ def test_kneser_ney_adds_up_to_one(spark):
         assert abs(total + unknown - 1) < 1e-5
 
 
+def test_perplexities_are_those_of_the_plain_model(spark, docs, pairs):
+    taught = [t for _, t in pairs[:60]]
+    plain = brute.kneser_ney(taught)
+    sample = spark.createDataFrame([(t,) for t in taught], "text string").repartition(3)
+    scorer = spark.sparkContext.broadcast(quality_model.Scorer(quality_model.tables(quality_model.count_grams(sample, 3), 3)))
+    got = {r.doc_id: (r.n_tokens, r.log10_ppl) for r in quality_model.perplexities(docs, scorer, 3, ["doc_id"]).collect()}
+    for i, t in pairs:
+        want = plain(t)
+        assert got[i][0] == len(want)
+        assert got[i][1] == pytest.approx(-sum(want) / len(want), abs=1e-9)
+
+
 def test_classifier_tells_junk(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
