@@ -39,7 +39,7 @@ def decay_vectors(spark, most: float, step: float, directions: int, cell: float)
     return each.select("distance", "direction", F.bround(F.col("distance") * F.cos(angle) / cell).cast("long").alias("dx"), F.bround(F.col("distance") * F.sin(angle) / cell).cast("long").alias("dy"))
 
 
-#: Packed grids up to this size are given to all tasks whole; larger ones are joined by row.
+#: Grids up to this size are given to all tasks whole, a byte a cell; rows of larger ones are joined.
 GIVEN_BYTES = 64 << 20
 
 
@@ -55,40 +55,78 @@ def packed_rows(cells: DataFrame, value: Column, nx: int) -> DataFrame:
     return coded.groupBy("row").applyInArrow(run, "row long, line binary")
 
 
-def shifted_counts(cells: DataFrame, vectors: DataFrame, nx: int, ny: int, by: list[str]) -> DataFrame:
+def counts_schema(vectors: DataFrame, by: list[str]) -> tuple[str, pa.Schema]:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+    named = [(k, vectors.schema[k].dataType.simpleString()) for k in by]
+    fields = pa.schema([*[(k, kinds[t]) for k, t in named], ("zone", pa.int32()), ("lu", pa.int32()), ("n", pa.int64())])
+    return ", ".join([*[f"{k} {t}" for k, t in named], "zone int, lu int, n long"]), fields
+
+
+def counted_rows(counts: dict[tuple, np.ndarray], fields: pa.Schema) -> pa.Table:
+    """(by..., zone, lu, n) of counts by zone * 256 + use; no zone and no use count for nothing."""
+    keys, width = list(counts), max(map(len, counts.values()), default=0)
+    table = np.zeros((len(keys), width), dtype=np.int64)
+    for row, n in zip(table, counts.values(), strict=True):
+        row[: len(n)] = n
+    table[:, :256] = 0
+    table[:, ::256] = 0
+    which, code = np.nonzero(table)
+    named = [pa.array([k[i] for k in keys], f.type).take(pa.array(which)) for i, f in enumerate(list(fields)[:-3])]
+    return pa.Table.from_arrays([*named, pa.array((code >> 8).astype(np.int32)), pa.array((code & 255).astype(np.int32)), pa.array(table[which, code])], schema=fields)
+
+
+def shifted_counts(cells: DataFrame, vectors: DataFrame, nx: int, ny: int, by: list[str], given_bytes: int = GIVEN_BYTES) -> DataFrame:
     """(by..., zone, lu, n): the crosstab for each vector, zones moved on the torus, uses and extent fixed.
 
-    A grid row is one value of a byte a cell. For each vector a row of zones meets the row of uses that it is moved to, and the two
-    are rolled and counted as arrays; what leaves a task is at most zones x uses counts for each vector.
+    Uses are packed, a byte a cell. Up to `given_bytes` all tasks have them whole, and a band of zones is counted for all vectors where
+    it is; beyond, a row of zones meets the row of uses that a vector moves it to by a join of rows. Either way what leaves a task is
+    at most zones x uses counts for each vector.
     """
-    zones = packed_rows(cells, F.col("zone"), nx).withColumnRenamed("line", "zones")
-    uses = packed_rows(cells, F.when(F.col("ext"), F.col("lu")), nx).withColumnsRenamed({"row": "at", "line": "uses"})
-    if nx * ny <= GIVEN_BYTES:
-        uses = F.broadcast(uses)
-    fields = {f.name: f.dataType.simpleString() for f in vectors.schema}
+    schema, fields = counts_schema(vectors, by)
+    uses = packed_rows(cells, F.when(F.col("ext"), F.col("lu")), nx)
+    if nx * ny > given_bytes:
+        each = joined_counts(packed_rows(cells, F.col("zone"), nx), uses, vectors, ny, by, schema, fields)
+        return each.groupBy(*by, "zone", "lu").agg(F.sum("n").alias("n"))
+    grid = np.zeros((ny, nx), dtype=np.uint8)
+    for r in uses.collect():  # given_bytes at most
+        grid[r["row"]] = np.frombuffer(r["line"], dtype=np.uint8)
+    shared = cells.sparkSession.sparkContext.broadcast(grid)
+    steps = [(tuple(r[k] for k in by), r["dx"], r["dy"]) for r in vectors.collect()]  # a list of parameters
+    band = max(32, min(256, -(-ny // 64)))
+
+    def run(key, rows):  # no type hints: Spark reads them
+        top = key[0].as_py() * band
+        zone = np.zeros((min(band, ny - top), nx), dtype=np.uint16)
+        zone[rows.column("row").to_numpy() - top, rows.column("col").to_numpy()] = rows.column("zone").to_numpy().astype(np.uint16) << 8
+        at, counts = np.arange(top, top + len(zone)), {}
+        for name, dx, dy in steps:
+            use = np.roll(shared.value[(at + dy) % ny], -dx, axis=1)
+            counts[name] = np.bincount((zone | use).ravel())
+        return counted_rows(counts, fields)
+
+    placed = cells.where("zone > 0").select("row", "col", F.col("zone").cast("int").alias("zone"), F.floor(F.col("row") / band).alias("band"))
+    return placed.groupBy("band").applyInArrow(run, schema).groupBy(*by, "zone", "lu").agg(F.sum("n").alias("n"))
+
+
+def joined_counts(zones: DataFrame, uses: DataFrame, vectors: DataFrame, ny: int, by: list[str], schema: str, fields: pa.Schema) -> DataFrame:
+    """Counts of packed rows (row, line) of zones and of uses, met for each vector."""
     steps = F.broadcast(vectors.select(*by, "dx", "dy"))  # a list of parameters
-    met = zones.crossJoin(steps).withColumn("at", F.pmod(F.col("row") + F.col("dy"), F.lit(ny))).join(uses, "at").select(*by, "dx", "zones", "uses")
+    target = uses.withColumnsRenamed({"row": "at", "line": "uses"})
+    met = zones.withColumnRenamed("line", "zones").crossJoin(steps).withColumn("at", F.pmod(F.col("row") + F.col("dy"), F.lit(ny))).join(target, "at").select(*by, "dx", "zones", "uses")
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
             dx, z, u = (batch.column(len(by) + i) for i in range(3))
             counts: dict[tuple, np.ndarray] = {}
             for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in range(len(by))), strict=True)):
-                zone, use = (np.frombuffer(x[i].as_buffer(), dtype=np.uint8) for x in (z, u))
-                n = counted(zone, use, dx[i].as_py())
-                if key in counts and len(counts[key]) != len(n):
+                n = counted(*(np.frombuffer(x[i].as_buffer(), dtype=np.uint8) for x in (z, u)), dx[i].as_py())
+                if key in counts:
                     size = max(len(counts[key]), len(n))
-                    counts[key], n = (np.pad(x, (0, size - len(x))) for x in (counts[key], n))
-                counts[key] = counts[key] + n if key in counts else n
-            rows = [(*key, zu >> 8, zu & 255, int(n[zu])) for key, n in counts.items() for zu in np.flatnonzero(n).tolist() if zu >> 8 and zu & 255]
-            yield pa.RecordBatch.from_pylist([dict(zip([*by, "zone", "lu", "n"], r, strict=True)) for r in rows], schema=out) if rows else pa.RecordBatch.from_arrays([pa.array([], f.type) for f in out], schema=out)
+                    n = np.pad(n, (0, size - len(n))) + np.pad(counts[key], (0, size - len(counts[key])))
+                counts[key] = n
+            yield from counted_rows(counts, fields).to_batches()
 
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
-    out = pa.schema([*[(k, kinds[fields[k]]) for k in by], ("zone", pa.int32()), ("lu", pa.int32()), ("n", pa.int64())])
-    each = met.mapInArrow(run, ", ".join([*[f"{k} {fields[k]}" for k in by], "zone int", "lu int", "n long"]))
-    return each.groupBy(*by, "zone", "lu").agg(F.sum("n").alias("n"))
+    return met.mapInArrow(run, schema)
 
 
 def counted(zone: np.ndarray, use: np.ndarray, dx: int) -> np.ndarray:

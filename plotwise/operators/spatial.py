@@ -164,21 +164,42 @@ def fan(ring: np.ndarray, origin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[cross != 0], np.sign(cross[cross != 0]) * np.sign(cross.sum())
 
 
-def shared_area(left: np.ndarray, right: np.ndarray) -> float:
-    """Area of the intersection of two simple rings, dents and all: the signed sum over pairs of their fans' triangles."""
-    origin = left[0]
-    (s, s_sign), (t, t_sign) = fan(left, origin), fan(right, origin)
-    if not len(s) or not len(t):
-        return 0.0
-    i, j = (x.ravel() for x in np.mgrid[0 : len(s), 0 : len(t)])
-    shape, n, clip = s[i], np.full(len(i), 3), t[j]
-    for k in range(3):
-        shape, n = clipped(shape, n, clip[:, k], clip[:, (k + 1) % 3])
-    real = np.arange(shape.shape[1]) < n[:, None]
-    points = np.where(real[..., None], shape, shape[:, :1]) - origin  # corners beyond the last add nothing
-    ahead = np.roll(points, -1, axis=1)
-    area = (points[..., 0] * ahead[..., 1] - points[..., 1] * ahead[..., 0]).sum(axis=1) / 2
-    return float((np.where(n > 2, area, 0.0) * s_sign[i] * t_sign[j]).sum())
+def shared_areas(left: list[np.ndarray], right: list[np.ndarray], most: int = 1 << 15) -> np.ndarray:
+    """Areas of the intersections of simple rings, pair by pair, dents and all: signed sums over the pairs of their fans' triangles.
+
+    Triangles of many pairs are clipped at once, up to `most` of them and those of one pair more.
+    """
+    out = np.zeros(len(left))
+    held: list[tuple] = []
+
+    def flush() -> None:
+        if not held:
+            return
+        shape, clip, sign, origin, owner = (np.concatenate([h[i] for h in held]) for i in range(5))
+        held.clear()
+        n = np.full(len(shape), 3)
+        for k in range(3):
+            shape, n = clipped(shape, n, clip[:, k], clip[:, (k + 1) % 3])
+        real = np.arange(shape.shape[1]) < n[:, None]
+        points = np.where(real[..., None], shape, shape[:, :1]) - origin[:, None, :]  # corners beyond the last add nothing
+        ahead = np.roll(points, -1, axis=1)
+        area = (points[..., 0] * ahead[..., 1] - points[..., 1] * ahead[..., 0]).sum(axis=1) / 2
+        np.add.at(out, owner, np.where(n > 2, area, 0.0) * sign)
+
+    count = 0
+    for p, (a, b) in enumerate(zip(left, right, strict=True)):
+        (s, s_sign), (t, t_sign) = fan(a, a[0]), fan(b, a[0])
+        pairs = len(s) * len(t)
+        if not pairs:
+            continue
+        i, j = np.repeat(np.arange(len(s)), len(t)), np.tile(np.arange(len(t)), len(s))
+        held.append((s[i], t[j], s_sign[i] * t_sign[j], np.broadcast_to(a[0], (pairs, 2)), np.full(pairs, p)))
+        count += pairs
+        if count > most:
+            flush()
+            count = 0
+    flush()
+    return out
 
 
 def polygon_overlay(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
@@ -187,7 +208,7 @@ def polygon_overlay(left: DataFrame, right: DataFrame, size: float) -> DataFrame
     @F.pandas_udf("double")
     def area(a: pd.Series, b: pd.Series) -> pd.Series:
         corners = lambda ring: np.array([(p["x"], p["y"]) for p in ring], dtype=float)
-        return pd.Series([shared_area(corners(x), corners(y)) for x, y in zip(a, b, strict=True)])
+        return pd.Series(shared_areas([corners(x) for x in a], [corners(y) for y in b]))
 
     boxed = lambda s: s.withColumn("__b", ring_box(F.col("ring"))).select("id", "ring", *[F.col(f"__b.{c}").alias(c) for c in BOX])
     a, b = boxed(left), boxed(right)

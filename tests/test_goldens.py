@@ -264,7 +264,7 @@ def test_shifts_count_as_rolling_does(spark):
     zone, lu = rng.integers(0, 4, (9, 14)), rng.integers(0, 5, (9, 14))
     cells = spark.createDataFrame([(r, c, int(zone[r, c]), int(lu[r, c]), bool((r + c) % 5)) for r in range(9) for c in range(14) if (r, c) != (3, 3)], "row long, col long, zone int, lu int, ext boolean")
     vectors = spark.createDataFrame([(0, 0, 0), (1, 3, -2), (2, -30, 19)], "shift long, dx long, dy long")
-    got = {(r.shift, r.zone, r.lu): r.n for r in inference.shifted_counts(cells, vectors, 14, 9, ["shift"]).collect()}
+    got, joined = ({(r.shift, r.zone, r.lu): r.n for r in inference.shifted_counts(cells, vectors, 14, 9, ["shift"], size).collect()} for size in (1 << 20, 0))
     zone[3, 3] = lu[3, 3] = 0
     inside = np.add.outer(np.arange(9), np.arange(14)) % 5 > 0
     want: dict = {}
@@ -273,3 +273,4 @@ def test_shifts_count_as_rolling_does(spark):
         for a, b in zip(z[inside & (z > 0) & (lu > 0)].tolist(), lu[inside & (z > 0) & (lu > 0)].tolist(), strict=True):
             want[k, a, b] = want.get((k, a, b), 0) + 1
     assert got == want
+    assert joined == want
