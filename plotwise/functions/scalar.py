@@ -16,9 +16,12 @@ def parse_percent(text: Column) -> Column:
     return F.regexp_extract(text, r"^([\d.]+)%", 1).try_cast("double")
 
 
+#: Fixed value: how an interval stands in published tables, as in [54.4, 60.9].
+INTERVAL = r"\[([\d.]+),\s*([\d.]+)\]"
+
+
 def parse_interval(text: Column) -> tuple[Column, Column]:
-    pattern = r"\[([\d.]+),\s*([\d.]+)\]"
-    return F.regexp_extract(text, pattern, 1).try_cast("double"), F.regexp_extract(text, pattern, 2).try_cast("double")
+    return tuple(F.regexp_extract(text, INTERVAL, i).try_cast("double") for i in (1, 2))
 
 
 def tile_origin(x: Column, size: int) -> Column:
@@ -37,4 +40,5 @@ def below(p: Column, draws: int) -> Column:
 
 
 def thousands(x: Column, digits: int = 1) -> Column:
+    """A number as text, with separators."""
     return F.format_number(x, digits)

@@ -274,6 +274,13 @@ def in_hull(x: Column, y: Column, hull: list[tuple[float, float]]) -> Column:
     return ok
 
 
+def outside_hull(cells: DataFrame, points: list[tuple[float, float]]) -> DataFrame:
+    """(cells, outside, share): how many cells (row, col) lie outside the hull of a few control points (x = col, y = row)."""
+    inside = in_hull(F.col("col").cast("double"), F.col("row").cast("double"), convex_hull(points))
+    out = F.sum(F.when(inside, 0).otherwise(1))
+    return cells.agg(F.count("*").alias("cells"), out.alias("outside"), (out / F.count("*")).alias("share"))
+
+
 def largest_of(shapes: DataFrame, by: str, area: str) -> DataFrame:
     """The largest shape of each group, the least id of equally large ones; found where the shapes are, then among those."""
     row = F.struct(F.col(area), F.struct(*shapes.columns).alias("row"))

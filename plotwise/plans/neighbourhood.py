@@ -442,3 +442,9 @@ def jn13(spark, d):
     p = B.read(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 7 % 50).alias("row"), (F.col("p_partkey") * 3 % 60).alias("col"))
     met = p.join(cells(spark, d).select("row", "col", "zone", "lu"), ["row", "col"])
     return classify_cells(met, x).join(F.broadcast(x.select("zone", "lu", "district", "use")), ["zone", "lu"], "left").select("id", "zone", "lu", "district", "use", "agree")
+
+
+@query("geo08_hull_coverage", grid_sql("SELECT count(*) AS cells, count(*) FILTER (NOT i)::bigint AS outside, round(count(*) FILTER (NOT i) / count(*)::double, 9) AS share FROM (SELECT 26 * (row - 3) - 2 * (col - 4) >= 0 AND -3 * (row - 5) - 24 * (col - 30) >= 0 AND -19 * (row - 29) + 4 * (col - 27) >= 0 AND -4 * (row - 25) + 22 * (col - 8) >= 0 AS i FROM cells WHERE ext)"))
+def geo08(spark, d):
+    """Share of the extent outside the hull of control points, one of which is inside."""
+    return SP.outside_hull(cells(spark, d).where("ext"), [(4, 3), (30, 5), (15, 15), (27, 29), (8, 25)]).withColumn("share", F.round("share", 9))

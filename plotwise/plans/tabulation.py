@@ -220,6 +220,14 @@ def prj16(spark, d):
     return B.read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
+@query("prj21_formatting", "SELECT p_partkey AS id, format('{:,.1f}', floor(p_retailprice * 100)) AS price, CASE WHEN p_partkey % 5 = 0 THEN '< 0.0025' ELSE printf('%.4f', (p_partkey % 5) / 400.0::double) END AS p FROM part")
+def prj21(spark, d):
+    from ..functions.scalar import below, thousands
+
+    rows = B.read(spark, d, "part")
+    return rows.select(F.col("p_partkey").alias("id"), thousands(F.floor(F.col("p_retailprice") * 100)).alias("price"), below(F.col("p_partkey") % 5 / 400, 400).alias("p"))
+
+
 @query("prj17_scaled_box", "SELECT p_partkey AS id, p_partkey // 8 AS x, trunc(p_retailprice / 8)::bigint AS y, greatest(0, p_partkey - 100)::bigint AS origin FROM part")
 def prj17(spark, d):
     from ..functions.scalar import tile_origin

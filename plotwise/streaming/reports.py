@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..domain import LAND_USES
+from ..functions.scalar import below
 from ..operators import agreement as A
 from ..operators import crosstab as C
 from .sinks import check, write_csv, write_json
@@ -69,16 +70,11 @@ def write_reports(spark: SparkSession, folder: str, cells: DataFrame, xwalk: Dat
     write_csv(detail.orderBy(F.col("acres").desc(), "detail"), f"{folder}/detail", digits=3)
 
 
-def write_statistics(folder: str, summary: DataFrame, accuracy: DataFrame, bundle: DataFrame) -> None:
+def write_statistics(folder: str, summary: DataFrame, accuracy: DataFrame, bundle: DataFrame, s: Settings = Settings()) -> None:
     """The summary as CSV and as text lines, the accuracy table and the bundle as JSON; a group's interval must hold its own value."""
     kept = check(summary, "strict_pct IS NULL OR strict_pct BETWEEN strict_lo AND strict_hi OR abs(strict_pct - strict_lo) < 5", "an interval is far from its value")
     write_csv(kept.orderBy("grp"), f"{folder}/stats_summary", digits=4)
-    line = F.format_string("%s: strict %.1f %% [%.1f, %.1f], baseline %.1f %%, p = %s", "grp", "strict_pct", "strict_lo", "strict_hi", "strict_baseline", below_text(F.col("strict_p")))
+    line = F.format_string("%s: strict %.1f %% [%.1f, %.1f], baseline %.1f %%, p = %s", "grp", "strict_pct", "strict_lo", "strict_hi", "strict_baseline", below(F.col("strict_p"), s.null_shifts))
     kept.orderBy("grp").select(line.alias("value")).coalesce(1).write.mode("overwrite").text(f"{folder}/stats_report")
     write_json(accuracy, f"{folder}/accuracy")
     write_json(bundle, f"{folder}/results")
-
-
-def below_text(p: Column, shifts: int = Settings().null_shifts) -> Column:
-    """A share of shifts as text; none of them is less than one in all."""
-    return F.when(p == 0, F.lit(f"< {1 / shifts:.4f}")).otherwise(F.format_string("%.4f", p))
