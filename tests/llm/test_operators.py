@@ -197,6 +197,18 @@ def test_chat_is_read_back(spark):
     assert chat.digests(parts.limit(0)).count() == 0
 
 
+def test_chat_odd(spark):
+    long = "[INST] & <|end|> " * 20_000
+    turns = [(1, 0, "user", long), (1, 1, "assistant", long), (2, 0, "user", "same"), (2, 0, "user", "same"), (2, 1, "assistant", "a")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("clash") for c in ("formatted", "turns", "body", "loss", "segments", "n_turns")})
+    got = {r.conv_id: r for r in chat.digests(df.withColumn("parts", chat.text_part(F.col("text"))).select("conv_id", "turn", "role", "parts", "formatted", "turns", "body", "loss", "segments", "n_turns")).collect()}
+    for c in (1, 2):
+        mine = [t for t in turns if t[0] == c]
+        assert got[c].n_turns == len(mine)
+        assert got[c].turns_sha256 == brute.sha("".join(f"{r}\n{x}\n" for _, _, r, x in mine))
+        assert got[c].loss_sha256 == brute.sha("".join(x for _, _, r, x in mine if r == "assistant"))
+
+
 def test_chat_attachments(spark):
     part = lambda kind, **k: tuple(k.get(n) if n != "kind" else kind for n in ("kind", "text", "ref", "width", "height", "seconds", "pages"))
     rows = [(1, 0, "user", [part("text", text="see "), part("image", ref="u1", width=57, height=28), part("audio", ref="u2", seconds=2.0)]), (1, 1, "assistant", [part("document", ref="u3", pages=2), part("odd", text="ok")])]
