@@ -115,7 +115,11 @@ def gabor_kernels(frequency: float, sigma: float, angles: int) -> list[np.ndarra
     return [hill * np.exp(2j * np.pi * frequency * (x * np.cos(t) + y * np.sin(t))) for t in np.arange(angles) * np.pi / angles]
 
 
-def gabor_energy(cells: DataFrame, value: str, frequency: float = 0.25, sigma: float = 3.0, angles: int = 4, smooth: int = 4) -> DataFrame:
+# A wave of four cells under a Gaussian of three, four angles, averaged over nine cells.
+GABOR = {"frequency": 0.25, "sigma": 3.0, "angles": 4, "smooth": 4}
+
+
+def gabor_energy(cells: DataFrame, value: str, frequency: float = GABOR["frequency"], sigma: float = GABOR["sigma"], angles: int = GABOR["angles"], smooth: int = GABOR["smooth"]) -> DataFrame:
     """(row, col, e0, e1, ...): strength of the wave of each angle around each cell, averaged over a square of radius `smooth`.
 
     The grid's mean is taken off first; cells that the grid lacks count as the mean. `grid.mirrored` gives a reflected margin.

@@ -52,6 +52,7 @@ def foc09(spark, d):
     return tiles.gabor_energy(B.shades(spark, d), "grey")
 
 
+# Limits of tone and grain for blank paper and for streets.
 PAPER, STREET = "v > 212 AND std < 4", "v > 195 AND std < 14"
 
 
@@ -61,6 +62,7 @@ def flt04(spark, d):
     return near.select("row", "col", F.expr(PAPER).alias("paper"), F.expr(STREET).alias("street")).where("paper OR street")
 
 
+# Limits for solid areas, to begin with (15 cells wide) and to grow into (7 cells wide).
 SEED, RELAXED = "mean < 95 AND std < 20 AND bright < 0.03", "mean < 120 AND std < 35 AND bright < 0.08"
 RULES_SQL = (B.SHADES_SQL, f"seed AS (SELECT row, col FROM ({B.around_sql('shades', 'grey', 7, 150)}) WHERE {SEED})", f"relaxed AS (SELECT row, col FROM ({B.around_sql('shades', 'grey', 3, 150)}) WHERE {RELAXED})")
 
