@@ -98,6 +98,41 @@ def line_verdicts(rows, p):
     return out
 
 
+def best_two_fit(counts, size):
+    """Bins one at a time: the longest that fit, then the smallest for the two that fit its gap most tightly."""
+    left = Counter({n: c for n, c in counts.items() if c})
+    bins = []
+    while left:
+        bin_, gap = [], size
+        while any(n <= gap for n in left):
+            n = max(n for n in left if n <= gap)
+            bin_.append(n)
+            gap -= n
+            left -= Counter([n])
+        if gap:
+            small = bin_[-1]
+            free = left + Counter([small])
+            pairs = [(a + b, -b) for a in free for b in free if b <= a < small + gap and (a != b or free[a] > 1) and small < a + b <= small + gap]
+            if pairs:
+                total, b = max(pairs)
+                bin_[-1:] = [total + b, -b]
+                left = free - Counter(bin_[-2:])
+        bins.append(bin_)
+    return bins
+
+
+def nearest_pages(rows):
+    """{rid: other} of (rid, host, path): the neighbour in order whose path begins alike the longest, the one before if both do."""
+    rows = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
+    alike = lambda a, b: len(a) and next((k for k in range(len(a)) if a[: k + 1] != b[: k + 1]), len(a))
+    out = {}
+    for k, (rid, host, path) in enumerate(rows):
+        near = [rows[j] for j in (k - 1, k + 1) if 0 <= j < len(rows) and rows[j][1] == host]
+        if near:
+            out[rid] = max(near, key=lambda r: alike(path, r[2]))[0]
+    return out
+
+
 def kneser_ney(taught, order=3):
     """A function of a text: log10 p of each of its words and its end, by the plain formulas of the interpolated modified model."""
     padded = lambda text: ["<s>"] * (order - 1) + words(text) + ["</s>"]

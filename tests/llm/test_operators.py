@@ -279,6 +279,13 @@ def test_plan_places_every_piece(counts):
     assert placed == Counter(counts)
 
 
+@given(st.dictionaries(st.integers(1, 32), st.integers(1, 12), max_size=10))
+@settings(max_examples=150, deadline=None)
+def test_plan_is_that_of_one_bin_at_a_time(counts):
+    bins = [b for times, b in packing.plan(counts, 32) for _ in range(times)]
+    assert bins == brute.best_two_fit(counts, 32)
+
+
 def test_plan_takes_two_for_one():
     # 60, then 3 greedily; 2 + 2 fill the gap of 4 exactly
     assert packing.plan({60: 1, 3: 1, 2: 2}, 64)[0] == (1, [60, 2, 2])
@@ -458,6 +465,14 @@ def test_copies_that_differ_in_a_line_keep_their_text(spark):
     assert got == {1: ("All wares\none", 2), 2: ("All wares\ntwo", 2), 3: ("three and more", 2), 4: ("four and more", 2)}
 
 
+def test_nearest_pages(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a.com", "b.com", "c.com", f"one{i}.com"]), "/" + "/".join(rng.choice(["x", "xy", "news", "n"]) for _ in range(rng.randrange(4)))) for i in range(120)]
+    df = spark.createDataFrame(rows, "rid long, host string, path string")
+    for n in (1, 7):
+        assert {r.rid: r.other for r in html_text.nearest(df, html_text.Pages(ranges=n)).collect()} == brute.nearest_pages(rows)
+
+
 def test_neighbours_delete_the_template(spark):
     page = lambda body: f"<html><body><div>Shop name</div><div>All wares</div>{body}<div>Call us</div></body></html>"
     rows = [(1, "http://x.com/a/1", page("<p>first</p>")), (2, "http://x.com/a/2", page("<p>second</p>")), (3, "http://y.com/", page("<p>alone</p>")), (4, "http://x.com/b/9?q", page("<p>third</p>")), (None, None, None), (5, "http://z.com/1", PAGE), (6, "http://z.com/1", PAGE)]
