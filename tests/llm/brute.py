@@ -192,5 +192,71 @@ def base_scores(rows):
     return [(i, held[i], len(w), sum(x in c for x in w), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)) for i, w in docs]
 
 
+def tree_scores(rows, p):
+    """{doc_id: log10 probability} by a plain suffix tree over bytes, counts of words, and single rare words as contexts."""
+    docs = [(i, words((t or "").translate(LOWER))) for i, t in rows]
+    train = [w for i, w in docs if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
+    pad = b"\n" * p.depth
+
+    def spelled(w):
+        return [*((x + " ").encode() for x in w), b"\n"]
+
+    after = defaultdict(Counter)
+    places = 0
+    for w in train:
+        data = pad + b"".join(spelled(w))
+        for at in range(p.depth, len(data)):
+            places += 1
+            for d in range(p.depth + 1):
+                after[data[at - d : at]][data[at]] += 1
+    known = {c: n for c, n in after.items() if sum(n.values()) >= p.least * places}
+    kept = {b""} & known.keys()
+    for c in sorted(known, key=len, reverse=True):
+        n, up = known[c], known[c[1:]]
+        total, above = sum(n.values()), sum(up.values())
+        if c and (c in kept or sum(k * math.log(k / total * above / up[x]) for x, k in n.items()) >= p.gain):
+            kept |= {c, c[1:]}
+
+    def byte(data, at):
+        chance = 1 / 256
+        for d in range(p.depth + 1):
+            c = data[at - d : at]
+            if c in kept:
+                n = known[c]
+                chance = (n[data[at]] + len(n) * chance) / (sum(n.values()) + len(n))
+        return math.log10(chance)
+
+    count = Counter(x for w in train for x in [*w, "\0"])
+    total, kinds = sum(count.values()), len(count)
+    least = max(1.0, p.heavy * total)
+    follow = defaultdict(Counter)
+    for w in train:
+        for a, b in zip(w, [*w[1:], "\0"]):
+            if not (count[a] >= least and count[a] >= max(p.few, p.heavy * total)):
+                follow[a][b] += 1
+    state = {}
+    for a, n in follow.items():
+        whole, once = sum(n.values()), sum(k == 1 for k in n.values())
+        if whole < 2:
+            continue
+        gain = sum(k * (math.log(k - 1 - p.discount) - math.log(whole - 1) - math.log((count[b] if count[b] >= least else least) / total)) for b, k in n.items() if k > 1)
+        if gain + once * math.log(p.discount * len(n) / whole) >= p.gain:
+            state[a] = n
+    out = {}
+    for i, w in docs:
+        score, at, data = 0.0, p.depth, pad + b"".join(spelled(w))
+        for a, b, s in zip(["\0", *w], [*w, "\0"], spelled(w)):
+            chance = sum(byte(data, at + k) for k in range(len(s)))
+            at += len(s)
+            if total:
+                chance = math.log10((count[b] + kinds * 10**chance) / (total + kinds))
+            if a in state:
+                n = state[a]
+                chance = math.log10((max(n[b] - p.discount, 0) + p.discount * len(n) * 10**chance) / sum(n.values()))
+            score += chance
+        out[i] = score, sum(a in state for a in w)
+    return out
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()

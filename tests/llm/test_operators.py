@@ -386,6 +386,34 @@ def test_scores(docs, pairs, odd, empty):
     assert all(r.base_score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in nobody)
 
 
+def test_scores_against_a_plain_tree(spark, docs, pairs):
+    p = suffix_tree.SuffixTree(depth=3, least=1e-4, batch_bytes=1 << 16)
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
+    told = [(100 + i, f"alpha{i % 5} beta{i % 5} the end of gamma{i % 3} delta{i % 7} the {'x' * 400}") for i in range(40)]
+    for df, rows in ((spark.createDataFrame(told, "doc_id long, text string"), told), (docs, pairs)):
+        want = brute.tree_scores(rows, p)
+        got = {r.doc_id: r.score for r in suffix_tree.score_texts(df, held, p).collect()}
+        assert got.keys() == want.keys()
+        for i, (score, _) in want.items():
+            assert abs(got[i] - score) <= 1e-6 * abs(score) + 1e-6
+    assert sum(n for _, n in brute.tree_scores(told, p).values()) >= 40  # states of rare words are used
+
+
+def test_rare_contexts_grow_with_the_corpus(spark):
+    def states(n):
+        texts = [(i, " ".join(f"w{i % n}x{k} w{i % n}y{k}" for k in range(5))) for i in range(5 * n)]
+        df = spark.createDataFrame(texts, "doc_id long, text string").select("text")
+        p = suffix_tree.SuffixTree()
+        words = suffix_tree.counts(df, p).where("kind = 0").select(F.col("key").alias("word"), "n")
+        total = words.agg(F.sum("n")).first()[0]
+        keys = np.sort(np.array([r.word for r in words.collect()], dtype=np.int64).view(np.uint64))
+        often = spark.sparkContext.broadcast(suffix_tree.Often(keys, np.full(len(keys), 5), p.few))
+        return suffix_tree.states(suffix_tree.pairs(df, often, p), words, total, p).select("context").distinct().count()
+
+    few, many = states(40), states(400)
+    assert few > 0 and many >= 9 * few
+
+
 def test_tree_is_a_distribution_and_learns(spark):
     text = "the cat and the dog and the cow " * 300
     df = spark.createDataFrame([(1, text), (3, text), (4, "zzqx " * 1600)], "doc_id long, text string")
