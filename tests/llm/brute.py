@@ -227,7 +227,7 @@ def tree_scores(rows, p):
         return math.log10(chance)
 
     count = Counter(x for w in train for x in [*w, "\0"])
-    total, kinds = sum(count.values()), len(count)
+    total = sum(count.values())
     least = max(1.0, p.heavy * total)
     follow = defaultdict(Counter)
     for w in train:
@@ -249,7 +249,7 @@ def tree_scores(rows, p):
             chance = sum(byte(data, at + k) for k in range(len(s)))
             at += len(s)
             if total:
-                chance = math.log10((count[b] + kinds * 10**chance) / (total + kinds))
+                chance = math.log10(p.spelt * 10**chance + (1 - p.spelt) * count[b] / total)
             if a in state:
                 n = state[a]
                 chance = math.log10((max(n[b] - p.discount, 0) + p.discount * len(n) * 10**chance) / sum(n.values()))
