@@ -166,17 +166,19 @@ def block_table(cells: DataFrame, size: int, across: int) -> DataFrame:
 
 
 def block_weights(spark, reps: int, blocks: int, seed: int) -> DataFrame:
-    """(rep, block, times): how often each block is drawn; empty blocks are drawn, too."""
+    """(rep, block, times): how often each block is drawn; empty blocks are drawn, too. Dealt out by block, as what they meet is."""
     draws = spark.range(reps).select(F.col("id").alias("rep")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    return draws.select("rep", (draw(F.lit(seed), F.col("rep"), F.col("i")) % blocks).alias("block")).groupBy("rep", "block").agg(F.count("*").alias("times"))
+    drawn = draws.select("rep", (draw(F.lit(seed), F.col("rep"), F.col("i")) % blocks).alias("block"))
+    return drawn.repartition("block").groupBy("rep", "block").agg(F.count("*").alias("times"))
 
 
 def block_bootstrap(table: DataFrame, xwalk: DataFrame, weights: DataFrame) -> DataFrame:
     """Percentages by replicate and group, from the block table and the draws: the grid is not read again.
 
-    The table is summed to a few numbers for each block and group before it meets the draws.
+    The table is summed to a few numbers for each block and group before it meets the draws. Both are dealt out by block: Spark takes
+    the draws for a table of `reps` rows, as it doesn't see that each makes `blocks` of them, and would send all to the driver.
     """
-    sums = measures(table, xwalk, "block", "grp")
+    sums = measures(table, xwalk, "block", "grp").hint("shuffle_hash")
     weighted = sums.join(weights, "block").groupBy("rep", "grp").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in ("denom", "strict_n", "cumulative_n")])
     return percentages(weighted)
 

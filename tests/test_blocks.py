@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from plotwise import domain
 from plotwise.operators import inference
 from plotwise.plans import bindings, statistics
 from plotwise.plans.registry import QUERIES
@@ -26,3 +27,12 @@ def test_every_block_has_its_id_and_is_drawn(spark, monkeypatch):
 def test_blocks_of_ten_do_not_meet(spark):
     parts = QUERIES["ag13_block_fraction"](spark, SF).agg(F.max("area")).first()[0]
     assert parts == 100
+
+
+def test_draws_are_not_sent_to_the_driver(spark):
+    table = spark.createDataFrame([(b, 1 + b % 3, 1 + b % 5, 7) for b in range(50)], "block long, zone int, lu int, n long")
+    boot = inference.block_bootstrap(table, domain.crosswalk(spark), inference.block_weights(spark, 20, 50, 0))
+    plan = boot._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "block" in line]
+    assert joins and not [line for line in joins if "Broadcast" in line]
+    assert boot.count() == 20
