@@ -1,10 +1,10 @@
 """Quality classifier: perplexity by an interpolated modified Kneser-Ney trigram model of trusted text.
 
-The model is taught on a sample of the trusted rows that is bounded in rows and words (documented parameters), so that its tables
-are, too. N-grams of the highest order are counted in shards by their hash; each row also names the shorter n-grams that it ends
-with and their contexts, so the counts of different words before an n-gram, and the totals of a context, are further counts of the
-same rows. The finished tables (at most `order` n-grams a word) are then given to all tasks, and a document is scored where it is:
-sending every n-gram of every document to the shards instead would move three times the input.
+The model is taught on all trusted rows but those held out for the quantile. N-grams of the highest order are counted in shards by
+their hash; each row also names the shorter n-grams that it ends with and their contexts, so the counts of different words before an
+n-gram, and the totals of a context, are further counts of the same rows. A model of up to `given` n-grams of that order is given to
+all tasks, and a document is scored where it is. A larger one stays in shards: each batch of documents asks for its distinct keys, is
+answered with those that are known, and is scored then. Both ways give the same scores.
 
 A document is kept if its perplexity isn't above a quantile of its language's trusted documents that the model wasn't taught on.
 The quantile counts all of them, at a resolution of 0.001 in log10.
@@ -12,6 +12,7 @@ The quantile counts all of them, at a resolution of 0.001 in log10.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,23 +22,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import release, stored, text_of
+from .shared import release, stored, text_bytes, text_of
 
 U64 = np.uint64
+#: By which the keys of n-grams of 1, 2, ... words are told apart in one table.
+SALTS = K.mix(np.arange(1, 17, dtype=U64) + U64(0x5A17))
 START, END = (int(x) for x in K.mix(np.array([0x57A27, 0xE4D], dtype=U64)))
 
 
 @dataclass(frozen=True)
 class QualityModel:
-    """rows, words: bounds of the taught sample. quantile: of the trusted, untaught documents. few: a language with fewer such
-    documents has the quantile of all languages. taught: share of the trusted rows that may be taught on, in percent."""
+    """quantile: of the trusted, untaught documents. few: a language with fewer such documents has the quantile of all languages.
+    taught: share of the trusted rows that are taught on, in percent. given: n-grams of a model that is given to all tasks."""
 
     order: int = 3
-    rows: int = 4000
-    words: int = 2_000_000
     quantile: float = 0.99
     few: int = 50
     taught: int = 80
+    given: int = 2_000_000
+    shard_bytes: int = 1 << 24
+    batch_bytes: int = 1 << 22
 
 
 def padded(block: K.Block, w: K.Words, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,6 +173,103 @@ def perplexities(docs: DataFrame, scorer, order: int, extra: list[str]) -> DataF
     return docs.select(*extra, text_of().alias("text")).mapInArrow(run, f"{fields}, n_tokens long, log10_ppl double")
 
 
+def sharded(counted: DataFrame, order: int) -> tuple[DataFrame, tuple[int, float, float]]:
+    """The model of the counted n-grams as one table (key, left, total, off), and the number of words with their total and what was
+    taken off. A key has a row as an n-gram (left) and one as a context (total, off), or one of them."""
+    table, parts, words = counted.withColumnRenamed("n", "c"), [], (0, 0.0, 0.0)
+    salted = lambda c, k: F.col(c).bitwiseXOR(F.lit(int(SALTS[k].view(np.int64)))).alias("key")
+    none = F.lit(0.0)
+    for k in range(order, 0, -1):
+        d = discounts(table)
+        off = F.when(F.col("c") == 1, F.lit(d[0])).when(F.col("c") == 2, F.lit(d[1])).otherwise(F.lit(d[2]))
+        parts.append(stored(table.select(salted(f"g{k}", k), (F.col("c") - off).alias("left"), none.alias("total"), none.alias("off")), "model"))
+        sums = F.sum("c").cast("double").alias("total"), F.sum(off).alias("off")
+        if k == 1:
+            r = table.agg(F.count("*").alias("n"), *sums).first()
+            words = (r["n"], r["total"] or 0.0, r["off"] or 0.0)
+            release(table)
+            break
+        parts.append(stored(table.groupBy(f"h{k}").agg(*sums).select(salted(f"h{k}", k - 1), none.alias("left"), "total", "off"), "model"))
+        names = [f"{c}{i}" for i in range(1, k) for c in "gh"]
+        below = stored(table.groupBy(*names).agg(F.count("*").alias("c")), "grams")
+        release(table)
+        table = below
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out, words
+
+
+def asked_perplexities(docs: DataFrame, model: DataFrame, words_: tuple[int, float, float], extra: list[str], p: QualityModel) -> DataFrame:
+    """As perplexities(), for a model in shards: a batch's distinct keys go to them, known ones come back, and its texts wait meanwhile."""
+    kinds, all_, all_off = words_
+    fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in extra)
+    texts = docs.select(*extra, text_of().alias("text"))
+    bits = max(2, (text_bytes(texts) // p.shard_bytes).bit_length() + 1)
+
+    def keys_of(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys of all n-grams and of the contexts of two words or more; where each is among them; where shards begin."""
+        each = [gram_keys(words, at, k) ^ SALTS[k] for k in range(1, p.order + 1)] + [K.FIRST.spans(words, at - k + 1, at) ^ SALTS[k - 1] for k in range(2, p.order + 1)]
+        distinct, index = np.unique(np.concatenate(each), return_inverse=True)
+        shard = (distinct >> U64(64 - bits)).astype(np.int64)
+        return distinct, index.reshape(len(each), -1), np.searchsorted(shard, np.arange((1 << bits) + 1))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in K.blocks(batch.column(len(extra)), p.batch_bytes):
+                words, at, _ = padded(block, K.words(block), p.order)
+                distinct, _, cuts = keys_of(words, at)
+                rows = batch.slice(block.lo, block.hi - block.lo)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema) as out:
+                    out.write_batch(rows)
+                some, name = np.flatnonzero(np.diff(cuts)), uuid.uuid4().bytes
+                data = [distinct[cuts[i] : cuts[i + 1]].tobytes() for i in some]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * (len(some) + 1), pa.binary()), pa.array([-1, *some.tolist()], pa.int64()), pa.array([sink.getvalue().to_pybytes(), *data], pa.binary())], ["batch", "shard", "data"])
+
+    def answer(left, right):  # no type hints: Spark reads them
+        keys, which = np.unique(right.column("key").to_numpy().view(U64), return_inverse=True)
+        values = [np.bincount(which, right.column(c).to_numpy(), minlength=len(keys)) for c in ("left", "total", "off")]
+        out = []
+        for x in left.column("data").to_pylist():
+            seen, at = found(keys, np.frombuffer(x, dtype=U64))
+            out.append(b"".join([np.flatnonzero(seen).astype(np.int64).tobytes(), *(v[at[seen]].tobytes() for v in values)]))
+        return pa.table({"batch": left.column("batch"), "shard": left.column("shard"), "found": pa.array(out, pa.binary())})
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, replies in zip(batch.column(0), batch.column(1), strict=True):
+                rows = pa.ipc.open_stream(data.as_buffer()).read_all().combine_chunks().to_batches()[0]
+                for block in K.blocks(rows.column(len(extra)), 1 << 62):  # as it was cut when it asked
+                    words, at, doc = padded(block, K.words(block), p.order)
+                    distinct, index, cuts = keys_of(words, at)
+                    left, total, off = (np.zeros(len(distinct)) for _ in range(3))
+                    for r in replies.as_py() or []:
+                        n = len(r["found"]) // 32
+                        where = np.frombuffer(r["found"], dtype=np.int64, count=n) + cuts[r["shard"]]
+                        for i, v in enumerate((left, total, off)):
+                            v[where] = np.frombuffer(r["found"], dtype=np.float64, count=n, offset=8 * n * (i + 1))
+                    chance = np.full(len(at), 1.0 / (kinds + 1))
+                    if all_:
+                        chance = (left[index[0]] + all_off * chance) / all_
+                    live = np.arange(len(at))
+                    for k in range(2, p.order + 1):
+                        x = index[p.order + k - 2]
+                        live = live[total[x[live]] > 0]
+                        y = x[live]
+                        chance[live] = (left[index[k - 1][live]] + off[y] * chance[live]) / total[y]
+                    n = np.bincount(doc, minlength=rows.num_rows)
+                    sums = np.bincount(doc, np.log10(chance), minlength=rows.num_rows)
+                    yield pa.RecordBatch.from_arrays([*rows.columns[: len(extra)], pa.array(n.astype(np.int64)), pa.array(-sums / n)], [*extra, "n_tokens", "log10_ppl"])
+
+    sent = stored(texts.mapInArrow(send, "batch binary, shard long, data binary"), "requests")
+    table = model.withColumn("shard", F.shiftrightunsigned("key", 64 - bits))
+    replies = sent.where("shard >= 0").groupBy("shard").cogroup(table.groupBy("shard")).applyInArrow(answer, "batch binary, shard long, found binary")
+    answers = replies.groupBy("batch").agg(F.collect_list(F.struct("shard", "found")).alias("replies"))
+    waiting = sent.where("shard = -1").select("batch", "data").join(answers, "batch", "left").select("data", "replies")
+    return waiting.mapInArrow(score, f"{fields}, n_tokens long, log10_ppl double")
+
+
 def classify(docs: DataFrame, trusted: DataFrame, p: QualityModel = QualityModel()) -> DataFrame:
     """One row for each row of `docs` (doc_id, text, lang): doc_id, lang, n_tokens, log10_ppl, threshold, kept.
 
@@ -180,19 +281,15 @@ def classify(docs: DataFrame, trusted: DataFrame, p: QualityModel = QualityModel
     spark = docs.sparkSession
     known = trusted.select("doc_id").where("doc_id is not null").distinct()
     rank = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(100))
-    teach = known.where(rank < p.taught).withColumn("__order", F.xxhash64("doc_id", F.lit(7)))
-    sizes = docs.select("doc_id", F.size(F.split(text_of(), r"\s+")).alias("n")).join(teach, "doc_id").groupBy("doc_id", "__order").agg(F.sum("n").alias("n"))
-    taken, total = [], 0
-    for r in sizes.orderBy("__order", "doc_id").limit(p.rows).collect():
-        if total + r["n"] <= p.words:
-            taken.append(r["doc_id"])
-            total += r["n"]
-    kind = docs.schema["doc_id"].dataType
-    ids = spark.createDataFrame([(x,) for x in taken], f"doc_id {kind.simpleString()}")
-    sample = stored(docs.join(F.broadcast(ids), "doc_id", "left_semi").select(text_of().alias("text")), "sample")  # p.rows ids at most
-    scorer = spark.sparkContext.broadcast(Scorer(tables(count_grams(sample, p.order), p.order)))
+    teach = known.where(rank < p.taught)
+    sample = stored(docs.join(teach, "doc_id", "left_semi").select(text_of().alias("text")), "taught")
+    counted = stored(count_grams(sample, p.order), "counted")
     release(sample)
-    scored = stored(perplexities(docs, scorer, p.order, ["doc_id", "lang"]), "scores")
+    if counted.count() <= p.given:
+        scorer = spark.sparkContext.broadcast(Scorer(tables(counted, p.order)))
+        scored = stored(perplexities(docs, scorer, p.order, ["doc_id", "lang"]), "scores")
+    else:
+        scored = stored(asked_perplexities(docs, *sharded(counted, p.order), ["doc_id", "lang"], p), "scores")
     held = known.where(rank >= p.taught)
     limits = thresholds(scored.join(held, "doc_id", "left_semi"), p)
     general = limits.agg(F.max("general")).first()[0]  # of all languages

@@ -330,6 +330,25 @@ def test_classifier_tells_junk(spark):
     assert sum(bad) / len(bad) < 0.3
 
 
+def test_all_trusted_rows_are_taught(spark):
+    docs = spark.range(5300).select(F.col("id").alias("doc_id"), F.format_string("w%d w%d w%d", "id", "id", "id").alias("text"), F.lit("en").alias("lang"))
+    taught = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(100)) < 80
+    got = quality_model.classify(docs, docs.select("doc_id")).groupBy(taught.alias("taught")).agg(F.count("*").alias("n"), F.min("log10_ppl").alias("lo"), F.max("log10_ppl").alias("hi"))
+    got = {r.taught: r for r in got.collect()}
+    assert got[True].n > 4000
+    assert got[True].hi < got[False].lo
+
+
+def test_a_model_in_shards_scores_as_one_that_is_given(spark, docs, odd, empty):
+    df = docs.select("doc_id", "text", F.lit("en").alias("lang")).unionByName(odd.select(F.col("doc_id") + 100000, "text", "lang").toDF("doc_id", "text", "lang"))
+    ids = docs.select("doc_id").where("doc_id % 3 = 0")
+    small = dict(given=0, shard_bytes=1 << 10, batch_bytes=1 << 12)
+    rows = lambda d, i, **more: sorted(((r.doc_id, r.n_tokens, round(r.log10_ppl, 9), r.threshold, r.kept) for r in quality_model.classify(d, i, quality_model.QualityModel(**more)).collect()), key=repr)
+    assert rows(df, ids, **small) == rows(df, ids)
+    assert rows(df, ids.limit(0), given=-1) == rows(df, ids.limit(0))
+    assert rows(empty, ids, **small) == []
+
+
 def test_classifier_odd(spark, odd, empty):
     ids = spark.createDataFrame([(4,), (5,), (7,), (None,), (4,)], "doc_id long")
     assert quality_model.classify(odd, ids).count() == odd.count()
