@@ -18,7 +18,7 @@ from .quality_rules import quality_verdicts
 from .shared import table
 from .spotsigs import edited_fingerprints
 from .substrings import remove_repeats
-from .suffix_tree import score_texts
+from .suffix_tree import SuffixTree, score_texts
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document by a tree taught on those whose crc32 of the id is not 2 modulo 7."""
     train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
-    return score_texts(table(spark, sf_dir, "documents"), train)
+    return score_texts(table(spark, sf_dir, "documents"), train, SuffixTree(common=True))
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

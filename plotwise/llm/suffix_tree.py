@@ -16,6 +16,10 @@ words after it diverge from the counts of words by more than `gain`, each occurr
 that a chance pair tells nothing). There is no cut by frequency: a context met twice is a state if it tells enough, and the
 states, a table in shards, grow with the corpus. Their counts are discounted by `discount` and smoothed by those of words.
 
+Common contexts. With `common`, every other word is a context by the same test, and so is the beginning of a text. There are
+1 / heavy of them at most, so those that are states are given to all tasks; their pairs are counted in packed shards, over which
+a context with more than a shard's share of all tokens is spread, and those of states join the table that is asked.
+
 For comparison each text also gets the score of add-one counts of tokens. Words with at least `heavy` of all tokens, 1 / heavy
 at most, are looked up where the document is. Other words, states and their pairs are asked for in packed requests of distinct
 keys, one for each batch of documents and shard, and answered by one count for each. A Bloom filter of bounded size saves asking
@@ -52,6 +56,7 @@ class SuffixTree:
     few: int = 20
     discount: float = 0.75
     spelt: float = 0.5
+    common: bool = False
     filter_bytes: int = 1 << 25
     shard_bytes: int = 1 << 25
     batch_bytes: int = 1 << 23
@@ -197,11 +202,13 @@ def grown(grams_: DataFrame, p: SuffixTree) -> Tree:
 
 @dataclass(frozen=True)
 class Often:
-    """Words with at least `heavy` of all tokens: sorted hashes and counts; words under `limit` are contexts of their own."""
+    """Words with at least `heavy` of all tokens: sorted hashes and counts; words under `limit` are rare contexts, the others common
+    ones. kinds: how many different tokens follow a common context, 0 if it is no state."""
 
     keys: np.ndarray
     n: np.ndarray
     limit: float
+    kinds: np.ndarray | None = None
 
     def find(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The place of each token here, whether it is here, and whether it is a common one."""
@@ -212,23 +219,28 @@ class Often:
         return place, here, here & (self.n[place] >= self.limit)
 
 
-def contexts(token: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The token before each one (the end sign before a document's first), and whether it is a rare one."""
-    end = token == U64(END_WORD)
-    return np.concatenate([[U64(END_WORD)], token[:-1]]).astype(U64), np.concatenate([[False], ~(common | end)[:-1]]).astype(bool)
+def contexts(token: np.ndarray, often: Often, found: tuple, p: SuffixTree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token before each one (the end sign before a document's first), whether it is a rare context, and the place in `often` of a
+    common one, else -1. `found` is what often.find() tells of the tokens."""
+    first = often.find(np.array([END_WORD], dtype=U64))
+    before = np.concatenate([[U64(END_WORD)], token[:-1]]).astype(U64)
+    place, _, common = (np.concatenate([x, y[:-1]]) for x, y in zip(first, found, strict=True))
+    if p.common:
+        return before, ~common, np.where(common, place, -1)
+    return before, ~common & (before != U64(END_WORD)), np.full(len(token), -1)
 
 
 def pair_keys(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     return token ^ (context << U64(1) | context >> U64(63))
 
 
-def pairs(texts: DataFrame, often, p: SuffixTree) -> DataFrame:
-    """(context, next, n) in parts: how often a token follows a rare word. `often` is a broadcast."""
+def pairs(texts: DataFrame, often, p: SuffixTree, common: bool = False) -> DataFrame:
+    """(context, next, n) in parts: how often a token follows a rare context, or a common one that is a state. `often` is a broadcast."""
 
     def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-        context, token, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        _, at, which = np.unique(pair_keys(context, token), return_index=True, return_inverse=True)
-        return context[at], token[at], np.bincount(which, n).astype(np.int64)
+        context, token = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, at, n = np.unique(pair_keys(context, token), return_index=True, return_counts=True)
+        return context[at], token[at], n.astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -242,8 +254,10 @@ def pairs(texts: DataFrame, often, p: SuffixTree) -> DataFrame:
         for batch in batches:
             for block in K.blocks(batch.column(0)):
                 token, _ = tokens_of(block, K.words(block))
-                context, rare = contexts(token, often.value.find(token)[2])
-                held.append(summed([(context[rare], token[rare], np.ones(int(rare.sum())))]))
+                context, some, place = contexts(token, often.value, often.value.find(token), p)
+                if common:
+                    some = (place >= 0) & (often.value.kinds[place] > 0)
+                held.append((context[some], token[some]))
                 if sum(len(x[0]) for x in held) > 1 << 20:
                     yield from flush()
         yield from flush()
@@ -251,6 +265,96 @@ def pairs(texts: DataFrame, often, p: SuffixTree) -> DataFrame:
     return texts.mapInArrow(run, "context long, next long, n long")
 
 
+def planes(x: np.ndarray) -> bytes:
+    """64-bit numbers, all first bytes first: small ones compress well."""
+    return np.ascontiguousarray(x.astype(U64).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unplaned(data: bytes, n: int, at: int) -> np.ndarray:
+    """The n numbers of the column `at` among equally long ones."""
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8, count=8 * n, offset=8 * n * at).reshape(8, n).T).view(U64).ravel()
+
+
+def common_states(texts: DataFrame, often, total: int, bits: int, p: SuffixTree) -> tuple[np.ndarray, np.ndarray]:
+    """Places in `often` (a broadcast) of the common contexts that are states, and how many different tokens follow each.
+
+    The test is that of states(). All pairs are counted: sorted in packed shards, a batch's share of a shard in one row. Pairs of two
+    words of `often` are one number; for others the pair's hash goes with the context.
+    """
+    limit = total >> bits  # contexts above it are dealt to all shards, the others to one
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def shards(context: np.ndarray, key: np.ndarray) -> np.ndarray:
+            by = np.where(often.value.n[context.astype(np.int64)] > limit, key, context)
+            return (K.mix(by) >> U64(64 - bits)).astype(np.int64)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            near, n = np.unique(np.concatenate([x for x, _ in held]), return_counts=True)
+            far = np.concatenate([x for _, x in held], axis=1)
+            held.clear()
+            _, at, m = np.unique(far[1], return_index=True, return_counts=True)
+            far = far[:, at]
+            parts = []
+            for context, key, count in ((near >> U64(32), near, n), (far[0], far[1], m)):
+                shard = shards(context, key)
+                order = np.argsort(shard, kind="stable")
+                cut = np.searchsorted(shard[order], np.arange((1 << bits) + 1))
+                parts.append((context[order], key[order], count[order], cut))
+            for i in range(1 << bits):
+                data, sizes = [], []
+                for k, (context, key, count, cut) in enumerate(parts):
+                    lo, hi = cut[i], cut[i + 1]
+                    sizes.append(hi - lo)
+                    data += [planes(np.diff(key[lo:hi], prepend=U64(0))), planes(count[lo:hi])] + [planes(context[lo:hi])] * k
+                if sum(sizes):
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), *(pa.array([int(x)], pa.int64()) for x in sizes), pa.array([b"".join(data)], pa.binary())], ["shard", "near", "far", "data"])
+
+        for batch in batches:
+            for block in K.blocks(batch.column(0)):
+                token, _ = tokens_of(block, K.words(block))
+                found = often.value.find(token)
+                before, _, context = contexts(token, often.value, found, p)
+                near, far = (context >= 0) & found[1], (context >= 0) & ~found[1]
+                held.append((context[near].astype(U64) << U64(32) | found[0][near].astype(U64), np.stack([context[far].astype(U64), pair_keys(before[far], token[far])])))
+                if sum(len(x) + y.shape[1] for x, y in held) > 1 << 21:
+                    yield from flush()
+        if held:
+            yield from flush()
+
+    least = max(1.0, p.heavy * total)
+
+    def tell(table):  # no type hints: Spark reads them
+        parts: list[list] = [[], []]
+        for a, b, data in zip(*(table.column(c).to_pylist() for c in ("near", "far", "data")), strict=True):
+            parts[0].append([np.cumsum(unplaned(data, a, 0)), unplaned(data, a, 1)])
+            parts[1].append([np.cumsum(unplaned(data[16 * a :], b, 0)), *(unplaned(data[16 * a :], b, i) for i in (1, 2))])
+        share, sums = np.append(often.value.n, least) / max(1, total), np.zeros((3, len(often.value.keys)))
+        for k, each in enumerate(parts):
+            key, n, *more = (np.concatenate(x) for x in zip(*each, strict=True))
+            order = np.argsort(key)
+            key, first = key[order], np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])[: len(key)])
+            if not len(first):
+                continue
+            n = np.add.reduceat(n[order].astype(np.int64), first)
+            context = (more[0][order][first] if k else key[first] >> U64(32)).astype(np.int64)
+            up = share[-1] if k else share[(key[first] & U64(0xFFFFFFFF)).astype(np.int64)]
+            again = np.where(n > 1, n * (np.log(np.maximum(n - 1, 1) - p.discount) - np.log(up)), 0.0)
+            for i, x in enumerate((np.ones(len(n)), again, (n == 1).astype(float))):
+                sums[i] += np.bincount(context, x, minlength=sums.shape[1])
+        some = np.flatnonzero(sums[0])
+        return pa.table({"place": pa.array(some), "kinds": pa.array(sums[0][some].astype(np.int64)), "told": pa.array(sums[1][some]), "once": pa.array(sums[2][some].astype(np.int64))})
+
+    told = texts.mapInArrow(run, "shard long, near long, far long, data binary").groupBy("shard").applyInArrow(tell, "place long, kinds long, told double, once long")
+    got = told.groupBy("place").agg(*(F.sum(c).alias(c) for c in ("kinds", "told", "once"))).toArrow()
+    place, kinds, told, once = (got.column(i).to_numpy() for i in range(4))
+    whole = often.value.n[place]  # a token follows every one
+    gain = told - (whole - once) * np.log(np.maximum(whole - 1, 1)) + once * np.log(p.discount * kinds / whole)
+    keep = (whole > 1) & (gain >= p.gain)
+    return place[keep], kinds[keep]
+
+
 def states(parts: DataFrame, often: DataFrame, total: int, p: SuffixTree) -> DataFrame:
     """(context, next, n, total, kinds) of all rare contexts that are states.
 
@@ -292,11 +396,20 @@ def score_texts(docs: DataFrame, train: Column, p: SuffixTree = SuffixTree()) ->
     keys = got.column("word").to_numpy().view(U64)
     order = np.argsort(keys)
     context = docs.sparkSession.sparkContext
+    bits = max(2, (text_bytes(texts) // p.shard_bytes).bit_length() + 1)
+    taught = texts.where("not held_out").select("text")
     often = context.broadcast(Often(keys[order], got.column("n").to_numpy()[order], max(p.few, p.heavy * total)))
-    long_ = stored(states(pairs(texts.where("not held_out").select("text"), often, p), frequent, total, p), "states")
+    long_ = stored(states(pairs(taught, often, p), frequent, total, p), "states")
+    told = long_.select("context", "next", "n")
+    if p.common:
+        place, followed = common_states(taught, often, total, bits, p)
+        if len(place):
+            kinds_ = np.zeros(len(keys), dtype=np.int64)
+            kinds_[place] = followed
+            often = context.broadcast(Often(often.value.keys, often.value.n, often.value.limit, kinds_))
+            told = told.unionByName(pairs(taught, often, p, True).groupBy("context", "next").agg(F.sum("n").alias("n")))
     filter_ = bloom(long_.select(F.col("context").alias("g")).distinct(), p.filter_bytes)
     shared = context.broadcast((grown(learnt.where("kind = 1").select("key", "n"), p), filter_))
-    bits = max(2, (text_bytes(texts) // p.shard_bytes).bit_length() + 1)
     unit = np.log10(total + kinds + 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,15 +419,19 @@ def score_texts(docs: DataFrame, train: Column, p: SuffixTree = SuffixTree()) ->
                 parts = [scored(b, tree, often.value, known_contexts) for b in split(block)]
                 n_tokens, known, base, score = (np.concatenate([x[i] for x in parts]) for i in range(4))
                 first = np.cumsum([0, *[len(x[0]) for x in parts]])
-                open_doc = np.concatenate([x[4] + f for x, f in zip(parts, first, strict=False)]).astype(np.int32)
-                spelling, place, token, before = (np.concatenate([x[i] for x in parts]) for i in range(5, 9))
-                # what to ask for: the word unless its count is here; for a word after a possible state also the pair and the state's counts
-                rare, at = np.flatnonzero(place < 0), np.flatnonzero(before != U64(END_WORD))
-                state = before[at]
-                asked = [token[rare], pair_keys(state, token[at]), *(state ^ np.array(k, dtype=np.int64).view(U64) for k in (TOTAL, KINDS))]
+                open_doc = np.concatenate([x[4] + f for x, f in zip(parts, first.astype(np.int32), strict=False)])
+                spelling, place, token, before, state, given = (np.concatenate([x[i] for x in parts]) for i in range(5, 11))
+                parts.clear()
+                # what to ask for: the word unless its count is here; for a word after a possible state the pair, and a rare state's counts
+                rare, at = np.flatnonzero(place < 0), np.flatnonzero(state)
+                far = np.flatnonzero(given[at] < 0)
+                asked = [token[rare], pair_keys(before[at], token[at]), *(before[at[far]] ^ np.array(k, dtype=np.int64).view(U64) for k in (TOTAL, KINDS))]
                 distinct, index = np.unique(np.concatenate(asked), return_inverse=True)
+                asked.clear()
                 index = index.astype(np.int32)
-                word = -1 - place.astype(np.int32)  # below 0: the place among frequent words
+                which = np.stack([index[len(rare) :][: len(at)], *[-1 - given[at]] * 2])  # below 0: the place of a common state
+                which[1:, far] = index[len(rare) + len(at) :].reshape(2, -1)
+                word = -1 - place  # below 0: the place among frequent words
                 word[rare] = index[: len(rare)]
                 name = uuid.uuid4().bytes
                 rows = pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.hi - block.lo), batch.column(1).slice(block.lo, block.hi - block.lo), *map(pa.array, (n_tokens, known, base, score))], ["doc_id", "held_out", "n_tokens", "known", "base", "score"])
@@ -322,10 +439,10 @@ def score_texts(docs: DataFrame, train: Column, p: SuffixTree = SuffixTree()) ->
                 with pa.ipc.new_stream(sink, rows.schema) as out:
                     out.write_batch(rows)
                 sizes = np.array([len(word), len(at)], dtype=np.int64)
-                body = b"".join(x.tobytes() for x in (sizes, open_doc, word, spelling.astype(np.float32), at.astype(np.int32), index[len(rare) :])) + sink.getvalue().to_pybytes()
+                body = b"".join(x.tobytes() for x in (sizes, open_doc, word, spelling, at.astype(np.int32), which)) + sink.getvalue().to_pybytes()
                 shard = (distinct >> U64(64 - bits)).astype(np.int64)
                 cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(distinct) else np.zeros(0, dtype=np.int64)
-                data = [x.tobytes() for x in np.split(distinct, cut[1:])] if len(cut) else []
+                data = [planes(np.diff(x, prepend=U64(0))) for x in np.split(distinct, cut[1:])] if len(cut) else []
                 yield pa.RecordBatch.from_arrays([pa.array([name] * (len(cut) + 1), pa.binary()), pa.array([-1, *shard[cut].tolist()], pa.int64()), pa.array([body, *data], pa.binary())], ["batch", "shard", "data"])
 
     def split(block: K.Block) -> Iterator[K.Block]:
@@ -354,16 +471,18 @@ def score_texts(docs: DataFrame, train: Column, p: SuffixTree = SuffixTree()) ->
         begin = np.concatenate([[0], close[:-1]])  # the signs before a document score 0
         lp = upto[close] - upto[begin]
         place, here, common = often.find(token)
-        before, rare = contexts(token, common)
+        before, rare, given = contexts(token, often, (place, here, common), p)
         state = rare.copy()
         state[rare] = passes(known_contexts, before[rare])
+        if often.kinds is not None:
+            state |= (given >= 0) & (often.kinds[given] > 0)
         n_tokens = np.bincount(doc, minlength=n).astype(np.int64)
         known = np.bincount(doc[here], minlength=n).astype(np.int64)
         c = often.n[place[here]] if here.any() else np.zeros(0, dtype=np.int64)
         base = np.bincount(doc[here], np.log10(c + 1.0), minlength=n) - n_tokens * unit
         done = here & ~state
         score = np.bincount(doc[done], smoothed(c[done[here]], lp[done]), minlength=n)
-        return n_tokens, known, base, score, doc[~done], lp[~done], np.where(here, place, -1)[~done], token[~done], np.where(state, before, U64(END_WORD))[~done]
+        return n_tokens, known, base, score, doc[~done].astype(np.int32), lp[~done].astype(np.float32), np.where(here, place, -1)[~done].astype(np.int32), token[~done], before[~done], state[~done], given[~done].astype(np.int32)
 
     def answer(left, right):  # no type hints: Spark reads them
         keys = right.column("word").to_numpy().view(U64)
@@ -371,12 +490,14 @@ def score_texts(docs: DataFrame, train: Column, p: SuffixTree = SuffixTree()) ->
         keys, n = keys[order], right.column("n").to_numpy()[order]
         out = []
         for x in left.column("data").to_pylist():
-            asked = np.frombuffer(x, dtype=U64)
+            asked = np.cumsum(unplaned(x, len(x) // 8, 0))
             at = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
-            out.append((np.where(keys[at] == asked, n[at], 0) if len(keys) else np.zeros(len(asked), dtype=np.int64)).astype(np.int64).tobytes())
+            out.append(planes(np.where(keys[at] == asked, n[at], 0) if len(keys) else np.zeros(len(asked), dtype=np.int64)))
         return pa.table({"batch": left.column("batch"), "shard": left.column("shard"), "found": pa.array(out, pa.binary())})
 
     def close_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(1, dtype=np.int64)
+        given = (often.value.n, often.value.kinds) if often.value.kinds is not None else (none, none)
         for batch in batches:
             for data, replies in zip(batch.column(0), batch.column(1), strict=True):
                 body = data.as_buffer()
@@ -385,7 +506,7 @@ def score_texts(docs: DataFrame, train: Column, p: SuffixTree = SuffixTree()) ->
                 spelling = np.frombuffer(body.slice(16 + 8 * n, 4 * n), dtype=np.float32).astype(np.float64)
                 at, *asked = (np.frombuffer(body.slice(16 + 12 * n + 4 * m * i, 4 * m), dtype=np.int32) for i in range(4))
                 rows = pa.ipc.open_stream(body.slice(16 + 12 * n + 16 * m)).read_all().combine_chunks().to_batches()[0]
-                parts = [np.frombuffer(x["found"], dtype=np.int64) for x in sorted(replies.as_py() or [], key=lambda x: x["shard"])]
+                parts = [unplaned(x["found"], len(x["found"]) // 8, 0).view(np.int64) for x in sorted(replies.as_py() or [], key=lambda x: x["shard"])]
                 found = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
                 n_docs, rare = rows.num_rows, word >= 0
                 c = np.zeros(n, dtype=np.int64)
@@ -393,7 +514,7 @@ def score_texts(docs: DataFrame, train: Column, p: SuffixTree = SuffixTree()) ->
                 known = rows.column(3).to_numpy() + np.bincount(doc[rare & (c > 0)], minlength=n_docs)
                 base = rows.column(4).to_numpy() + np.bincount(doc[rare], np.log10(c[rare] + 1.0), minlength=n_docs)
                 chance = smoothed(c, spelling)
-                pair, whole, others = (found[i] for i in asked)
+                pair, (whole, others) = found[asked[0]], (np.where(i >= 0, found[np.maximum(i, 0)], n_[-1 - np.minimum(i, -1)]) for i, n_ in zip(asked[1:], given, strict=True))
                 is_state = whole > 0
                 at, pair, whole, others = (x[is_state] for x in (at, pair, whole, others))
                 with np.errstate(divide="ignore"):
@@ -406,7 +527,7 @@ def score_texts(docs: DataFrame, train: Column, p: SuffixTree = SuffixTree()) ->
     key = lambda name, n: F.struct(name.alias("word"), F.col(n).alias("n"))
     per_state = long_.groupBy("context").agg(F.first("total").alias("total"), F.first("kinds").alias("kinds"))
     per_state = per_state.select(F.explode(F.array(*(key(F.col("context").bitwiseXOR(F.lit(k)), n) for k, n in ((TOTAL, "total"), (KINDS, "kinds"))))).alias("x")).select("x.*")
-    table = words.unionByName(long_.select(F.col("next").bitwiseXOR(turned).alias("word"), "n")).unionByName(per_state).withColumn("shard", F.shiftrightunsigned("word", 64 - bits))
+    table = words.unionByName(told.select(F.col("next").bitwiseXOR(turned).alias("word"), "n")).unionByName(per_state).withColumn("shard", F.shiftrightunsigned("word", 64 - bits))
     replies = sent.where("shard >= 0").groupBy("shard").cogroup(table.groupBy("shard")).applyInArrow(answer, "batch binary, shard long, found binary")
     answers = replies.groupBy("batch").agg(F.collect_list(F.struct("shard", "found")).alias("replies"))
     waiting = sent.where("shard = -1").select("batch", "data").join(answers, "batch", "left").select("data", "replies")

@@ -231,8 +231,8 @@ def tree_scores(rows, p):
     least = max(1.0, p.heavy * total)
     follow = defaultdict(Counter)
     for w in train:
-        for a, b in zip(w, [*w[1:], "\0"]):
-            if not (count[a] >= least and count[a] >= max(p.few, p.heavy * total)):
+        for a, b in zip(["\0", *w], [*w, "\0"]):
+            if p.common or a != "\0" and not (count[a] >= least and count[a] >= max(p.few, p.heavy * total)):
                 follow[a][b] += 1
     state = {}
     for a, n in follow.items():

@@ -418,6 +418,23 @@ def test_scores_against_a_plain_tree(spark, docs, pairs):
     assert sum(n for _, n in brute.tree_scores(told, p).values()) >= 40  # states of rare words are used
 
 
+def test_common_words_are_contexts_too(spark, pairs, odd, empty):
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
+    told = [(9000 + i, f"start{i % 2} alpha{i % 5} the end of gamma{i % 3} the end of all " + "stop go " * 30) for i in range(60)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for rows, more in ((told, {}), (told + pairs, dict(shard_bytes=1 << 10)), (pairs, dict(heavy=1e-3)), (told, dict(few=200))):
+        p = suffix_tree.SuffixTree(common=True, depth=3, least=1e-4, batch_bytes=1 << 16, **more)
+        want = brute.tree_scores(rows, p)
+        for r in suffix_tree.score_texts(frame(rows), held, p).collect():
+            assert abs(r.score - want[r.doc_id][0]) <= 1e-6 * abs(r.score) + 1e-6
+    whole = suffix_tree.SuffixTree(common=True)
+    rare, both = ({r.doc_id: r.score for r in suffix_tree.score_texts(frame(told), held, p).collect()} for p in (suffix_tree.SuffixTree(), whole))
+    assert all(both[i] > rare[i] + 5 for i in rare)
+    assert suffix_tree.score_texts(odd, held, whole).count() == odd.count()
+    assert suffix_tree.score_texts(empty, held, whole).count() == 0
+    assert all(r.base_score == 0 for r in suffix_tree.score_texts(odd, F.lit(False), whole).collect())
+
+
 def test_rare_contexts_grow_with_the_corpus(spark):
     def states(n):
         texts = [(i, " ".join(f"w{i % n}x{k} w{i % n}y{k}" for k in range(5))) for i in range(5 * n)]
