@@ -224,7 +224,7 @@ def asked_perplexities(docs: DataFrame, model: DataFrame, words_: tuple[int, flo
                 with pa.ipc.new_stream(sink, rows.schema) as out:
                     out.write_batch(rows)
                 some, name = np.flatnonzero(np.diff(cuts)), uuid.uuid4().bytes
-                data = [distinct[cuts[i] : cuts[i + 1]].tobytes() for i in some]
+                data = [K.planes(np.diff(distinct[cuts[i] : cuts[i + 1]], prepend=U64(0))) for i in some]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * (len(some) + 1), pa.binary()), pa.array([-1, *some.tolist()], pa.int64()), pa.array([sink.getvalue().to_pybytes(), *data], pa.binary())], ["batch", "shard", "data"])
 
     def answer(left, right):  # no type hints: Spark reads them
@@ -232,8 +232,8 @@ def asked_perplexities(docs: DataFrame, model: DataFrame, words_: tuple[int, flo
         values = [np.bincount(which, right.column(c).to_numpy(), minlength=len(keys)) for c in ("left", "total", "off")]
         out = []
         for x in left.column("data").to_pylist():
-            seen, at = found(keys, np.frombuffer(x, dtype=U64))
-            out.append(b"".join([np.flatnonzero(seen).astype(np.int64).tobytes(), *(v[at[seen]].tobytes() for v in values)]))
+            seen, at = found(keys, np.cumsum(K.unplaned(x, len(x) // 8, 0)))
+            out.append(b"".join([K.planes(np.diff(np.flatnonzero(seen), prepend=0)), *(v[at[seen]].tobytes() for v in values)]))
         return pa.table({"batch": left.column("batch"), "shard": left.column("shard"), "found": pa.array(out, pa.binary())})
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +246,7 @@ def asked_perplexities(docs: DataFrame, model: DataFrame, words_: tuple[int, flo
                     left, total, off = (np.zeros(len(distinct)) for _ in range(3))
                     for r in replies.as_py() or []:
                         n = len(r["found"]) // 32
-                        where = np.frombuffer(r["found"], dtype=np.int64, count=n) + cuts[r["shard"]]
+                        where = np.cumsum(K.unplaned(r["found"], n, 0)).view(np.int64) + cuts[r["shard"]]
                         for i, v in enumerate((left, total, off)):
                             v[where] = np.frombuffer(r["found"], dtype=np.float64, count=n, offset=8 * n * (i + 1))
                     chance = np.full(len(at), 1.0 / (kinds + 1))

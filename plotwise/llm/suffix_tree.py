@@ -265,16 +265,6 @@ def pairs(texts: DataFrame, often, p: SuffixTree, common: bool = False) -> DataF
     return texts.mapInArrow(run, "context long, next long, n long")
 
 
-def planes(x: np.ndarray) -> bytes:
-    """64-bit numbers, all first bytes first: small ones compress well."""
-    return np.ascontiguousarray(x.astype(U64).view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def unplaned(data: bytes, n: int, at: int) -> np.ndarray:
-    """The n numbers of the column `at` among equally long ones."""
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8, count=8 * n, offset=8 * n * at).reshape(8, n).T).view(U64).ravel()
-
-
 def common_states(texts: DataFrame, often, total: int, bits: int, p: SuffixTree) -> tuple[np.ndarray, np.ndarray]:
     """Places in `often` (a broadcast) of the common contexts that are states, and how many different tokens follow each.
 
@@ -307,7 +297,7 @@ def common_states(texts: DataFrame, often, total: int, bits: int, p: SuffixTree)
                 for k, (context, key, count, cut) in enumerate(parts):
                     lo, hi = cut[i], cut[i + 1]
                     sizes.append(hi - lo)
-                    data += [planes(np.diff(key[lo:hi], prepend=U64(0))), planes(count[lo:hi])] + [planes(context[lo:hi])] * k
+                    data += [K.planes(np.diff(key[lo:hi], prepend=U64(0))), K.planes(count[lo:hi])] + [K.planes(context[lo:hi])] * k
                 if sum(sizes):
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), *(pa.array([int(x)], pa.int64()) for x in sizes), pa.array([b"".join(data)], pa.binary())], ["shard", "near", "far", "data"])
 
@@ -328,8 +318,8 @@ def common_states(texts: DataFrame, often, total: int, bits: int, p: SuffixTree)
     def tell(table):  # no type hints: Spark reads them
         parts: list[list] = [[], []]
         for a, b, data in zip(*(table.column(c).to_pylist() for c in ("near", "far", "data")), strict=True):
-            parts[0].append([np.cumsum(unplaned(data, a, 0)), unplaned(data, a, 1)])
-            parts[1].append([np.cumsum(unplaned(data[16 * a :], b, 0)), *(unplaned(data[16 * a :], b, i) for i in (1, 2))])
+            parts[0].append([np.cumsum(K.unplaned(data, a, 0)), K.unplaned(data, a, 1)])
+            parts[1].append([np.cumsum(K.unplaned(data[16 * a :], b, 0)), *(K.unplaned(data[16 * a :], b, i) for i in (1, 2))])
         share, sums = np.append(often.value.n, least) / max(1, total), np.zeros((3, len(often.value.keys)))
         for k, each in enumerate(parts):
             key, n, *more = (np.concatenate(x) for x in zip(*each, strict=True))
@@ -442,7 +432,7 @@ def score_texts(docs: DataFrame, train: Column, p: SuffixTree = SuffixTree()) ->
                 body = b"".join(x.tobytes() for x in (sizes, open_doc, word, spelling, at.astype(np.int32), which)) + sink.getvalue().to_pybytes()
                 shard = (distinct >> U64(64 - bits)).astype(np.int64)
                 cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(distinct) else np.zeros(0, dtype=np.int64)
-                data = [planes(np.diff(x, prepend=U64(0))) for x in np.split(distinct, cut[1:])] if len(cut) else []
+                data = [K.planes(np.diff(x, prepend=U64(0))) for x in np.split(distinct, cut[1:])] if len(cut) else []
                 yield pa.RecordBatch.from_arrays([pa.array([name] * (len(cut) + 1), pa.binary()), pa.array([-1, *shard[cut].tolist()], pa.int64()), pa.array([body, *data], pa.binary())], ["batch", "shard", "data"])
 
     def split(block: K.Block) -> Iterator[K.Block]:
@@ -490,9 +480,9 @@ def score_texts(docs: DataFrame, train: Column, p: SuffixTree = SuffixTree()) ->
         keys, n = keys[order], right.column("n").to_numpy()[order]
         out = []
         for x in left.column("data").to_pylist():
-            asked = np.cumsum(unplaned(x, len(x) // 8, 0))
+            asked = np.cumsum(K.unplaned(x, len(x) // 8, 0))
             at = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
-            out.append(planes(np.where(keys[at] == asked, n[at], 0) if len(keys) else np.zeros(len(asked), dtype=np.int64)))
+            out.append(K.planes(np.where(keys[at] == asked, n[at], 0) if len(keys) else np.zeros(len(asked), dtype=np.int64)))
         return pa.table({"batch": left.column("batch"), "shard": left.column("shard"), "found": pa.array(out, pa.binary())})
 
     def close_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -506,7 +496,7 @@ def score_texts(docs: DataFrame, train: Column, p: SuffixTree = SuffixTree()) ->
                 spelling = np.frombuffer(body.slice(16 + 8 * n, 4 * n), dtype=np.float32).astype(np.float64)
                 at, *asked = (np.frombuffer(body.slice(16 + 12 * n + 4 * m * i, 4 * m), dtype=np.int32) for i in range(4))
                 rows = pa.ipc.open_stream(body.slice(16 + 12 * n + 16 * m)).read_all().combine_chunks().to_batches()[0]
-                parts = [unplaned(x["found"], len(x["found"]) // 8, 0).view(np.int64) for x in sorted(replies.as_py() or [], key=lambda x: x["shard"])]
+                parts = [K.unplaned(x["found"], len(x["found"]) // 8, 0).view(np.int64) for x in sorted(replies.as_py() or [], key=lambda x: x["shard"])]
                 found = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
                 n_docs, rare = rows.num_rows, word >= 0
                 c = np.zeros(n, dtype=np.int64)

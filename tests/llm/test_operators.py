@@ -349,6 +349,17 @@ def test_a_model_in_shards_scores_as_one_that_is_given(spark, docs, odd, empty):
     assert rows(empty, ids, **small) == []
 
 
+def test_requests_and_replies_pack_well():
+    rng = np.random.default_rng(1)
+    keys, n = np.sort(rng.integers(0, 1 << 58, 5000, dtype=np.uint64)), rng.integers(0, 9, 5000, dtype=np.uint64)  # a shard's keys; counts
+    data = kernel.planes(np.diff(keys, prepend=np.uint64(0))) + kernel.planes(n)
+    assert (np.cumsum(kernel.unplaned(data, 5000, 0)) == keys).all()
+    assert (kernel.unplaned(data, 5000, 1) == n).all()
+    assert len(kernel.unplaned(kernel.planes(keys[:0]), 0, 0)) == 0
+    plain, packed = (len(pa.compress(x, "lz4_raw", asbytes=True)) for x in (keys.tobytes() + n.tobytes(), data))
+    assert packed < 0.8 * plain
+
+
 def test_classifier_odd(spark, odd, empty):
     ids = spark.createDataFrame([(4,), (5,), (7,), (None,), (4,)], "doc_id long")
     assert quality_model.classify(odd, ids).count() == odd.count()
