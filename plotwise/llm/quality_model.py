@@ -1,10 +1,11 @@
 """Quality classifier: perplexity by an interpolated modified Kneser-Ney trigram model of trusted text.
 
-The model is taught on all trusted rows but those held out for the quantile. N-grams of the highest order are counted in shards by
-their hash; each row also names the shorter n-grams that it ends with and their contexts, so the counts of different words before an
-n-gram, and the totals of a context, are further counts of the same rows. A model of up to `given` n-grams of that order is given to
-all tasks, and a document is scored where it is. A larger one stays in shards: each batch of documents asks for its distinct keys, is
-answered with those that are known, and is scored then. Both ways give the same scores.
+The model is taught on all trusted rows but those held out for the quantile. N-grams are counted and packed where they are read, as
+numbers of the words that a packed row has, and are dealt by the word before the last: there all n-grams with that word meet, so the
+counts of different words before an n-gram and the totals of its contexts are known without a further shuffle. A word with more than a
+shard's share of all is dealt by the last word too, and what its contexts lack is added up by key. A model of up to `given` n-grams of the
+highest order is given to all tasks, and a document is scored where it is. A larger one stays in shards: each batch of documents asks
+for its distinct n-grams, is answered with their counts, and is scored then; documents go in `rounds`. Both ways give the same scores.
 
 A document is kept if its perplexity isn't above a quantile of its language's trusted documents that the model wasn't taught on.
 The quantile counts all of them, at a resolution of 0.001 in log10.
@@ -15,32 +16,38 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import release, stored, text_bytes, text_of
+from .shared import release, stored, swept, text_bytes, text_of
+from .substrings import bloom, passes
 
 U64 = np.uint64
 #: By which the keys of n-grams of 1, 2, ... words are told apart in one table.
 SALTS = K.mix(np.arange(1, 17, dtype=U64) + U64(0x5A17))
-START, END = (int(x) for x in K.mix(np.array([0x57A27, 0xE4D], dtype=U64)))
+START, END, UNKNOWN = (int(x) for x in K.mix(np.array([0x57A27, 0xE4D, 0x0DD], dtype=U64)))
 
 
 @dataclass(frozen=True)
 class QualityModel:
     """quantile: of the trusted, untaught documents. few: a language with fewer such documents has the quantile of all languages.
-    taught: share of the trusted rows that are taught on, in percent. given: n-grams of a model that is given to all tasks."""
+    taught: share of the trusted rows that are taught on, in percent. given: n-grams of a model that is given to all tasks. rounds: in
+    which documents ask a larger one, so that requests of so large a part of them are on disk at once."""
 
     order: int = 3
     quantile: float = 0.99
     few: int = 50
     taught: int = 80
     given: int = 2_000_000
-    shard_bytes: int = 1 << 24
+    rounds: int = 12
+    filter_bytes: int = 1 << 25
+    shard_bytes: int = 1 << 25
     batch_bytes: int = 1 << 22
 
 
@@ -59,6 +66,18 @@ def padded(block: K.Block, w: K.Words, order: int) -> tuple[np.ndarray, np.ndarr
     return out, at, doc
 
 
+def padded_parts(block: K.Block, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As padded(), for a large block, a part of it at a time."""
+    words, at, doc, size = [], [], [], 0
+    for b in K.parts(block):
+        w, a, d = padded(b, K.words(b), order)
+        words.append(w)
+        at.append(a + size)
+        doc.append(d + b.lo)
+        size += len(w)
+    return np.concatenate(words), np.concatenate(at), np.concatenate(doc)
+
+
 def gram_keys(words: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n words that end at each place."""
     return K.FIRST.spans(words, last - n + 1, last + 1)
@@ -86,7 +105,11 @@ def count_grams(texts: DataFrame, order: int) -> DataFrame:
 def discounts(table: DataFrame) -> list[float]:
     """Modified Kneser-Ney discounts for counts of 1, 2 and 3 or more."""
     n = {r["c"]: r["m"] for r in table.where("c <= 4").groupBy("c").agg(F.count("*").alias("m")).collect()}
-    n1, n2, n3, n4 = (n.get(i, 0) for i in range(1, 5))
+    return discounted(*(n.get(i, 0) for i in range(1, 5)))
+
+
+def discounted(n1: int, n2: int, n3: int, n4: int) -> list[float]:
+    """The same from how many counts are 1, 2, 3 and 4."""
     if not (n1 and n2 and n3):
         return [0.5, 0.75, 0.9]  # too little text to estimate them
     y = n1 / (n1 + 2 * n2)
@@ -173,101 +196,340 @@ def perplexities(docs: DataFrame, scorer, order: int, extra: list[str]) -> DataF
     return docs.select(*extra, text_of().alias("text")).mapInArrow(run, f"{fields}, n_tokens long, log10_ppl double")
 
 
-def sharded(counted: DataFrame, order: int) -> tuple[DataFrame, tuple[int, float, float]]:
-    """The model of the counted n-grams as one table (key, left, total, off), and the number of words with their total and what was
-    taken off. A key has a row as an n-gram (left) and one as a context (total, off), or one of them."""
-    table, parts, words = counted.withColumnRenamed("n", "c"), [], (0, 0.0, 0.0)
-    salted = lambda c, k: F.col(c).bitwiseXOR(F.lit(int(SALTS[k].view(np.int64)))).alias("key")
-    none = F.lit(0.0)
-    for k in range(order, 0, -1):
-        d = discounts(table)
-        off = F.when(F.col("c") == 1, F.lit(d[0])).when(F.col("c") == 2, F.lit(d[1])).otherwise(F.lit(d[2]))
-        parts.append(stored(table.select(salted(f"g{k}", k), (F.col("c") - off).alias("left"), none.alias("total"), none.alias("off")), "model"))
-        sums = F.sum("c").cast("double").alias("total"), F.sum(off).alias("off")
-        if k == 1:
-            r = table.agg(F.count("*").alias("n"), *sums).first()
-            words = (r["n"], r["total"] or 0.0, r["off"] or 0.0)
-            release(table)
-            break
-        parts.append(stored(table.groupBy(f"h{k}").agg(*sums).select(salted(f"h{k}", k - 1), none.alias("left"), "total", "off"), "model"))
-        names = [f"{c}{i}" for i in range(1, k) for c in "gh"]
-        below = stored(table.groupBy(*names).agg(F.count("*").alias("c")), "grams")
-        release(table)
-        table = below
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out, words
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of hashes."""
+    return K.mix(K.mix(a) + b)
 
 
-def asked_perplexities(docs: DataFrame, model: DataFrame, words_: tuple[int, float, float], extra: list[str], p: QualityModel) -> DataFrame:
-    """As perplexities(), for a model in shards: a batch's distinct keys go to them, known ones come back, and its texts wait meanwhile."""
-    kinds, all_, all_off = words_
-    fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in extra)
-    texts = docs.select(*extra, text_of().alias("text"))
-    bits = max(2, (text_bytes(texts) // p.shard_bytes).bit_length() + 1)
+def squeezed(arrays: list[np.ndarray]) -> bytes:
+    """Columns of numbers of any lengths, by byte planes and compressed."""
+    raw = np.array([len(arrays), *map(len, arrays)], dtype=np.int64).tobytes() + b"".join(map(K.planes, arrays))
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    sizes = np.frombuffer(raw, dtype=np.int64, offset=8, count=np.frombuffer(raw, dtype=np.int64, count=1)[0])
+    at = 8 + 8 * len(sizes) + 8 * np.cumsum(np.append(0, sizes))
+    return [K.unplaned(raw[a : a + 8 * n], n, 0) for a, n in zip(at, sizes, strict=False)]
+
+
+def pieces(at: np.ndarray, order: int) -> Iterator[np.ndarray]:
+    """Places in parts with so few words that an n-gram of their numbers is one number."""
+    size = (1 << 63 // order) - order
+    for lo in range(0, len(at), size):
+        yield at[lo : lo + size]
+
+
+def distinct_grams(words: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """The words around these places, and the distinct n-grams that end there: their words' numbers (the previous word, the last, those
+    before, nearest first), in the order of these; which of them is at each place; how often each occurs."""
+    lo = at[0] - order + 1
+    vocabulary, ids = np.unique(words[lo : at[-1] + 1], return_inverse=True)
+    ids = ids.astype(np.int64)
+    bits, key = 63 // order, ids[at - lo - 1]
+    lost = vocabulary[key] == U64(UNKNOWN)  # what is before an unknown word tells nothing
+    for back in (0, *range(2, order)):
+        key = key << bits | (np.where(lost, ids[at - lo - 1], ids[at - lo - back]) if back and lost.any() else ids[at - lo - back])
+    key, which, n = np.unique(key, return_inverse=True, return_counts=True)
+    return vocabulary, [key >> bits * i & (1 << bits) - 1 for i in range(order - 1, -1, -1)], which, n
+
+
+def packed_grams(vocabulary: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> bytes:
+    """N-grams with the words that they need."""
+    used = np.zeros(len(vocabulary), dtype=bool)
+    for c in columns:
+        used[c] = True
+    number = np.cumsum(used) - 1
+    return squeezed([np.diff(vocabulary[used], prepend=U64(0)), n, np.diff(number[columns[0]], prepend=0), *(number[c] for c in columns[1:])])
+
+
+def unpacked_grams(data: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+    """The n-grams' words (hashes) in packed_grams()'s order, and their counts."""
+    steps, n, first, *others = unsqueezed(data)
+    vocabulary = np.cumsum(steps, dtype=U64)
+    return [vocabulary[c.view(np.int64)] for c in (np.cumsum(first, dtype=U64), *others)], n.view(np.int64)
+
+
+def dealt(columns: list[np.ndarray], heavy: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shard of each n-gram, by its previous word, or by that and its last if the previous one is heavy; 1 + which heavy one, else 0."""
+    is_heavy, which = found(heavy, columns[0])
+    return (np.where(is_heavy, joined(columns[0], columns[1]), columns[0]) >> U64(64 - bits)).astype(np.int64), np.where(is_heavy, which + 1, 0)
+
+
+def contexts_of(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Keys of the contexts of 1, 2, ... words."""
+    out = [columns[0]]
+    for c in columns[2:]:
+        out.append(joined(out[-1], c))
+    return out
 
-    def keys_of(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys of all n-grams and of the contexts of two words or more; where each is among them; where shards begin."""
-        each = [gram_keys(words, at, k) ^ SALTS[k] for k in range(1, p.order + 1)] + [K.FIRST.spans(words, at - k + 1, at) ^ SALTS[k - 1] for k in range(2, p.order + 1)]
-        distinct, index = np.unique(np.concatenate(each), return_inverse=True)
-        shard = (distinct >> U64(64 - bits)).astype(np.int64)
-        return distinct, index.reshape(len(each), -1), np.searchsorted(shard, np.arange((1 << bits) + 1))
+
+def summed(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys in order, a place of each, and the sums of the columns."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], order[first], [np.add.reduceat(c[order], first) if len(first) else c for c in columns]
+
+
+class Part:
+    """A shard's n-grams of 2, 3, ... words: their keys and counts, their contexts' keys and sums (of the counts, and how many are 1, 2,
+    more), the previous word of each context, the last of each n-gram. rows, counts: the longest ones, of those given."""
+
+    def __init__(self, columns: list[np.ndarray], n: np.ndarray):
+        self.levels: list[tuple] = []
+        contexts, word, count = contexts_of(columns), columns[1], n
+        for k in range(len(contexts) - 1, -1, -1):
+            grams, first, (count,) = summed(joined(contexts[k], word), [count])
+            contexts, word = [c[first] for c in contexts], word[first]
+            context, one, sums = summed(contexts[k], [count, *(x.astype(np.int64) for x in (count == 1, count == 2, count > 2))])
+            self.levels.insert(0, (grams, count, context, sums, contexts[0][one], word))
+            if k == len(columns) - 2:
+                self.rows, self.counts = first, count
+            count = np.ones(len(grams), dtype=np.int64)
+
+
+def values_at(have: np.ndarray, columns: list[np.ndarray], keys: np.ndarray) -> list[np.ndarray]:
+    """The columns' values of each key, 0 where it isn't. Equal keys in a row are looked up once."""
+    if not len(have) or not len(keys):
+        return [np.zeros(len(keys), dtype=np.int64) for _ in columns]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    seen, at = found(have, keys[first])
+    n = np.diff(first, append=len(keys))
+    return [np.repeat(np.where(seen, c[at], 0), n) for c in columns]
+
+
+def heavy_words(texts: DataFrame, bits: int) -> np.ndarray:
+    """Words, the start included, that have more than a shard's share of all; those just above it may be missing. Sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in K.blocks(batch.column(0)):
+                words = np.append(K.word_hashes(block, K.words(block)), np.full(block.hi - block.lo, START, dtype=U64))
+                word, n = np.unique(words, return_counts=True)
+                some = n > len(words) >> bits
+                yield pa.RecordBatch.from_arrays([pa.array([None, *word[some].view(np.int64).tolist()], pa.int64()), pa.array([len(words), *n[some].tolist()], pa.int64())], ["word", "n"])
+
+    counted = texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).persist()
+    total = counted.where("word is null").select("n").first()
+    rows = counted.where(F.col("word").isNotNull() & (F.col("n") > F.lit((total["n"] if total else 0) >> bits))).select("word").toArrow()
+    counted.unpersist()
+    return np.sort(rows.column("word").to_numpy().view(U64))
+
+
+def taught_texts(docs: DataFrame, teach: DataFrame, p: QualityModel) -> DataFrame:
+    """The texts of the rows whose doc_id is in `teach`. Texts are not shuffled: a Bloom filter of bounded size tells where they are, and
+    the few keys that it lets through for nothing are found by a join of ids."""
+    key = F.xxhash64("doc_id").alias("g")
+    context = docs.sparkSession.sparkContext
+    filter_ = context.broadcast(bloom(teach.select(key), p.filter_bytes))
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(filter_.value, batch.column(0).to_numpy().view(U64))))
+
+    ids = docs.where("doc_id is not null")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    through = ids.select(key, "doc_id").mapInArrow(passing, f"g long, doc_id {kind}")
+    wrong = context.broadcast(through.join(teach, "doc_id", "left_anti").select("g").distinct().toArrow().column("g").to_numpy())
+
+    def taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in passing(batches):
+            yield batch.filter(pa.array(~np.isin(batch.column(0).to_numpy(), wrong.value))).select([1])
+
+    return ids.select(key, text_of().alias("text")).mapInArrow(taught, "text string")
+
+
+@dataclass
+class Shards:
+    """A model in shards. table: (shard, data) of packed n-grams, then of packed (key, sums) of words and of heavy words' contexts.
+    grams: how many of the longest. words: how many, their total and what was taken off. heavy: their sums as contexts of one word. filter: of
+    words. taken: discounts, shortest first."""
+
+    table: DataFrame
+    bits: int
+    grams: int
+    words: tuple[int, float, float]
+    heavy: np.ndarray
+    heavy_sums: np.ndarray
+    filter: np.ndarray
+    taken: list[list[float]]
+
+
+def sharded(texts: DataFrame, all_texts: DataFrame, p: QualityModel) -> Shards:
+    """The model of the texts. N-grams are dealt by the word before the last, so that all counts and contexts of two words or more meet in
+    one shard. A word with more than a shard's share is dealt by the last word too; sums of its contexts are added up by key."""
+    bits = max(2, (text_bytes(all_texts) // p.shard_bytes).bit_length() + 1)
+    heavy = np.union1d(heavy_words(all_texts, bits), np.array([UNKNOWN], dtype=U64))
+    names = ("a", "b", "c", "d")
+
+    def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in K.blocks(batch.column(0), p.batch_bytes):
+                words, at, _ = padded_parts(block, p.order)
+                for some in pieces(at, p.order):
+                    vocabulary, columns, _, n = distinct_grams(words, some, p.order)
+                    shard, _ = dealt([vocabulary[c] for c in columns[:2]], heavy, bits)
+                    order = np.argsort(shard, kind="stable")
+                    for rows in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                        yield pa.RecordBatch.from_arrays([pa.array([shard[rows[0]]]), pa.array([packed_grams(vocabulary, [c[rows] for c in columns], n[rows])], pa.binary())], ["shard", "data"])
+
+    def build(table):  # no type hints: Spark reads them
+        each = [unpacked_grams(x) for x in table.column("data").to_pylist()]
+        columns, n = [np.concatenate(c) for c in zip(*(c for c, _ in each), strict=True)], np.concatenate([n for _, n in each])
+        each.clear()
+        part = Part(columns, n)
+        vocabulary, ids = np.unique(np.concatenate([c[part.rows] for c in columns]), return_inverse=True)
+        ids = ids.reshape(p.order, -1)
+        order = np.lexsort(ids[::-1])
+        out = [(-1, table.column("shard")[:1].to_numpy(), np.zeros((4, 1), dtype=np.int64)), (0, np.array([-1]), np.array([[len(part.counts)], [0], [0], [0]]))]
+        for k, (_, count, context, sums, before, word) in enumerate(part.levels):
+            out.append((0, np.array([k]), np.array([[(count == i).sum()] for i in range(1, 5)])))
+            if k == 0:
+                last, m = np.unique(word, return_counts=True)
+                out.append((1, K.mix(last ^ SALTS[0]).view(np.int64), np.stack([m, *np.zeros((3, len(m)), dtype=np.int64)])))
+            some = found(heavy, before)[0]
+            out.append((3 if k else 2, (context[some] ^ SALTS[k] if k else context[some]).view(np.int64), np.stack(sums)[:, some]))
+        size = sum(len(key) for _, key, _ in out)
+        data = [packed_grams(vocabulary, [c[order] for c in ids], part.counts[order]), *[None] * (size - 1)]
+        return pa.table([
+            pa.array(np.concatenate([np.full(len(key), kind, dtype=np.int32) for kind, key, _ in out])), pa.array(np.concatenate([key for _, key, _ in out])),
+            *map(pa.array, np.concatenate([x for _, _, x in out], axis=1)), pa.array(data, pa.binary()),
+        ], ["kind", "key", *names, "data"])
+
+    def pack(table):
+        keys = table.column("key").to_numpy().view(U64)
+        order = np.argsort(keys)
+        data = squeezed([np.diff(keys[order], prepend=U64(0)), *(table.column(c).to_numpy()[order] for c in names)])
+        return pa.table([table.column("shard")[:1], pa.array([data], pa.binary())], ["shard", "data"])
+
+    built = stored(texts.mapInArrow(teach, "shard long, data binary").groupBy("shard").applyInArrow(build, "kind int, key long, a long, b long, c long, d long, data binary"), "built")
+    sums = stored(built.where("kind in (1, 3)").groupBy("kind", "key").agg(*(F.sum(c).alias(c) for c in names)), "sums")
+    few = {r["key"]: [r[c] or 0 for c in names] for r in built.where("kind = 0").groupBy("key").agg(*(F.sum(c).alias(c) for c in names)).collect()}
+    kept = built.where("kind = 2").groupBy("key").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
+    heavy_sums = np.stack(values_at(*(lambda k, o: (k[o], [kept.column(c).to_numpy()[o] for c in names]))(x := kept.column("key").to_numpy().view(U64), np.argsort(x)), heavy))
+    w = sums.where("kind = 1").agg(F.count("*").alias("kinds"), F.sum("a").alias("total"), *(F.count_if(F.col("a") == i).alias(f"n{i}") for i in range(1, 5))).first()
+    first = [w[f"n{i}"] for i in range(1, 5)]
+    taken = [discounted(*first), *(discounted(*few.get(k, [0] * 4)) for k in range(p.order - 1))]
+    off = first[0] * taken[0][0] + first[1] * taken[0][1] + (w["kinds"] - first[0] - first[1]) * taken[0][2]
+    grams = built.where("kind = -1")
+    keyed = sums.withColumn("shard", F.shiftrightunsigned("key", 64 - bits) + F.lit(1 << bits)).groupBy("shard").applyInArrow(pack, "shard long, data binary")
+    table = stored(grams.select(F.col("key").alias("shard"), "data").unionByName(keyed), "model")
+    filter_ = bloom(sums.where("kind = 1").select(F.col("key").alias("g")), p.filter_bytes)
+    release(built, sums)
+    return Shards(table, bits, few.get(-1, [0])[0], (w["kinds"], float(w["total"] or 0), off), heavy, heavy_sums, filter_, taken)
+
+
+def asked_perplexities(docs: DataFrame, model: Shards, extra: list[str], p: QualityModel) -> DataFrame:
+    """As perplexities(), for a model in shards: a batch's distinct n-grams go to them, counts come back; its places wait meanwhile. Words
+    that the model doesn't have are one; a Bloom filter tells most of them, and those that it lets through are asked for nothing."""
+    bits, heavy = model.bits, model.heavy
+    fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in extra)
+    row = "batch binary, part long, shard long, data binary, rows binary"
+    names = ["batch", "part", "shard", "data", "rows"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in K.blocks(batch.column(len(extra)), p.batch_bytes):
-                words, at, _ = padded(block, K.words(block), p.order)
-                distinct, _, cuts = keys_of(words, at)
-                rows = batch.slice(block.lo, block.hi - block.lo)
+                words, at, doc = padded_parts(block, p.order)
+                words[~(passes(filter_.value, K.mix(words ^ SALTS[0])) | (words == START))] = UNKNOWN
+                name, waiting, out = uuid.uuid4().bytes, [np.bincount(doc, minlength=block.hi - block.lo)], []
+                for part, some in enumerate(pieces(at, p.order)):
+                    vocabulary, ids, which, n = distinct_grams(words, some, p.order)
+                    shard, which_heavy = dealt([vocabulary[c] for c in ids[:2]], heavy, bits)
+                    order = np.argsort(shard, kind="stable")
+                    place = np.empty(len(order), dtype=np.int64)
+                    place[order] = np.arange(len(order))
+                    ids, which_heavy = [c[order] for c in ids], which_heavy[order]
+                    cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=1 << bits))
+                    out += [(part, int(shard[order[lo]]), packed_grams(vocabulary, [c[lo:hi] for c in ids], np.zeros(0, dtype=np.int64))) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+                    # by key: the words, and contexts of heavy words
+                    used, number = np.unique(ids[1], return_inverse=True)
+                    asked, index, size = [K.mix(vocabulary[used] ^ SALTS[0])], [number], len(used)
+                    some_heavy = which_heavy > 0
+                    for k, context in enumerate(contexts_of([vocabulary[c[some_heavy]] for c in ids])[1:], 1):
+                        keys, number = np.unique(context ^ SALTS[k], return_inverse=True)
+                        asked, index, size = [*asked, keys], [*index, number + size], size + len(keys)
+                    keys = np.concatenate(asked)
+                    order = np.argsort(keys)
+                    number = np.empty(len(order), dtype=np.int64)
+                    number[order] = np.arange(len(order))
+                    keys = keys[order]
+                    shard = (keys >> U64(64 - bits)).astype(np.int64)
+                    cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=1 << bits))
+                    out += [(part, (1 << bits) + int(shard[lo]), squeezed([np.diff(keys[lo:hi], prepend=U64(0))])) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+                    waiting += [place[which], which_heavy, *(number[i] for i in index)]
+                rows = batch.select(extra).slice(block.lo, block.hi - block.lo)
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rows.schema) as out:
-                    out.write_batch(rows)
-                some, name = np.flatnonzero(np.diff(cuts)), uuid.uuid4().bytes
-                data = [K.planes(np.diff(distinct[cuts[i] : cuts[i + 1]], prepend=U64(0))) for i in some]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * (len(some) + 1), pa.binary()), pa.array([-1, *some.tolist()], pa.int64()), pa.array([sink.getvalue().to_pybytes(), *data], pa.binary())], ["batch", "shard", "data"])
-
-    def answer(left, right):  # no type hints: Spark reads them
-        keys, which = np.unique(right.column("key").to_numpy().view(U64), return_inverse=True)
-        values = [np.bincount(which, right.column(c).to_numpy(), minlength=len(keys)) for c in ("left", "total", "off")]
+                with pa.ipc.new_stream(sink, rows.schema) as stream:
+                    stream.write_batch(rows)
+                out.append((-1, -1 - name[0] % (1 << bits), squeezed(waiting)))
+                parts, shards, data = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(out), pa.binary()), pa.array(parts, pa.int64()), pa.array(shards, pa.int64()), pa.array(data, pa.binary()), pa.array([*[None] * (len(out) - 1), sink.getvalue().to_pybytes()], pa.binary())], names)
+
+    def answer(table):  # no type hints: Spark reads them
+        shard, own = table.column("shard")[0].as_py(), table.column("batch").is_null()
+        if shard < 0:
+            return table.select(names)
+        model, asks = table.filter(own).column("data").to_pylist(), table.filter(pc.invert(own))
+        none = np.zeros(0, dtype=U64)
+        if shard < 1 << bits:
+            columns, n = unpacked_grams(model[0]) if model else ([none] * p.order, none.view(np.int64))
+            part = Part(columns, n)
+        else:
+            steps, *sums = unsqueezed(model[0]) if model else [none] * 5
+            have = np.cumsum(steps, dtype=U64)
         out = []
-        for x in left.column("data").to_pylist():
-            seen, at = found(keys, np.cumsum(K.unplaned(x, len(x) // 8, 0)))
-            out.append(b"".join([K.planes(np.diff(np.flatnonzero(seen), prepend=0)), *(v[at[seen]].tobytes() for v in values)]))
-        return pa.table({"batch": left.column("batch"), "shard": left.column("shard"), "found": pa.array(out, pa.binary())})
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data, replies in zip(batch.column(0), batch.column(1), strict=True):
-                rows = pa.ipc.open_stream(data.as_buffer()).read_all().combine_chunks().to_batches()[0]
-                for block in K.blocks(rows.column(len(extra)), 1 << 62):  # as it was cut when it asked
-                    words, at, doc = padded(block, K.words(block), p.order)
-                    distinct, index, cuts = keys_of(words, at)
-                    left, total, off = (np.zeros(len(distinct)) for _ in range(3))
-                    for r in replies.as_py() or []:
-                        n = len(r["found"]) // 32
-                        where = np.cumsum(K.unplaned(r["found"], n, 0)).view(np.int64) + cuts[r["shard"]]
-                        for i, v in enumerate((left, total, off)):
-                            v[where] = np.frombuffer(r["found"], dtype=np.float64, count=n, offset=8 * n * (i + 1))
-                    chance = np.full(len(at), 1.0 / (kinds + 1))
-                    if all_:
-                        chance = (left[index[0]] + all_off * chance) / all_
-                    live = np.arange(len(at))
-                    for k in range(2, p.order + 1):
-                        x = index[p.order + k - 2]
-                        live = live[total[x[live]] > 0]
-                        y = x[live]
-                        chance[live] = (left[index[k - 1][live]] + off[y] * chance[live]) / total[y]
-                    n = np.bincount(doc, minlength=rows.num_rows)
-                    sums = np.bincount(doc, np.log10(chance), minlength=rows.num_rows)
-                    yield pa.RecordBatch.from_arrays([*rows.columns[: len(extra)], pa.array(n.astype(np.int64)), pa.array(-sums / n)], [*extra, "n_tokens", "log10_ppl"])
-
-    sent = stored(texts.mapInArrow(send, "batch binary, shard long, data binary"), "requests")
-    table = model.withColumn("shard", F.shiftrightunsigned("key", 64 - bits))
-    replies = sent.where("shard >= 0").groupBy("shard").cogroup(table.groupBy("shard")).applyInArrow(answer, "batch binary, shard long, found binary")
-    answers = replies.groupBy("batch").agg(F.collect_list(F.struct("shard", "found")).alias("replies"))
-    waiting = sent.where("shard = -1").select("batch", "data").join(answers, "batch", "left").select("data", "replies")
-    return waiting.mapInArrow(score, f"{fields}, n_tokens long, log10_ppl double")
+        for data in asks.column("data").to_pylist():
+            if shard < 1 << bits:
+                columns, _ = unpacked_grams(data)
+                got = []
+                for context, (grams, count, known, sums, *_) in zip(contexts_of(columns), part.levels, strict=True):
+                    got += values_at(grams, [count], joined(context, columns[1])) + values_at(known, sums, context)
+            else:
+                got = values_at(have, sums, np.cumsum(unsqueezed(data)[0], dtype=U64))
+            out.append(squeezed(got))
+        return asks.select(names).set_column(3, "data", pa.array(out, pa.binary()))
+
+    def score(table):
+        replies = sorted(zip(*(table.column(c).to_pylist() for c in ("part", "shard", "data", "rows")), strict=True), key=lambda x: x[:2])
+        waits, rows = unsqueezed(replies[0][2]), pa.ipc.open_stream(replies[0][3]).read_all()
+        chances, width = [], p.order + 1
+        heavy_sums = np.concatenate([np.zeros((4, 1), dtype=np.int64), model_heavy], axis=1)
+        for part in range((len(waits) - 1) // width):
+            place, which, word, *far = (x.view(np.int64) for x in waits[1 + part * width :][:width])
+            grams, keyed = ([np.concatenate(c).view(np.int64) for c in zip(*(unsqueezed(x[2]) for x in replies if x[0] == part and (x[1] < 1 << bits) == side), strict=True)] for side in (True, False))
+            kinds, total, off = words_
+            chance = np.full(len(word), 1.0 / (kinds + 1))
+            if total:
+                c = keyed[0][word]
+                chance = (c - less(c, taken[0]) + off * chance) / total
+            for k in range(p.order - 1):
+                c, *sums = grams[5 * k : 5 * k + 5]
+                is_heavy = which > 0
+                for i, s in enumerate(sums):
+                    s[is_heavy] = keyed[i][far[k - 1]] if k else heavy_sums[i][which[is_heavy]]
+                off = sums[1] * taken[k + 1][0] + sums[2] * taken[k + 1][1] + sums[3] * taken[k + 1][2]
+                chance = np.where(sums[0] > 0, (c - less(c, taken[k + 1]) + off * chance) / np.maximum(sums[0], 1), chance)
+            chances.append(np.log10(chance)[place])
+        n = waits[0].view(np.int64)
+        sums = np.bincount(np.repeat(np.arange(len(n)), n), np.concatenate(chances), minlength=len(n))
+        return pa.table([*rows.columns, pa.array(n), pa.array(-sums / n)], [*extra, "n_tokens", "log10_ppl"])
+
+    words_, taken, model_heavy = model.words, model.taken, model.heavy_sums
+    context = docs.sparkSession.sparkContext
+    filter_ = context.broadcast(model.filter)
+    docs = docs.coalesce(max(context.defaultParallelism, docs.rdd.getNumPartitions() // p.rounds))  # a task has a batch's worth of a round
+    sent = docs.select(*extra, text_of().alias("text")).mapInArrow(send, row)
+    table = model.table.select(F.lit(None).cast("binary").alias("batch"), F.lit(None).cast("long").alias("part"), "shard", "data", F.lit(None).cast("binary").alias("rows"))
+    answers = sent.unionByName(table).groupBy("shard").applyInArrow(answer, row).where("batch is not null")
+    return answers.groupBy("batch").applyInArrow(score, f"{fields}, n_tokens long, log10_ppl double")
+
+
+def less(c: np.ndarray, taken: list[float]) -> np.ndarray:
+    """What is taken off each count."""
+    return np.array([0.0, *taken])[np.minimum(c, 3)]
 
 
 def classify(docs: DataFrame, trusted: DataFrame, p: QualityModel = QualityModel()) -> DataFrame:
@@ -282,14 +544,20 @@ def classify(docs: DataFrame, trusted: DataFrame, p: QualityModel = QualityModel
     known = trusted.select("doc_id").where("doc_id is not null").distinct()
     rank = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(100))
     teach = known.where(rank < p.taught)
-    sample = stored(docs.join(teach, "doc_id", "left_semi").select(text_of().alias("text")), "taught")
-    counted = stored(count_grams(sample, p.order), "counted")
-    release(sample)
-    if counted.count() <= p.given:
-        scorer = spark.sparkContext.broadcast(Scorer(tables(counted, p.order)))
-        scored = stored(perplexities(docs, scorer, p.order, ["doc_id", "lang"]), "scores")
+    sample, extra = taught_texts(docs, teach, p), ["doc_id", "lang"]
+    model = sharded(sample, docs.select(text_of().alias("text")), p)
+    if model.grams <= p.given:
+        release(model.table)
+        scorer = spark.sparkContext.broadcast(Scorer(tables(count_grams(sample, p.order), p.order)))
+        scored = stored(perplexities(docs, scorer, p.order, extra), "scores")
     else:
-        scored = stored(asked_perplexities(docs, *sharded(counted, p.order), ["doc_id", "lang"], p), "scores")
+        parts = []
+        for i in range(p.rounds):
+            swept(spark)
+            parts.append(stored(asked_perplexities(docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(p.rounds)) == i), model, extra, p), "scores"))
+        release(model.table)
+        swept(spark)
+        scored = reduce(DataFrame.unionByName, parts)
     held = known.where(rank >= p.taught)
     limits = thresholds(scored.join(held, "doc_id", "left_semi"), p)
     general = limits.agg(F.max("general")).first()[0]  # of all languages

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +30,14 @@ def release(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Shuffle files of earlier jobs, which nothing reads any more, go now and not when the driver next collects its garbage."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)  # the cleaner works beside
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as make it differ from all columns of `df`, in any case."""
     taken = {c.lower() for c in df.columns}

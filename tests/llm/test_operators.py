@@ -349,6 +349,26 @@ def test_a_model_in_shards_scores_as_one_that_is_given(spark, docs, odd, empty):
     assert rows(empty, ids, **small) == []
 
 
+def test_shards_with_heavy_and_unknown_words(spark):
+    rng = random.Random(3)
+    texts = [" ".join(x for _ in range(30) for x in ("the", f"w{rng.randrange(40)}")) + (f" only{i} only{i}x" if i % 4 else "") for i in range(80)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    ids = df.select("doc_id").where("doc_id % 2 = 0")
+    assert {hex(x) for x in quality_model.heavy_words(df.select("text"), 2)} == {hex(x) for x in (lambda b: kernel.word_hashes(b, kernel.words(b)))(next(kernel.blocks(pa.array(["the"]))))}
+    rows = lambda **more: sorted((r.doc_id, r.n_tokens, round(r.log10_ppl, 9), r.threshold, r.kept) for r in quality_model.classify(df, ids, quality_model.QualityModel(**more)).collect())
+    assert rows(given=0, rounds=2) == rows()
+
+
+def test_counted_grams_pack_well():
+    rng = np.random.default_rng(2)
+    words = kernel.mix((rng.zipf(1.3, 200_000) % 20_000 + 100_000).astype(np.uint64))
+    vocabulary, ids, which, n = quality_model.distinct_grams(words, np.arange(2, len(words)), 3)
+    data = quality_model.packed_grams(vocabulary, ids, n)
+    columns, m = quality_model.unpacked_grams(data)
+    assert (m == n).all() and all((c[which] == words[2 - back : len(words) - back]).all() for c, back in zip(columns, (1, 0, 2), strict=True))
+    assert len(data) < 10 * len(n)  # six keys and a count are 56 bytes
+
+
 def test_requests_and_replies_pack_well():
     rng = np.random.default_rng(1)
     keys, n = np.sort(rng.integers(0, 1 << 58, 5000, dtype=np.uint64)), rng.integers(0, 9, 5000, dtype=np.uint64)  # a shard's keys; counts
