@@ -18,12 +18,14 @@ states, a table in shards, grow with the corpus. Their counts are discounted by
 
 Common contexts. With `common`, every other word is a context by the same test, and so is the beginning of a text. There are
 1 / heavy of them at most, so those that are states are given to all tasks; their pairs are counted in packed shards, over which
-a context with more than a shard's share of all tokens is spread, and those of states join the table that is asked.
+a context with more than a shard's share of all tokens is spread. These shards, as they were counted, are what is asked.
 
 For comparison each text also gets the score of add-one counts of tokens. Words with at least `heavy` of all tokens, 1 / heavy
 at most, are looked up where the document is. Other words, states and their pairs are asked for in packed requests of distinct
-keys, one for each batch of documents and shard, and answered by one count for each. A Bloom filter of bounded size saves asking
-for most contexts that are no states; what it lets through for nothing is settled by the answer.
+keys, one for each batch of documents and shard, and answered by one count for each. A pair of words that are both known where the
+document is is one number of their places. A Bloom filter of bounded size saves asking for most contexts that are no states; what it
+lets through for nothing is settled by the answer. Documents go in `rounds`, so that the places that wait for answers and the requests
+of so large a part of them are on disk at once.
 """
 
 from __future__ import annotations
@@ -31,14 +33,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import stored, text_bytes, text_of
+from .quality_model import squeezed, unsqueezed, values_at
+from .shared import release, stored, swept, text_bytes, text_of
 from .substrings import bloom, passes
 
 U64 = np.uint64
@@ -59,7 +64,8 @@ class SuffixTree:
     common: bool = False
     filter_bytes: int = 1 << 25
     shard_bytes: int = 1 << 25
-    batch_bytes: int = 1 << 23
+    batch_bytes: int = 1 << 22
+    rounds: int = 3
 
 
 def spelled(block: K.Block, w: K.Words, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,6 +197,7 @@ def grown(grams_: DataFrame, p: SuffixTree) -> Tree:
     frequent = levels.groupBy("d", F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("c")).where(F.col("c") >= F.lit(p.least * total)).select("d", "context")
     known = levels.alias("l").join(frequent.alias("f"), (F.col("l.d") == F.col("f.d")) & (F.shiftright("l.key", 8) == F.col("f.context"))).select("l.d", "l.key", "l.n")
     got = known.toArrow()
+    release(levels)
     d, key, n = (got.column(i).to_numpy() for i in range(3))
     out = []
     for depth in range(p.depth + 1):
@@ -234,8 +241,8 @@ def pair_keys(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     return token ^ (context << U64(1) | context >> U64(63))
 
 
-def pairs(texts: DataFrame, often, p: SuffixTree, common: bool = False) -> DataFrame:
-    """(context, next, n) in parts: how often a token follows a rare context, or a common one that is a state. `often` is a broadcast."""
+def pairs(texts: DataFrame, often, p: SuffixTree) -> DataFrame:
+    """(context, next, n) in parts: how often a token follows a rare context. `often` is a broadcast."""
 
     def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
         context, token = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -254,9 +261,7 @@ def pairs(texts: DataFrame, often, p: SuffixTree, common: bool = False) -> DataF
         for batch in batches:
             for block in K.blocks(batch.column(0)):
                 token, _ = tokens_of(block, K.words(block))
-                context, some, place = contexts(token, often.value, often.value.find(token), p)
-                if common:
-                    some = (place >= 0) & (often.value.kinds[place] > 0)
+                context, some, _ = contexts(token, often.value, often.value.find(token), p)
                 held.append((context[some], token[some]))
                 if sum(len(x[0]) for x in held) > 1 << 20:
                     yield from flush()
@@ -265,21 +270,32 @@ def pairs(texts: DataFrame, often, p: SuffixTree, common: bool = False) -> DataF
     return texts.mapInArrow(run, "context long, next long, n long")
 
 
-def common_states(texts: DataFrame, often, total: int, bits: int, p: SuffixTree) -> tuple[np.ndarray, np.ndarray]:
-    """Places in `often` (a broadcast) of the common contexts that are states, and how many different tokens follow each.
+def pair_shards(context: np.ndarray, key: np.ndarray, often: Often, limit: int, bits: int) -> np.ndarray:
+    """The shard of each pair of a common context (its place): contexts met more than `limit` times are dealt to all by the pair."""
+    context = context.astype(np.int64)
+    return (K.mix(np.where(often.n[context] > limit, key, context.astype(U64))) >> U64(64 - bits)).astype(np.int64)
+
+
+def near_keys(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Pairs of two words of `often`, by their places, as one number."""
+    return context.astype(U64) << U64(32) | token.astype(U64)
+
+
+def steps(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=U64(0))
+
+
+def common_states(texts: DataFrame, often, total: int, limit: int, bits: int, p: SuffixTree) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """Places in `often` (a broadcast) of the common contexts that are states, how many different tokens follow each, and (shard, data): all
+    pairs of common contexts, packed.
 
     The test is that of states(). All pairs are counted: sorted in packed shards, a batch's share of a shard in one row. Pairs of two
     words of `often` are one number; for others the pair's hash goes with the context.
     """
-    limit = total >> bits  # contexts above it are dealt to all shards, the others to one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def shards(context: np.ndarray, key: np.ndarray) -> np.ndarray:
-            by = np.where(often.value.n[context.astype(np.int64)] > limit, key, context)
-            return (K.mix(by) >> U64(64 - bits)).astype(np.int64)
-
         def flush() -> Iterator[pa.RecordBatch]:
             near, n = np.unique(np.concatenate([x for x, _ in held]), return_counts=True)
             far = np.concatenate([x for _, x in held], axis=1)
@@ -288,18 +304,17 @@ def common_states(texts: DataFrame, often, total: int, bits: int, p: SuffixTree)
             far = far[:, at]
             parts = []
             for context, key, count in ((near >> U64(32), near, n), (far[0], far[1], m)):
-                shard = shards(context, key)
+                shard = pair_shards(context, key, often.value, limit, bits)
                 order = np.argsort(shard, kind="stable")
                 cut = np.searchsorted(shard[order], np.arange((1 << bits) + 1))
                 parts.append((context[order], key[order], count[order], cut))
             for i in range(1 << bits):
-                data, sizes = [], []
+                data = []
                 for k, (context, key, count, cut) in enumerate(parts):
                     lo, hi = cut[i], cut[i + 1]
-                    sizes.append(hi - lo)
-                    data += [K.planes(np.diff(key[lo:hi], prepend=U64(0))), K.planes(count[lo:hi])] + [K.planes(context[lo:hi])] * k
-                if sum(sizes):
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), *(pa.array([int(x)], pa.int64()) for x in sizes), pa.array([b"".join(data)], pa.binary())], ["shard", "near", "far", "data"])
+                    data += [steps(key[lo:hi]), count[lo:hi], *[context[lo:hi]] * k]
+                if len(data[0]) or len(data[2]):
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([squeezed(data)], pa.binary())], ["shard", "data"])
 
         for batch in batches:
             for block in K.blocks(batch.column(0)):
@@ -307,42 +322,46 @@ def common_states(texts: DataFrame, often, total: int, bits: int, p: SuffixTree)
                 found = often.value.find(token)
                 before, _, context = contexts(token, often.value, found, p)
                 near, far = (context >= 0) & found[1], (context >= 0) & ~found[1]
-                held.append((context[near].astype(U64) << U64(32) | found[0][near].astype(U64), np.stack([context[far].astype(U64), pair_keys(before[far], token[far])])))
+                held.append((near_keys(context[near], found[0][near]), np.stack([context[far].astype(U64), pair_keys(before[far], token[far])])))
                 if sum(len(x) + y.shape[1] for x, y in held) > 1 << 21:
                     yield from flush()
         if held:
             yield from flush()
 
     least = max(1.0, p.heavy * total)
+    names = ["place", "kinds", "told", "once", "shard", "data"]
 
     def tell(table):  # no type hints: Spark reads them
-        parts: list[list] = [[], []]
-        for a, b, data in zip(*(table.column(c).to_pylist() for c in ("near", "far", "data")), strict=True):
-            parts[0].append([np.cumsum(K.unplaned(data, a, 0)), K.unplaned(data, a, 1)])
-            parts[1].append([np.cumsum(K.unplaned(data[16 * a :], b, 0)), *(K.unplaned(data[16 * a :], b, i) for i in (1, 2))])
+        parts = [unsqueezed(x) for x in table.column("data").to_pylist()]
         share, sums = np.append(often.value.n, least) / max(1, total), np.zeros((3, len(often.value.keys)))
-        for k, each in enumerate(parts):
-            key, n, *more = (np.concatenate(x) for x in zip(*each, strict=True))
+        counted = []
+        for k, width in enumerate((2, 3)):
+            columns = [x[2 * k : 2 * k + width] for x in parts]
+            key = np.concatenate([np.cumsum(x[0], dtype=U64) for x in columns])
+            n, *more = (np.concatenate(x) for x in zip(*(x[1:] for x in columns), strict=True))
             order = np.argsort(key)
-            key, first = key[order], np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])[: len(key)])
-            if not len(first):
-                continue
-            n = np.add.reduceat(n[order].astype(np.int64), first)
-            context = (more[0][order][first] if k else key[first] >> U64(32)).astype(np.int64)
-            up = share[-1] if k else share[(key[first] & U64(0xFFFFFFFF)).astype(np.int64)]
+            key = key[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+            key, n = key[first], np.add.reduceat(n[order].view(np.int64), first) if len(first) else n.view(np.int64)
+            counted += [steps(key), n]
+            context = (more[0][order][first] if k else key >> U64(32)).astype(np.int64)
+            up = share[-1] if k else share[(key & U64(0xFFFFFFFF)).astype(np.int64)]
             again = np.where(n > 1, n * (np.log(np.maximum(n - 1, 1) - p.discount) - np.log(up)), 0.0)
             for i, x in enumerate((np.ones(len(n)), again, (n == 1).astype(float))):
                 sums[i] += np.bincount(context, x, minlength=sums.shape[1])
         some = np.flatnonzero(sums[0])
-        return pa.table({"place": pa.array(some), "kinds": pa.array(sums[0][some].astype(np.int64)), "told": pa.array(sums[1][some]), "once": pa.array(sums[2][some].astype(np.int64))})
-
-    told = texts.mapInArrow(run, "shard long, near long, far long, data binary").groupBy("shard").applyInArrow(tell, "place long, kinds long, told double, once long")
-    got = told.groupBy("place").agg(*(F.sum(c).alias(c) for c in ("kinds", "told", "once"))).toArrow()
-    place, kinds, told, once = (got.column(i).to_numpy() for i in range(4))
+        none = [None] * len(some)
+        columns = (some, sums[0][some].astype(np.int64), sums[1][some], sums[2][some].astype(np.int64))
+        told = [pa.concat_arrays([pa.array(x), pa.nulls(1, pa.array(x).type)]) for x in columns]
+        return pa.table([*told, pa.array([*none, table.column("shard")[0].as_py()], pa.int64()), pa.array([*none, squeezed(counted)], pa.binary())], names)
+
+    told = stored(texts.mapInArrow(run, "shard long, data binary").groupBy("shard").applyInArrow(tell, "place long, kinds long, told double, once long, shard long, data binary"), "common")
+    got = told.where("data is null").groupBy("place").agg(*(F.sum(c).alias(c) for c in names[1:4])).toArrow()
+    place, kinds, told_, once = (got.column(i).to_numpy() for i in range(4))
     whole = often.value.n[place]  # a token follows every one
-    gain = told - (whole - once) * np.log(np.maximum(whole - 1, 1)) + once * np.log(p.discount * kinds / whole)
+    gain = told_ - (whole - once) * np.log(np.maximum(whole - 1, 1)) + once * np.log(p.discount * kinds / whole)
     keep = (whole > 1) & (gain >= p.gain)
-    return place[keep], kinds[keep]
+    return place[keep], kinds[keep], told.where("data is not null").select("shard", "data")
 
 
 def states(parts: DataFrame, often: DataFrame, total: int, p: SuffixTree) -> DataFrame:
@@ -385,62 +404,73 @@ def score_texts(docs: DataFrame, train: Column, p: SuffixTree = SuffixTree()) ->
     got = frequent.toArrow()
     keys = got.column("word").to_numpy().view(U64)
     order = np.argsort(keys)
-    context = docs.sparkSession.sparkContext
-    bits = max(2, (text_bytes(texts) // p.shard_bytes).bit_length() + 1)
+    spark = docs.sparkSession
+    context = spark.sparkContext
+    n_bytes = text_bytes(texts)
+    bits = max(2, (n_bytes // p.shard_bytes).bit_length() + 1)
+    limit = total >> bits  # common contexts above it are dealt to all shards, the others to one
     taught = texts.where("not held_out").select("text")
     often = context.broadcast(Often(keys[order], got.column("n").to_numpy()[order], max(p.few, p.heavy * total)))
     long_ = stored(states(pairs(taught, often, p), frequent, total, p), "states")
-    told = long_.select("context", "next", "n")
+    models = []
     if p.common:
-        place, followed = common_states(taught, often, total, bits, p)
+        place, followed, model = common_states(taught, often, total, limit, bits, p)
         if len(place):
             kinds_ = np.zeros(len(keys), dtype=np.int64)
             kinds_[place] = followed
             often = context.broadcast(Often(often.value.keys, often.value.n, often.value.limit, kinds_))
-            told = told.unionByName(pairs(taught, often, p, True).groupBy("context", "next").agg(F.sum("n").alias("n")))
+            models.append(model)
     filter_ = bloom(long_.select(F.col("context").alias("g")).distinct(), p.filter_bytes)
     shared = context.broadcast((grown(learnt.where("kind = 1").select("key", "n"), p), filter_))
     unit = np.log10(total + kinds + 1)
+    row = "batch binary, shard long, data binary, rows binary"
+    names = ["batch", "shard", "data", "rows"]
+
+    def by_shard(shard: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order by shard, the index of each key in it, and where shards begin."""
+        by = np.argsort(shard, kind="stable")
+        at = np.empty(len(by), dtype=np.int64)
+        at[by] = np.arange(len(by))
+        return by, at[index], np.searchsorted(shard[by], np.arange((1 << bits) + 1))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, known_contexts = shared.value
         for batch in batches:
             for block in K.blocks(batch.column(2), p.batch_bytes):
-                parts = [scored(b, tree, often.value, known_contexts) for b in split(block)]
-                n_tokens, known, base, score = (np.concatenate([x[i] for x in parts]) for i in range(4))
-                first = np.cumsum([0, *[len(x[0]) for x in parts]])
-                open_doc = np.concatenate([x[4] + f for x, f in zip(parts, first.astype(np.int32), strict=False)])
-                spelling, place, token, before, state, given = (np.concatenate([x[i] for x in parts]) for i in range(5, 11))
+                parts = [scored(b, tree, often.value, known_contexts) for b in K.parts(block)]
+                n_tokens, known, base, score, n_near, near, near_spelling, n_open, spelling, place, token, before, state, given = (np.concatenate(x) for x in zip(*parts, strict=True))
                 parts.clear()
-                # what to ask for: the word unless its count is here; for a word after a possible state the pair, and a rare state's counts
-                rare, at = np.flatnonzero(place < 0), np.flatnonzero(state)
-                far = np.flatnonzero(given[at] < 0)
-                asked = [token[rare], pair_keys(before[at], token[at]), *(before[at[far]] ^ np.array(k, dtype=np.int64).view(U64) for k in (TOTAL, KINDS))]
-                distinct, index = np.unique(np.concatenate(asked), return_inverse=True)
-                asked.clear()
-                index = index.astype(np.int32)
-                which = np.stack([index[len(rare) :][: len(at)], *[-1 - given[at]] * 2])  # below 0: the place of a common state
-                which[1:, far] = index[len(rare) + len(at) :].reshape(2, -1)
-                word = -1 - place  # below 0: the place among frequent words
-                word[rare] = index[: len(rare)]
-                name = uuid.uuid4().bytes
+                # what to ask for: pairs of two known words; pairs of a known and an unknown one; by hash the words that are not known, and
+                # for a word after a possible rare state the pair and the state's counts
+                near, index = np.unique(near, return_inverse=True)
+                by, index, cuts = by_shard(pair_shards(near >> U64(32), near, often.value, limit, bits), index)
+                near = near[by]
+                some = np.flatnonzero(state & (given >= 0))
+                far, first, far_index = np.unique(pair_keys(before[some], token[some]), return_index=True, return_inverse=True)
+                by, far_index, far_cuts = by_shard(pair_shards(given[some][first], far, often.value, limit, bits), far_index)
+                far = far[by]
+                rare, at = np.flatnonzero(place < 0), np.flatnonzero(state & (given < 0))
+                asked = [token[rare], pair_keys(before[at], token[at]), *(before[at] ^ np.array(k, dtype=np.int64).view(U64) for k in (TOTAL, KINDS))]
+                hashed, number = np.unique(np.concatenate(asked), return_inverse=True)
+                hash_cuts = np.searchsorted((hashed >> U64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
+                word, pair = -1 - place.astype(np.int64), np.full(len(place), -1)  # below 0: the place among frequent words; no state
+                word[rare], pair[some] = number[: len(rare)], far_index
+                pair[at], *counts_ = number[len(rare) :].reshape(3, -1)
+                given = np.where(state, given, -1)
+                waiting = [n_near, index, near_spelling.view(np.uint32), np.diff((near >> U64(32)).astype(np.int64), prepend=0), near & U64(0xFFFFFFFF), n_open, spelling.view(np.uint32), word, pair, given, *counts_]
+                out = [(-1 - int(n_tokens.sum()) % (1 << bits), squeezed(waiting))]
+                for i in range(1 << bits):
+                    data = [steps(near[cuts[i] : cuts[i + 1]]), steps(far[far_cuts[i] : far_cuts[i + 1]])]
+                    if len(data[0]) or len(data[1]):
+                        out.append((i, squeezed(data)))
+                    if hash_cuts[i] < hash_cuts[i + 1]:
+                        out.append(((1 << bits) + i, squeezed([steps(hashed[hash_cuts[i] : hash_cuts[i + 1]])])))
                 rows = pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.hi - block.lo), batch.column(1).slice(block.lo, block.hi - block.lo), *map(pa.array, (n_tokens, known, base, score))], ["doc_id", "held_out", "n_tokens", "known", "base", "score"])
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rows.schema) as out:
-                    out.write_batch(rows)
-                sizes = np.array([len(word), len(at)], dtype=np.int64)
-                body = b"".join(x.tobytes() for x in (sizes, open_doc, word, spelling, at.astype(np.int32), which)) + sink.getvalue().to_pybytes()
-                shard = (distinct >> U64(64 - bits)).astype(np.int64)
-                cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(distinct) else np.zeros(0, dtype=np.int64)
-                data = [K.planes(np.diff(x, prepend=U64(0))) for x in np.split(distinct, cut[1:])] if len(cut) else []
-                yield pa.RecordBatch.from_arrays([pa.array([name] * (len(cut) + 1), pa.binary()), pa.array([-1, *shard[cut].tolist()], pa.int64()), pa.array([body, *data], pa.binary())], ["batch", "shard", "data"])
-
-    def split(block: K.Block) -> Iterator[K.Block]:
-        lo = 0
-        while lo < block.hi - block.lo:
-            hi = max(lo + 1, int(np.searchsorted(block.bounds, block.bounds[lo] + K.BLOCK_BYTES, side="right")) - 1)
-            yield K.Block(lo, hi, block.data[block.bounds[lo] : block.bounds[hi]], block.bounds[lo : hi + 1] - block.bounds[lo])
-            lo = hi
+                with pa.ipc.new_stream(sink, rows.schema) as stream:
+                    stream.write_batch(rows)
+                shards, data = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().bytes] * len(out), pa.binary()), pa.array(shards, pa.int64()), pa.array(data, pa.binary()), pa.array([sink.getvalue().to_pybytes(), *[None] * (len(out) - 1)], pa.binary())], names)
 
     def smoothed(count: np.ndarray, spelling: np.ndarray) -> np.ndarray:
         """log10 of a word's probability by its share of all tokens and its spelling."""
@@ -464,61 +494,90 @@ def score_texts(docs: DataFrame, train: Column, p: SuffixTree = SuffixTree()) ->
         before, rare, given = contexts(token, often, (place, here, common), p)
         state = rare.copy()
         state[rare] = passes(known_contexts, before[rare])
+        near = np.zeros(len(token), dtype=bool)
         if often.kinds is not None:
-            state |= (given >= 0) & (often.kinds[given] > 0)
+            known_state = (given >= 0) & (often.kinds[given] > 0)
+            state |= known_state
+            near = known_state & here
         n_tokens = np.bincount(doc, minlength=n).astype(np.int64)
         known = np.bincount(doc[here], minlength=n).astype(np.int64)
         c = often.n[place[here]] if here.any() else np.zeros(0, dtype=np.int64)
         base = np.bincount(doc[here], np.log10(c + 1.0), minlength=n) - n_tokens * unit
         done = here & ~state
         score = np.bincount(doc[done], smoothed(c[done[here]], lp[done]), minlength=n)
-        return n_tokens, known, base, score, doc[~done].astype(np.int32), lp[~done].astype(np.float32), np.where(here, place, -1)[~done].astype(np.int32), token[~done], before[~done], state[~done], given[~done].astype(np.int32)
+        open_, lp = ~done & ~near, lp.astype(np.float32)
+        waiting = (lp[open_], np.where(here, place, -1)[open_], token[open_], before[open_], state[open_], given[open_])
+        return n_tokens, known, base, score, np.bincount(doc[near], minlength=n), near_keys(given[near], place[near]), lp[near], np.bincount(doc[open_], minlength=n), *waiting
+
+    def answer(table):  # no type hints: Spark reads them
+        shard, own = table.column("shard")[0].as_py(), table.column("batch").is_null()
+        if shard < 0:
+            return table.select(names)
+        data, asks = table.filter(own).column("data").to_pylist(), table.filter(pc.invert(own))
+        have = unsqueezed(data[0]) if data else [np.zeros(0, dtype=U64)] * 4
+        sections = [(np.cumsum(have[i], dtype=U64), have[i + 1]) for i in range(0, len(have), 2)]
+        out = [squeezed([values_at(k, [n], np.cumsum(x, dtype=U64))[0] for x, (k, n) in zip(unsqueezed(data), sections, strict=False)]) for data in asks.column("data").to_pylist()]
+        return asks.select(names).set_column(2, "data", pa.array(out, pa.binary()))
+
+    def close_(table):
+        replies = sorted(zip(*(table.column(c).to_pylist() for c in ("shard", "data", "rows")), strict=True), key=lambda x: x[0])
+        waits, rows = [x.view(np.int64) for x in unsqueezed(replies[0][1])], pa.ipc.open_stream(replies[0][2]).read_all().combine_chunks().to_batches()[0]
+        n_near, index, near_spelling, context, near_word, n_open, spelling, word, pair, given, *states_ = waits
+        near_spelling, spelling = (x.astype(np.uint32).view(np.float32).astype(np.float64) for x in (near_spelling, spelling))
+        got = [[np.zeros(0, dtype=np.int64)] for _ in range(3)]
+        for shard, data, _ in replies[1:]:
+            for i, x in enumerate(unsqueezed(data)):
+                got[i if shard < 1 << bits else 2].append(x.view(np.int64))
+        near, far, found = map(np.concatenate, got)
+        n_docs = rows.num_rows
+        score = rows.column(5).to_numpy()
+        if len(near):
+            context = np.cumsum(context)
+            whole, others = often.value.n[context], p.discount * often.value.kinds[context]
+            own = (np.maximum(near - p.discount, 0) + others * (1 - p.spelt) / total * often.value.n[near_word]) / whole
+            chance = np.log10(own[index] + (others * p.spelt / whole)[index] * 10.0**near_spelling)
+            score = score + np.bincount(np.repeat(np.arange(n_docs), n_near), chance, minlength=n_docs)
+        doc, rare = np.repeat(np.arange(n_docs), n_open), word >= 0
+        c = np.zeros(len(word), dtype=np.int64)
+        c[rare], c[~rare] = found[word[rare]], often.value.n[-1 - word[~rare]]
+        known = rows.column(3).to_numpy() + np.bincount(doc[rare & (c > 0)], minlength=n_docs)
+        base = rows.column(4).to_numpy() + np.bincount(doc[rare], np.log10(c[rare] + 1.0), minlength=n_docs)
+        chance = smoothed(c, spelling)
+        after, common = pair >= 0, given >= 0
+        n, whole, others = (np.zeros(len(word), dtype=np.int64) for _ in range(3))
+        n[common] = far[pair[common]]
+        if common.any():
+            whole[common], others[common] = often.value.n[given[common]], often.value.kinds[given[common]]
+        others_ = after & ~common
+        n[others_], whole[others_], others[others_] = found[pair[others_]], *(found[i] for i in states_)
+        at = np.flatnonzero(whole > 0)
+        with np.errstate(divide="ignore"):
+            chance[at] = np.logaddexp(np.log(np.maximum(n[at] - p.discount, 0)), np.log(p.discount * others[at]) + chance[at] * LN10) / LN10 - np.log10(whole[at])
+        score = score + np.bincount(doc, chance, minlength=n_docs)
+        return pa.table([*rows.columns[:3], *map(pa.array, (known.astype(np.int64), np.full(n_docs, total), base, score))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    def answer(left, right):  # no type hints: Spark reads them
-        keys = right.column("word").to_numpy().view(U64)
+    def pack(table):
+        keys = table.column("word").to_numpy().view(U64)
         order = np.argsort(keys)
-        keys, n = keys[order], right.column("n").to_numpy()[order]
-        out = []
-        for x in left.column("data").to_pylist():
-            asked = np.cumsum(K.unplaned(x, len(x) // 8, 0))
-            at = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
-            out.append(K.planes(np.where(keys[at] == asked, n[at], 0) if len(keys) else np.zeros(len(asked), dtype=np.int64)))
-        return pa.table({"batch": left.column("batch"), "shard": left.column("shard"), "found": pa.array(out, pa.binary())})
-
-    def close_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(1, dtype=np.int64)
-        given = (often.value.n, often.value.kinds) if often.value.kinds is not None else (none, none)
-        for batch in batches:
-            for data, replies in zip(batch.column(0), batch.column(1), strict=True):
-                body = data.as_buffer()
-                n, m = np.frombuffer(body.slice(0, 16), dtype=np.int64)
-                doc, word = (np.frombuffer(body.slice(16 + 4 * n * i, 4 * n), dtype=np.int32) for i in range(2))
-                spelling = np.frombuffer(body.slice(16 + 8 * n, 4 * n), dtype=np.float32).astype(np.float64)
-                at, *asked = (np.frombuffer(body.slice(16 + 12 * n + 4 * m * i, 4 * m), dtype=np.int32) for i in range(4))
-                rows = pa.ipc.open_stream(body.slice(16 + 12 * n + 16 * m)).read_all().combine_chunks().to_batches()[0]
-                parts = [K.unplaned(x["found"], len(x["found"]) // 8, 0).view(np.int64) for x in sorted(replies.as_py() or [], key=lambda x: x["shard"])]
-                found = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
-                n_docs, rare = rows.num_rows, word >= 0
-                c = np.zeros(n, dtype=np.int64)
-                c[rare], c[~rare] = found[word[rare]], often.value.n[-1 - word[~rare]]
-                known = rows.column(3).to_numpy() + np.bincount(doc[rare & (c > 0)], minlength=n_docs)
-                base = rows.column(4).to_numpy() + np.bincount(doc[rare], np.log10(c[rare] + 1.0), minlength=n_docs)
-                chance = smoothed(c, spelling)
-                pair, (whole, others) = found[asked[0]], (np.where(i >= 0, found[np.maximum(i, 0)], n_[-1 - np.minimum(i, -1)]) for i, n_ in zip(asked[1:], given, strict=True))
-                is_state = whole > 0
-                at, pair, whole, others = (x[is_state] for x in (at, pair, whole, others))
-                with np.errstate(divide="ignore"):
-                    chance[at] = np.logaddexp(np.log(np.maximum(pair - p.discount, 0)), np.log(p.discount * others) + chance[at] * LN10) / LN10 - np.log10(whole)
-                score = rows.column(5).to_numpy() + np.bincount(doc, chance, minlength=n_docs)
-                yield pa.RecordBatch.from_arrays([*rows.columns[:3], *map(pa.array, (known.astype(np.int64), np.full(n_docs, total), base, score))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    sent = stored(texts.mapInArrow(send, "batch binary, shard long, data binary"), "requests")
+        return pa.table([table.column("shard")[:1], pa.array([squeezed([steps(keys[order]), table.column("n").to_numpy()[order]])], pa.binary())], ["shard", "data"])
+
     turned = F.shiftleft("context", 1).bitwiseOR(F.shiftrightunsigned("context", 63))
     key = lambda name, n: F.struct(name.alias("word"), F.col(n).alias("n"))
     per_state = long_.groupBy("context").agg(F.first("total").alias("total"), F.first("kinds").alias("kinds"))
     per_state = per_state.select(F.explode(F.array(*(key(F.col("context").bitwiseXOR(F.lit(k)), n) for k, n in ((TOTAL, "total"), (KINDS, "kinds"))))).alias("x")).select("x.*")
-    table = words.unionByName(told.select(F.col("next").bitwiseXOR(turned).alias("word"), "n")).unionByName(per_state).withColumn("shard", F.shiftrightunsigned("word", 64 - bits))
-    replies = sent.where("shard >= 0").groupBy("shard").cogroup(table.groupBy("shard")).applyInArrow(answer, "batch binary, shard long, found binary")
-    answers = replies.groupBy("batch").agg(F.collect_list(F.struct("shard", "found")).alias("replies"))
-    waiting = sent.where("shard = -1").select("batch", "data").join(answers, "batch", "left").select("data", "replies")
-    return waiting.mapInArrow(close_, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    table = words.unionByName(long_.select(F.col("next").bitwiseXOR(turned).alias("word"), "n")).unionByName(per_state).withColumn("shard", F.shiftrightunsigned("word", 64 - bits) + F.lit(1 << bits))
+    hashed = stored(table.groupBy("shard").applyInArrow(pack, "shard long, data binary"), "hashed")
+    release(learnt, long_)
+    model = reduce(DataFrame.unionByName, models, hashed)
+    model = model.select(F.lit(None).cast("binary").alias("batch"), "shard", "data", F.lit(None).cast("binary").alias("rows"))
+    rounds = p.rounds if n_bytes > p.rounds * p.batch_bytes else 1
+    results = []
+    for i in range(rounds):
+        swept(spark)
+        part = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(rounds)) == i)
+        part = part.coalesce(max(context.defaultParallelism, part.rdd.getNumPartitions() // rounds))  # a task has a batch's worth of a round
+        answers = part.mapInArrow(send, row).unionByName(model).groupBy("shard").applyInArrow(answer, row).where("batch is not null")
+        results.append(stored(answers.groupBy("batch").applyInArrow(close_, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores"))
+    release(*models, hashed)
+    swept(spark)
+    return reduce(DataFrame.unionByName, results)

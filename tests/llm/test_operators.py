@@ -1,6 +1,7 @@
 """The operators against plain versions, and on awkward tables."""
 
 import math
+import pathlib
 import random
 import zlib
 from collections import Counter
@@ -466,6 +467,21 @@ def test_common_words_are_contexts_too(spark, pairs, odd, empty):
     assert all(r.base_score == 0 for r in suffix_tree.score_texts(odd, F.lit(False), whole).collect())
 
 
+def test_places_that_wait_do_not_stay_on_disk(spark):
+    from plotwise.operators.graph import shared_folder
+
+    pick = np.random.default_rng(7).zipf(1.3, (120, 400)) % 500
+    df = spark.createDataFrame([(i, " ".join(f"w{x}" for x in row)) for i, row in enumerate(pick.tolist())], "doc_id long, text string").repartition(3)
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file:").replace("//", "/"))
+    size = lambda: sum(x.stat().st_size for x in folder.rglob("*") if x.is_file())
+    rows = lambda **more: {r.doc_id: r.score for r in suffix_tree.score_texts(df, F.col("doc_id") % 7 != 2, suffix_tree.SuffixTree(common=True, **more)).collect()}
+    before = size()
+    want = rows()
+    assert size() - before < 60_000
+    got = rows(batch_bytes=1 << 14)  # in rounds
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) <= 1e-6 * abs(want[i]) for i in want)
+
+
 def test_rare_contexts_grow_with_the_corpus(spark):
     def states(n):
         texts = [(i, " ".join(f"w{i % n}x{k} w{i % n}y{k}" for k in range(5))) for i in range(5 * n)]
