@@ -573,11 +573,13 @@ def score_texts(docs: DataFrame, train: Column, p: SuffixTree = SuffixTree()) ->
     rounds = p.rounds if n_bytes > p.rounds * p.batch_bytes else 1
     results = []
     for i in range(rounds):
-        swept(spark)
+        if rounds > 1:
+            swept(spark)
         part = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(rounds)) == i)
         part = part.coalesce(max(context.defaultParallelism, part.rdd.getNumPartitions() // rounds))  # a task has a batch's worth of a round
         answers = part.mapInArrow(send, row).unionByName(model).groupBy("shard").applyInArrow(answer, row).where("batch is not null")
         results.append(stored(answers.groupBy("batch").applyInArrow(close_, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores"))
     release(*models, hashed)
-    swept(spark)
+    if rounds > 1:
+        swept(spark)
     return reduce(DataFrame.unionByName, results)
