@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import release, stored, swept, text_bytes, text_of
+from .shared import lean, lean_batches, release, stored, swept, text_bytes, text_of
 from .substrings import bloom, passes
 
 U64 = np.uint64
@@ -244,11 +244,16 @@ def packed_grams(vocabulary: np.ndarray, columns: list[np.ndarray], n: np.ndarra
     return squeezed([np.diff(vocabulary[used], prepend=U64(0)), n, np.diff(number[columns[0]], prepend=0), *(number[c] for c in columns[1:])])
 
 
+def unpacked_numbers(data: bytes) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """What packed_grams() has packed: the words (hashes) in order, the n-grams by their words' numbers, and their counts."""
+    steps, n, first, *others = unsqueezed(data)
+    return np.cumsum(steps, dtype=U64), [np.cumsum(first.view(np.int64)), *(c.view(np.int64) for c in others)], n.view(np.int64)
+
+
 def unpacked_grams(data: bytes) -> tuple[list[np.ndarray], np.ndarray]:
     """The n-grams' words (hashes) in packed_grams()'s order, and their counts."""
-    steps, n, first, *others = unsqueezed(data)
-    vocabulary = np.cumsum(steps, dtype=U64)
-    return [vocabulary[c.view(np.int64)] for c in (np.cumsum(first, dtype=U64), *others)], n.view(np.int64)
+    vocabulary, columns, n = unpacked_numbers(data)
+    return [vocabulary[c] for c in columns], n
 
 
 def dealt(columns: list[np.ndarray], heavy: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -290,6 +295,58 @@ class Part:
             count = np.ones(len(grams), dtype=np.int64)
 
 
+def begins(column: np.ndarray) -> np.ndarray:
+    """Where equal values in a row begin."""
+    return np.append(True, column[1:] != column[:-1])[: len(column)]
+
+
+class Known:
+    """A shard's distinct n-grams as they are asked for. They come in the order of their words' numbers, so a shorter one is a run of rows,
+    and its place and the next word's number are the key of a longer one: only contexts of two words or more are sorted."""
+
+    def __init__(self, vocabulary: np.ndarray, columns: list[np.ndarray], n: np.ndarray):
+        self.vocabulary, self.levels = vocabulary, []
+        changed, rows = begins(columns[0]), []
+        for c in columns[1:]:
+            changed = changed | begins(c)
+            rows.append(np.flatnonzero(changed))
+        for k, (first, c) in enumerate(zip(rows, columns[1:], strict=True)):
+            word, last = c[first], k == len(rows) - 1
+            count = n if last else np.diff(np.searchsorted(rows[k + 1], first), append=len(rows[k + 1]))
+            if k:
+                gram, context = (np.repeat(x, size) << 32 | word for x in (np.arange(len(size)), place))
+                order = np.argsort(context)
+                context, sums = context[order], count[order]
+            else:
+                context, sums = columns[0][first], count
+                gram = context << 32 | word
+            at = begins(context)
+            one = np.flatnonzero(at)
+            if not last:
+                place, size = np.cumsum(at) - 1, count
+                if k:
+                    place[order] = place.copy()
+            sums = [np.add.reduceat(x, one) if len(one) else x.astype(np.int64) for x in (sums, *(y.astype(np.int64) for y in (sums == 1, sums == 2, sums > 2)))]
+            self.levels.append((gram, count, context[one], sums))
+
+    def tell(self, vocabulary: np.ndarray, columns: list[np.ndarray]) -> list[np.ndarray]:
+        """For each level the counts of these n-grams and the sums of their contexts, 0 where there are none."""
+        number = self.number(self.vocabulary, vocabulary)
+        columns, out = [number[c] for c in columns], []
+        gram = context = columns[0]
+        for k, (grams, count, contexts, sums) in enumerate(self.levels):
+            gram = self.number(grams, gram << 32 | columns[k + 1])
+            context = self.number(contexts, context << 32 | columns[k + 1] if k else context)
+            out += [np.append(x, 0)[at] for at, some in ((gram, [count]), (context, sums)) for x in some]
+        return out
+
+    @staticmethod
+    def number(have: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, the number of all where it isn't."""
+        seen, at = found(have, keys)
+        return np.where(seen, at, len(have))
+
+
 def values_at(have: np.ndarray, columns: list[np.ndarray], keys: np.ndarray) -> list[np.ndarray]:
     """The columns' values of each key, 0 where it isn't. Equal keys in a row are looked up once."""
     if not len(have) or not len(keys):
@@ -338,7 +395,7 @@ def taught_texts(docs: DataFrame, teach: DataFrame, p: QualityModel) -> DataFram
         for batch in passing(batches):
             yield batch.filter(pa.array(~np.isin(batch.column(0).to_numpy(), wrong.value))).select([1])
 
-    return ids.select(key, text_of().alias("text")).mapInArrow(taught, "text string")
+    return ids.select(key, text_of().alias("text")).mapInArrow(lean_batches(taught), "text string")
 
 
 @dataclass
@@ -404,7 +461,7 @@ def sharded(texts: DataFrame, all_texts: DataFrame, p: QualityModel) -> Shards:
         data = squeezed([np.diff(keys[order], prepend=U64(0)), *(table.column(c).to_numpy()[order] for c in names)])
         return pa.table([table.column("shard")[:1], pa.array([data], pa.binary())], ["shard", "data"])
 
-    built = stored(texts.mapInArrow(teach, "shard long, data binary").groupBy("shard").applyInArrow(build, "kind int, key long, a long, b long, c long, d long, data binary"), "built")
+    built = stored(texts.mapInArrow(lean_batches(teach), "shard long, data binary").groupBy("shard").applyInArrow(lean(build), "kind int, key long, a long, b long, c long, d long, data binary"), "built")
     sums = stored(built.where("kind in (1, 3)").groupBy("kind", "key").agg(*(F.sum(c).alias(c) for c in names)), "sums")
     few = {r["key"]: [r[c] or 0 for c in names] for r in built.where("kind = 0").groupBy("key").agg(*(F.sum(c).alias(c) for c in names)).collect()}
     kept = built.where("kind = 2").groupBy("key").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
@@ -414,7 +471,7 @@ def sharded(texts: DataFrame, all_texts: DataFrame, p: QualityModel) -> Shards:
     taken = [discounted(*first), *(discounted(*few.get(k, [0] * 4)) for k in range(p.order - 1))]
     off = first[0] * taken[0][0] + first[1] * taken[0][1] + (w["kinds"] - first[0] - first[1]) * taken[0][2]
     grams = built.where("kind = -1")
-    keyed = sums.withColumn("shard", F.shiftrightunsigned("key", 64 - bits) + F.lit(1 << bits)).groupBy("shard").applyInArrow(pack, "shard long, data binary")
+    keyed = sums.withColumn("shard", F.shiftrightunsigned("key", 64 - bits) + F.lit(1 << bits)).groupBy("shard").applyInArrow(lean(pack), "shard long, data binary")
     table = stored(grams.select(F.col("key").alias("shard"), "data").unionByName(keyed), "model")
     filter_ = bloom(sums.where("kind = 1").select(F.col("key").alias("g")), p.filter_bytes)
     release(built, sums)
@@ -475,18 +532,15 @@ def asked_perplexities(docs: DataFrame, model: Shards, extra: list[str], p: Qual
         model, asks = table.filter(own).column("data").to_pylist(), table.filter(pc.invert(own))
         none = np.zeros(0, dtype=U64)
         if shard < 1 << bits:
-            columns, n = unpacked_grams(model[0]) if model else ([none] * p.order, none.view(np.int64))
-            part = Part(columns, n)
+            known = Known(*(unpacked_numbers(model[0]) if model else (none, [none.view(np.int64)] * p.order, none.view(np.int64))))
         else:
             steps, *sums = unsqueezed(model[0]) if model else [none] * 5
             have = np.cumsum(steps, dtype=U64)
         out = []
         for data in asks.column("data").to_pylist():
             if shard < 1 << bits:
-                columns, _ = unpacked_grams(data)
-                got = []
-                for context, (grams, count, known, sums, *_) in zip(contexts_of(columns), part.levels, strict=True):
-                    got += values_at(grams, [count], joined(context, columns[1])) + values_at(known, sums, context)
+                vocabulary, columns, _ = unpacked_numbers(data)
+                got = known.tell(vocabulary, columns)
             else:
                 got = values_at(have, sums, np.cumsum(unsqueezed(data)[0], dtype=U64))
             out.append(squeezed(got))
@@ -521,10 +575,10 @@ def asked_perplexities(docs: DataFrame, model: Shards, extra: list[str], p: Qual
     context = docs.sparkSession.sparkContext
     filter_ = context.broadcast(model.filter)
     docs = docs.coalesce(max(context.defaultParallelism, docs.rdd.getNumPartitions() // p.rounds))  # a task has a batch's worth of a round
-    sent = docs.select(*extra, text_of().alias("text")).mapInArrow(send, row)
+    sent = docs.select(*extra, text_of().alias("text")).mapInArrow(lean_batches(send), row)
     table = model.table.select(F.lit(None).cast("binary").alias("batch"), F.lit(None).cast("long").alias("part"), "shard", "data", F.lit(None).cast("binary").alias("rows"))
-    answers = sent.unionByName(table).groupBy("shard").applyInArrow(answer, row).where("batch is not null")
-    return answers.groupBy("batch").applyInArrow(score, f"{fields}, n_tokens long, log10_ppl double")
+    answers = sent.unionByName(table).groupBy("shard").applyInArrow(lean(answer), row).where("batch is not null")
+    return answers.groupBy("batch").applyInArrow(lean(score), f"{fields}, n_tokens long, log10_ppl double")
 
 
 def less(c: np.ndarray, taken: list[float]) -> np.ndarray:

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plotwise.llm import chat, html_text, kernel, mixing, near_dedup, packing, quality_model, quality_rules, spotsigs, substrings, suffix_tree, tokens
+from plotwise.llm import chat, html_text, kernel, mixing, near_dedup, packing, quality_model, quality_rules, shared, spotsigs, substrings, suffix_tree, tokens
 
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000))
@@ -370,6 +370,37 @@ def test_counted_grams_pack_well():
     assert len(data) < 10 * len(n)  # six keys and a count are 56 bytes
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_shard_tells_counts(order):
+    rng = np.random.default_rng(order)
+    grams = Counter(map(tuple, np.minimum(rng.zipf(1.3, (400, order)), 9).tolist()))  # the word before the last, the last, those before
+    words = np.sort(kernel.mix(np.arange(12, dtype=np.uint64)))
+    rows = np.array(sorted(grams))
+    columns = list(rows.T.astype(np.int64))
+    known = quality_model.Known(*quality_model.unpacked_numbers(quality_model.packed_grams(words, columns, np.array([grams[tuple(r)] for r in rows.tolist()]))))
+    asked = [tuple(r) for r in rows[::7].tolist()] + [(1, 1, 11, 11)[:order], (11,) * order, (9, 10, 1, 1)[:order]]
+    got = known.tell(words, list(np.array(asked).T))
+    none = quality_model.Known(words[:0], [np.zeros(0, dtype=np.int64)] * order, np.zeros(0, dtype=np.int64))
+    assert not np.any(none.tell(words, list(np.array(asked).T)))
+    for k in range(order, 1, -1):
+        for i, ask in enumerate(asked):
+            after = [c for g, c in grams.items() if g[:1] + g[2:k] == ask[:1] + ask[2:k]]
+            want = [grams.get(ask[:k], 0), sum(after), after.count(1), after.count(2), sum(c > 2 for c in after)]
+            assert [int(x[i]) for x in got[5 * (k - 2) : 5 * (k - 1)]] == want
+        grams = Counter(g[: k - 1] for g in grams)
+
+
+def test_worker_gives_memory_back():
+    held = lambda: int(pathlib.Path("/proc/self/statm").read_text().split()[1]) * 4096
+
+    def each(_):
+        return [np.ones(4096) for _ in range(8000)][-1]  # 260 MB in small pieces, of which the last stays
+
+    before = held()
+    last = shared.lean(each)(None)
+    assert len(last) and held() - before < 60e6
+
+
 def test_requests_and_replies_pack_well():
     rng = np.random.default_rng(1)
     keys, n = np.sort(rng.integers(0, 1 << 58, 5000, dtype=np.uint64)), rng.integers(0, 9, 5000, dtype=np.uint64)  # a shard's keys; counts
