@@ -42,8 +42,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .quality_model import squeezed, unsqueezed, values_at
-from .shared import release, stored, swept, text_bytes, text_of
+from .quality_model import squeezed, summed, unsqueezed, values_at
+from .shared import lean, lean_batches, release, stored, swept, text_bytes, text_of
 from .substrings import bloom, passes
 
 U64 = np.uint64
@@ -80,9 +80,8 @@ def spelled(block: K.Block, w: K.Words, depth: int) -> tuple[np.ndarray, np.ndar
     close = np.cumsum(token_size) + (token_doc + 1) * depth
     out = np.full(int(token_size.sum()) + n * depth, END_BYTE, dtype=np.uint8)
     word = np.flatnonzero(order < len(sizes))
-    at = np.repeat(close[word] - token_size[word], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    from_ = np.repeat(w.starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out[at] = np.append(data, 0)[from_]
+    before, each = np.cumsum(sizes) - sizes, np.arange(sizes.sum())
+    out[each + np.repeat(close[word] - token_size[word] - before, sizes)] = np.append(data, 0)[each + np.repeat(w.starts - before, sizes)]
     out[close[word] - 1] = BLANK
     scored = np.ones(len(out), dtype=bool)
     begin = np.concatenate([[0], close[np.cumsum(np.bincount(token_doc, minlength=n))[:-1] - 1]]) if n else np.zeros(0, dtype=np.int64)
@@ -110,9 +109,10 @@ def tokens_of(block: K.Block, w: K.Words) -> tuple[np.ndarray, np.ndarray]:
 def counts(texts: DataFrame, p: SuffixTree) -> DataFrame:
     """(kind, key, n): how often each token (kind 0) and each gram of depth + 1 bytes (kind 1) occurs."""
 
-    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, which = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        return keys, np.bincount(which, np.concatenate([n for _, n in parts])).astype(np.int64)
+    def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = map(np.concatenate, zip(*parts, strict=True))
+        keys, _, (n,) = summed(keys, [n])
+        return keys, n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], []]
@@ -120,7 +120,7 @@ def counts(texts: DataFrame, p: SuffixTree) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             for kind in (0, 1):
                 if held[kind]:
-                    keys, n = summed(held[kind])
+                    keys, n = added(held[kind])
                     held[kind].clear()
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
 
@@ -131,7 +131,7 @@ def counts(texts: DataFrame, p: SuffixTree) -> DataFrame:
                 for kind, found in ((0, tokens_of(block, w)[0]), (1, grams(data, at, p.depth + 1))):
                     held[kind].append(np.unique(found, return_counts=True))
                     if len(held[kind]) >= 16:
-                        held[kind][:] = [summed(held[kind])]
+                        held[kind][:] = [added(held[kind])]
                 if sum(len(k) for parts in held for k, _ in parts) > 1 << 23:
                     yield from flush()
         yield from flush()
@@ -140,9 +140,10 @@ def counts(texts: DataFrame, p: SuffixTree) -> DataFrame:
 
 
 class Tree:
-    """States and counts by depth; scores grams."""
+    """States and counts by depth; scores grams. The shallow states, as many as fit in `cells`, have a row with a cell for each byte of the
+    training text (0: any other): their children, and the chance of that byte. What may have a deeper state is looked up in sorted grams."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], p: SuffixTree):
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], p: SuffixTree, cells: int = 1 << 23):
         """levels[d]: sorted grams of d context bytes and a next byte, with counts, of all frequent contexts."""
         self.states = []
         for d, (keys, n) in enumerate(levels):
@@ -167,6 +168,52 @@ class Tree:
                 keep[d] |= np.isin(contexts, deeper & ((1 << (8 * d)) - 1))
         self.keep = [c[0][k] for c, k in zip(self.states, keep, strict=True)]
         self.states = [self.cut(s, k) for s, k in zip(self.states, keep, strict=True)]
+        self.spread(p.depth, cells)
+
+    def spread(self, depth: int, cells: int) -> None:
+        """Rows of the states, shallow ones first; row 0 is for what is no state. children holds where a row begins."""
+        known = np.union1d(self.states[0][3] & 0xFF, [END_BYTE])
+        self.code = np.zeros(256, dtype=np.int64)
+        self.code[known] = np.arange(1, len(known) + 1)
+        self.width, self.depth, self.walked = len(known) + 1, depth, 0
+        rows = 1 + np.cumsum([len(s[0]) for s in self.states])
+        while self.walked < depth and rows[self.walked + 1] * self.width <= cells:
+            self.walked += 1
+        self.children = np.zeros((rows[self.walked], self.width), dtype=np.int32)
+        chance = np.full((1, self.width), 1 / 256.0)
+        chances, base = [np.log10(chance)], 1
+        for d, (contexts, total, kinds, keys, n) in enumerate(self.states[: self.walked + 1]):
+            up = np.zeros(len(contexts), dtype=np.int64)
+            if d and len(contexts):
+                up = np.searchsorted(self.states[d - 1][0], contexts & (1 << (8 * (d - 1))) - 1)
+                self.children[base - len(self.states[d - 1][0]) + up, self.code[contexts >> (8 * (d - 1))]] = (base + np.arange(len(contexts))) * self.width
+            seen = np.zeros((len(contexts), self.width))
+            seen[np.repeat(np.arange(len(contexts)), kinds), self.code[keys & 0xFF]] = n
+            chance = (seen + kinds[:, None] * chance[up]) / (total + kinds)[:, None]
+            chances.append(np.log10(chance))
+            self.deep, base = base * self.width, base + len(contexts)
+        self.chances = np.concatenate(chances).ravel()
+        self.children = self.children.ravel()
+
+    def scores(self, data: np.ndarray, at: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+        """log10 of the probability of the byte at each of these places, which have `depth` bytes before them. From the byte before it
+        backwards, the deepest state's row is the last one, as rows come by depth."""
+        codes, out, deeper = self.code[data], np.zeros(len(data)), []
+        for lo in range(self.depth, len(data), step):
+            hi = min(len(data), lo + step)
+            row = np.full(hi - lo, self.width if len(self.states[0][0]) else 0, dtype=np.int64)
+            deepest = row
+            for k in range(1, self.walked + 1):
+                row = self.children[row + codes[lo - k : hi - k]].astype(np.int64)
+                deepest = np.maximum(deepest, row)
+            out[lo:hi] = self.chances[deepest + codes[lo:hi]]
+            if self.walked < self.depth:
+                deeper.append(np.flatnonzero(deepest >= self.deep) + lo)
+        if any(map(len, deeper)):
+            more = np.concatenate(deeper)
+            distinct, which = np.unique(grams(data, more, self.depth + 1), return_inverse=True)
+            out[more] = self.log10(distinct)[which]
+        return out[at]
 
     @staticmethod
     def cut(state, keep):
@@ -217,11 +264,27 @@ class Often:
     limit: float
     kinds: np.ndarray | None = None
 
+    def __post_init__(self):
+        bits = max(1, 2 * len(self.keys)).bit_length()  # keys are hashes, so each of so many ranges has a few at most
+        object.__setattr__(self, "shift", U64(64 - bits))
+        object.__setattr__(self, "begin", np.searchsorted(self.keys >> self.shift, np.arange(1 << bits, dtype=U64)))
+
+    def place(self, token: np.ndarray) -> np.ndarray:
+        """As np.searchsorted(), but at most the last place."""
+        last = len(self.keys) - 1
+        place = np.minimum(self.begin[(token >> self.shift).astype(np.int64)], last)
+        open_ = np.flatnonzero(self.keys[place] < token)
+        while len(open_):
+            place[open_] += 1
+            open_ = open_[place[open_] <= last]
+            open_ = open_[self.keys[place[open_]] < token[open_]]
+        return np.minimum(place, last)
+
     def find(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The place of each token here, whether it is here, and whether it is a common one."""
         if not len(self.keys):
             return np.zeros(len(token), dtype=np.int64), np.zeros(len(token), dtype=bool), np.zeros(len(token), dtype=bool)
-        place = np.minimum(np.searchsorted(self.keys, token), len(self.keys) - 1)
+        place = self.place(token)
         here = self.keys[place] == token
         return place, here, here & (self.n[place] >= self.limit)
 
@@ -483,9 +546,8 @@ def score_texts(docs: DataFrame, train: Column, p: SuffixTree = SuffixTree()) ->
         w = K.words(block)
         n = block.hi - block.lo
         data, at, close = spelled(block, w, p.depth)
-        distinct, which = np.unique(grams(data, at, p.depth + 1), return_inverse=True)
         each = np.zeros(len(data) + 1)
-        each[at + 1] = tree.log10(distinct)[which]
+        each[at + 1] = tree.scores(data, at)
         upto = np.cumsum(each)
         token, doc = tokens_of(block, w)
         begin = np.concatenate([[0], close[:-1]])  # the signs before a document score 0
@@ -577,7 +639,7 @@ def score_texts(docs: DataFrame, train: Column, p: SuffixTree = SuffixTree()) ->
             swept(spark)
         part = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(rounds)) == i)
         part = part.coalesce(max(context.defaultParallelism, part.rdd.getNumPartitions() // rounds))  # a task has a batch's worth of a round
-        answers = part.mapInArrow(send, row).unionByName(model).groupBy("shard").applyInArrow(answer, row).where("batch is not null")
+        answers = part.mapInArrow(lean_batches(send), row).unionByName(model).groupBy("shard").applyInArrow(answer, row).where("batch is not null")
         results.append(stored(answers.groupBy("batch").applyInArrow(close_, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores"))
     release(*models, hashed)
     if rounds > 1:

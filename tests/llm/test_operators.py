@@ -549,6 +549,37 @@ def test_score_beats_counts_on_held_out_text(spark):
     assert r.s > r.b
 
 
+def test_bytes_score_by_rows_as_by_sorted_grams():
+    p = suffix_tree.SuffixTree(gain=0.1)
+    block = next(kernel.blocks(pa.array(["the cat and the hat, the bat", "", "a cat that sat; the hat", "é the"])))
+    other = next(kernel.blocks(pa.array(["the zebra\U0001f600 and the cat", "", "hat"])))
+    data, at, _ = suffix_tree.spelled(block, kernel.words(block), p.depth)
+    keys, n = np.unique(suffix_tree.grams(data, at, p.depth + 1), return_counts=True)
+    levels = []
+    for d in range(p.depth + 1):
+        k, which = np.unique(keys & (1 << 8 * (d + 1)) - 1, return_inverse=True)
+        levels.append((k, np.bincount(which, n).astype(np.int64)))
+    none = [(keys[:0], n[:0])] * (p.depth + 1)
+    walked = set()
+    for cells in (0, *range(100, 2000, 100), 1 << 20):
+        for tree in (suffix_tree.Tree(levels, p, cells), suffix_tree.Tree(none, p, cells)):
+            walked.add(tree.walked)
+            for b in (block, other):
+                data, at, _ = suffix_tree.spelled(b, kernel.words(b), p.depth)
+                assert (tree.scores(data, at, 7) == tree.log10(suffix_tree.grams(data, at, p.depth + 1))).all()
+    assert len(walked) > 2
+
+
+def test_words_are_found_by_ranges():
+    for n in (0, 1, 2, 3000):
+        keys = np.sort(kernel.mix(np.arange(n, dtype=np.uint64)))
+        often = suffix_tree.Often(keys, np.ones(n, dtype=np.int64), 1)
+        token = np.concatenate([keys, kernel.mix(np.arange(5000, 9000, dtype=np.uint64)), np.array([0, (1 << 64) - 1], dtype=np.uint64)])
+        place, here, _ = often.find(token)
+        assert (here == np.isin(token, keys)).all() and (keys[place[here]] == token[here]).all()
+        assert not n or (often.place(token) == np.minimum(np.searchsorted(keys, token), n - 1)).all()
+
+
 # --- 8 -----------------------------------------------------------------------------------------------------------------------
 
 
