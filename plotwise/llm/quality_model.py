@@ -21,9 +21,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_folder
 from . import kernel as K
 from .shared import lean, lean_batches, release, stored, swept, text_bytes, text_of
 from .substrings import bloom, passes
@@ -45,7 +47,7 @@ class QualityModel:
     few: int = 50
     taught: int = 80
     given: int = 2_000_000
-    rounds: int = 12
+    rounds: int = 6
     filter_bytes: int = 1 << 25
     shard_bytes: int = 1 << 25
     batch_bytes: int = 1 << 22
@@ -202,16 +204,31 @@ def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def squeezed(arrays: list[np.ndarray]) -> bytes:
-    """Columns of numbers of any lengths, by byte planes and compressed."""
-    raw = np.array([len(arrays), *map(len, arrays)], dtype=np.int64).tobytes() + b"".join(map(K.planes, arrays))
+    """Columns of numbers of any lengths, by byte planes and compressed. Planes above the largest number's are left out."""
+    columns, head = [], [len(arrays)]
+    for x in arrays:
+        x = np.ascontiguousarray(x.astype(U64, copy=False))
+        width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+        head += [len(x), width]
+        columns.append(x.astype(np.uint8) if width == 1 else np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T))
+    raw = b"".join([np.array(head, dtype=np.int64), *columns])
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unsqueezed(data: bytes) -> list[np.ndarray]:
-    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
-    sizes = np.frombuffer(raw, dtype=np.int64, offset=8, count=np.frombuffer(raw, dtype=np.int64, count=1)[0])
-    at = 8 + 8 * len(sizes) + 8 * np.cumsum(np.append(0, sizes))
-    return [K.unplaned(raw[a : a + 8 * n], n, 0) for a, n in zip(at, sizes, strict=False)]
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd")
+    head = np.frombuffer(raw, dtype=np.int64, offset=8, count=2 * int(np.frombuffer(raw, dtype=np.int64, count=1)[0])).tolist()
+    at, out = 8 + 8 * len(head), []
+    for n, width in zip(head[::2], head[1::2], strict=True):
+        planes = np.frombuffer(raw, dtype=np.uint8, count=n * width, offset=at)
+        at += n * width
+        if width > 1:
+            x = np.zeros((n, 8), dtype=np.uint8)
+            x[:, :width] = planes.reshape(width, n).T
+            out.append(x.view(U64).ravel())
+        else:
+            out.append(planes.astype(U64) if width else np.zeros(n, dtype=U64))
+    return out
 
 
 def pieces(at: np.ndarray, order: int) -> Iterator[np.ndarray]:
@@ -240,8 +257,10 @@ def packed_grams(vocabulary: np.ndarray, columns: list[np.ndarray], n: np.ndarra
     used = np.zeros(len(vocabulary), dtype=bool)
     for c in columns:
         used[c] = True
-    number = np.cumsum(used) - 1
-    return squeezed([np.diff(vocabulary[used], prepend=U64(0)), n, np.diff(number[columns[0]], prepend=0), *(number[c] for c in columns[1:])])
+    words = np.flatnonzero(used)
+    number = np.empty(len(vocabulary), dtype=np.int64)
+    number[words] = np.arange(len(words))
+    return squeezed([np.diff(vocabulary[words], prepend=U64(0)), n, np.diff(number[columns[0]], prepend=0), *(number[c] for c in columns[1:])])
 
 
 def unpacked_numbers(data: bytes) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -278,31 +297,34 @@ def summed(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.
     return keys[first], order[first], [np.add.reduceat(c[order], first) if len(first) else c for c in columns]
 
 
-class Part:
-    """A shard's n-grams of 2, 3, ... words: their keys and counts, their contexts' keys and sums (of the counts, and how many are 1, 2,
-    more), the previous word of each context, the last of each n-gram. rows, counts: the longest ones, of those given."""
-
-    def __init__(self, columns: list[np.ndarray], n: np.ndarray):
-        self.levels: list[tuple] = []
-        contexts, word, count = contexts_of(columns), columns[1], n
-        for k in range(len(contexts) - 1, -1, -1):
-            grams, first, (count,) = summed(joined(contexts[k], word), [count])
-            contexts, word = [c[first] for c in contexts], word[first]
-            context, one, sums = summed(contexts[k], [count, *(x.astype(np.int64) for x in (count == 1, count == 2, count > 2))])
-            self.levels.insert(0, (grams, count, context, sums, contexts[0][one], word))
-            if k == len(columns) - 2:
-                self.rows, self.counts = first, count
-            count = np.ones(len(grams), dtype=np.int64)
-
-
 def begins(column: np.ndarray) -> np.ndarray:
     """Where equal values in a row begin."""
     return np.append(True, column[1:] != column[:-1])[: len(column)]
 
 
+def merged(parts: list[tuple[np.ndarray, list[np.ndarray], np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """What unpacked_numbers() has of several packed rows as of one: distinct n-grams in the order of their words' numbers, counts added up."""
+    vocabulary = np.sort(np.concatenate([v for v, _, _ in parts]))
+    vocabulary = vocabulary[begins(vocabulary)]
+    numbers = [np.searchsorted(vocabulary, v) for v, _, _ in parts]
+    columns = [np.concatenate([number[c] for number, c in zip(numbers, same, strict=True)]) for same in zip(*(c for _, c, _ in parts), strict=True)]
+    n, bits = np.concatenate([n for _, _, n in parts]), len(vocabulary).bit_length()
+    if bits * len(columns) < 64:  # an n-gram is one number
+        key = reduce(lambda key, c: key << bits | c, columns)
+        order = np.argsort(key)
+        changed = begins(key[order])
+    else:
+        order = np.lexsort(columns[::-1])
+        changed = reduce(np.logical_or, (begins(c[order]) for c in columns))
+    first = np.flatnonzero(changed)
+    return vocabulary, [c[order[first]] for c in columns], np.add.reduceat(n[order], first) if len(first) else n
+
+
 class Known:
     """A shard's distinct n-grams as they are asked for. They come in the order of their words' numbers, so a shorter one is a run of rows,
-    and its place and the next word's number are the key of a longer one: only contexts of two words or more are sorted."""
+    and its place and the next word's number are the key of a longer one: only contexts of two words or more are sorted. levels: keys and
+    counts of the n-grams of 2, 3, ... words, keys of their contexts and sums of these (of the counts, and how many are 1, 2, more); counts
+    and sums have a 0 more, for what isn't there. contexts: the place of each word as a context."""
 
     def __init__(self, vocabulary: np.ndarray, columns: list[np.ndarray], n: np.ndarray):
         self.vocabulary, self.levels = vocabulary, []
@@ -327,17 +349,31 @@ class Known:
                 if k:
                     place[order] = place.copy()
             sums = [np.add.reduceat(x, one) if len(one) else x.astype(np.int64) for x in (sums, *(y.astype(np.int64) for y in (sums == 1, sums == 2, sums > 2)))]
-            self.levels.append((gram, count, context[one], sums))
+            self.levels.append((gram, np.append(count, 0), context[one], [np.append(x, 0) for x in sums]))
+        words = self.levels[0][2]
+        self.contexts = np.full(len(vocabulary) + 1, len(words))
+        self.contexts[words] = np.arange(len(words))
 
     def tell(self, vocabulary: np.ndarray, columns: list[np.ndarray]) -> list[np.ndarray]:
         """For each level the counts of these n-grams and the sums of their contexts, 0 where there are none."""
         number = self.number(self.vocabulary, vocabulary)
         columns, out = [number[c] for c in columns], []
-        gram = context = columns[0]
+        gram, context, known = columns[0], self.contexts[columns[0]], len(self.vocabulary)
         for k, (grams, count, contexts, sums) in enumerate(self.levels):
-            gram = self.number(grams, gram << 32 | columns[k + 1])
-            context = self.number(contexts, context << 32 | columns[k + 1] if k else context)
-            out += [np.append(x, 0)[at] for at, some in ((gram, [count]), (context, sums)) for x in some]
+            word = columns[k + 1]
+            if k:
+                some = np.flatnonzero((context < before) & (word < len(self.vocabulary)))
+                place = np.full(len(word), len(contexts))
+                key = context[some] << 32 | word[some]
+                order = np.argsort(key)
+                place[some[order]] = self.number(contexts, key[order])
+                context = place
+            some = np.flatnonzero((gram < known) & (word < len(self.vocabulary)))
+            key, place = gram[some] << 32 | word[some], np.full(len(word), len(grams))
+            first = np.flatnonzero(begins(key))  # equal ones in a row are looked up once
+            place[some] = np.repeat(self.number(grams, key[first]), np.diff(first, append=len(key)))
+            gram, known, before = place, len(grams), len(contexts)
+            out += [x[at] for at, values in ((gram, [count]), (context, sums)) for x in values]
         return out
 
     @staticmethod
@@ -346,6 +382,15 @@ class Known:
         seen, at = found(have, keys)
         return np.where(seen, at, len(have))
 
+    def contexts_at(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words before the last of all contexts of k + 1 words, and the contexts' keys, as contexts_of() has them."""
+        contexts = self.levels[k][2]
+        if not k:
+            return self.vocabulary[contexts], self.vocabulary[contexts]
+        word, key = self.contexts_at(k - 1)
+        shorter = contexts >> 32
+        return word[shorter], joined(key[shorter], self.vocabulary[contexts & 0xFFFFFFFF])
+
 
 def values_at(have: np.ndarray, columns: list[np.ndarray], keys: np.ndarray) -> list[np.ndarray]:
     """The columns' values of each key, 0 where it isn't. Equal keys in a row are looked up once."""
@@ -364,7 +409,8 @@ def heavy_words(texts: DataFrame, bits: int) -> np.ndarray:
         for batch in batches:
             for block in K.blocks(batch.column(0)):
                 words = np.append(K.word_hashes(block, K.words(block)), np.full(block.hi - block.lo, START, dtype=U64))
-                word, n = np.unique(words, return_counts=True)
+                bucket = (words >> U64(48)).astype(np.int64)  # only few words are in a bucket that has so many
+                word, n = np.unique(words[np.bincount(bucket, minlength=1 << 16)[bucket] > len(words) >> bits], return_counts=True)
                 some = n > len(words) >> bits
                 yield pa.RecordBatch.from_arrays([pa.array([None, *word[some].view(np.int64).tolist()], pa.int64()), pa.array([len(words), *n[some].tolist()], pa.int64())], ["word", "n"])
 
@@ -400,24 +446,30 @@ def taught_texts(docs: DataFrame, teach: DataFrame, p: QualityModel) -> DataFram
 
 @dataclass
 class Shards:
-    """A model in shards. table: (shard, data) of packed n-grams, then of packed (key, sums) of words and of heavy words' contexts.
-    grams: how many of the longest. words: how many, their total and what was taken off. heavy: their sums as contexts of one word. filter: of
-    words. taken: discounts, shortest first."""
+    """A model in shards. table: the name of the one of (shard, data) of packed n-grams, then of packed (key, sums) of words and of heavy
+    words' contexts; it lies in buckets by shard, so that no round shuffles it. grams: how many of the longest. words: how many, their total
+    and what was taken off. heavy: their sums as contexts of one word. filter: of words. taken: discounts, shortest first."""
 
-    table: DataFrame
+    table: str
     bits: int
     grams: int
     words: tuple[int, float, float]
     heavy: np.ndarray
     heavy_sums: np.ndarray
-    filter: np.ndarray
+    filter: Broadcast
     taken: list[list[float]]
 
+    def release(self, spark: SparkSession) -> None:
+        """The model goes; nothing asks it any more."""
+        release(spark.table(self.table))
+        spark.sql(f"DROP TABLE {self.table}")
+        self.filter.destroy()
+
 
 def sharded(texts: DataFrame, all_texts: DataFrame, p: QualityModel) -> Shards:
     """The model of the texts. N-grams are dealt by the word before the last, so that all counts and contexts of two words or more meet in
     one shard. A word with more than a shard's share is dealt by the last word too; sums of its contexts are added up by key."""
-    bits = max(2, (text_bytes(all_texts) // p.shard_bytes).bit_length() + 1)
+    spark, bits = texts.sparkSession, max(2, (text_bytes(all_texts) // p.shard_bytes).bit_length() + 1)
     heavy = np.union1d(heavy_words(all_texts, bits), np.array([UNKNOWN], dtype=U64))
     names = ("a", "b", "c", "d")
 
@@ -433,23 +485,20 @@ def sharded(texts: DataFrame, all_texts: DataFrame, p: QualityModel) -> Shards:
                         yield pa.RecordBatch.from_arrays([pa.array([shard[rows[0]]]), pa.array([packed_grams(vocabulary, [c[rows] for c in columns], n[rows])], pa.binary())], ["shard", "data"])
 
     def build(table):  # no type hints: Spark reads them
-        each = [unpacked_grams(x) for x in table.column("data").to_pylist()]
-        columns, n = [np.concatenate(c) for c in zip(*(c for c, _ in each), strict=True)], np.concatenate([n for _, n in each])
-        each.clear()
-        part = Part(columns, n)
-        vocabulary, ids = np.unique(np.concatenate([c[part.rows] for c in columns]), return_inverse=True)
-        ids = ids.reshape(p.order, -1)
-        order = np.lexsort(ids[::-1])
-        out = [(-1, table.column("shard")[:1].to_numpy(), np.zeros((4, 1), dtype=np.int64)), (0, np.array([-1]), np.array([[len(part.counts)], [0], [0], [0]]))]
-        for k, (_, count, context, sums, before, word) in enumerate(part.levels):
+        vocabulary, columns, n = merged([unpacked_numbers(x) for x in table.column("data").to_pylist()])
+        known = Known(vocabulary, columns, n)
+        out = [(-1, table.column("shard")[:1].to_numpy(), np.zeros((4, 1), dtype=np.int64)), (0, np.array([-1]), np.array([[len(n)], [0], [0], [0]]))]
+        for k, (grams, count, _, sums) in enumerate(known.levels):
             out.append((0, np.array([k]), np.array([[(count == i).sum()] for i in range(1, 5)])))
             if k == 0:
-                last, m = np.unique(word, return_counts=True)
-                out.append((1, K.mix(last ^ SALTS[0]).view(np.int64), np.stack([m, *np.zeros((3, len(m)), dtype=np.int64)])))
-            some = found(heavy, before)[0]
-            out.append((3 if k else 2, (context[some] ^ SALTS[k] if k else context[some]).view(np.int64), np.stack(sums)[:, some]))
+                m = np.bincount(grams & 0xFFFFFFFF, minlength=len(vocabulary))
+                last = np.flatnonzero(m)
+                out.append((1, K.mix(vocabulary[last] ^ SALTS[0]).view(np.int64), np.stack([m[last], *np.zeros((3, len(last)), dtype=np.int64)])))
+            before, context = known.contexts_at(k)
+            some = np.flatnonzero(found(heavy, before)[0])
+            out.append((3 if k else 2, (context[some] ^ SALTS[k] if k else context[some]).view(np.int64), np.stack([x[some] for x in sums])))
         size = sum(len(key) for _, key, _ in out)
-        data = [packed_grams(vocabulary, [c[order] for c in ids], part.counts[order]), *[None] * (size - 1)]
+        data = [packed_grams(vocabulary, columns, n), *[None] * (size - 1)]
         return pa.table([
             pa.array(np.concatenate([np.full(len(key), kind, dtype=np.int32) for kind, key, _ in out])), pa.array(np.concatenate([key for _, key, _ in out])),
             *map(pa.array, np.concatenate([x for _, _, x in out], axis=1)), pa.array(data, pa.binary()),
@@ -472,10 +521,15 @@ def sharded(texts: DataFrame, all_texts: DataFrame, p: QualityModel) -> Shards:
     off = first[0] * taken[0][0] + first[1] * taken[0][1] + (w["kinds"] - first[0] - first[1]) * taken[0][2]
     grams = built.where("kind = -1")
     keyed = sums.withColumn("shard", F.shiftrightunsigned("key", 64 - bits) + F.lit(1 << bits)).groupBy("shard").applyInArrow(lean(pack), "shard long, data binary")
-    table = stored(grams.select(F.col("key").alias("shard"), "data").unionByName(keyed), "model")
-    filter_ = bloom(sums.where("kind = 1").select(F.col("key").alias("g")), p.filter_bytes)
+    if few.get(-1, [0])[0] > p.given:
+        swept(spark)  # what was taught is in `built` now
+    name = f"plotwise_model_{uuid.uuid4().hex}"
+    packed = grams.select(F.col("key").alias("shard"), "data").unionByName(keyed)
+    buckets = min(1 << bits, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    packed.write.option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").bucketBy(buckets, "shard").saveAsTable(f"spark_catalog.default.{name}", format="parquet")
+    filter_ = spark.sparkContext.broadcast(bloom(sums.where("kind = 1").select(F.col("key").alias("g")), p.filter_bytes))
     release(built, sums)
-    return Shards(table, bits, few.get(-1, [0])[0], (w["kinds"], float(w["total"] or 0), off), heavy, heavy_sums, filter_, taken)
+    return Shards(f"spark_catalog.default.{name}", bits, few.get(-1, [0])[0], (w["kinds"], float(w["total"] or 0), off), heavy, heavy_sums, filter_, taken)
 
 
 def asked_perplexities(docs: DataFrame, model: Shards, extra: list[str], p: QualityModel) -> DataFrame:
@@ -525,11 +579,11 @@ def asked_perplexities(docs: DataFrame, model: Shards, extra: list[str], p: Qual
                 parts, shards, data = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(out), pa.binary()), pa.array(parts, pa.int64()), pa.array(shards, pa.int64()), pa.array(data, pa.binary()), pa.array([*[None] * (len(out) - 1), sink.getvalue().to_pybytes()], pa.binary())], names)
 
-    def answer(table):  # no type hints: Spark reads them
-        shard, own = table.column("shard")[0].as_py(), table.column("batch").is_null()
+    def answer(asks, own):  # no type hints: Spark reads them
+        shard = asks.column("shard")[0].as_py() if asks.num_rows else -1
         if shard < 0:
-            return table.select(names)
-        model, asks = table.filter(own).column("data").to_pylist(), table.filter(pc.invert(own))
+            return asks
+        model = own.column("data").to_pylist()
         none = np.zeros(0, dtype=U64)
         if shard < 1 << bits:
             known = Known(*(unpacked_numbers(model[0]) if model else (none, [none.view(np.int64)] * p.order, none.view(np.int64))))
@@ -544,7 +598,7 @@ def asked_perplexities(docs: DataFrame, model: Shards, extra: list[str], p: Qual
             else:
                 got = values_at(have, sums, np.cumsum(unsqueezed(data)[0], dtype=U64))
             out.append(squeezed(got))
-        return asks.select(names).set_column(3, "data", pa.array(out, pa.binary()))
+        return asks.set_column(3, "data", pa.array(out, pa.binary()))
 
     def score(table):
         replies = sorted(zip(*(table.column(c).to_pylist() for c in ("part", "shard", "data", "rows")), strict=True), key=lambda x: x[:2])
@@ -571,13 +625,11 @@ def asked_perplexities(docs: DataFrame, model: Shards, extra: list[str], p: Qual
         sums = np.bincount(np.repeat(np.arange(len(n)), n), np.concatenate(chances), minlength=len(n))
         return pa.table([*rows.columns, pa.array(n), pa.array(-sums / n)], [*extra, "n_tokens", "log10_ppl"])
 
-    words_, taken, model_heavy = model.words, model.taken, model.heavy_sums
+    words_, taken, model_heavy, filter_ = model.words, model.taken, model.heavy_sums, model.filter
     context = docs.sparkSession.sparkContext
-    filter_ = context.broadcast(model.filter)
     docs = docs.coalesce(max(context.defaultParallelism, docs.rdd.getNumPartitions() // p.rounds))  # a task has a batch's worth of a round
     sent = docs.select(*extra, text_of().alias("text")).mapInArrow(lean_batches(send), row)
-    table = model.table.select(F.lit(None).cast("binary").alias("batch"), F.lit(None).cast("long").alias("part"), "shard", "data", F.lit(None).cast("binary").alias("rows"))
-    answers = sent.unionByName(table).groupBy("shard").applyInArrow(lean(answer), row).where("batch is not null")
+    answers = sent.groupBy("shard").cogroup(docs.sparkSession.table(model.table).groupBy("shard")).applyInArrow(lean(answer), row)
     return answers.groupBy("batch").applyInArrow(lean(score), f"{fields}, n_tokens long, log10_ppl double")
 
 
@@ -601,7 +653,7 @@ def classify(docs: DataFrame, trusted: DataFrame, p: QualityModel = QualityModel
     sample, extra = taught_texts(docs, teach, p), ["doc_id", "lang"]
     model = sharded(sample, docs.select(text_of().alias("text")), p)
     if model.grams <= p.given:
-        release(model.table)
+        model.release(spark)
         scorer = spark.sparkContext.broadcast(Scorer(tables(count_grams(sample, p.order), p.order)))
         scored = stored(perplexities(docs, scorer, p.order, extra), "scores")
     else:
@@ -609,7 +661,7 @@ def classify(docs: DataFrame, trusted: DataFrame, p: QualityModel = QualityModel
         for i in range(p.rounds):
             swept(spark)
             parts.append(stored(asked_perplexities(docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(p.rounds)) == i), model, extra, p), "scores"))
-        release(model.table)
+        model.release(spark)
         swept(spark)
         scored = reduce(DataFrame.unionByName, parts)
     held = known.where(rank >= p.taught)

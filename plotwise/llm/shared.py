@@ -50,14 +50,19 @@ def trimmed() -> None:
 
 
 def lean(each: Callable) -> Callable:
-    """The function of a group, with trimmed() after it."""
+    """The function of a group, or of two that belong together, with trimmed() after it."""
 
     def run(table):  # no type hints: Spark reads them
         out = each(table)
         trimmed()
         return out
 
-    return run
+    def run_both(table, other):
+        out = each(table, other)
+        trimmed()
+        return out
+
+    return run if each.__code__.co_argcount == 1 else run_both
 
 
 def lean_batches(each: Callable) -> Callable:

@@ -370,6 +370,39 @@ def test_counted_grams_pack_well():
     assert len(data) < 10 * len(n)  # six keys and a count are 56 bytes
 
 
+def test_rounds_leave_the_model_where_it_is(spark, docs):
+    p = quality_model.QualityModel(given=-1, shard_bytes=1 << 14, batch_bytes=1 << 14)
+    texts = docs.select("text")
+    model = quality_model.sharded(texts, texts, p)
+    plan = quality_model.asked_perplexities(docs, model, ["doc_id"], p)._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 2  # requests, then answers
+    model.release(spark)
+    assert not spark.catalog.tableExists(model.table)
+
+
+def test_numbers_take_the_bytes_that_they_have():
+    columns = [np.arange(1000) % 200, np.zeros(1000, dtype=np.int64), np.arange(1000) << 7, np.array([-1, 5]), np.array([1 << 63], dtype=np.uint64), np.zeros(0, dtype=np.uint64)]
+    data = quality_model.squeezed(columns)
+    got = quality_model.unsqueezed(data)
+    assert [x.tolist() for x in got] == [x.astype(np.uint64).tolist() for x in columns]
+    assert int.from_bytes(data[:8], "little") < 5000  # 8 bytes each are 24 kB
+
+
+@pytest.mark.parametrize("n_words", [20, 1 << 17])
+def test_packed_rows_merge(n_words):
+    rng = np.random.default_rng(4)
+    words = np.sort(kernel.mix(np.arange(n_words, dtype=np.uint64)))
+    parts, want = [], Counter()
+    for _ in range(3):
+        rows = np.unique(rng.integers(0, 9, (200, 4)) * (n_words // 9), axis=0)
+        n = rng.integers(1, 5, len(rows))
+        want.update({tuple(words[r].tolist()): int(c) for r, c in zip(rows, n, strict=True)})
+        parts.append(quality_model.unpacked_numbers(quality_model.packed_grams(words, list(rows.T), n)))
+    vocabulary, columns, n = quality_model.merged([*parts, (words, [np.zeros(0, dtype=np.int64)] * 4, np.zeros(0, dtype=np.int64))])
+    rows = np.stack(columns, axis=1)
+    assert rows.tolist() == sorted(rows.tolist()) and dict(zip(map(tuple, vocabulary[rows].tolist()), n.tolist(), strict=True)) == want
+
+
 @pytest.mark.parametrize("order", [2, 3, 4])
 def test_shard_tells_counts(order):
     rng = np.random.default_rng(order)
