@@ -47,7 +47,7 @@ class QualityModel:
     few: int = 50
     taught: int = 80
     given: int = 2_000_000
-    rounds: int = 6
+    rounds: int = 8
     filter_bytes: int = 1 << 25
     shard_bytes: int = 1 << 25
     batch_bytes: int = 1 << 22
@@ -85,6 +85,12 @@ def gram_keys(words: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
     return K.FIRST.spans(words, last - n + 1, last + 1)
 
 
+def in_few(df: DataFrame, least: int = 1) -> DataFrame:
+    """A small table in two tasks a core at most, or `least`. For each file that a task writes Hadoop starts a process, which shares the
+    executor's memory until it runs, and so seems to take as much again."""
+    return df.coalesce(max(least, 2 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def count_grams(texts: DataFrame, order: int) -> DataFrame:
     """(g1, h1, g2, h2, ..., n): how often each n-gram of `order` words occurs. g<k> are its last k words, h<k> the words before the
     last one of those; h1 is the same for all."""
@@ -100,7 +106,7 @@ def count_grams(texts: DataFrame, order: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in columns), pa.array(n.astype(np.int64))], [*names, "n"])
 
     names = [f"{c}{k}" for k in range(1, order + 1) for c in "gh"]
-    seen = texts.mapInArrow(run, ", ".join([*[f"{c} long" for c in names], "n long"]))
+    seen = texts.mapInArrow(lean_batches(run), ", ".join([*[f"{c} long" for c in names], "n long"]))
     return seen.groupBy(*names).agg(F.sum("n").alias("n"))
 
 
@@ -140,7 +146,7 @@ def sorted_by(df: DataFrame, key: str, *values: str) -> list[np.ndarray]:
 def tables(counted: DataFrame, order: int) -> list[Order]:
     """The model of the counted n-grams, shortest first. Each shorter order counts the different n-grams that end with its own."""
     out: list[Order] = []
-    table = stored(counted.withColumnRenamed("n", "c"), "grams")
+    table = stored(in_few(counted.withColumnRenamed("n", "c")), "grams")
     for k in range(order, 0, -1):
         d = discounts(table)
         off = F.when(F.col("c") == 1, F.lit(d[0])).when(F.col("c") == 2, F.lit(d[1])).otherwise(F.lit(d[2]))
@@ -150,7 +156,7 @@ def tables(counted: DataFrame, order: int) -> list[Order]:
         below = None
         if k > 1:
             names = [f"{c}{i}" for i in range(1, k) for c in "gh"]
-            below = stored(table.groupBy(*names).agg(F.count("*").alias("c")), "grams")
+            below = stored(in_few(table.groupBy(*names).agg(F.count("*").alias("c"))), "grams")
         release(table)
         table = below
     return out[::-1]
@@ -195,7 +201,7 @@ def perplexities(docs: DataFrame, scorer, order: int, extra: list[str]) -> DataF
                 columns = [batch.column(i).slice(block.lo, block.hi - block.lo) for i in range(len(extra))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n.astype(np.int64)), pa.array(-total / n)], [*extra, "n_tokens", "log10_ppl"])
 
-    return docs.select(*extra, text_of().alias("text")).mapInArrow(run, f"{fields}, n_tokens long, log10_ppl double")
+    return docs.select(*extra, text_of().alias("text")).mapInArrow(lean_batches(run), f"{fields}, n_tokens long, log10_ppl double")
 
 
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -414,7 +420,7 @@ def heavy_words(texts: DataFrame, bits: int) -> np.ndarray:
                 some = n > len(words) >> bits
                 yield pa.RecordBatch.from_arrays([pa.array([None, *word[some].view(np.int64).tolist()], pa.int64()), pa.array([len(words), *n[some].tolist()], pa.int64())], ["word", "n"])
 
-    counted = texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).persist()
+    counted = texts.mapInArrow(lean_batches(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).persist()
     total = counted.where("word is null").select("n").first()
     rows = counted.where(F.col("word").isNotNull() & (F.col("n") > F.lit((total["n"] if total else 0) >> bits))).select("word").toArrow()
     counted.unpersist()
@@ -426,7 +432,7 @@ def taught_texts(docs: DataFrame, teach: DataFrame, p: QualityModel) -> DataFram
     the few keys that it lets through for nothing are found by a join of ids."""
     key = F.xxhash64("doc_id").alias("g")
     context = docs.sparkSession.sparkContext
-    filter_ = context.broadcast(bloom(teach.select(key), p.filter_bytes))
+    filter_ = context.broadcast(bloom(in_few(teach.select(key)), p.filter_bytes))
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -511,7 +517,7 @@ def sharded(texts: DataFrame, all_texts: DataFrame, p: QualityModel) -> Shards:
         return pa.table([table.column("shard")[:1], pa.array([data], pa.binary())], ["shard", "data"])
 
     built = stored(texts.mapInArrow(lean_batches(teach), "shard long, data binary").groupBy("shard").applyInArrow(lean(build), "kind int, key long, a long, b long, c long, d long, data binary"), "built")
-    sums = stored(built.where("kind in (1, 3)").groupBy("kind", "key").agg(*(F.sum(c).alias(c) for c in names)), "sums")
+    sums = stored(in_few(built.where("kind in (1, 3)").groupBy("kind", "key").agg(*(F.sum(c).alias(c) for c in names)), 1 << bits), "sums")
     few = {r["key"]: [r[c] or 0 for c in names] for r in built.where("kind = 0").groupBy("key").agg(*(F.sum(c).alias(c) for c in names)).collect()}
     kept = built.where("kind = 2").groupBy("key").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
     heavy_sums = np.stack(values_at(*(lambda k, o: (k[o], [kept.column(c).to_numpy()[o] for c in names]))(x := kept.column("key").to_numpy().view(U64), np.argsort(x)), heavy))
@@ -676,7 +682,7 @@ def classify(docs: DataFrame, trusted: DataFrame, p: QualityModel = QualityModel
 def thresholds(held: DataFrame, p: QualityModel) -> DataFrame:
     """(lang, threshold, general) of the held documents' (lang, log10_ppl): a row for each language with enough of them."""
     bins = held.groupBy("lang", F.ceil(F.col("log10_ppl") * 1000).alias("bin")).agg(F.count("*").alias("n"))
-    bins = stored(bins, "bins")
+    bins = stored(in_few(bins), "bins")
 
     def cut(part: DataFrame, *by: str) -> DataFrame:
         over = Window.partitionBy(*by) if by else Window.partitionBy()

@@ -380,6 +380,13 @@ def test_rounds_leave_the_model_where_it_is(spark, docs):
     assert not spark.catalog.tableExists(model.table)
 
 
+def test_small_tables_are_few_files(spark):
+    most = 2 * spark.sparkContext.defaultParallelism
+    many = spark.range(0, 1000, 1, 4 * most)
+    assert len(shared.stored(quality_model.in_few(many), "few").inputFiles()) == most
+    assert quality_model.in_few(many, most + 1).rdd.getNumPartitions() == most + 1
+
+
 def test_numbers_take_the_bytes_that_they_have():
     columns = [np.arange(1000) % 200, np.zeros(1000, dtype=np.int64), np.arange(1000) << 7, np.array([-1, 5]), np.array([1 << 63], dtype=np.uint64), np.zeros(0, dtype=np.uint64)]
     data = quality_model.squeezed(columns)
