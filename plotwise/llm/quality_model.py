@@ -86,8 +86,8 @@ def gram_keys(words: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
 
 
 def in_few(df: DataFrame, least: int = 1) -> DataFrame:
-    """A small table in two tasks a core at most, or `least`. For each file that a task writes Hadoop starts a process, which shares the
-    executor's memory until it runs, and so seems to take as much again."""
+    """A small table in two tasks a core at most, or `least`. For files that tasks write Hadoop may start processes, which share
+    the executor's memory until they run, and so seem to take as much again."""
     return df.coalesce(max(least, 2 * df.sparkSession.sparkContext.defaultParallelism))
 
 
