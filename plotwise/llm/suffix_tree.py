@@ -42,8 +42,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .quality_model import squeezed, summed, unsqueezed, values_at
-from .shared import lean, lean_batches, release, stored, swept, text_bytes, text_of
+from .quality_model import in_few, squeezed, summed, unsqueezed, values_at
+from .shared import lean, lean_batches, release, stored, swept, text_bytes, text_of, trimmed
 from .substrings import bloom, passes
 
 U64 = np.uint64
@@ -117,6 +117,9 @@ def counts(texts: DataFrame, p: SuffixTree) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], []]
 
+        def waiting() -> int:
+            return sum(len(k) for parts in held for k, _ in parts)
+
         def flush() -> Iterator[pa.RecordBatch]:
             for kind in (0, 1):
                 if held[kind]:
@@ -130,13 +133,16 @@ def counts(texts: DataFrame, p: SuffixTree) -> DataFrame:
                 data, at, _ = spelled(block, w, p.depth)
                 for kind, found in ((0, tokens_of(block, w)[0]), (1, grams(data, at, p.depth + 1))):
                     held[kind].append(np.unique(found, return_counts=True))
-                    if len(held[kind]) >= 16:
-                        held[kind][:] = [added(held[kind])]
-                if sum(len(k) for parts in held for k, _ in parts) > 1 << 23:
-                    yield from flush()
+                del w, data, at, found
+                if waiting() > 3 << 19:
+                    for parts in held:
+                        parts[:] = [added(parts)] if parts else []
+                    trimmed()
+                    if waiting() > 1 << 20:
+                        yield from flush()
         yield from flush()
 
-    return texts.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(lean_batches(run), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 class Tree:
@@ -239,7 +245,8 @@ class Tree:
 def grown(grams_: DataFrame, p: SuffixTree) -> Tree:
     """The tree of the counted grams (key, n). The driver gets the frequent contexts' distributions, a bounded number."""
     each = F.explode(F.array([F.struct(F.lit(d).alias("d"), F.col("key").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1)).alias("key")) for d in range(p.depth + 1)]))
-    levels = stored(grams_.select(each.alias("g"), "n").groupBy("g.d", "g.key").agg(F.sum("n").alias("n")), "levels")
+    levels = grams_.select(each.alias("g"), "n").groupBy("g.d", "g.key").agg(F.sum("n").alias("n"))
+    levels = stored(in_few(levels, grams_.rdd.getNumPartitions()), "levels")
     total = levels.where("d = 0").agg(F.sum("n").alias("n")).first()["n"] or 0
     frequent = levels.groupBy("d", F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("c")).where(F.col("c") >= F.lit(p.least * total)).select("d", "context")
     known = levels.alias("l").join(frequent.alias("f"), (F.col("l.d") == F.col("f.d")) & (F.shiftright("l.key", 8) == F.col("f.context"))).select("l.d", "l.key", "l.n")
@@ -330,7 +337,7 @@ def pairs(texts: DataFrame, often, p: SuffixTree) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return texts.mapInArrow(run, "context long, next long, n long")
+    return texts.mapInArrow(lean_batches(run), "context long, next long, n long")
 
 
 def pair_shards(context: np.ndarray, key: np.ndarray, often: Often, limit: int, bits: int) -> np.ndarray:
@@ -418,7 +425,8 @@ def common_states(texts: DataFrame, often, total: int, limit: int, bits: int, p:
         told = [pa.concat_arrays([pa.array(x), pa.nulls(1, pa.array(x).type)]) for x in columns]
         return pa.table([*told, pa.array([*none, table.column("shard")[0].as_py()], pa.int64()), pa.array([*none, squeezed(counted)], pa.binary())], names)
 
-    told = stored(texts.mapInArrow(run, "shard long, data binary").groupBy("shard").applyInArrow(tell, "place long, kinds long, told double, once long, shard long, data binary"), "common")
+    told = texts.mapInArrow(lean_batches(run), "shard long, data binary").groupBy("shard").applyInArrow(lean(tell), "place long, kinds long, told double, once long, shard long, data binary")
+    told = stored(in_few(told, (1 << bits) // 4), "common")
     got = told.where("data is null").groupBy("place").agg(*(F.sum(c).alias(c) for c in names[1:4])).toArrow()
     place, kinds, told_, once = (got.column(i).to_numpy() for i in range(4))
     whole = often.value.n[place]  # a token follows every one
@@ -459,7 +467,9 @@ def score_texts(docs: DataFrame, train: Column, p: SuffixTree = SuffixTree()) ->
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", (~F.coalesce(train, F.lit(False))).alias("held_out"), text_of().alias("text"))
-    learnt = stored(counts(texts.where("not held_out").select("text"), p), "counts")
+    n_bytes = text_bytes(texts)
+    files = n_bytes // p.shard_bytes  # at least, of a table that grows with the corpus
+    learnt = stored(in_few(counts(texts.where("not held_out").select("text"), p), files), "counts")
     words = learnt.where("kind = 0").select(F.col("key").alias("word"), "n")
     size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, kinds = int(size["n"]), int(size["v"])
@@ -469,12 +479,11 @@ def score_texts(docs: DataFrame, train: Column, p: SuffixTree = SuffixTree()) ->
     order = np.argsort(keys)
     spark = docs.sparkSession
     context = spark.sparkContext
-    n_bytes = text_bytes(texts)
     bits = max(2, (n_bytes // p.shard_bytes).bit_length() + 1)
     limit = total >> bits  # common contexts above it are dealt to all shards, the others to one
     taught = texts.where("not held_out").select("text")
     often = context.broadcast(Often(keys[order], got.column("n").to_numpy()[order], max(p.few, p.heavy * total)))
-    long_ = stored(states(pairs(taught, often, p), frequent, total, p), "states")
+    long_ = stored(in_few(states(pairs(taught, often, p), frequent, total, p), files), "states")
     models = []
     if p.common:
         place, followed, model = common_states(taught, often, total, limit, bits, p)
@@ -483,7 +492,7 @@ def score_texts(docs: DataFrame, train: Column, p: SuffixTree = SuffixTree()) ->
             kinds_[place] = followed
             often = context.broadcast(Often(often.value.keys, often.value.n, often.value.limit, kinds_))
             models.append(model)
-    filter_ = bloom(long_.select(F.col("context").alias("g")).distinct(), p.filter_bytes)
+    filter_ = bloom(in_few(long_.select(F.col("context").alias("g")).distinct(), files), p.filter_bytes)
     shared = context.broadcast((grown(learnt.where("kind = 1").select("key", "n"), p), filter_))
     unit = np.log10(total + kinds + 1)
     row = "batch binary, shard long, data binary, rows binary"
@@ -496,44 +505,49 @@ def score_texts(docs: DataFrame, train: Column, p: SuffixTree = SuffixTree()) ->
         at[by] = np.arange(len(by))
         return by, at[index], np.searchsorted(shard[by], np.arange((1 << bits) + 1))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asked(batch: pa.RecordBatch, block: K.Block) -> pa.RecordBatch:
+        """What waits for answers, and the requests, of a block of documents."""
         tree, known_contexts = shared.value
+        parts = [scored(b, tree, often.value, known_contexts) for b in K.parts(block)]
+        n_tokens, known, base, score, n_near, near, near_spelling, n_open, spelling, place, token, before, state, given = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        trimmed()
+        # what to ask for: pairs of two known words; pairs of a known and an unknown one; by hash the words that are not known, and
+        # for a word after a possible rare state the pair and the state's counts
+        near, index = np.unique(near, return_inverse=True)
+        by, index, cuts = by_shard(pair_shards(near >> U64(32), near, often.value, limit, bits), index)
+        near = near[by]
+        some = np.flatnonzero(state & (given >= 0))
+        far, first, far_index = np.unique(pair_keys(before[some], token[some]), return_index=True, return_inverse=True)
+        by, far_index, far_cuts = by_shard(pair_shards(given[some][first], far, often.value, limit, bits), far_index)
+        far = far[by]
+        rare, at = np.flatnonzero(place < 0), np.flatnonzero(state & (given < 0))
+        keys_ = [token[rare], pair_keys(before[at], token[at]), *(before[at] ^ np.array(k, dtype=np.int64).view(U64) for k in (TOTAL, KINDS))]
+        hashed, number = np.unique(np.concatenate(keys_), return_inverse=True)
+        hash_cuts = np.searchsorted((hashed >> U64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
+        word, pair = -1 - place.astype(np.int64), np.full(len(place), -1)  # below 0: the place among frequent words; no state
+        word[rare], pair[some] = number[: len(rare)], far_index
+        pair[at], *counts_ = number[len(rare) :].reshape(3, -1)
+        given = np.where(state, given, -1)
+        waiting = [n_near, index, near_spelling.view(np.uint32), np.diff((near >> U64(32)).astype(np.int64), prepend=0), near & U64(0xFFFFFFFF), n_open, spelling.view(np.uint32), word, pair, given, *counts_]
+        out = [(-1 - int(n_tokens.sum()) % (1 << bits), squeezed(waiting))]
+        for i in range(1 << bits):
+            data = [steps(near[cuts[i] : cuts[i + 1]]), steps(far[far_cuts[i] : far_cuts[i + 1]])]
+            if len(data[0]) or len(data[1]):
+                out.append((i, squeezed(data)))
+            if hash_cuts[i] < hash_cuts[i + 1]:
+                out.append(((1 << bits) + i, squeezed([steps(hashed[hash_cuts[i] : hash_cuts[i + 1]])])))
+        rows = pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.hi - block.lo), batch.column(1).slice(block.lo, block.hi - block.lo), *map(pa.array, (n_tokens, known, base, score))], ["doc_id", "held_out", "n_tokens", "known", "base", "score"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as stream:
+            stream.write_batch(rows)
+        shards, data = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().bytes] * len(out), pa.binary()), pa.array(shards, pa.int64()), pa.array(data, pa.binary()), pa.array([sink.getvalue().to_pybytes(), *[None] * (len(out) - 1)], pa.binary())], names)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in K.blocks(batch.column(2), p.batch_bytes):
-                parts = [scored(b, tree, often.value, known_contexts) for b in K.parts(block)]
-                n_tokens, known, base, score, n_near, near, near_spelling, n_open, spelling, place, token, before, state, given = (np.concatenate(x) for x in zip(*parts, strict=True))
-                parts.clear()
-                # what to ask for: pairs of two known words; pairs of a known and an unknown one; by hash the words that are not known, and
-                # for a word after a possible rare state the pair and the state's counts
-                near, index = np.unique(near, return_inverse=True)
-                by, index, cuts = by_shard(pair_shards(near >> U64(32), near, often.value, limit, bits), index)
-                near = near[by]
-                some = np.flatnonzero(state & (given >= 0))
-                far, first, far_index = np.unique(pair_keys(before[some], token[some]), return_index=True, return_inverse=True)
-                by, far_index, far_cuts = by_shard(pair_shards(given[some][first], far, often.value, limit, bits), far_index)
-                far = far[by]
-                rare, at = np.flatnonzero(place < 0), np.flatnonzero(state & (given < 0))
-                asked = [token[rare], pair_keys(before[at], token[at]), *(before[at] ^ np.array(k, dtype=np.int64).view(U64) for k in (TOTAL, KINDS))]
-                hashed, number = np.unique(np.concatenate(asked), return_inverse=True)
-                hash_cuts = np.searchsorted((hashed >> U64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
-                word, pair = -1 - place.astype(np.int64), np.full(len(place), -1)  # below 0: the place among frequent words; no state
-                word[rare], pair[some] = number[: len(rare)], far_index
-                pair[at], *counts_ = number[len(rare) :].reshape(3, -1)
-                given = np.where(state, given, -1)
-                waiting = [n_near, index, near_spelling.view(np.uint32), np.diff((near >> U64(32)).astype(np.int64), prepend=0), near & U64(0xFFFFFFFF), n_open, spelling.view(np.uint32), word, pair, given, *counts_]
-                out = [(-1 - int(n_tokens.sum()) % (1 << bits), squeezed(waiting))]
-                for i in range(1 << bits):
-                    data = [steps(near[cuts[i] : cuts[i + 1]]), steps(far[far_cuts[i] : far_cuts[i + 1]])]
-                    if len(data[0]) or len(data[1]):
-                        out.append((i, squeezed(data)))
-                    if hash_cuts[i] < hash_cuts[i + 1]:
-                        out.append(((1 << bits) + i, squeezed([steps(hashed[hash_cuts[i] : hash_cuts[i + 1]])])))
-                rows = pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.hi - block.lo), batch.column(1).slice(block.lo, block.hi - block.lo), *map(pa.array, (n_tokens, known, base, score))], ["doc_id", "held_out", "n_tokens", "known", "base", "score"])
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rows.schema) as stream:
-                    stream.write_batch(rows)
-                shards, data = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().bytes] * len(out), pa.binary()), pa.array(shards, pa.int64()), pa.array(data, pa.binary()), pa.array([sink.getvalue().to_pybytes(), *[None] * (len(out) - 1)], pa.binary())], names)
+                yield asked(batch, block)
 
     def smoothed(count: np.ndarray, spelling: np.ndarray) -> np.ndarray:
         """log10 of a word's probability by its share of all tokens and its spelling."""
@@ -552,6 +566,7 @@ def score_texts(docs: DataFrame, train: Column, p: SuffixTree = SuffixTree()) ->
         token, doc = tokens_of(block, w)
         begin = np.concatenate([[0], close[:-1]])  # the signs before a document score 0
         lp = upto[close] - upto[begin]
+        del data, at, each, upto
         place, here, common = often.find(token)
         before, rare, given = contexts(token, often, (place, here, common), p)
         state = rare.copy()
@@ -628,7 +643,7 @@ def score_texts(docs: DataFrame, train: Column, p: SuffixTree = SuffixTree()) ->
     per_state = long_.groupBy("context").agg(F.first("total").alias("total"), F.first("kinds").alias("kinds"))
     per_state = per_state.select(F.explode(F.array(*(key(F.col("context").bitwiseXOR(F.lit(k)), n) for k, n in ((TOTAL, "total"), (KINDS, "kinds"))))).alias("x")).select("x.*")
     table = words.unionByName(long_.select(F.col("next").bitwiseXOR(turned).alias("word"), "n")).unionByName(per_state).withColumn("shard", F.shiftrightunsigned("word", 64 - bits) + F.lit(1 << bits))
-    hashed = stored(table.groupBy("shard").applyInArrow(pack, "shard long, data binary"), "hashed")
+    hashed = stored(in_few(table.groupBy("shard").applyInArrow(lean(pack), "shard long, data binary"), files), "hashed")
     release(learnt, long_)
     model = reduce(DataFrame.unionByName, models, hashed)
     model = model.select(F.lit(None).cast("binary").alias("batch"), "shard", "data", F.lit(None).cast("binary").alias("rows"))
@@ -639,8 +654,9 @@ def score_texts(docs: DataFrame, train: Column, p: SuffixTree = SuffixTree()) ->
             swept(spark)
         part = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(rounds)) == i)
         part = part.coalesce(max(context.defaultParallelism, part.rdd.getNumPartitions() // rounds))  # a task has a batch's worth of a round
-        answers = part.mapInArrow(lean_batches(send), row).unionByName(model).groupBy("shard").applyInArrow(answer, row).where("batch is not null")
-        results.append(stored(answers.groupBy("batch").applyInArrow(close_, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores"))
+        answers = part.mapInArrow(lean_batches(send), row).unionByName(model).groupBy("shard").applyInArrow(lean(answer), row).where("batch is not null")
+        scores = answers.groupBy("batch").applyInArrow(lean(close_), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        results.append(stored(in_few(scores, files // rounds), "scores"))
     release(*models, hashed)
     if rounds > 1:
         swept(spark)

@@ -3,6 +3,7 @@
 import math
 import pathlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -553,6 +554,27 @@ def test_places_that_wait_do_not_stay_on_disk(spark):
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) <= 1e-6 * abs(want[i]) for i in want)
 
 
+def test_counting_holds_little(spark):
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 1 << 20)) for _ in range(12)]  # nearly all grams differ
+
+    class Texts:
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return spark.createDataFrame([], schema)
+
+    given, p = Texts(), suffix_tree.SuffixTree()
+    suffix_tree.counts(given, p)
+    got = [0, 0]
+    tracemalloc.start()
+    for batch in given.run(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])):
+        got[batch.column(0)[0].as_py()] += int(batch.column(2).to_numpy().sum())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [sum(len(t.split()) + 1 for t in texts), sum(sum(len(w) + 1 for w in t.split()) + 1 for t in texts)]
+    assert most < 400e6  # 792 MB when 8 million grams waited
+
+
 def test_rare_contexts_grow_with_the_corpus(spark):
     def states(n):
         texts = [(i, " ".join(f"w{i % n}x{k} w{i % n}y{k}" for k in range(5))) for i in range(5 * n)]
