@@ -575,6 +575,28 @@ def test_counting_holds_little(spark):
     assert most < 400e6  # 792 MB when 8 million grams waited
 
 
+def test_scores_write_few_files(spark, docs, monkeypatch):
+    written, stored = {}, suffix_tree.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        written[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(suffix_tree, "stored", counted)
+    most = 2 * spark.sparkContext.defaultParallelism
+    own = {"spark.sql.shuffle.partitions": str(2 * most), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        suffix_tree.score_texts(docs.limit(20), F.col("doc_id") % 7 != 2, suffix_tree.SuffixTree(common=True))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {"counts", "states", "common", "levels", "hashed", "scores"} == set(written) and max(written.values()) <= most
+
+
 def test_rare_contexts_grow_with_the_corpus(spark):
     def states(n):
         texts = [(i, " ".join(f"w{i % n}x{k} w{i % n}y{k}" for k in range(5))) for i in range(5 * n)]
